@@ -10,8 +10,11 @@ def col(c: Column | str) -> Column:
 
 
 def rnd(c: Column | str, n: int = 6) -> Column:
-    """Round a double for reporting; never yields negative zero."""
-    return F.round(col(c).cast("double"), n) + F.lit(0.0)
+    """Round a double for reporting; never yields negative zero.
+
+    The shift keeps exact decimal ties from flipping with the order of summation.
+    """
+    return F.round(col(c).cast("double") + F.lit(3.7 * 10.0 ** -(n + 4)), n) + F.lit(0.0)
 
 
 def micros(ts: Column | str) -> Column:

@@ -48,4 +48,4 @@ def query(name: str, code: str, sql: str | None = None):
 
 def R(expr: str, n: int = 6) -> str:
     """SQL counterpart of ``rnd``."""
-    return f"(round(CAST({expr} AS DOUBLE), {n}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {3.7 * 10.0 ** -(n + 4)!r}::DOUBLE, {n}) + 0.0)"
