@@ -34,8 +34,8 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pick_pivots(df: DataFrame, id_: str, vec: str, n: int) -> np.ndarray:
-    """Up to MAX_PIVOTS rows in hash order: a bounded read to the driver."""
-    m = int(min(MAX_PIVOTS, max(1, np.sqrt(n) / 4)))
+    """About one pivot per block, at most MAX_PIVOTS, in hash order: a bounded read to the driver."""
+    m = min(MAX_PIVOTS, max(1, n // BLOCK))
     rows = df.select(id_, vec).orderBy(F.xxhash64(id_), id_).limit(m).collect()
     return np.unique(np.array([r[1] for r in rows], dtype=float), axis=0)
 
@@ -73,10 +73,9 @@ def _copies(df: DataFrame, pivots: np.ndarray, bound: np.ndarray, reach: np.ndar
     return df.mapInPandas(run, df.schema)
 
 
-def _block_join(q: DataFrame, c: DataFrame, task: Callable, schema: str) -> DataFrame:
+def _block_join(q: DataFrame, c: DataFrame, nq: dict[int, int], nc: dict[int, int] | None, task: Callable, schema: str) -> DataFrame:
     """Cogroup query and candidate blocks of each cell. Both sides have id, x, cell."""
-    nq = {r[0]: r[1] for r in q.groupBy("cell").count().collect()}
-    nc = {r[0]: r[1] for r in c.groupBy("cell").count().collect()}
+    nc = nc or {r[0]: r[1] for r in c.groupBy("cell").count().collect()}
     cells = max([*nq, *nc, 0]) + 1
     qb = F.get(F.array(*[F.lit(max(1, -(-nq.get(i, 0) // BLOCK))) for i in range(cells)]), F.col("cell"))
     cb = F.get(F.array(*[F.lit(max(1, -(-nc.get(i, 0) // BLOCK))) for i in range(cells)]), F.col("cell"))
@@ -116,14 +115,16 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: s
     ``exclude_self`` is the training form (a point is not its own neighbour); ties go
     to the smaller id.
     """
-    need = k + 1 if exclude_self else k
+    task, schema = _topk_task(k, exclude_self), "id bigint, nid bigint, dist double"
     n = base.count()
+    if n <= BLOCK:
+        q, c = _one_cell(queries, id_, vec, []), _one_cell(base, id_, vec, [])
+        return _keep_top(_block_join(q, c, {0: queries.count()}, {0: n}, task, schema), k)
+    need = k + 1 if exclude_self else k
     pivots = pick_pivots(base, id_, vec, n)
     q, c = _assign(queries, id_, vec, pivots, []), _assign(base, id_, vec, pivots, [])
     m = len(pivots)
-    reach = np.full(m, -np.inf)
-    for cell, far in q.groupBy("cell").agg(F.max("d")).collect():
-        reach[cell] = far
+    nq, reach = _extent(q, m)
     rank = F.row_number().over(W.partitionBy("cell").orderBy("d", "id"))
     near = c.select("cell", "d", "id").withColumn("r", rank).filter(F.col("r") <= need).select("cell", "d").collect()
     gap = np.sqrt(_gram(pivots, pivots))
@@ -134,24 +135,42 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: s
         ub = np.sort(gap[i, cells] + dist)
         bound[i] = reach[i] + ub[need - 1] if len(ub) >= need else np.inf
     copies = _copies(c, pivots, bound, reach, 1e-6 * scale)
-    part = _block_join(q.select("id", "x", "cell"), copies.select("id", "x", "cell"), _topk_task(k, exclude_self), "id bigint, nid bigint, dist double")
+    part = _block_join(q.select("id", "x", "cell"), copies.select("id", "x", "cell"), nq, None, task, schema)
+    return _keep_top(part, k)
+
+
+def _keep_top(part: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(W.partitionBy("id").orderBy("dist", "nid"))
     return part.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
+def _one_cell(df: DataFrame, id_: str, vec: str, extra: list[str]) -> DataFrame:
+    return df.select(F.col(id_).alias("id"), F.col(vec).alias("x"), *extra, F.lit(0).alias("cell"))
+
+
+def _extent(q: DataFrame, m: int) -> tuple[dict[int, int], np.ndarray]:
+    """Number of queries in each cell and their largest distance to the pivot."""
+    nq, reach = {}, np.full(m, -np.inf)
+    for cell, n, far in q.groupBy("cell").agg(F.count(F.lit(1)), F.max("d")).collect():
+        nq[cell], reach[cell] = n, far
+    return nq, reach
+
+
 def within(queries: DataFrame, base: DataFrame, eps: float, task: Callable, schema: str, id_: str = "vec_id", vec: str = "x",
            q_extra: list[str] | None = None, c_extra: list[str] | None = None) -> DataFrame:
     """Run ``task(query block, candidate block)`` on every pair of blocks that may hold points within ``eps``."""
-    pivots = pick_pivots(base, id_, vec, base.count())
+    n = base.count()
+    if n <= BLOCK:
+        q, c = _one_cell(queries, id_, vec, q_extra or []), _one_cell(base, id_, vec, c_extra or [])
+        return _block_join(q, c, {0: queries.count()}, {0: n}, task, schema)
+    pivots = pick_pivots(base, id_, vec, n)
     q = _assign(queries, id_, vec, pivots, q_extra or [])
     c = _assign(base, id_, vec, pivots, c_extra or [])
-    reach = np.full(len(pivots), -np.inf)
-    for cell, far in q.groupBy("cell").agg(F.max("d")).collect():
-        reach[cell] = far
+    nq, reach = _extent(q, len(pivots))
     scale = float(np.abs(pivots).max() + eps + 1.0)
     bound = np.where(np.isfinite(reach), eps, -np.inf)
     copies = _copies(c, pivots, bound, reach, 1e-6 * scale)
-    return _block_join(q.drop("d"), copies.drop("d"), task, schema)
+    return _block_join(q.drop("d"), copies.drop("d"), nq, None, task, schema)
 
 
 def close_pairs(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,5 +187,6 @@ def close_pairs(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> tuple[np.ndarra
 
 def all_blocks(df: DataFrame, task: Callable, schema: str, id_: str, vec: str, extra: list[str]) -> DataFrame:
     """Every block against every block: for measures that are defined over all distances."""
-    d = df.select(F.col(id_).alias("id"), F.col(vec).alias("x"), *extra).withColumn("cell", F.lit(0))
-    return _block_join(d, d, task, schema)
+    d = _one_cell(df, id_, vec, extra)
+    n = {0: df.count()}
+    return _block_join(d, d, n, n, task, schema)
