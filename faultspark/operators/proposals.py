@@ -133,7 +133,7 @@ def granger(pairs: DataFrame, p: int, q: int, a: str = "a", b: str = "b", keys:
     total = m[0, 0]
     r, u = rss(1 + p), rss(1 + p + q)
     f = ((r - u) / q) / (u / (total - p - q - 1))
-    return pairs.sparkSession.createDataFrame([(int(total), r, u, f)], "n bigint, rss_restricted double, rss_full double, f double")
+    return pairs.sparkSession.createDataFrame([(int(total), float(r), float(u), float(f))], "n bigint, rss_restricted double, rss_full double, f double")
 
 
 def variance_threshold(long: DataFrame, minimum: float = 0.01) -> DataFrame:
@@ -210,5 +210,5 @@ def conformal_sets(calibration: DataFrame, test: DataFrame, classes: list[str],
     p_true = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.col(f"p_{c}"))]), F.col(true))
     cal = calibration.select((1 - p_true).alias("s"))
     cut = agg_with_quantiles(cal, [], [], {"c": ("s", 1.0 - significance)}).scalar()
-    sets = F.filter(F.array(*[F.when(1 - F.col(f"p_{c}") <= cut, F.lit(c)) for c in classes]), lambda x: x.isNotNull())
-    return test.withColumn("prediction_set", sets)
+    sets = F.array_compact(F.array(*[F.when(1 - F.col(f"p_{c}") <= F.col("__cut"), F.lit(c)) for c in classes]))
+    return test.withColumn("__cut", cut).withColumn("prediction_set", sets).drop("__cut")

@@ -357,3 +357,38 @@ def _(t):
 def _(t):
     d = S.modulation_features(samples(t).withColumn("phase", F.col("t_us") / 1e12), a="value", b="second")
     return rounded(d.withColumn("amplitude_mod_depth", rnd("amplitude_mod_depth", 4)).withColumn("detuning_hz", rnd("detuning_hz", 2)))
+
+
+@query("peak_count", "C8")
+def _(t):
+    from ..operators import kernels as N
+
+    return N.peak_count(S.zscore(samples(t)), 0.5, value="z")
+
+
+@query("peaks_by_distance", "C8")
+def _(t):
+    from ..operators import kernels as N
+
+    return N.peaks_by_distance(samples(t), 5)
+
+
+@query("highpass", "C10")
+def _(t):
+    from ..operators import kernels as N
+
+    return rounded(N.highpass(samples(t), 0.2))
+
+
+@query("highpass_zero_phase", "C10")
+def _(t):
+    from ..operators import kernels as N
+
+    return rounded(N.highpass_zero_phase(samples(t), 0.2))
+
+
+@query("spectral_features", "C22")
+def _(t):
+    from ..operators import kernels as N
+
+    return rounded(N.spectral_features(*scaled_trigger(t), min_pre=20), 4)
