@@ -6,7 +6,7 @@ import importlib.util
 
 from .registry import REGISTRY
 
-MODULES = ["ingest", "labels", "series", "matrix", "splits", "anomaly", "models", "metrics",
+MODULES = ["flagship", "ingest", "labels", "series", "matrix", "splits", "anomaly", "models", "metrics",
            "clusters", "attribution", "probes", "overview", "streams", "proposals"]
 
 
