@@ -123,15 +123,17 @@ def agg_with_quantiles(
     keys: list[str],
     aggs: list[Column],
     quantiles: dict[str, tuple[str, float]],
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Group aggregates plus exact interpolated quantiles ``{name: (column, p)}``.
 
     A small input uses the built-in exact ``percentile`` in the same aggregation.
     A large one first counts equal values (map-side combined), finds cumulative
     counts by chunks and picks the two order statistics around each quantile.
+    ``sized_by`` is a cheaper table with at least as many rows, used for the size check.
     """
     keys = list(keys)
-    if df.count() <= rows_per_chunk(df.sparkSession):
+    if (sized_by if sized_by is not None else df).count() <= rows_per_chunk(df.sparkSession):
         qs = [F.percentile(c, p).alias(n) for n, (c, p) in quantiles.items()]
         return df.groupBy(*keys).agg(*aggs, *qs)
     out = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))

@@ -30,8 +30,8 @@ def sampled_shapley(rows: DataFrame, score: Callable[[DataFrame], DataFrame], ba
     def walks(it):
         base = np.array(background, dtype=float)
         for pdf in it:
-            out = []
             for rid, x in zip(pdf["id"], pdf["x"]):
+                out = []  # one explained row at a time keeps the batch small
                 x = np.asarray(x, dtype=float)
                 for m in range(n_perm):
                     order = np.random.default_rng([seed, int(rid), m]).permutation(p)
@@ -40,7 +40,7 @@ def sampled_shapley(rows: DataFrame, score: Callable[[DataFrame], DataFrame], ba
                     for step, f in enumerate(order, 1):
                         cur[f] = x[f]
                         out.append((rid, m, step, int(f), cur.copy()))
-            yield pd.DataFrame(out, columns=["id", "perm", "step", "feature", "x"])
+                yield pd.DataFrame(out, columns=["id", "perm", "step", "feature", "x"])
 
     src = rows.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
     e = src.mapInPandas(walks, "id bigint, perm int, step int, feature int, x array<double>")
@@ -61,13 +61,10 @@ def local_surrogate(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sc
     def perturb(it):
         s = np.array(scale, dtype=float)
         for pdf in it:
-            out = []
             for rid, x in zip(pdf["id"], pdf["x"]):
                 z = np.random.default_rng([seed, int(rid)]).standard_normal((n, p))
                 z[0] = 0.0
-                for zi in z:
-                    out.append((rid, zi, np.asarray(x) + zi * s))
-            yield pd.DataFrame(out, columns=["id", "z", "x"])
+                yield pd.DataFrame({"id": rid, "z": list(z), "x": list(np.asarray(x) + z * s)})
 
     def fit(pdf):
         z = np.stack(pdf["z"].to_numpy())

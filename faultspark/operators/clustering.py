@@ -30,15 +30,20 @@ def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "
 
 def gmm(df: DataFrame, k: int, seed: int = 42, vec: str = "x", max_dims: int = 10) -> DataFrame:
     """Full-covariance mixture on the leading components, with membership probabilities."""
-    d = pca(df, vec, k=max_dims).project(df, vec).withColumn("__v", array_to_vector("pc"))
+    wide = df.select(F.size(vec)).first()[0] > max_dims
+    d = pca(df, vec, k=max_dims).project(df, vec) if wide else df.withColumn("pc", F.col(vec))
+    d = d.withColumn("__v", array_to_vector("pc")).persist()
     m = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", probabilityCol="__p").fit(d)
+    d.unpersist()
     return m.transform(d).withColumn("probability", vector_to_array("__p")).drop("__p", "pc", "__v")
 
 
 def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "x") -> DataFrame:
     """Divisive hierarchy; the distributed counterpart of agglomerative clustering."""
-    d = df.withColumn("__v", array_to_vector(vec))
-    return BisectingKMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(d).transform(d).drop("__v")
+    d = df.withColumn("__v", array_to_vector(vec)).persist()
+    m = BisectingKMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(d)
+    d.unpersist()
+    return m.transform(d).drop("__v")
 
 
 def graph_clustering(df: DataFrame, k: int, neighbours: int = 5, id_: str = "vec_id", vec: str = "x") -> DataFrame:

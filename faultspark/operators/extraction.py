@@ -44,9 +44,7 @@ def extract_features(samples: DataFrame, roles: dict[str, str], meta: DataFrame
         long(S.autocorr_lag(z, 1, keys).withColumnRenamed("autocorr", "autocorr_lag1")),
         long(peak_count(z, 0.5, keys).withColumnRenamed("n_peaks", "peak_count")),
         long(S.derivative_features(z, keys)),
-        long(S.trends(win, keys)),
-        long(S.cusum_centered(win, keys, idx="pos")),
-        long(S.early_late(win, S.scale_samples(S.EARLY_SAMPLES * scale, "dt_us", ref_dt), S.scale_samples(S.LATE_START * scale, "dt_us", ref_dt), keys)),
+        long(S.window_features(win, S.scale_samples(S.EARLY_SAMPLES * scale, "dt_us", ref_dt), S.scale_samples(S.LATE_START * scale, "dt_us", ref_dt), keys)),
     ]
     seg = S.segments(z, per_channel, window, ref_dt, keys)
     out.append(S.to_long(seg.drop("n"), [*keys, "segment"], F.concat(name, F.lit("_segment_"), F.col("segment"))).drop("channel", "segment"))

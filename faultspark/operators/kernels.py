@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.exprs import ratio
 from ..functions.iterate import cut_lineage
 from ..functions.ordering import neighbours, series_chunk, series_prefix
 from .series import KEYS, split_at_trigger, unwrap_phase
@@ -281,16 +282,86 @@ def spectrum(mag: np.ndarray, freq: np.ndarray) -> tuple[float, float, float]:
     return float(freq[top]), band, float(freq[top] / width) if width > 0 else 0.0
 
 
+def _fourier_step(df: DataFrame, keys: list[str], group: str, pos: str, size: int, inverse: bool) -> DataFrame:
+    """Transform each group of at most ``size`` values; absent positions are zero."""
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {group} bigint, k bigint, re double, im double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(size, complex)
+        x[pdf[pos].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        y = np.fft.ifft(x) if inverse else np.fft.fft(x)
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {group: pdf[group].iloc[0], "k": np.arange(size), "re": y.real, "im": y.imag})
+
+    return df.groupBy(*keys, group).applyInPandas(run, schema)
+
+
+def fourier_transform(df: DataFrame, keys: list[str], bits: int, inverse: bool = False) -> DataFrame:
+    """Transform of length 2**bits of rows (keys, i, re, im), spread over groups of about its square root.
+
+    Columns of the index grid are transformed first, turned by a twiddle factor, then
+    the rows: two shuffles, no group longer than 2**ceil(bits / 2).
+    """
+    n1, n2 = 1 << (bits // 2), 1 << (bits - bits // 2)
+    d = df.withColumn("i2", F.col("i") % n2).withColumn("i1", F.floor(F.col("i") / n2).cast("bigint"))
+    a = _fourier_step(d.select(*keys, "i2", "i1", "re", "im"), keys, "i2", "i1", n1, inverse)
+    angle = F.lit((1 if inverse else -1) * 2 * math.pi / (n1 * n2)) * (F.col("i2") * F.col("k"))
+    c, s = F.cos(angle), F.sin(angle)
+    t = a.select(*keys, F.col("k").alias("k1"), "i2", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+    b = _fourier_step(t, keys, "k1", "i2", n2, inverse)
+    return b.select(*keys, (F.col("k1") + F.col("k") * n1).alias("i"), "re", "im")
+
+
+def long_spectrum(df: DataFrame, keys: list[str], n_max: int, idx: str = "idx", value: str = "value", n: str = "n") -> DataFrame:
+    """Magnitudes (keys, n, k, mag) of a transform of any length n, computed as a convolution with a chirp."""
+    bits = max(4, (2 * n_max - 1).bit_length())
+    size = 1 << bits
+
+    def chirp(j):
+        # the squared index is reduced before it meets the angle, so large indices stay exact
+        return F.lit(math.pi) * ((j * j) % (2 * F.col(n))) / F.col(n)
+
+    w = chirp(F.col(idx))
+    src = df.select(*keys, n, F.col(idx).cast("bigint").alias("i"), F.col(value).alias("x"), w.alias("w"))
+    a = src.select(*keys, "i", (F.col("x") * F.cos("w")).alias("re"), (-F.col("x") * F.sin("w")).alias("im"))
+    ends = F.array_compact(F.array(F.col("i"), F.when(F.col("i") > 0, size - F.col("i"))))
+    b = src.select(*keys, F.explode(ends).alias("i"), F.cos("w").alias("re"), F.sin("w").alias("im"))
+    fa, fb = fourier_transform(a, keys, bits), fourier_transform(b, keys, bits)
+    prod = fa.join(fb.withColumnsRenamed({"re": "r2", "im": "i2"}), [*keys, "i"]).select(
+        *keys, "i", (F.col("re") * F.col("r2") - F.col("im") * F.col("i2")).alias("re"), (F.col("re") * F.col("i2") + F.col("im") * F.col("r2")).alias("im"))
+    y = fourier_transform(prod, keys, bits, inverse=True)
+    lengths = df.groupBy(*keys).agg(F.max(n).alias(n))
+    return y.join(lengths, keys).filter(F.col("i") <= F.floor(F.col(n) / 2)).select(*keys, n, F.col("i").alias("k"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+
+
+def _long_features(u: DataFrame, keys: list[str], n_max: int) -> DataFrame:
+    """Spectral features of recordings too long for one task, from aggregates over their spectrum."""
+    x = F.col("pidx") - (F.col("n") - 1) / 2
+    fit = u.groupBy(*keys).agg(F.avg("phase").alias("m"), ratio(F.sum(x * F.col("phase")), F.sum(x * x)).alias("b"))
+    r = u.join(fit, keys).withColumn("value", F.col("phase") - F.col("m") - F.col("b") * x).withColumn("idx", F.col("pidx"))
+    rms = r.groupBy(*keys).agg(F.stddev_pop("value").alias("rms"), F.max("dt_us").alias("dt_us"))
+    s = long_spectrum(r.select(*keys, "n", "idx", "value"), keys, n_max).join(rms, keys)
+    s = s.withColumn("hz", F.col("k") / (F.col("n") * F.col("dt_us") / 1e6))
+    top = s.filter("k > 0").groupBy(*keys).agg(F.max_by("k", F.struct("mag", -F.col("k"))).alias("kt"), F.max("mag").alias("peak"))
+    j = s.join(top, keys)
+    low = F.col("mag") <= F.col("peak") / 2
+    g = j.groupBy(*keys).agg(
+        F.max("rms").alias("rms"), F.max(F.when(F.col("k") == F.col("kt"), F.col("hz"))).alias("dominant_hz"),
+        F.sum(F.when((F.col("hz") >= 10) & (F.col("hz") <= 100), F.col("mag") * F.col("mag")).otherwise(0.0)).alias("band_power"),
+        F.coalesce(F.max(F.when((F.col("k") < F.col("kt")) & low, F.col("hz"))), F.lit(0.0)).alias("lo"),
+        F.coalesce(F.min(F.when((F.col("k") > F.col("kt")) & low, F.col("hz"))), F.max("hz")).alias("hi"))
+    return g.select(*keys, "rms", "dominant_hz", "band_power", F.coalesce(ratio(F.col("dominant_hz"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("q_factor"))
+
+
 def spectral_features(samples: DataFrame, trigger: DataFrame, min_pre: int = 100, keys: list[str] = KEYS, value: str = "value") -> DataFrame:
     """Residual rms, dominant frequency, band power and Q of the detrended pre-trigger phase.
 
-    The transform needs one whole recording, so its length is checked first.
+    A recording whose pre-trigger part fits one task is transformed there; a longer one
+    goes through the distributed transform.
     """
-    longest = trigger.agg(F.max("z")).first()[0] or 0
-    if longest > ONE_TASK_SAMPLES:
-        raise ValueError(f"a pre-trigger part has {longest} samples; split or decimate recordings above {ONE_TASK_SAMPLES}")
     parts = [*keys, "part"]
     u = unwrap_phase(split_at_trigger(samples, trigger, keys).filter(F.col("part") == "pre"), parts, value, "pidx")
+    u = u.select(*keys, "pidx", "phase", "dt_us", F.col("z").cast("bigint").alias("n"))
     types = dict(samples.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rms double, dominant_hz double, band_power double, q_factor double"
 
@@ -304,4 +375,8 @@ def spectral_features(samples: DataFrame, trigger: DataFrame, min_pre: int = 100
             got = (float(r.std()), *spectrum(np.abs(np.fft.rfft(r)), np.fft.rfftfreq(len(r), dt)))
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *got]], columns=[*keys, "rms", "dominant_hz", "band_power", "q_factor"])
 
-    return u.select(*keys, "pidx", "phase", "dt_us").groupBy(*keys).applyInPandas(run, schema)
+    longest = trigger.agg(F.max("z")).first()[0] or 0
+    short = u.filter(F.col("n") <= ONE_TASK_SAMPLES).select(*keys, "pidx", "phase", "dt_us").groupBy(*keys).applyInPandas(run, schema)
+    if longest <= ONE_TASK_SAMPLES:
+        return short
+    return short.unionByName(_long_features(u.filter(F.col("n") > ONE_TASK_SAMPLES), keys, longest))

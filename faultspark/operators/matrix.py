@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import percent
@@ -119,12 +119,20 @@ def standardize_long(train: DataFrame, df: DataFrame) -> DataFrame:
     return j.withColumn("value", (F.col("value") - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).drop("__m", "__s")
 
 
+def array_moments(df: DataFrame, vec: str = "x"):
+    """Mean and population std of each position of an array column: one number per feature."""
+    import numpy as np
+
+    v = df.select(array_to_vector(vec).alias("v"))
+    n, s = v.agg(F.count(F.lit(1)), Summarizer.metrics("mean", "variance").summary(F.col("v"))).first()
+    return s["mean"].toArray(), np.sqrt(s["variance"].toArray() * (n - 1) / n)
+
+
 def standardize_arrays(train: DataFrame, df: DataFrame, vec: str = "x") -> DataFrame:
     """The same for one array column."""
-    g = train.select(F.posexplode(vec).alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    rows = sorted(g.collect())  # one row per feature
-    centre = F.array(*[F.lit(r[1]) for r in rows])
-    scale = F.array(*[F.lit(r[2] if r[2] else 1.0) for r in rows])
+    mean, std = array_moments(train, vec)
+    centre = F.array(*[F.lit(float(m)) for m in mean])
+    scale = F.array(*[F.lit(float(s) if s > 0 else 1.0) for s in std])
     return df.withColumn(vec, F.zip_with(F.arrays_zip(F.col(vec).alias("v"), centre.alias("m")), scale, lambda a, s: (a["v"] - a["m"]) / s))
 
 
@@ -183,7 +191,7 @@ def pca(train: DataFrame, vec: str = "x", variance: float | None = 0.95, k: int
     comp, ratios = model.pc.toArray(), model.explainedVariance.toArray()
     lead = comp[np.abs(comp).argmax(axis=0), np.arange(p)]
     comp = comp * np.where(lead < 0, -1.0, 1.0)
-    mean = np.array([r[1] for r in sorted(train.select(F.posexplode(vec).alias("p", "v")).groupBy("p").agg(F.avg("v")).collect())])
+    mean, _ = array_moments(train, vec)
     if k is None:
         k = int(np.searchsorted(np.cumsum(ratios), variance - 1e-12) + 1)
     k = min(k, p)

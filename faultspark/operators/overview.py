@@ -41,7 +41,7 @@ def cooccurrence(df: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def events_by(df: DataFrame, unit: str, ts: str, fault: Column) -> DataFrame:
-    return df.groupBy(F.date_trunc(unit, ts).alias("period")).agg(
+    return df.groupBy(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("period")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(fault).alias("n_fault"), rnd(percent(F.count_if(fault), F.count(F.lit(1)))).alias("fault_pct"))
 
 

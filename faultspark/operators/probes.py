@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio, safe_corr
 from ..functions.ordering import agg_with_quantiles, with_running
-from .series import REFERENCE_DT_US, cusum_centered, early_late, pre_window, scale_samples, trends
+from .series import REFERENCE_DT_US, pre_window, scale_samples, window_features
 
 # Probe offsets as multiples of the window length.
 OFFSET_MULTIPLES = [0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0]
@@ -35,10 +35,7 @@ def offset_probe(samples: DataFrame, trigger: DataFrame, n_ref: float, early_ref
     p = p.withColumn("z", F.col("probe_z")).drop("probe_z")
     w = pre_window(samples, p, n_ref, ref_dt, keys)
     k = [*keys, "mult"]
-    a = trends(w, k)
-    b = cusum_centered(w, k, idx="pos")
-    c = early_late(w, scale_samples(early_ref, "dt_us", ref_dt), scale_samples(late_ref, "dt_us", ref_dt), k)
-    return a.join(b, k).join(c, k)
+    return window_features(w, scale_samples(early_ref, "dt_us", ref_dt), scale_samples(late_ref, "dt_us", ref_dt), k)
 
 
 def lead_time(curve: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:

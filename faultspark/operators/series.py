@@ -38,7 +38,7 @@ def find_trigger(samples: DataFrame, keys: list[str] = KEYS, fallback_dt: float
     out = agg_with_quantiles(
         d, keys,
         [F.min_by("idx", F.struct(F.abs("t_us"), F.col("idx"))).alias("z"), F.count(F.lit(1)).alias("n")],
-        {"dt_us": ("__dt", 0.5)})
+        {"dt_us": ("__dt", 0.5)}, sized_by=samples)
     return out.withColumn("dt_us", F.coalesce("dt_us", F.lit(float(fallback_dt))))
 
 
@@ -257,6 +257,32 @@ def early_late(window: DataFrame, early: Column, late: Column, keys: list[str] =
                     (F.col("vl") / (F.col("ve") + 1e-10)).alias("var_ratio_late_early"))
 
 
+def window_features(window: DataFrame, early: Column, late: Column, keys: list[str] = KEYS, value: str = "value") -> DataFrame:
+    """Trend, cumulative-sum and early/late features of a pre-trigger window from one shuffle.
+
+    A window has a fixed duration, so one key is a bounded group and its running sum
+    needs no chunks; the aggregation reuses the partitioning of the running sum.
+    """
+    part = W.partitionBy(*keys)
+    v = F.col(value)
+    d = window.withColumn("__e", v - F.avg(v).over(part))
+    d = d.withColumn("__cs", F.sum("__e").over(part.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    x = F.col("pos") - (F.col("win_n") - 1) / 2
+    x2 = x * x
+    e, l = F.when(F.col("pos") < early, v), F.when(F.col("pos") >= late, v)
+    g = d.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.sum(v).alias("sy"), F.sum(x * v).alias("sxy"), F.sum(x2 * v).alias("sx2y"), F.sum(x2).alias("sx2"), F.sum(x2 * x2).alias("sx4"),
+        F.max("__cs").alias("cusum_max"), F.min("__cs").alias("cusum_min"),
+        F.avg(e).alias("me"), F.avg(l).alias("ml"), F.var_pop(e).alias("ve"), F.var_pop(l).alias("vl"), F.avg(F.abs(v)).alias("ma"))
+    n = F.col("n")
+    return g.select(
+        *keys, F.coalesce(F.try_divide(F.col("sxy"), F.col("sx2")), F.lit(0.0)).alias("trend_slope"),
+        F.try_divide(n * F.col("sx2y") - F.col("sx2") * F.col("sy"), n * F.col("sx4") - F.col("sx2") * F.col("sx2")).alias("trend_acceleration"),
+        "cusum_max", "cusum_min", (F.col("ml") - F.col("me")).alias("early_late_diff"),
+        F.when(F.abs("me") <= 1e-6 * (F.col("ma") + 1e-12), 0.0).otherwise(F.try_divide(F.col("ml"), F.col("me"))).alias("early_late_ratio"),
+        (F.col("vl") / (F.col("ve") + 1e-10)).alias("var_ratio_late_early"))
+
+
 def pre_post_stats(samples: DataFrame, trigger: DataFrame, keys: list[str] = KEYS, value: str = "value") -> DataFrame:
     """RMS, std and mean before and after the trigger, their change and the largest abs value after."""
     d = samples.join(trigger.select(*keys, "z"), keys)

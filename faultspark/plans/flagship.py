@@ -23,8 +23,7 @@ SQL = f"""{WINDOW_SQL}, e AS (SELECT *, value - avg(value) OVER (PARTITION BY se
 def changed_before_trigger(t) -> DataFrame:
     s = samples(t)
     w = S.pre_window(s, S.find_trigger(s), PRE, REF_DT)
-    f = (S.trends(w).join(S.cusum_centered(w, idx="pos"), "series_id")
-         .join(S.early_late(w, S.scale_samples(7, "dt_us", REF_DT), S.scale_samples(13, "dt_us", REF_DT)), "series_id"))
+    f = S.window_features(w, S.scale_samples(7, "dt_us", REF_DT), S.scale_samples(13, "dt_us", REF_DT))
     f = f.select("series_id", F.abs("trend_slope").alias("slope"), F.greatest(F.col("cusum_max"), -F.col("cusum_min")).alias("cusum"),
                  F.abs("early_late_diff").alias("diff"), finite(F.col("var_ratio_late_early")).alias("ratio"))
     d = minmax_ensemble(f, ["slope", "cusum", "diff", "ratio"], "score")

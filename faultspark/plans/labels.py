@@ -199,7 +199,7 @@ def _agree_sql(dim):
 for _n, _sql, _dim in (
     ("agreement_by_family", "coalesce(nullif(regexp_extract(family, '(CMA|CMB)', 1), ''), 'Unknown')", lambda: L.family_of("family")),
     ("agreement_by_year", "year(l_shipdate)::INT", lambda: F.year("l_shipdate")),
-    ("agreement_by_month", "date_trunc('month', l_shipdate)::TIMESTAMP", lambda: F.date_trunc("month", "l_shipdate")),
+    ("agreement_by_month", "date_trunc('month', l_shipdate)::TIMESTAMP", lambda: F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")),
 ):
     query(_n, "B10", _agree_sql(_sql))(
         lambda t, d=_dim: L.agreement_by(audit(t), d(), "old_a", "new_a").withColumn("disagree_pct", rnd("disagree_pct")))

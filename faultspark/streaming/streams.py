@@ -53,7 +53,7 @@ def stream_session_stats(stream: DataFrame, ts: str, value: str, keys: list[str]
 def _stats(grouped, value: str, keys: list[str]) -> DataFrame:
     g = grouped.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
                     F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
-    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "mean", "std", "min", "max", "rms")
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "n", "mean", "std", "min", "max", "rms")
 
 
 def stream_event_features(stream: DataFrame, event: str, ts: str, delay: str, timeout_ms: int = 3_600_000) -> DataFrame:
