@@ -82,8 +82,11 @@ def _block_join(q: DataFrame, c: DataFrame, nq: dict[int, int], nc: dict[int, in
     left = q.withColumn("qb", F.pmod(F.xxhash64("id"), qb).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), cb - 1)))
     right = c.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), cb).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1)))
     keys = ["cell", "qb", "cb"]
+    names = [field.split()[0] for field in schema.split(",")]
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
         return task(a, b)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
@@ -91,8 +94,6 @@ def _block_join(q: DataFrame, c: DataFrame, nq: dict[int, int], nc: dict[int, in
 
 def _topk_task(k: int, exclude_self: bool) -> Callable:
     def task(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "nid": [], "dist": []})
         x, y = _matrix(a["x"]), _matrix(b["x"])
         ids, nids = a["id"].to_numpy(), b["id"].to_numpy()
         d = _gram(x, y)

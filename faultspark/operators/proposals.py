@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.exprs import ratio, safe_corr, stable_hash
 from ..functions.ordering import agg_with_quantiles, neighbours, with_position, with_running
 from .neighbours import knn
-from .series import page_path
+from .series import join_events, page_path
 
 
 def zscore_outliers(df: DataFrame, cols: list[str], limit: float = 3.0) -> DataFrame:
@@ -97,11 +97,11 @@ def moving_average(samples: DataFrame, window: int, keys: list[str], value: str
 
 def propagation(samples: DataFrame, trigger: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Samples until below half the first post-trigger value, drop rate, recovery slope, pre/post contrast."""
-    d = samples.join(trigger.select(*keys, "z"), keys).withColumn("pos", F.col("idx") - F.col("z"))
-    v, pos = F.col(value), F.col("pos")
-    first = d.filter(pos == 0).select(*keys, v.alias("__v0"))
+    events = trigger.select(*keys, "z", "n")
+    v, pos = F.col(value), F.col("idx") - F.col("z")
+    first = join_events(samples, events, keys, F.col("z"), F.col("z") + 1).filter(pos == 0).select(*keys, v.alias("__v0"))
     post, pre = F.when(pos >= 0, v), F.when(pos < 0, v)
-    g = d.join(first, keys).groupBy(*keys).agg(
+    g = join_events(samples, events.join(first, keys), keys).groupBy(*keys).agg(
         F.min(F.when((pos >= 0) & (v < 0.5 * F.col("__v0")), pos)).alias("drop_n"), F.max("__v0").alias("v0"), F.min(post).alias("lo"),
         F.regr_slope(post, pos).alias("recovery_slope"), ratio(F.avg(post), F.avg(pre)).alias("ratio_mean"), (F.var_pop(post) - F.var_pop(pre)).alias("diff_variance"))
     return g.select(*keys, "drop_n", ratio(F.col("v0") - F.col("lo"), F.col("drop_n")).alias("drop_rate"), "recovery_slope", "ratio_mean", "diff_variance")

@@ -31,6 +31,22 @@ def index_samples(df: DataFrame, keys: list[str], order: list[str], by: Column)
     return with_position(df, keys, order, by, "idx")
 
 
+def join_events(samples: DataFrame, events: DataFrame, keys: list[str], lo: Column | None = None, hi: Column | None = None) -> DataFrame:
+    """Attach one row per event to its samples, optionally only to those with lo <= idx < hi.
+
+    The event row is repeated for each idx chunk it touches and the join key includes the
+    chunk, so the samples of one huge recording spread over many tasks and samples in
+    chunks outside the range never match. Without bounds the events need a length ``n``.
+    """
+    size = series_chunk(samples.sparkSession)
+    lo = F.lit(0) if lo is None else lo
+    hi = F.col("n") if hi is None else hi
+    chunks = F.sequence(F.floor(lo / size).cast("bigint"), F.floor((hi - 1) / size).cast("bigint"))
+    e = events.filter(hi > lo).withColumn("__chunk", F.explode(chunks))
+    s = samples.withColumn("__chunk", F.floor(F.col("idx") / size).cast("bigint"))
+    return s.join(e, [*keys, "__chunk"]).drop("__chunk")
+
+
 def find_trigger(samples: DataFrame, keys: list[str] = KEYS, fallback_dt: float = 1.0) -> DataFrame:
     """Trigger index z (smallest abs time, first on a tie), median spacing and length."""
     d = neighbours(samples.select(*keys, "idx", "t_us"), keys, {"__prev": ("t_us", -1)})
@@ -55,7 +71,7 @@ def pre_window(samples: DataFrame, trigger: DataFrame, n_ref: float, ref_dt: flo
     end = F.col("z") if lead is None else F.col("z") - lead
     t = trigger.withColumn("win_n", scale_samples(n_ref, "dt_us", ref_dt)).withColumn("win_end", end)
     t = t.filter(F.col("win_end") >= F.col("win_n"))
-    j = samples.join(t, keys)
+    j = join_events(samples, t, keys, F.col("win_end") - F.col("win_n"), F.col("win_end"))
     j = j.filter((F.col("idx") >= F.col("win_end") - F.col("win_n")) & (F.col("idx") < F.col("win_end")))
     return j.withColumn("pos", (F.col("idx") - (F.col("win_end") - F.col("win_n"))).cast("bigint"))
 
@@ -63,7 +79,8 @@ def pre_window(samples: DataFrame, trigger: DataFrame, n_ref: float, ref_dt: flo
 def post_window(samples: DataFrame, trigger: DataFrame, n_ref: float, ref_dt: float = REFERENCE_DT_US,
                 keys: list[str] = KEYS) -> DataFrame:
     t = trigger.withColumn("win_n", scale_samples(n_ref, "dt_us", ref_dt)).filter(F.col("z") + F.col("win_n") <= F.col("n"))
-    j = samples.join(t, keys).filter((F.col("idx") >= F.col("z")) & (F.col("idx") < F.col("z") + F.col("win_n")))
+    j = join_events(samples, t, keys, F.col("z"), F.col("z") + F.col("win_n"))
+    j = j.filter((F.col("idx") >= F.col("z")) & (F.col("idx") < F.col("z") + F.col("win_n")))
     return j.withColumn("pos", (F.col("idx") - F.col("z")).cast("bigint"))
 
 
@@ -73,7 +90,7 @@ def segments(samples: DataFrame, trigger: DataFrame, n_ref: float, ref_dt: float
     t = trigger.withColumn("win_n", scale_samples(n_ref, "dt_us", ref_dt))
     t = t.withColumn("have", F.least("win_n", "z")).withColumn("seg_len", F.floor(F.col("win_n") / 5))
     t = t.filter((F.col("seg_len") > 0) & (F.col("have") >= F.col("seg_len")))
-    j = samples.join(t, keys)
+    j = join_events(samples, t, keys, F.col("z") - F.col("have"), F.col("z"))
     j = j.filter((F.col("idx") >= F.col("z") - F.col("have")) & (F.col("idx") < F.col("z")))
     pos = F.col("idx") - (F.col("z") - F.col("have"))
     j = j.withColumn("pos", pos).withColumn("seg", F.least(F.lit(4), F.floor(pos / F.col("seg_len"))).cast("int"))
@@ -122,8 +139,12 @@ def series_stats(samples: DataFrame, keys: list[str] = KEYS, value: str = "value
 
 def zscore(samples: DataFrame, keys: list[str] = KEYS, value: str = "value", eps: float | None = None) -> DataFrame:
     """(x - mean) / std per key; constant series stay unchanged unless ``eps`` is added to std."""
-    stats = samples.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    d = samples.join(stats, keys)
+    aggs = [F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s")]
+    if "idx" in samples.columns:
+        stats = samples.groupBy(*keys).agg(*aggs, (F.max("idx") + 1).alias("__n"))
+        d = join_events(samples, stats, keys, hi=F.col("__n")).drop("__n")
+    else:
+        d = samples.join(samples.groupBy(*keys).agg(*aggs), keys)  # adaptive execution splits a skewed key
     centred = F.col(value) - F.col("__m")
     out = (centred / (F.col("__s") + F.lit(eps))) if eps is not None else F.when(
         F.col("__s") > 0, F.try_divide(centred, F.col("__s"))).otherwise(F.col(value))
@@ -208,17 +229,18 @@ def _earlier(keys: list[str]):
 
 def cusum_centered(samples: DataFrame, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
     """Largest and smallest prefix sum of x - mean."""
-    mean = samples.groupBy(*keys).agg(F.avg(value).alias("__m"))
-    d, parts, _ = _chunked_sum(samples.select(*keys, idx, value).join(mean, keys), keys, F.col(value) - F.col("__m"), idx)
+    mean = samples.groupBy(*keys).agg(F.avg(value).alias("__m"), (F.max(idx) + 1).alias("__n"))
+    rows = samples.select(*keys, F.col(idx).alias("idx"), value)
+    d, parts, _ = _chunked_sum(join_events(rows, mean, keys, hi=F.col("__n")), keys, F.col(value) - F.col("__m"), "idx")
     c = d.groupBy(*parts).agg(F.max("__p").alias("hi"), F.min("__p").alias("lo"), F.sum("__x").alias("t"))
     c = c.withColumn("o", F.coalesce(F.sum("t").over(_earlier(keys)), F.lit(0.0)))
     return c.groupBy(*keys).agg(F.max(F.col("hi") + F.col("o")).alias("cusum_max"), F.min(F.col("lo") + F.col("o")).alias("cusum_min"))
 
 
 def _page_steps(samples: DataFrame, keys: list[str], value: str, baseline: int, idx: str) -> DataFrame:
-    base = samples.filter(F.col(idx) < baseline).groupBy(*keys).agg(
-        (F.avg(value) + F.stddev_pop(value) / 2).alias("__k"))
-    return samples.join(base, keys)
+    early = F.when(F.col(idx) < baseline, F.col(value))
+    base = samples.groupBy(*keys).agg((F.avg(early) + F.stddev_pop(early) / 2).alias("__k"), (F.max(idx) + 1).alias("__n"))
+    return join_events(samples, base, keys, hi=F.col("__n")).drop("__n")
 
 
 def cusum_page(samples: DataFrame, keys: list[str] = KEYS, value: str = "value", baseline: int = 600, idx: str = "idx") -> DataFrame:
@@ -285,7 +307,7 @@ def window_features(window: DataFrame, early: Column, late: Column, keys: list[s
 
 def pre_post_stats(samples: DataFrame, trigger: DataFrame, keys: list[str] = KEYS, value: str = "value") -> DataFrame:
     """RMS, std and mean before and after the trigger, their change and the largest abs value after."""
-    d = samples.join(trigger.select(*keys, "z"), keys)
+    d = join_events(samples, trigger.select(*keys, "z", "n"), keys)
     pre, post = F.when(F.col("idx") < F.col("z"), F.col(value)), F.when(F.col("idx") >= F.col("z"), F.col(value))
     g = d.groupBy(*keys).agg(
         F.sqrt(F.avg(pre * pre)).alias("rms_pre"), F.stddev_pop(pre).alias("std_pre"), F.avg(pre).alias("mean_pre"),
@@ -301,12 +323,13 @@ def settling(samples: DataFrame, trigger: DataFrame, first: int = 500, tail: int
     The final value is the median of the last ``tail`` samples, so each key's
     median sees at most ``tail`` values.
     """
-    d = samples.join(trigger.select(*keys, "z", "n"), keys)
+    events = trigger.select(*keys, "z", "n")
+    d = join_events(samples, events, keys)
     after = F.col("idx") - F.col("z")
     v = F.col(value)
     ends = d.filter(F.col("idx") >= F.greatest(F.col("z"), F.col("n") - tail)).groupBy(*keys).agg(F.percentile(v, 0.5).alias("__final"))
     thr = F.when(F.col("__final") != 0, F.abs("__final") * tol).otherwise(F.lit(tol))
-    g = d.join(ends, keys).groupBy(*keys).agg(
+    g = join_events(samples, events.join(ends, keys), keys).groupBy(*keys).agg(
         F.max(F.when((after >= 0) & (after < first), F.abs(v))).alias("max_excursion"),
         F.min(F.when((after >= 0) & (F.abs(v - F.col("__final")) < thr), after)).cast("double").alias("settle"),
         F.avg((F.abs(v) > level).cast("int")).alias("saturation_fraction"))
@@ -327,7 +350,7 @@ def unwrap_phase(samples: DataFrame, keys: list[str] = KEYS, value: str = "value
 
 def split_at_trigger(samples: DataFrame, trigger: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Label rows pre or post and give each part its own position."""
-    d = samples.join(trigger, keys)
+    d = join_events(samples, trigger, keys)
     late = F.col("idx") >= F.col("z")
     return d.withColumn("part", F.when(late, "post").otherwise("pre")).withColumn(
         "pidx", F.when(late, F.col("idx") - F.col("z")).otherwise(F.col("idx")).cast("bigint"))
@@ -394,7 +417,7 @@ def power_balance(pairs: DataFrame, trigger: DataFrame, jump_ref: float = JUMP_S
                   keys: list[str] = KEYS, fwd: str = "a", refl: str = "b") -> DataFrame:
     """Mean forward and reflected power before the trigger, their ratio, jump and imbalance."""
     t = trigger.withColumn("__h", scale_samples(jump_ref, "dt_us", ref_dt))
-    d = pairs.join(t, keys)
+    d = join_events(pairs, t, keys)
     p, q = F.col(fwd) * F.col(fwd), F.col(refl) * F.col(refl)
     i, z, h = F.col("idx"), F.col("z"), F.col("__h")
     g = d.groupBy(*keys).agg(
@@ -426,7 +449,7 @@ def validity_flags(samples: DataFrame, trigger: DataFrame, n_ref: float = MONOTO
                    on_level: float = 1.0, keys: list[str] = KEYS, value: str = "value") -> DataFrame:
     """rf_on from the mean level; valid_decay when over 60 % of the window falls."""
     t = trigger.withColumn("__w", scale_samples(n_ref, "dt_us", ref_dt))
-    d = neighbours(samples.select(*keys, "idx", value), keys, {"__next": (value, 1)}).join(t, keys)
+    d = join_events(neighbours(samples.select(*keys, "idx", value), keys, {"__next": (value, 1)}), t, keys)
     i, z, w = F.col("idx"), F.col("z"), F.col("__w")
     falls = (i >= z) & (i < z + w - 1) & (F.abs("__next") < F.abs(value))
     g = d.groupBy(*keys).agg(F.avg(F.abs(value)).alias("level"), F.count_if(falls).alias("falls"), F.max(w).alias("w"), F.max(F.col("n") > z + w).alias("fits"))
@@ -482,8 +505,8 @@ def ensemble_mean_band(traces: DataFrame, category: str) -> DataFrame:
 
 def fixed_window(samples: DataFrame, meta: DataFrame, pre: int = 3000, post: int = 1000, keys: list[str] = KEYS) -> DataFrame:
     """Sample-count window around ``postrow``, clipped to [0, nrow)."""
-    d = samples.join(meta, keys)
     lo, hi = F.greatest(F.lit(0), F.col("postrow") - pre), F.least(F.col("nrow"), F.col("postrow") + post)
+    d = join_events(samples, meta, keys, lo, hi)
     return d.filter((F.col("idx") >= lo) & (F.col("idx") < hi)).withColumn("pos", F.col("idx") - lo)
 
 
