@@ -70,7 +70,7 @@ def fit_boosted(train: DataFrame, label: str, vec: str = "x", rounds: int = 100,
     return _scorer(_fit(est, train, vec), vec)
 
 
-def fit_svm(train: DataFrame, label: str, vec: str = "x", features: int = 200, gamma: float | None = None, c: float = 1.0, seed: int = 42) -> Scorer:
+def fit_svm(train: DataFrame, label: str, vec: str = "x", features: int = 200, gamma: float | None = None, c: float = 1.0, rounds: int = 100, seed: int = 42) -> Scorer:
     """RBF kernel by random Fourier features, a linear machine on them, and a sigmoid on its margin."""
     p = train.select(F.size(vec)).first()[0]
     sq = F.aggregate(F.transform(vec, lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
@@ -95,7 +95,7 @@ def fit_svm(train: DataFrame, label: str, vec: str = "x", features: int = 200, g
         return df.mapInArrow(run, df.select("*", F.array(F.lit(0.0)).alias("__z")).schema)
 
     n = train.count()
-    svc = _fit(LinearSVC(featuresCol="__v", labelCol=label, regParam=1.0 / (c * n), maxIter=100), lift(train), "__z")
+    svc = _fit(LinearSVC(featuresCol="__v", labelCol=label, regParam=1.0 / (c * n), maxIter=rounds, tol=1e-3), lift(train), "__z")
 
     def margin(df: DataFrame) -> DataFrame:
         d = svc.transform(_with_vector(lift(df), "__z"))

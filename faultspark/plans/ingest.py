@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
+from ..functions.iterate import shared_folder
 from ..sources import ingest as I
 from .registry import R, query
 
@@ -108,6 +109,15 @@ def _(t):
     return I.top_errors(order_outcomes(t).withColumnRenamed("o_orderpriority", "error"), n=3)
 
 
+@query("write_dataset", "A9", """SELECT o_orderstatus, year(o_orderdate)::INT AS year, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders
+  WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
+def _(t):
+    path = shared_folder(t.spark, "dataset")
+    I.write_dataset(t.orders.withColumn("year", F.year("o_orderdate")), path, ["o_orderstatus", "year"])
+    back = t.spark.read.parquet(path).filter(F.col("o_orderstatus") != "P")  # prunes whole folders
+    return back.groupBy("o_orderstatus", "year").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
 def archive(t):
     sample = t.orders.select(F.col("o_custkey").alias("channel_id"), F.col("o_orderdate").alias("smpl_time"),
                              F.col("o_orderkey").alias("nanosecs"), F.col("o_totalprice").alias("float_val"))

@@ -36,7 +36,7 @@ binary("logistic_regression", "G1", G.fit_logistic)
 binary("random_forest", "G2", FOREST)
 binary("random_forest_balanced", "G2", partial(FOREST, weighted=True))
 binary("boosted_trees", "G3", partial(G.fit_boosted, rounds=5, depth=3))
-binary("svm_rbf", "G4", partial(G.fit_svm, features=50))
+binary("svm_rbf", "G4", partial(G.fit_svm, features=50, rounds=10))
 binary("mlp", "G12", partial(G.fit_mlp, hidden=(8,), rounds=20))
 
 

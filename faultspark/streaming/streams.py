@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.iterate import ensure_checkpoint_dir
+from ..functions.iterate import shared_folder
 from ..operators.labels import join_ground_truth
 
 
@@ -26,8 +25,7 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_bat
 def drain(stream: DataFrame) -> DataFrame:
     """Process all available input into files on the shared checkpoint folder and return them."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
