@@ -22,11 +22,6 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
-def nan_to_null(c: Column | str) -> Column:
-    c = col(c)
-    return F.when(~F.isnan(c), c)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, NULL when b is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -45,22 +40,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def slope_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column:
-    return F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
-
-
-def as_int(c: Column) -> Column:
-    return c.cast("int")
-
-
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def stable_hash(key: Column | str, seed: int | str) -> Column:
     """md5 of key and seed: a random order that any engine can reproduce."""
     return F.md5(F.concat(col(key).cast("string"), F.lit(f"#{seed}")))
-
-
-def number_literals(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])

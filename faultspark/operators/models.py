@@ -15,7 +15,6 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.exprs import ratio
 from . import metrics as H
 from .splits import class_weights, stratified_split
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.exprs import ratio, safe_corr
+from ..functions.exprs import safe_corr
 from ..functions.ordering import agg_with_quantiles, neighbours, series_chunk, series_prefix, with_position
 
 # Sample spacing of the dominant decimation, and window lengths counted at that spacing.

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rnd
 from ..operators import attribution as K
 from .clusters import PROF_SQL, long_vectors
 from .matrixdata import LONG_SQL, orders_long, vectors

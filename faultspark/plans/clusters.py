@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
 from ..operators import cluster_metrics as J, clustering as I
-from ..operators.matrix import standardize_arrays
 from .matrixdata import ORDERS_SQL, VECTORS_SQL, orders_matrix, vectors
 from .registry import R, query
 from .series import rounded

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..functions.iterate import shared_folder
 from ..sources import ingest as I
-from .registry import R, query
+from .registry import query
 
 SUFFIXES = "'.txt','.md','.json','.pyc','.log','.xml','.html','.pdf','.png','.jpg','.jpeg','.gif','.csv','.fig'"
 

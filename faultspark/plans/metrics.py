@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rnd
 from ..operators import metrics as H
 from .registry import R, query
 from .series import rounded

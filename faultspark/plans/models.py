@@ -4,11 +4,10 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rnd
-from ..operators import anomaly as A, metrics as H, models as G
+from ..operators import anomaly as A, models as G
 from ..operators.splits import stratified_split
 from .matrixdata import vectors
-from .registry import R, query
+from .registry import query
 from .series import rounded
 
 FOREST = partial(G.fit_forest, trees=10, depth=5)

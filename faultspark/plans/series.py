@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..operators import series as S
 from .registry import R, query
-from .seriesdata import BASE_SQL, PRE, REF_DT, SAMPLES_SQL, TRIGGER_SQL, WINDOW_SQL, samples, scaled_sql, window
+from .seriesdata import BASE_SQL, PRE, REF_DT, SAMPLES_SQL, WINDOW_SQL, samples, scaled_sql, window
 
 PI = repr(math.pi)
 
