@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, quality_rules, url_reputation
+from . import line_dedup, mixing, packing, quality_rules, token_files, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document with its number."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -34,6 +42,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_mix_sources, op7_url_reputation, op8_quality_rules, op9_line_dedup)}
+    op1_best_fit_packing, op4_mix_sources, op5_token_files, op7_url_reputation, op8_quality_rules, op9_line_dedup)}
 
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
