@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, token_files, url_reputation
+from . import fingerprints, line_dedup, mixing, packing, quality_rules, token_files, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_mix_sources, op5_token_files, op7_url_reputation, op8_quality_rules, op9_line_dedup)}
+    op1_best_fit_packing, op2_fingerprints, op4_mix_sources, op5_token_files, op7_url_reputation, op8_quality_rules, op9_line_dedup)}
 
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
