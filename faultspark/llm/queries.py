@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, line_dedup, mixing, packing, quality_rules, token_files, url_reputation
+from . import fingerprints, line_dedup, mixing, near_join, packing, quality_rules, token_files, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("removed_runs", runs).drop("text")
 
 
+def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d", "t", "first")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_fingerprints, op4_mix_sources, op5_token_files, op7_url_reputation, op8_quality_rules, op9_line_dedup)}
+    op1_best_fit_packing, op2_fingerprints, op4_mix_sources, op5_token_files, op7_url_reputation, op8_quality_rules, op9_line_dedup, op10_near_join)}
 
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
