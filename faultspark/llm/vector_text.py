@@ -125,3 +125,58 @@ def shingle_sets(texts: list[str], n: int = 5) -> Iterator[np.ndarray]:
         s, offs = shingles(*words(texts[a:b]), n)
         for i in range(b - a):
             yield np.unique(s[offs[i] : offs[i + 1]])
+
+
+def _folded() -> np.ndarray:
+    """Code points that are part of a folded word: no white space, control or punctuation."""
+    ok = np.ones(0x110000, bool)
+    ok[:128] = False
+    ok[[*range(48, 58), *range(97, 123)]] = True
+    ok[0x80:0xAA] = ok[0xAB:0xB2] = ok[0xB4:0xB9] = False
+    ok[[0xBB, 0xBF, 0xD7, 0xF7]] = False
+    ok[0x2000:0x2070] = ok[0x20A0:0x2C00] = ok[0x3000:0x3005] = ok[0x3008:0x3021] = ok[0xFF00:0xFF10] = ok[0xFF1A:0xFF21] = False
+    return ok
+
+
+_WORD_POINTS = _folded()
+
+
+def folded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lower-case words without punctuation, and where each text's words begin."""
+    cp, offs = code_points([t.lower() for t in texts])
+    solid = _WORD_POINTS[cp]
+    before, after = edge(solid, offs)
+    starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    return span_hashes(cp, starts, ends), np.searchsorted(starts, offs)
+
+
+def styled_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and of runs of marks, each followed by a token for its make.
+
+    Tokens are maximal runs of letters and digits, of equal class of case, or of marks. The
+    make of a token is its class and length up to 3 (marks) or 12.
+    """
+    cp, offs = code_points(texts)
+    kind = np.full(len(cp), 3, np.uint8)  # marks
+    low = cp < 128
+    kind[_WORD_POINTS[cp]] = 1
+    kind[low & (cp >= 65) & (cp <= 90) | (cp >= 0xC0) & (cp <= 0xDE) & (cp != 0xD7)] = 2
+    kind[low & (cp >= 48) & (cp <= 57)] = 4
+    kind[(cp == 32) | (cp >= 9) & (cp <= 13)] = 0
+    before, _ = edge(kind, offs)
+    first = np.zeros(len(cp), bool)
+    first[offs[:-1][offs[:-1] < len(cp)]] = True
+    # a capital begins a word with the small letters behind it
+    new = first | (kind != before) & ~((kind == 1) & (before == 2))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(cp)) if len(starts) else starts
+    k = kind[starts]
+    solid = k > 0
+    starts, ends, k = starts[solid], ends[solid], k[solid]
+    h = span_hashes(cp, starts, ends)
+    size = np.where(k == 3, np.minimum(ends - starts, 3), np.minimum(ends - starts, 12))
+    shout = (k == 2) & (kind[np.minimum(ends - 1, max(len(cp) - 1, 0))] == 2)
+    make = mix((k.astype(np.uint64) + np.uint64(8) * shout.astype(np.uint64)) * np.uint64(64) + size.astype(np.uint64) + np.uint64(1 << 40))
+    out = np.empty(2 * len(h), np.uint64)
+    out[::2], out[1::2] = h, make
+    return out, 2 * np.searchsorted(starts, offs)
