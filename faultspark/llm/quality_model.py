@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
     sample = labelled_sample(docs, labels, label, FIT, CALIBRATE, balanced=False).select("doc_id", "text", "y", "fit")
     kind = dict(docs.dtypes)["doc_id"]
     rows = cut_lineage(sample.mapInArrow(pooled, f"doc_id {kind}, y int, fit boolean, x binary")).orderBy("doc_id", "x").collect()  # bounded by parameters
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * DIMS)
     y, fitted = np.array([r["y"] for r in rows], np.float64), np.array([r["fit"] for r in rows], bool)
     if len(set(y[fitted].tolist())) < 2:
         return vectors, share, float(y.mean()) if len(y) else 0.0

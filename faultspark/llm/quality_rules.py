@@ -123,3 +123,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)).alias("lost_share"),
         F.when(F.size("__bad") == 0, F.col("__text")).otherwise(F.array_join(F.transform(F.filter("__told", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).alias("clean_text"))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOSS)).select(*[c for c in docs.columns if c not in NEW], *NEW)
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_BARE = "translate({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws, length({_BARE.format("text")}) AS chars FROM d),
+e AS (SELECT r, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM w),
+g AS (SELECT r, i, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS g FROM e WINDOW o AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM n, range(3) t(k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS w, length({_BARE.format("line")}) AS c, length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols,
+             len(regexp_extract_all(line, '(?:!!|\?\?)(?:[\x20\x09-\x0D]|$)')) AS shouted, len(regexp_extract_all(line, ' (?:\||>|»|›|·|•) ')) AS seps
+      FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+t AS (SELECT *, symbols > {MAX_SYMBOLS} * w OR shouted > {MAX_SHOUTED} * w
+                OR (w < {OPEN_WORDS} AND NOT contains('{CLOSING}', right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1)))
+                OR (seps >= {SEPARATORS} AND seps * 5 >= w - seps) OR (w <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}')) AS bad FROM l WHERE w > 0),
+s AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups, count(*) FILTER (bad) AS removed, coalesce(sum(c) FILTER (bad), 0) AS lost FROM t GROUP BY r),
+x AS (SELECT doc_id, len(ws) AS n_words, chars AS word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
+             coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(removed, 0) AS n_removed_lines, CASE WHEN chars > 0 THEN lost::DOUBLE / chars ELSE 0.0 END AS lost_share
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN s USING (r))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words) AND lost_share <= {MAX_LOSS} AS kept FROM x
+"""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultspark.functions.exprs import rnd
+
 from . import fingerprints, line_dedup, mixing, near_join, packing, quality_model, quality_rules, token_files, toxicity, url_reputation
 
 
@@ -40,7 +42,8 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document with its number."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_reputation.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes).drop("url")
+    out = url_reputation.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes).drop("url")
+    return out.withColumns({c: rnd(c) for c in ("reputation", "reputation_high")})
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_mix_sources, op5_token_files, op6_quality_model,
     op7_url_reputation, op8_quality_rules, op9_line_dedup, op10_near_join)}
 
-ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_reputation": url_reputation.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultspark.functions.iterate import cut_lineage
+from faultspark.plans.registry import R
 
 #: (verdict, rule); a rule is a host and a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -26,6 +27,8 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 WANTED = 0.5
 #: Standard deviations of the posterior between its mean and its bound.
 BOUND = 1.96
+#: Correlation inside a group is held between these; strength of a prior over fewer than two groups.
+LEAST_RHO, MOST_RHO, FEW = 1e-4, 0.95, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,19 +54,18 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
     return out
 
 
-def _strength(groups: DataFrame, prior: str) -> float:
-    """Strength of the prior of a level: method of moments over (n, good) groups."""
-    p = F.col("good") / F.col("n")
-    spread, size, n2, k = groups.agg(
-        F.sum(F.col("n") * F.pow(p - F.col(prior), F.lit(2.0))), F.sum("n"), F.sum(F.col("n") * F.col("n").cast("double")),
-        F.count(F.lit(1))).first()
-    noise = groups.agg(F.sum(F.col(prior) * (1 - F.col(prior)))).first()[0]
-    between = groups.agg(F.sum(F.col("n") * F.col(prior) * (1 - F.col(prior)))).first()[0]
-    if not size or not between or k < 2:
-        return 2.0
-    # E[spread] = sum p(1-p) * (1 + (n-1) * rho); rho = 1 / (strength + 1)
-    rho = (spread - noise) / max(between - noise, 1e-9)
-    rho = min(max(rho, 1e-4), 0.95)
+def _strength(groups: DataFrame) -> float:
+    """How many outcomes the prior of a level is worth, from groups with n, good and prior.
+
+    Under the beta-binomial the expected sum of n * (good / n - prior)^2 is that of
+    prior * (1 - prior) * (1 + (n - 1) / (strength + 1)).
+    """
+    p = F.col("prior") * (1 - F.col("prior"))
+    gap = F.col("good") / F.col("n") - F.col("prior")
+    spread, noise, both, k = groups.agg(F.sum(F.col("n") * gap * gap), F.sum(p), F.sum(F.col("n") * p), F.count(F.lit(1))).first()
+    if k < 2 or not both:
+        return FEW
+    rho = min(max((spread - noise) / max(both - noise, 1e-9), LEAST_RHO), MOST_RHO)
     return 1.0 / rho - 1.0
 
 
@@ -82,17 +84,16 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     mean = (good + 1.0) / (n + 2.0) if n else 1.0
 
-    def level(groups: DataFrame) -> tuple[DataFrame, float]:
-        seen = groups.filter("n > 0")
-        s = _strength(seen, "prior")
-        return groups.withColumn("post", (F.col("good") + F.lit(s) * F.col("prior")) / (F.col("n") + F.lit(s))), s
+    def level(groups: DataFrame) -> DataFrame:
+        s = _strength(groups.filter("n > 0"))
+        return groups.withColumn("post", (F.col("good") + F.lit(s) * F.col("prior")) / (F.col("n") + F.lit(s)))
 
-    suffixes, _ = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(mean))))
+    suffixes = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(mean))))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    domains, _ = level(domains.join(suffixes.select("suffix", F.col("post").alias("prior")), "suffix"))
+    domains = level(domains.join(suffixes.select("suffix", F.col("post").alias("prior")), "suffix"))
     d = domains.select("domain", F.col("post").alias("prior"))
     ranked = hosts.join(d, "domain")
-    s = _strength(ranked.filter("n > 0"), "prior")
+    s = _strength(ranked.filter("n > 0"))
     a, b = F.col("good") + F.lit(s) * F.col("prior"), F.col("n") - F.col("good") + F.lit(s) * (1 - F.col("prior"))
     out = ranked.select("host", "domain", "suffix", "n", "good", a.alias("a"), b.alias("b"))
     both = F.col("a") + F.col("b")
@@ -111,3 +112,31 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     j = p.join(rank, p["host"] == rank["__host"], "left").withColumn("__m", match_rule(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("reputation_high") < F.lit(float(wanted)), F.lit("block")).otherwise(F.lit("allow"))
     return j.withColumn("rule", F.col("__m.rule")).withColumn("verdict", F.coalesce(F.col("__m.verdict"), by_method)).select(*[c for c in pages.columns if c not in new], *new)
+
+
+def _sql_level(name: str, source: str) -> str:
+    return f"""{name}_s AS (SELECT CASE WHEN count(*) < 2 OR sum(n * prior * (1 - prior)) IS NULL OR sum(n * prior * (1 - prior)) = 0 THEN {FEW}
+    ELSE 1.0 / least(greatest((sum(n * (good / n - prior) ** 2) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9), {LEAST_RHO}), {MOST_RHO}) - 1.0 END AS s
+    FROM {source} WHERE n > 0)"""
+
+
+#: Pages of the test tables; a page's outcome is the quality label of the document with its number.
+SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS bare FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(bare, '^([^/]*)', 1), '{UPPER}', '{LOWER}') AS host, substr(bare, length(regexp_extract(bare, '^([^/]*)', 1)) + 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS good, string_split(host, '.') AS l FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hosts AS (SELECT host, n, good, l[-1] AS suffix, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain FROM h),
+suf AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1.0) / (sum(n) + 2.0) ELSE 1.0 END FROM hosts) AS prior FROM hosts GROUP BY suffix),
+{_sql_level("suf", "suf")},
+dom AS (SELECT d.domain, d.n, d.good, (s.good + x.s * s.prior) / (s.n + x.s) AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL) d JOIN suf s USING (suffix), suf_s x),
+{_sql_level("dom", "dom")},
+ranked AS (SELECT h.host, h.n, h.good, (d.good + x.s * d.prior) / (d.n + x.s) AS prior FROM hosts h JOIN dom d USING (domain), dom_s x),
+{_sql_level("ranked", "ranked")},
+post AS (SELECT host, good + s * prior AS a, n - good + s * (1 - prior) AS b FROM ranked, ranked_s),
+bound AS (SELECT host, a / (a + b) AS mean, least(a / (a + b) + {BOUND} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))), 1.0) AS high FROM post),
+rules(verdict, rule, rh, rp) AS (VALUES {", ".join(f"('{v}', '{r}', '{r[: r.index('/')]}', '{r[r.index('/'):]}')" for v, r in RULES)}),
+fits AS (SELECT page_id, host, path, arg_max(verdict, length(rule)) AS v, arg_max(rule, length(rule)) AS rule FROM (SELECT DISTINCT page_id, host, path FROM p) q JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN b.high < {WANTED} THEN 'block' ELSE 'allow' END) AS verdict, {R("b.mean")} AS reputation, {R("b.high")} AS reputation_high
+FROM p LEFT JOIN fits f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path JOIN bound b ON p.host = b.host
+"""
