@@ -51,16 +51,15 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, SPACE, "")
 
 
-def repeated_words(words: str) -> Column:
+def repeated_words(words: str, bits: int = 20) -> dict[str, Column]:
     """Words inside 3-word windows that occur twice or more, from an array column.
 
     The windows' hashes are compared as a set first. Only where some are equal, hash
-    and position are sorted together (packed into one long up to 2**20 words, which
+    and position are sorted together (packed into one long up to 2**bits words, which
     sorts as a primitive), neighbours are compared by the full hash, and the covered
     words are counted from the sorted positions.
     """
     h, n = F.col("__h"), F.size("__h")
-    bits = 20
 
     def cover(pos: Column) -> Column:
         after = F.slice(pos, F.lit(2), F.greatest(F.size(pos) - 1, F.lit(0)))

@@ -1,9 +1,9 @@
 """URL filter: allow and block rules first, then empirical-Bayes host reputation.
 
 Reputation of a host is the posterior of its share of good pages. Labelled outcomes
-are shrunk level by level: the prior of a suffix is the corpus mean, the prior of a
-registered domain the posterior mean of its suffix, the prior of a host that of its
-domain. How strongly each level holds on to its prior is estimated from the labelled
+are shrunk level by level: the prior of a suffix is the mean of all others, the prior of
+a registered domain the posterior mean of its suffix, the prior of a host that of its
+domain, each without the outcomes of the group itself, so that none counts twice. How strongly each level holds on to its prior is estimated from the labelled
 outcomes by the method of moments of the beta-binomial distribution. A host is
 blocked when even the upper bound of its posterior is below the wanted share, so a
 host of which little is known stays. Only DataFrame functions are used.
@@ -27,6 +27,8 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 WANTED = 0.5
 #: Standard deviations of the posterior between its mean and its bound.
 BOUND = 1.96
+#: Bad outcomes, beside one good, that an empty corpus counts as seen.
+UNSEEN_BAD = 0.25
 #: Correlation inside a group is held between these; strength of a prior over fewer than two groups.
 LEAST_RHO, MOST_RHO, FEW = 1e-4, 0.95, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,17 +84,20 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
              .withColumn("domain", F.concat_ws(".", F.slice(label, F.greatest(F.size(label) - 1, F.lit(1)), 2))))
     hosts = cut_lineage(hosts)
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
-    mean = (good + 1.0) / (n + 2.0) if n else 1.0
 
-    def level(groups: DataFrame) -> DataFrame:
-        s = _strength(groups.filter("n > 0"))
-        return groups.withColumn("post", (F.col("good") + F.lit(s) * F.col("prior")) / (F.col("n") + F.lit(s)))
+    def rest(parent: str, strength: Column) -> Column:
+        """Posterior mean of the parent from all outcomes but the group's own."""
+        return (F.col(f"{parent}_good") - F.col("good") + strength * F.col(f"{parent}_prior")) / (F.col(f"{parent}_n") - F.col("n") + strength)
 
-    suffixes = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(mean))))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    domains = level(domains.join(suffixes.select("suffix", F.col("post").alias("prior")), "suffix"))
-    d = domains.select("domain", F.col("post").alias("prior"))
-    ranked = hosts.join(d, "domain")
+    def under(groups: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        s = _strength(parents.filter("n > 0"))
+        p = parents.select(key, *[F.col(c).alias(f"{key}_{c}") for c in ("n", "good", "prior")])
+        return groups.join(p, key).withColumn("prior", rest(key, F.lit(s)))
+
+    sums = (F.sum("n").alias("n"), F.sum("good").alias("good"))
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("prior", (F.lit(float(good or 0)) - F.col("good") + 1) / (F.lit(float(n or 0)) - F.col("n") + 1 + UNSEEN_BAD))
+    domains = under(hosts.groupBy("domain", "suffix").agg(*sums), suffixes, "suffix")
+    ranked = under(hosts, domains.select("domain", "n", "good", "prior"), "domain")
     s = _strength(ranked.filter("n > 0"))
     a, b = F.col("good") + F.lit(s) * F.col("prior"), F.col("n") - F.col("good") + F.lit(s) * (1 - F.col("prior"))
     out = ranked.select("host", "domain", "suffix", "n", "good", a.alias("a"), b.alias("b"))
@@ -127,11 +132,12 @@ p AS (SELECT page_id, translate(regexp_extract(bare, '^([^/]*)', 1), '{UPPER}',
 o AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS good, string_split(host, '.') AS l FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 hosts AS (SELECT host, n, good, l[-1] AS suffix, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain FROM h),
-suf AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1.0) / (sum(n) + 2.0) ELSE 1.0 END FROM hosts) AS prior FROM hosts GROUP BY suffix),
+suf AS (SELECT suffix, sum(n) AS n, sum(good) AS good, ((SELECT sum(good) FROM hosts) - sum(good) + 1) / ((SELECT sum(n) FROM hosts) - sum(n) + 1 + {UNSEEN_BAD}) AS prior FROM hosts GROUP BY suffix),
 {_sql_level("suf", "suf")},
-dom AS (SELECT d.domain, d.n, d.good, (s.good + x.s * s.prior) / (s.n + x.s) AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL) d JOIN suf s USING (suffix), suf_s x),
+dom AS (SELECT d.domain, d.n, d.good, (s.good - d.good + x.s * s.prior) / (s.n - d.n + x.s) AS prior
+        FROM (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL) d JOIN suf s USING (suffix), suf_s x),
 {_sql_level("dom", "dom")},
-ranked AS (SELECT h.host, h.n, h.good, (d.good + x.s * d.prior) / (d.n + x.s) AS prior FROM hosts h JOIN dom d USING (domain), dom_s x),
+ranked AS (SELECT h.host, h.n, h.good, (d.good - h.good + x.s * d.prior) / (d.n - h.n + x.s) AS prior FROM hosts h JOIN dom d USING (domain), dom_s x),
 {_sql_level("ranked", "ranked")},
 post AS (SELECT host, good + s * prior AS a, n - good + s * (1 - prior) AS b FROM ranked, ranked_s),
 bound AS (SELECT host, a / (a + b) AS mean, least(a / (a + b) + {BOUND} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))), 1.0) AS high FROM post),
