@@ -1,12 +1,14 @@
 """Ordered computation that stays balanced when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. The helpers
-here cut the order of a large input into chunks at quantiles of the ordering
-column, run the window inside (key, chunk) and add per-chunk offsets, which are
-tiny. Inputs below ``faultspark.rowsPerChunk`` rows keep the plain window: there
-the largest possible key is already small.
-
-Series tables that carry a dense ``idx`` need no size check: their chunk is
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. The helpers here cut the
+order of a table into chunks at rows of a sample, run the window inside (key, chunk) and
+carry the sums of earlier chunks in as a header row of each chunk. Cuts are whole ordering
+tuples, so equal leading values are split by the columns behind them. The number of chunks
+is the table's size over ``faultspark.chunkBytes``, without a ceiling; a table of one chunk
+has no cuts and no headers, everything else is the same. Nulls count as equal keys and come
+first in the order, as in the plain window.
+
+Series tables that carry a dense ``idx`` need no cuts: their chunk is
 ``idx div faultspark.seriesChunk``.
 """
 
@@ -18,163 +20,127 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .exprs import col
 
-MAX_CHUNKS = 256
-
-
-def rows_per_chunk(spark: SparkSession) -> int:
-    return int(spark.conf.get("faultspark.rowsPerChunk", "4000000"))
+#: Sampled rows for each chunk.
+SAMPLE = 64
+#: Sizes that are only a guess of the optimizer; such tables are counted.
+UNKNOWN = 1 << 50
 
 
 def series_chunk(spark: SparkSession) -> int:
     return int(spark.conf.get("faultspark.seriesChunk", "65536"))
 
 
-def cut_points(df: DataFrame, by: Column | str) -> list[float]:
-    """Values of ``by`` that split ``df`` into chunks of bounded size; [] if it is small."""
-    by = col(by).cast("double")
-    limit = rows_per_chunk(df.sparkSession)
-    n = df.count()
-    if n <= limit:
-        return []
-    m = min(MAX_CHUNKS, math.ceil(n / limit))
-    probs = [i / m for i in range(1, m)]
-    cuts = df.agg(F.percentile_approx(by, probs, 40 * MAX_CHUNKS)).first()[0] or []
-    return sorted(set(cuts))
+def chunk_count(df: DataFrame) -> int:
+    """Chunks for a table, from the size of the files and relations it reads; runs no job
+    unless that is unknown."""
+    size = int(df.sparkSession.conf.get("faultspark.chunkBytes", str(1 << 27)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(1, math.ceil((known if known < UNKNOWN else 32 * df.count()) / size))
 
 
-def chunk_of(by: Column | str, cuts: list[float]) -> Column:
-    """Number of cuts below ``by``, as a balanced CASE tree (log2 comparisons per row)."""
-    by = col(by).cast("double")
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; a table without keys has one row."""
+    if not keys:
+        return left.join(right)
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(by <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts)).cast("int")
+def _tuple(order: list[Column | str]) -> Column:
+    return F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def cut_rows(df: DataFrame, order: list[Column | str]) -> list:
+    """Ordering tuples, ascending, that split ``df`` into chunks of about equal size."""
+    m = chunk_count(df)
+    if m == 1:
+        return []
+    d = df.select(_tuple(order).alias("o"))
+    n = d.count()
+    part = min(1.0, SAMPLE * m / max(n, 1))
+    u = F.xxhash64(F.lit("cut"), "o").bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    rows = [r["o"] for r in d.filter(u < F.lit(part)).orderBy("o").collect()]
+    step = max(1, len(rows) // m)
+    cuts = rows[step::step]
+    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+
+
+def _with_chunk(df: DataFrame, order: list[Column | str], cuts: list) -> DataFrame:
+    """Add __chunk, the number of cuts at or before the row, by binary search."""
+    if not cuts:
+        return df.withColumn("__chunk", F.lit(0))
+    d = df.withColumn("__o", _tuple(order))
+    kind = d.schema["__o"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(c,) for c in cuts], f"c {kind}").agg(F.sort_array(F.collect_list("c")).alias("__cuts"))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s: F.when(s["lo"] >= s["hi"], s).when(
+        F.get(F.col("__cuts"), mid(s)) <= F.col("__o"), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda s, _: step(s), lambda s: s["lo"])
+    return d.join(table).withColumn("__chunk", found).drop("__o", "__cuts")
 
 
 def with_running(
     df: DataFrame,
     keys: list[str],
     order: list[Column | str],
-    by: Column | str,
     sums: dict[str, Column],
-    cuts: list[float] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per key. ``by`` is the leading ordering value."""
-    cuts = cut_points(df, by) if cuts is None else cuts
-    rows = (W.unboundedPreceding, W.currentRow)
-    if not cuts:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
-        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
-    d = df.withColumn("__chunk", chunk_of(by, cuts))
+    """Add inclusive running sums per key, and under ``totals`` {name: sum} the key's whole sums."""
+    totals = totals or {}
+    cuts = cut_rows(df, order)
+    cols = df.columns
+    values = {f"__v_{n}": e for n, e in sums.items()}
+    d = _with_chunk(df, order, cuts).withColumns(values).withColumns({f"__o{i}": col(c) for i, c in enumerate(order)})
     parts = [*keys, "__chunk"]
-    w = W.partitionBy(*parts).orderBy(*order).rowsBetween(*rows)
-    local = d.select("*", *[F.sum(e).over(w).alias(f"__l_{n}") for n, e in sums.items()])
-    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy(*parts).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
-    base = base.select(*parts, *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
-    out = local.join(base, parts)
-    return out.select(
-        *df.columns,
-        *[
-            F.when(F.col(f"__o_{n}").isNull(), F.col(f"__l_{n}"))
-            .when(F.col(f"__l_{n}").isNull(), F.col(f"__o_{n}"))
-            .otherwise(F.col(f"__o_{n}") + F.col(f"__l_{n}"))
-            .alias(n)
-            for n in sums
-        ],
-    )
-
-
-def with_position(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column | str],
-    by: Column | str,
-    name: str = "idx",
-    cuts: list[float] | None = None,
-) -> DataFrame:
+    inside = W.partitionBy(*parts)
+    if cuts:
+        base = d.groupBy(*parts).agg(*[F.sum(v).alias(v) for v in values])
+        before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+        whole = W.partitionBy(*keys)
+        base = base.select(*parts, *[F.sum(v).over(before).alias(v) for v in values], *[F.sum(f"__v_{s}").over(whole).alias(f"__t_{n}") for n, s in totals.items()])
+        # a header begins each chunk with what earlier chunks hold
+        d = d.withColumn("__row", F.lit(1)).unionByName(base.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+        run = inside.orderBy("__row", *[f"__o{i}" for i in range(len(order))]).rowsBetween(W.unboundedPreceding, W.currentRow)
+        d = d.select("*", *[F.sum(f"__v_{n}").over(run).alias(f"__s_{n}") for n in sums], *[F.max(f"__t_{n}").over(inside).alias(f"__u_{n}") for n in totals]).filter("__row = 1")
+    else:
+        run = inside.orderBy(*[f"__o{i}" for i in range(len(order))]).rowsBetween(W.unboundedPreceding, W.currentRow)
+        d = d.select("*", *[F.sum(f"__v_{n}").over(run).alias(f"__s_{n}") for n in sums], *[F.sum(f"__v_{s}").over(inside).alias(f"__u_{n}") for n, s in totals.items()])
+    return d.select(*cols, *[F.col(f"__s_{n}").alias(n) for n in sums], *[F.col(f"__u_{n}").alias(n) for n in totals])
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "idx") -> DataFrame:
     """Add the 0-based position of each row inside its key."""
-    out = with_running(df, keys, order, by, {"__pos": F.lit(1).cast("bigint")}, cuts)
-    return out.withColumn(name, F.col("__pos") - 1).drop("__pos")
-
+    out = with_running(df, keys, order, {"__position": F.lit(1).cast("bigint")})
+    return out.withColumn(name, F.col("__position") - 1).drop("__position")
 
-def rank_by_hash(df: DataFrame, keys: list[str], hashed: str, tie: str, name: str) -> DataFrame:
-    """Position inside each key by an md5 column; chunks are hash prefixes, so always even."""
-    big = df.count() > rows_per_chunk(df.sparkSession)
-    if not big:
-        w = W.partitionBy(*keys).orderBy(hashed, tie)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1)
-    d = df.withColumn("__chunk", F.substring(hashed, 1, 2))
-    parts = [*keys, "__chunk"]
-    local = d.withColumn("__l", F.row_number().over(W.partitionBy(*parts).orderBy(hashed, tie)) - 1)
-    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("__t"))
-    base = base.select(*parts, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-    out = local.join(base, parts).withColumn(name, (F.col("__o") + F.col("__l")).cast("bigint"))
-    return out.select(*df.columns, name)
 
-
-def agg_with_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    aggs: list[Column],
-    quantiles: dict[str, tuple[str, float]],
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
+def agg_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
     """Group aggregates plus exact interpolated quantiles ``{name: (column, p)}``.
 
-    A small input uses the built-in exact ``percentile`` in the same aggregation.
-    A large one first counts equal values (map-side combined), finds cumulative
-    counts by chunks and picks the two order statistics around each quantile.
-    ``sized_by`` is a cheaper table with at least as many rows, used for the size check.
+    Equal values of all columns are counted first, which combines before the shuffle; one
+    ordered pass over (column, value) then gives each value its ranks, and one aggregate
+    picks the two order statistics around each quantile.
     """
-    keys = list(keys)
-    if (sized_by if sized_by is not None else df).count() <= rows_per_chunk(df.sparkSession):
-        qs = [F.percentile(c, p).alias(n) for n, (c, p) in quantiles.items()]
-        return df.groupBy(*keys).agg(*aggs, *qs)
-    out = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
-    by_col: dict[str, dict[str, float]] = {}
-    for n, (c, p) in quantiles.items():
-        by_col.setdefault(c, {})[n] = p
-    for c, wanted in by_col.items():
-        q = _order_statistics(df, keys, c, wanted)
-        out = out.join(q, keys, "left") if keys else out.join(q)
-    return out.drop("__rows")
-
-
-def _order_statistics(df: DataFrame, keys: list[str], c: str, wanted: dict[str, float]) -> DataFrame:
-    freq = (
-        df.select(*keys, F.col(c).cast("double").alias("__v"))
-        .filter(F.col("__v").isNotNull())
-        .groupBy(*keys, "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    cuts = cut_points(freq, "__v")
-    run = with_running(freq, keys, ["__v"], "__v", {"__hi": F.col("__c")}, cuts)
-    total = freq.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    run = run.join(total, keys) if keys else run.join(total)
-    lo = F.col("__hi") - F.col("__c")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((lo <= rank) & (rank < F.col("__hi")), F.col("__v")))
-
+    keys, wanted = list(keys), list(dict.fromkeys(c for c, _ in quantiles.values()))
+    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(wanted)])
+    long = df.select(*keys, F.explode(values).alias("__x")).filter("__x.v IS NOT NULL")
+    freq = long.groupBy(*keys, F.col("__x.c").alias("__c"), F.col("__x.v").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    run = with_running(freq, [*keys, "__c"], ["__v"], {"__hi": F.col("__n")}, {"__all": "__hi"})
+    lo = F.col("__hi") - F.col("__n")
     picks = []
-    for n, p in wanted.items():
-        h = (F.col("__n") - 1) * F.lit(float(p))
-        picks += [at(F.floor(h)).alias(f"__a_{n}"), at(F.ceil(h)).alias(f"__b_{n}"),
-                  F.max(h - F.floor(h)).alias(f"__f_{n}")]
+    for n, (c, p) in quantiles.items():
+        h = (F.col("__all") - 1) * F.lit(float(p))
+        own = F.col("__c") == wanted.index(c)
+        at = lambda rank, own=own: F.max(F.when(own & (lo <= rank) & (rank < F.col("__hi")), F.col("__v")))
+        picks += [at(F.floor(h)).alias(f"__a_{n}"), at(F.ceil(h)).alias(f"__b_{n}"), F.max(F.when(own, h - F.floor(h))).alias(f"__f_{n}")]
     got = run.groupBy(*keys).agg(*picks)
-    return got.select(
-        *keys,
-        *[
-            (F.col(f"__a_{n}") * (1 - F.col(f"__f_{n}")) + F.col(f"__b_{n}") * F.col(f"__f_{n}")).alias(n)
-            for n in wanted
-        ],
-    )
+    f = lambda n: F.col(f"__f_{n}")
+    got = got.select(*keys, *[F.when(F.col(f"__a_{n}") == F.col(f"__b_{n}"), F.col(f"__a_{n}")).otherwise(F.col(f"__a_{n}") * (1 - f(n)) + F.col(f"__b_{n}") * f(n)).alias(n) for n in quantiles])
+    out = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
+    return join_on(out, got, keys, "left").drop("__rows")
 
 
 def neighbours(
@@ -225,4 +191,4 @@ def series_prefix(
     base = d.groupBy(*parts).agg(F.sum("__x").alias("__t"))
     base = base.select(*parts, F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__o"))
     local = d.withColumn("__s", F.sum("__x").over(w))
-    return local.join(base, parts).withColumn(name, F.col("__s") + F.col("__o")).select(*df.columns, name)
+    return join_on(local, base, parts).withColumn(name, F.col("__s") + F.col("__o")).select(*df.columns, name)

@@ -181,7 +181,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_: str = "vec_id",
     border = within(others, core.join(core_label, "id"), eps, border_task, "id bigint, component bigint", "id", "x", c_extra=["component"])
     border = border.groupBy("id").agg(F.min("component").alias("component"))
     labels = core_label.unionByName(border)
-    names = with_position(core_label.select("component").distinct(), [], ["component"], F.col("component"), "cluster")
+    names = with_position(core_label.select("component").distinct(), [], ["component"], "cluster")
     return cores.join(labels.join(names, "component"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"), "core")
 
 

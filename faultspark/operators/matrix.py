@@ -8,7 +8,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import percent
-from ..functions.ordering import agg_with_quantiles
+from ..functions.ordering import agg_with_quantiles, join_on
 
 # Endings of features that only look at the window before the trigger.
 PRECURSOR_SUFFIXES = ["_trend_slope", "_trend_acceleration", "_cusum_max", "_cusum_min",
@@ -233,7 +233,7 @@ def class_mean_difference(long: DataFrame, label: str, k: int) -> DataFrame:
 def winsorize(df: DataFrame, cols: list[str], by: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Clip each column to its interpolated quantiles inside each group."""
     q = agg_with_quantiles(df, by, [], {f"__{t}_{c}": (c, p) for c in cols for t, p in (("lo", lo), ("hi", hi))})
-    j = df.join(q, by) if by else df.join(q)
+    j = join_on(df, q, by)
     return j.select(*[F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 

@@ -78,9 +78,7 @@ def _score_steps(df: DataFrame, keys: list[str], y: str, score: str) -> DataFram
     """
     g = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     by = -F.col("score")
-    s = with_running(g, keys, [by], by, {"tp": F.col("pos"), "fp": F.col("neg")})
-    n = g.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return s.join(n, keys) if keys else s.join(n)  # one-row total
+    return with_running(g, keys, [by], {"tp": F.col("pos"), "fp": F.col("neg")}, {"n_pos": "tp", "n_neg": "fp"})
 
 
 def roc_auc(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
@@ -164,9 +162,8 @@ def ecdf(df: DataFrame, class_: str, score: str) -> DataFrame:
     lo, hi = df.agg(F.min(score).alias("a")).scalar(), df.agg(F.max(score).alias("a")).scalar()
     shift = F.when(lo <= 0, -lo + (hi - lo + 1e-9) * 1e-6).otherwise(0.0)
     g = df.groupBy(class_, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("c"))
-    run = with_running(g, [class_], ["score"], "score", {"cum": F.col("c")})
-    n = g.groupBy(class_).agg(F.sum("c").alias("n"))
-    return run.join(n, class_).select(class_, (F.col("score") + shift).alias("score"), ratio(F.col("cum"), F.col("n")).alias("ecdf"))
+    run = with_running(g, [class_], ["score"], {"cum": F.col("c")}, {"n": "cum"})
+    return run.select(class_, (F.col("score") + shift).alias("score"), ratio(F.col("cum"), F.col("n")).alias("ecdf"))
 
 
 def learning_curve_summary(rows: DataFrame) -> DataFrame:

@@ -79,12 +79,11 @@ def single_feature_leak_scan(long: DataFrame, label: str) -> DataFrame:
     Equal values are counted first; the ordered pass then runs in chunks per feature.
     """
     g = long.groupBy("feature", F.col("value").cast("double").alias("v")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    r = with_running(g, ["feature"], ["v"], "v", {"cp": F.col("pos"), "cn": F.col("neg")})
-    n = g.groupBy("feature").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    r = with_running(g, ["feature"], ["v"], {"cp": F.col("pos"), "cn": F.col("neg")}, {"P": "cp", "N": "cn"})
     total = F.col("P") + F.col("N")
     above = F.col("cn") + F.col("P") - F.col("cp")  # predict 1 above the value
     acc = ratio(F.greatest(above, total - above, F.col("P"), F.col("N")), total)
-    best = r.join(n, "feature").groupBy("feature").agg(F.max(acc).alias("best_accuracy"))
+    best = r.groupBy("feature").agg(F.max(acc).alias("best_accuracy"))
     c = long.groupBy("feature").agg(safe_corr(F.col("value").cast("double"), F.col(label).cast("double")).alias("corr"))
     return best.join(c, "feature")
 

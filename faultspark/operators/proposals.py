@@ -7,7 +7,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import ratio, safe_corr, stable_hash
-from ..functions.ordering import agg_with_quantiles, neighbours, with_position, with_running
+from ..functions.ordering import agg_with_quantiles, join_on, neighbours, with_position, with_running
 from .neighbours import knn
 from .series import join_events, page_path
 
@@ -34,7 +34,7 @@ def fault_timeline(df: DataFrame, ts: str, fault: str, faults: list[str]) -> Dat
 
 def hours_between(df: DataFrame, device: str, us: str, tie: str) -> DataFrame:
     """Hours from each fault to the next one on the same device."""
-    d = with_position(df.select(device, us, tie), [device], [us, tie], F.col(us), "idx")
+    d = with_position(df.select(device, us, tie), [device], [us, tie], "idx")
     n = neighbours(d, [device], {"__prev": (us, -1)})
     return n.filter(F.col("__prev").isNotNull()).select(device, tie, ((F.col(us) - F.col("__prev")) / 3.6e9).alias("hours"))
 
@@ -63,12 +63,12 @@ def kaplan_meier(df: DataFrame, duration: str, observed: str) -> DataFrame:
     """Survival estimate at each event time."""
     g = df.groupBy(F.col(duration).cast("double").alias("t")).agg(F.count_if(F.col(observed) == 1).alias("d"), F.count(F.lit(1)).alias("c"))
     n = g.agg(F.sum("c").alias("n")).scalar()
-    r = with_running(g, [], ["t"], "t", {"gone": F.col("c")})
+    r = with_running(g, [], ["t"], {"gone": F.col("c")})
     at_risk = r.withColumn("at_risk", n - F.col("gone") + F.col("c"))
     # the factor 0 at a final death ends the product; its log is kept out of the sum
     step = F.when(F.col("d") < F.col("at_risk"), F.log(1 - F.col("d") / F.col("at_risk"))).otherwise(0.0)
     zero = F.when(F.col("d") == F.col("at_risk"), 1).otherwise(0)
-    s = with_running(at_risk, [], ["t"], "t", {"ls": step, "ended": zero})
+    s = with_running(at_risk, [], ["t"], {"ls": step, "ended": zero})
     return s.filter("d > 0").select("t", "at_risk", "d", F.when(F.col("ended") > 0, 0.0).otherwise(F.exp("ls")).alias("survival"))
 
 
@@ -83,7 +83,7 @@ def lagged_correlation(pairs: DataFrame, lags: list[int], keys: list[str], a: st
 
 def clip_symmetric(df: DataFrame, value: str, by: list[str], p: float = 0.999) -> DataFrame:
     q = agg_with_quantiles(df, by, [], {"__u": (value, p)})
-    return df.join(q, by).withColumn(value, F.greatest(-F.col("__u"), F.least(F.col("__u"), F.col(value)))).drop("__u")
+    return join_on(df, q, by).withColumn(value, F.greatest(-F.col("__u"), F.least(F.col("__u"), F.col(value)))).drop("__u")
 
 
 def moving_average(samples: DataFrame, window: int, keys: list[str], value: str = "value", idx: str = "idx") -> DataFrame:
@@ -179,10 +179,8 @@ def smote(df: DataFrame, label: str, minority, per_row: int, k: int = 5, id_: st
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, in md5 order."""
-    from ..functions.ordering import rank_by_hash
-
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).scalar()
-    d = rank_by_hash(df.withColumn("__h", stable_hash(key, seed)), [label], "__h", key, "__r")
+    d = with_position(df.withColumn("__h", stable_hash(key, seed)), [label], ["__h", key], "__r")
     return d.filter(F.col("__r") < n).drop("__h", "__r")
 
 
@@ -194,9 +192,9 @@ def fbeta(counts: DataFrame, beta: float) -> DataFrame:
     return counts.agg(ratio(F.sum(f * (tp + fn)), F.sum(tp + fn)).alias("f_beta"))
 
 
-def time_folds(df: DataFrame, order: list[str], by: Column, k: int) -> DataFrame:
+def time_folds(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Expanding folds in time order: fold i trains on parts 0..i and tests on part i + 1."""
-    d = with_position(df, [], order, by, "pos")
+    d = with_position(df, [], order, "pos")
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     size = F.floor(n / (k + 1))
     # equal test parts at the end; the remainder belongs to the first training part

@@ -26,9 +26,9 @@ SEGMENTS = ["early", "mid_early", "mid", "mid_late", "late"]
 KEYS = ["series_id"]
 
 
-def index_samples(df: DataFrame, keys: list[str], order: list[str], by: Column) -> DataFrame:
+def index_samples(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Give raw rows their position inside each recording."""
-    return with_position(df, keys, order, by, "idx")
+    return with_position(df, keys, order, "idx")
 
 
 def join_events(samples: DataFrame, events: DataFrame, keys: list[str], lo: Column | None = None, hi: Column | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def find_trigger(samples: DataFrame, keys: list[str] = KEYS, fallback_dt: float
     out = agg_with_quantiles(
         d, keys,
         [F.min_by("idx", F.struct(F.abs("t_us"), F.col("idx"))).alias("z"), F.count(F.lit(1)).alias("n")],
-        {"dt_us": ("__dt", 0.5)}, sized_by=samples)
+        {"dt_us": ("__dt", 0.5)})
     return out.withColumn("dt_us", F.coalesce("dt_us", F.lit(float(fallback_dt))))
 
 

@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio, stable_hash
-from ..functions.ordering import rank_by_hash, with_position
+from ..functions.ordering import join_on, with_position
 
 
 def _ranked(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
-    d = rank_by_hash(df.withColumn("__h", stable_hash(key, seed)), strata, "__h", key, "__pos")
+    d = with_position(df.withColumn("__h", stable_hash(key, seed)), strata, ["__h", key], "__pos")
     n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    return (d.join(n, strata) if strata else d.join(n)).drop("__h")
+    return join_on(d, n, strata).drop("__h")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str | None, test: float = 0.3, val: float | None = None, seed: int = 42) -> DataFrame:
@@ -77,11 +77,11 @@ def cross_validate(df: DataFrame, key: str, stratum: str, fit, metrics, k: int =
     return out
 
 
-def block_split(df: DataFrame, order: list[str], by: Column, block: int = 20, train: float = 0.64, val: float = 0.16, seed: int = 42) -> DataFrame:
+def block_split(df: DataFrame, order: list[str], block: int = 20, train: float = 0.64, val: float = 0.16, seed: int = 42) -> DataFrame:
     """Contiguous blocks of events; each block goes whole to one split."""
-    d = with_position(df, [], order, by, "pos").withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
+    d = with_position(df, [], order, "pos").withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
     b = d.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("__h", stable_hash("block", seed))
-    b = rank_by_hash(b, [], "__h", "block", "__r")
+    b = with_position(b, [], ["__h", "block"], "__r")
     nb = b.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_train = F.bround(nb * F.lit(train), 0)
     n_val = F.bround(nb * F.lit(val), 0)

@@ -24,7 +24,7 @@ def _(t):
   f AS (SELECT user_id, channel, arg_min(t_us, idx) AS onset_us FROM q WHERE page > 80 GROUP BY 1, 2) SELECT user_id, channel, onset_us, arg_min(channel, (onset_us, channel)) OVER (PARTITION BY user_id) AS root_channel FROM f""")
 def _(t):
     e = t.events.select("user_id", F.col("event_type").alias("channel"), micros("ts").alias("us"), "event_id", "value")
-    s = S.index_samples(e, ["user_id", "channel"], ["us", "event_id"], F.col("us")).withColumn("t_us", F.col("us").cast("double"))
+    s = S.index_samples(e, ["user_id", "channel"], ["us", "event_id"]).withColumn("t_us", F.col("us").cast("double"))
     return P.onset_times(s, "user_id", 80.0, 4)
 
 
@@ -155,7 +155,7 @@ def _(t):
 @query("time_folds", "P18", "WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events) SELECT event_id, pos, (CASE WHEN pos < n - 5 * (n // 6) THEN 0 ELSE (pos - (n - 5 * (n // 6))) // (n // 6) + 1 END)::INT AS part FROM p")
 def _(t):
     e = t.events.select("event_id", micros("ts").alias("us"))
-    return P.time_folds(e, ["us", "event_id"], F.col("us"), 5).select("event_id", "pos", "part")
+    return P.time_folds(e, ["us", "event_id"], 5).select("event_id", "pos", "part")
 
 
 @query("conformal_sets", "P19", """WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag AS y, 0.2 + l_discount * 4 AS p_A, 0.3 + l_tax * 3 AS p_N, 0.5 - l_discount - l_tax AS p_R FROM lineitem),

@@ -253,7 +253,7 @@ def _(t):
     from ..functions.exprs import micros
 
     e = t.events.select("user_id", F.col("event_type").alias("channel"), micros("ts").alias("us"), "event_id", "value")
-    s = S.index_samples(e, ["user_id", "channel"], ["us", "event_id"], F.col("us"))
+    s = S.index_samples(e, ["user_id", "channel"], ["us", "event_id"])
     return S.pair_channels(s, "view", "click", ["user_id"])
 
 
@@ -338,7 +338,7 @@ def _(t):
     k = F.col("event_id") % 7
     v = F.when(k == 0, 0.0).when(k == 1, F.lit(None).cast("double")).when(k == 2, F.lit(math.inf)).otherwise(F.col("value"))
     e = t.events.select("user_id", F.col("event_type").alias("channel"), micros("ts").alias("us"), "event_id", v.alias("value"))
-    s = S.index_samples(e, ["user_id"], ["us", "event_id"], F.col("us"))
+    s = S.index_samples(e, ["user_id"], ["us", "event_id"])
     return S.clean_series(s, ["view", "error", "never"], "user_id")
 
 

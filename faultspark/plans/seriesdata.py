@@ -35,7 +35,7 @@ def samples(t):
     e = t.events.select(
         F.col("user_id").alias("series_id"), micros("ts").alias("us"), "event_id", "value",
         F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("second"))
-    s = S.index_samples(e, ["series_id"], ["us", "event_id"], F.col("us"))
+    s = S.index_samples(e, ["series_id"], ["us", "event_id"])
     mid = e.groupBy("series_id").agg(F.min("us").alias("a"), F.max("us").alias("b")).selectExpr("series_id", "(a + b) div 2 AS ref_us")
     d = s.join(mid, "series_id")
     return d.select("series_id", "idx", (F.col("us") - F.col("ref_us")).cast("double").alias("t_us"), "value", "second")

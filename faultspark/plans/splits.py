@@ -69,7 +69,7 @@ BLOCK_SQL = """p AS (SELECT event_id, value, (event_type = 'error')::INT AS y, r
 
 def blocks(t):
     e = t.events.select("event_id", "value", (F.col("event_type") == "error").cast("int").alias("y"), micros("ts").alias("us"))
-    return E.block_split(e, ["us", "event_id"], F.col("us"))
+    return E.block_split(e, ["us", "event_id"])
 
 
 @query("block_split", "E5", f"WITH {BLOCK_SQL} SELECT event_id, pos, block, split FROM b0 JOIN s USING (block)")

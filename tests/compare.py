@@ -92,7 +92,7 @@ def main():
     conf = {}
     if "--small-chunks" in wanted:
         wanted.remove("--small-chunks")
-        conf = {"faultspark.rowsPerChunk": "200", "faultspark.seriesChunk": "16"}
+        conf = {"faultspark.chunkBytes": "3000", "faultspark.seriesChunk": "16"}
     spark, con = session(**conf), connect(folder)
     bad = 0
     for q in registry.values():

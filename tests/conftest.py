@@ -18,8 +18,8 @@ def duck():
 @pytest.fixture
 def tiny_chunks(spark):
     """Make every input count as large, so the skew-safe paths run."""
-    spark.conf.set("faultspark.rowsPerChunk", "150")
+    spark.conf.set("faultspark.chunkBytes", "3000")
     spark.conf.set("faultspark.seriesChunk", "16")
     yield
-    spark.conf.unset("faultspark.rowsPerChunk")
+    spark.conf.unset("faultspark.chunkBytes")
     spark.conf.unset("faultspark.seriesChunk")

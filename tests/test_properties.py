@@ -1,11 +1,11 @@
 """Splits, leakage, partition independence, hot keys and physical plans."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from faultspark.functions.graph import connected_components
-from faultspark.functions.ordering import agg_with_quantiles, with_running
-from faultspark.operators import labels as L, series as S, splits as E
+from faultspark.functions.ordering import agg_with_quantiles, with_position, with_running
+from faultspark.operators import labels as L, matrix as M, proposals as P, series as S, splits as E
 from faultspark.plans import load_all
 from faultspark.plans.registry import Tables
 from tests.conftest import FOLDER
@@ -33,13 +33,56 @@ def test_training_statistics_ignore_test_rows(spark):
 def test_a_hot_key_is_cut_into_chunks(spark, tiny_chunks, hot):
     df = spark.range(3000).select(
         F.when(F.col("id") % 100 < int(hot * 100), 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    got = with_running(df, ["k"], ["id"], "id", {"s": F.col("id")}).toPandas().sort_values(["k", "id"])
+    got = with_running(df, ["k"], ["id"], {"s": F.col("id")}).toPandas().sort_values(["k", "id"])
     assert (got.s == got.groupby("k").id.cumsum()).all()
     q = agg_with_quantiles(df, ["k"], [F.count(F.lit(1)).alias("n")], {"q": ("id", 0.37)}).toPandas().set_index("k").q
     want = got.groupby("k").id.quantile(0.37)
     assert abs(q - want).max() < 1e-9
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_nulls_ties_and_hot_keys_equal_the_plain_window(spark, small):
+    """Null keys and order values, one value in 90 % of the rows, one key with a third."""
+    df = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 5).cast("string")).alias("k"),
+        F.when(F.col("id") % 41 == 0, None).when(F.col("id") % 10 > 0, 7).otherwise(F.col("id") % 13).alias("v"), "id", F.when(F.col("id") % 17 > 0, F.col("id") * 1.5).alias("x"))
+    w = W.partitionBy("k").orderBy("v", "id")
+    whole = W.partitionBy("k")
+    want = df.withColumn("p", F.row_number().over(w) - 1).withColumn("s", F.sum("x").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("a", F.sum("x").over(whole))
+    if small:
+        spark.conf.set("faultspark.chunkBytes", "500")
+    try:
+        got = with_position(with_running(df, ["k"], ["v", "id"], {"s": F.col("x")}, {"a": "s"}), ["k"], ["v", "id"], "p")
+        assert sorted(map(str, got.select("k", "v", "id", "p", "s", "a").collect())) == sorted(map(str, want.select("k", "v", "id", "p", "s", "a").collect()))
+        q = agg_with_quantiles(df, ["k"], [F.count("x").alias("n")], {"m": ("v", 0.5), "u": ("x", 0.9)})
+        exact = df.groupBy("k").agg(F.count("x").alias("n"), F.percentile("v", 0.5).alias("m"), F.percentile("x", 0.9).alias("u"))
+        rounded = lambda d: sorted(str((r["k"], r["n"], round(r["m"], 6), round(r["u"], 6))) for r in d.collect())
+        assert rounded(q) == rounded(exact)
+        assert agg_with_quantiles(df.filter("x IS NULL"), [], [F.count(F.lit(1)).alias("n")], {"m": ("x", 0.5)}).first()["m"] is None
+    finally:
+        spark.conf.unset("faultspark.chunkBytes")
+
+
+def test_rows_without_a_group_stay(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("y"), F.col("id").cast("double").alias("v"))
+    assert E.stratified_split(df, "id", "y", 0.3).count() == 300
+    assert M.winsorize(df, ["v"], ["y"]).filter("v IS NOT NULL").count() == 300
+    assert P.clip_symmetric(df, "v", ["y"], 0.9).filter("v IS NOT NULL").count() == 300
+
+
+def test_no_job_runs_while_a_small_query_is_built(spark):
+    tables = Tables(spark, FOLDER)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for name in ("roc_auc", "time_folds", "block_split", "stratified_split", "winsorize", "series_stats"):
+            load_all()[name].build(tables)
+        jobs = len(tracker.getJobIdsForGroup("building"))
+        assert jobs <= 6 * 6, jobs  # schemas of the parquet files are read, nothing is counted
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_one_series_spreads_over_many_tasks(spark, tiny_chunks):
     df = spark.range(400).select((F.col("id") % 1).alias("series_id"), F.col("id").alias("idx"), F.sin("id").alias("value"))
     shuffles = [x for x in plan(S.gradients(df)).splitlines() if "hashpartitioning" in x]
