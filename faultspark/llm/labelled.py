@@ -18,6 +18,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit: int, calibrate: int, balanced: bool) -> DataFrame:
     """(doc_id, text, y, fit): about ``fit`` rows to fit on and ``calibrate`` others.
 
+    The sample's ids are broadcast: their number is bounded by the two parameters.
     The rows to fit on are half of each class where ``balanced`` and there are enough.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -36,4 +37,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit: int, ca
         return F.when(F.col("y") == 1, F.lit(float(rates[1]))).otherwise(F.lit(float(rates[0])))
 
     y = y.withColumn("fit", unit("fit") < of(rate)).filter(F.col("fit") | (unit("calibrate") < of(keep)))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(y, "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")

@@ -33,9 +33,9 @@ from faultspark.functions.iterate import cut_lineage
 from .labelled import held_out, labelled_sample
 from .vector_text import chunks, folded_words
 
-REFERENCES, CALIBRATE, TERMS = 6144, 8192, 4096
-#: A term takes part from this chi-squared (one in a thousand by chance) and so many documents of the sample.
-CHI2, LEAST_DOCS = 10.83, 5
+REFERENCES, CALIBRATE, TERMS = 2048, 4096, 4096
+#: A term takes part from this chi-squared (by chance one term in twenty million) and so many documents of the sample.
+CHI2, LEAST_DOCS = 30.0, 5
 K, SOFT, PRIOR = 16, 0.2, 1.0
 BLOCK = 64
 THRESHOLD = 0.7
