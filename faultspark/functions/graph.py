@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from .iterate import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (node, component), where the component is its smallest node id.
 
     Every round takes minima per node, which combine before the shuffle, and cuts the
-    lineage with a reliable checkpoint. The edge set never grows beyond its start size.
+    lineage with a reliable checkpoint, until a round changes nothing. The edge set never
+    grows beyond its start size.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = cut_lineage(e)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -29,4 +30,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 roots.select("node", F.col("node").alias("component"))).distinct()
         seen = mark
-    raise RuntimeError("components did not settle")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio
 from ..functions.graph import connected_components
+from ..functions.iterate import cut_lineage
 from .anomaly import dbscan, kdist_eps
 from .cluster_metrics import silhouette_squared, variance_ratios
 from .matrix import pca, standardize_arrays, winsorize
@@ -28,14 +29,12 @@ def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "
     return best.transform(df).drop("__v"), float(best.summary.trainingCost)
 
 
-def gmm(df: DataFrame, k: int, seed: int = 42, vec: str = "x", max_dims: int = 10) -> DataFrame:
-    """Full-covariance mixture on the leading components, with membership probabilities."""
-    wide = df.select(F.size(vec)).first()[0] > max_dims
-    d = pca(df, vec, k=max_dims).project(df, vec) if wide else df.withColumn("pc", F.col(vec))
-    d = d.withColumn("__v", array_to_vector("pc")).persist()
+def gmm(df: DataFrame, k: int, seed: int = 42, vec: str = "x") -> DataFrame:
+    """Full-covariance mixture on all columns of ``vec``, with membership probabilities."""
+    d = df.withColumn("__v", array_to_vector(vec)).persist()
     m = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", probabilityCol="__p").fit(d)
     d.unpersist()
-    return m.transform(d).withColumn("probability", vector_to_array("__p")).drop("__p", "pc", "__v")
+    return m.transform(d).withColumn("probability", vector_to_array("__p")).drop("__p", "__v")
 
 
 def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "x") -> DataFrame:
@@ -87,7 +86,7 @@ def cluster_per_category(df: DataFrame, category: str, minimum: int = 5, n_init:
     for cat, n in sorted(df.groupBy(category).count().collect()):
         if n < minimum:
             continue
-        d = df.filter(F.col(category) == cat).select(F.col(id_).alias("id"), F.col(vec).alias("x")).persist()
+        d = cut_lineage(df.filter(F.col(category) == cat).select(F.col(id_).alias("id"), F.col(vec).alias("x")))
         k = min(3, n // 2)
         eps = kdist_eps(d, min(5, n), 75, "id", "x").first()[0]
         runs = {"kmeans": kmeans(d, k, n_init)[0], "hierarchical": hierarchical(d, k), "gmm": gmm(d, k), "dbscan": dbscan(d, eps, 5, "id", "x")}
@@ -98,7 +97,7 @@ def cluster_per_category(df: DataFrame, category: str, minimum: int = 5, n_init:
 def k_candidates(df: DataFrame, ks: list[int], n_init: int = 10, vec: str = "x") -> DataFrame:
     """Silhouette, variance ratios and inertia for each k."""
     rows = []
-    df = df.persist()
+    df = cut_lineage(df)
     for k in ks:
         d, inertia = kmeans(df, k, n_init, vec=vec)
         s = silhouette_squared(d, vec).first()[0]

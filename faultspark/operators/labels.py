@@ -29,12 +29,15 @@ MIN_KPI, MIN_CAVITY, MIN_FORWARD = 10.0, 0.1, 0.02
 FIRST_MEANINGFUL_YEAR = 2021
 
 
-def join_ground_truth(events: DataFrame, truth: DataFrame, path: str = "path") -> DataFrame:
+def join_ground_truth(events: DataFrame, truth: DataFrame, path: str = "path", order: str | None = None) -> DataFrame:
     """Keep events with a usable truth row and attach their labels.
 
-    The join runs on names only, before any waveform is read.
+    A name that the truth table holds more than once counts with its last row by ``order``
+    (without it, by label and category). The join runs on names only, before any waveform is read.
     """
-    usable = truth.filter(F.col("label") != FILTERED)
+    row = F.struct("label", "category")
+    last = truth.groupBy("file").agg(F.max_by(row, F.struct(order, "label", "category") if order else row).alias("t"))
+    usable = last.select("file", "t.label", "t.category").filter(F.col("label") != FILTERED)
     cats = F.array(*[F.lit(c) for c in FAULT_CATEGORIES])
     joined = events.withColumn("file", basename(path)).join(usable, "file")
     return joined.select(

@@ -15,6 +15,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.iterate import cut_lineage
 from . import metrics as H
 from .splits import class_weights, stratified_split
 
@@ -154,7 +155,7 @@ def powerset_classes(df: DataFrame, labels: list[str], id_: str) -> DataFrame:
 
 def fit_label_powerset(train: DataFrame, labels: list[str], id_: str = "vec_id", fit: Callable = fit_forest, weighted: bool = True, **kw) -> Scorer:
     """One multi-class model over label combinations; unknown classes decode to no label."""
-    classes = powerset_classes(train, labels, id_).select(*labels, "class_id").persist()
+    classes = cut_lineage(powerset_classes(train, labels, id_).select(*labels, "class_id"))
     model = fit(train.join(classes, labels), "class_id", weighted=weighted, **kw)
     back = classes.select(F.col("class_id").alias("y_pred"), *[F.col(l).alias(f"pred_{l}") for l in labels])
 
@@ -175,11 +176,11 @@ def with_root(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.withColumn("root", (F.array_position(F.array(*labels), 1) - 1).cast("int")).filter(F.col("root") >= 0)
 
 
-def fit_subtype(train: DataFrame, category: str, value, subtype: str, minimum: int = 50, fit: Callable = fit_forest, **kw) -> Scorer | None:
-    """Multi-class model of the sub-types inside one category, when it has enough rows."""
+def fit_subtype(train: DataFrame, category: str, value, subtype: str, minimum: int = 50, fit: Callable = fit_forest, **kw) -> Scorer:
+    """Multi-class model of the sub-types inside one category; with too few rows it scores none."""
     d = train.filter((F.col(category) == value) & F.col(subtype).isNotNull())
     if d.count() <= minimum:
-        return None
+        return lambda df: df.withColumn("y_pred", F.lit(None).cast("int")).withColumn("subtype_pred", F.lit(None).cast("string")).filter(F.lit(False))
     names = [r[0] for r in d.select(subtype).distinct().orderBy(subtype).collect()]  # a handful of sub-types
     code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(subtype)) - 1
     m = fit(d.withColumn("__s", code.cast("int")), "__s", **kw)
@@ -200,7 +201,7 @@ def model_comparison(train: DataFrame, test: DataFrame, label: str, models: dict
 
 def channel_ablation(df: DataFrame, key: str, label: str, names: list[str], sets: dict[str, list[str]], fit: Callable = fit_forest, test: float = 0.3, seed: int = 42, vec: str = "x", **kw) -> DataFrame:
     """Refit without the features of each channel set and compare with the full set."""
-    d = stratified_split(df, key, label, test, seed=seed).persist()
+    d = cut_lineage(stratified_split(df, key, label, test, seed=seed))
     out = []
     for run, channels in {"baseline": [], **sets}.items():
         keep = [i for i, n in enumerate(names) if not any(n == c or n.startswith(f"{c}_") for c in channels)]
@@ -223,7 +224,7 @@ def learning_curve(df: DataFrame, key: str, label: str, labels: list, sizes: lis
     """Macro F1 on training and validation rows for nested shares of each fold's training part."""
     from .splits import kfold
 
-    d = kfold(df, key, label, folds, seed).withColumn("__u", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)).persist()
+    d = cut_lineage(kfold(df, key, label, folds, seed).withColumn("__u", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)))
     out = []
     for i in range(folds):
         for s in sizes:
@@ -273,7 +274,7 @@ def stacking(train: DataFrame, key: str, label: str, fits: list[Callable], folds
     """A logistic model on scores that each base model gives to rows it was not trained on."""
     from .splits import kfold
 
-    d = kfold(train, key, label, folds, seed).persist()
+    d = cut_lineage(kfold(train, key, label, folds, seed))
 
     def base(models, df):
         for i, m in enumerate(models):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 
 from .registry import REGISTRY
 
@@ -12,7 +12,5 @@ MODULES = ["flagship", "ingest", "labels", "series", "matrix", "splits", "anomal
 
 def load_all():
     for m in MODULES:
-        name = f"faultspark.plans.{m}"
-        if importlib.util.find_spec(name):
-            importlib.import_module(name)
+        importlib.import_module(f"faultspark.plans.{m}")
     return REGISTRY

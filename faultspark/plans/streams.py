@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.exprs import micros
+from ..functions.iterate import shared_folder
 from ..streaming import streams as N
 from .labels import TRUTH_SQL, event_files, truth_table
 from .labels import CATS_SQL
@@ -10,8 +11,23 @@ from .registry import R, query
 from .series import rounded
 
 
+FILES = 5
+
+
+def in_files(t, name, order):
+    """The table dealt into files in order of a column, read one file a batch."""
+    path = shared_folder(t.spark, f"stream-{name}")
+    df = getattr(t, name)
+    cuts = df.agg(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 1000)).first()[0]
+    bounds = [None, *cuts, None]
+    for a, b in zip(bounds, bounds[1:]):  # the source takes files by age
+        part = df.filter((F.lit(True) if a is None else order > F.lit(a)) & (F.lit(True) if b is None else order <= F.lit(b)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def events(t):
-    return N.read_table_stream(t.spark, t.folder, "events")
+    return in_files(t, "events", micros("ts"))
 
 
 def logistic(d):
@@ -54,7 +70,7 @@ def _(t):
 @query("stream_dedup_files", "N4", "SELECT DISTINCT user_id || '/' || event_type AS path FROM events")
 def _(t):
     s = events(t).select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"))
-    return N.drain(N.stream_dedup_files(s, "path", "ts", "1 hour").select("path"))
+    return N.drain(N.stream_dedup_files(s, "path", "ts", "400 days").select("path"))  # a horizon longer than the table: each path once
 
 
 @query("stream_label_join", "N5", f"""WITH {TRUTH_SQL}
@@ -63,6 +79,6 @@ def _(t):
   FROM orders JOIN truth ON c_custkey = o_custkey WHERE label <> 'Filtré'""")
 def _(t):
     class Streamed:
-        orders = N.read_table_stream(t.spark, t.folder, "orders")
+        orders = in_files(t, "orders", F.col("o_orderkey"))
 
     return N.drain(N.stream_label_join(event_files(Streamed), truth_table(t)))

@@ -57,14 +57,16 @@ def _stats(grouped, value: str, keys: list[str]) -> DataFrame:
 def stream_event_features(stream: DataFrame, event: str, ts: str, delay: str, timeout_ms: int = 3_600_000) -> DataFrame:
     """Pre- and post-trigger statistics of each event, sent when its ``expected`` samples are in or it times out.
 
-    Rows carry ``post`` (0 or 1), ``value`` and ``expected``. The state is five running
-    numbers per side, whatever the length of the recording.
+    Rows carry ``post`` (0 or 1), ``value`` and ``expected``. The state is a few running
+    numbers per side, whatever the length of the recording. An event times out once the
+    watermark is ``timeout_ms`` beyond the largest time of its own rows, so how the input is
+    cut into batches does not matter.
     """
     out = f"`{event}` bigint, n bigint, mean_pre double, std_pre double, mean_post double, std_post double, max_abs_post double, complete boolean"
-    state_schema = "n bigint, n0 bigint, s0 double, q0 double, n1 bigint, s1 double, q1 double, m1 double, expected bigint"
+    state_schema = "n bigint, n0 bigint, s0 double, q0 double, n1 bigint, s1 double, q1 double, m1 double, expected bigint, last bigint"
 
     def row(key, st, complete: bool) -> pd.DataFrame:
-        n, n0, s0, q0, n1, s1, q1, m1, _ = st
+        n, n0, s0, q0, n1, s1, q1, m1, *_ = st
 
         def mean_std(k, s, q):
             return (s / k, float(np.sqrt(max(q / k - (s / k) ** 2, 0.0)))) if k else (None, None)
@@ -78,29 +80,31 @@ def stream_event_features(stream: DataFrame, event: str, ts: str, delay: str, ti
             state.remove()
             yield row(key, st, False)
             return
-        n, n0, s0, q0, n1, s1, q1, m1, expected = state.get if state.exists else (0, 0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0)
+        n, n0, s0, q0, n1, s1, q1, m1, expected, last = state.get if state.exists else (0, 0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0, 0)
         for f in frames:
             v, late = f["value"].to_numpy(float), f["post"].to_numpy() == 1
             n, expected = n + len(f), int(f["expected"].max())
+            last = max(last, int(f[ts].max().timestamp() * 1000))
             a, b = v[~late], v[late]
             n0, s0, q0 = n0 + len(a), s0 + a.sum(), q0 + (a * a).sum()
             n1, s1, q1 = n1 + len(b), s1 + b.sum(), q1 + (b * b).sum()
             m1 = max(m1, np.abs(b).max()) if len(b) else m1
-        st = (int(n), int(n0), float(s0), float(q0), int(n1), float(s1), float(q1), float(m1), int(expected))
+        st = (int(n), int(n0), float(s0), float(q0), int(n1), float(s1), float(q1), float(m1), int(expected), int(last))
         if n >= expected:
             if state.exists:
                 state.remove()
             yield row(key, st, True)
         else:
             state.update(st)
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + timeout_ms)
+            state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
     d = stream.withWatermark(ts, delay)
     return d.groupBy(event).applyInPandasWithState(update, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedup_files(stream: DataFrame, path: str, ts: str, delay: str) -> DataFrame:
-    """The first arrival of each path within the watermark."""
+    """The first arrival of each path; one that comes again ``delay`` or more later, by event
+    time and once the watermark has passed, counts as new."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([path])
 
 
