@@ -11,7 +11,7 @@ from .series import rounded
 
 @query("kmeans", "I1")
 def _(t):
-    d, inertia = I.kmeans(vectors(t), 4, n_init=3)
+    d, inertia = I.kmeans(vectors(t), 4, n_init=10)
     return d.select("vec_id", "cluster").withColumn("inertia", F.lit(round(inertia, 4)))
 
 

@@ -10,7 +10,7 @@ from .matrixdata import vectors
 from .registry import query
 from .series import rounded
 
-FOREST = partial(G.fit_forest, trees=10, depth=5)
+FOREST = partial(G.fit_forest, trees=100, depth=10)
 LABELS = ["b0", "b1", "high"]
 
 
@@ -35,8 +35,8 @@ binary("logistic_regression", "G1", G.fit_logistic)
 binary("random_forest", "G2", FOREST)
 binary("random_forest_balanced", "G2", partial(FOREST, weighted=True))
 binary("boosted_trees", "G3", partial(G.fit_boosted, rounds=5, depth=3))
-binary("svm_rbf", "G4", partial(G.fit_svm, features=50, rounds=10))
-binary("mlp", "G12", partial(G.fit_mlp, hidden=(8,), rounds=20))
+binary("svm_rbf", "G4", partial(G.fit_svm, features=200, rounds=100))
+binary("mlp", "G12", partial(G.fit_mlp, hidden=(64, 32), rounds=100))
 
 
 def multilabel(name, code, fit):
