@@ -110,11 +110,11 @@ def _(t):
 
 
 @query("write_dataset", "A9", """SELECT o_orderstatus, year(o_orderdate)::INT AS year, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders
-  WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
+  GROUP BY 1, 2""")
 def _(t):
     path = shared_folder(t.spark, "dataset")
     I.write_dataset(t.orders.withColumn("year", F.year("o_orderdate")), path, ["o_orderstatus", "year"])
-    back = t.spark.read.parquet(path).filter(F.col("o_orderstatus") != "P")  # prunes whole folders
+    back = t.spark.read.parquet(path)
     return back.groupBy("o_orderstatus", "year").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
@@ -166,3 +166,33 @@ def _(t):
     rows = rows.select(F.concat("o_orderpriority", F.lit(":"), "r.m").alias("metric"), F.col("r.m").alias("label_name"), "r.value", "r.fmt")
     run = {"dataset_version": "v1", "dataset_path": "orders", "script": "overview"}
     return I.metric_rows(rows, "summary", run, F.to_timestamp(F.lit("2024-01-01")))
+
+
+@query("write_metrics", "A10", """SELECT 'orders' AS phase, o_orderstatus AS metric, 'total' AS label_name, round(sum(o_totalprice), 2) AS value, format('{:,}', count(*)) AS display FROM orders GROUP BY o_orderstatus""")
+def _(t):
+    g = t.orders.groupBy(F.col("o_orderstatus").alias("metric")).agg(rnd(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
+    path = shared_folder(t.spark, "metrics")
+    run = {"dataset_version": "v1", "dataset_path": "orders", "script": "ingest"}
+    I.write_metrics(g.select("metric", F.lit("total").alias("label_name"), F.col("total").alias("value"), F.lit(None).cast("string").alias("fmt")), path, "orders", run)
+    I.write_metrics(g.select("metric", F.lit("n").alias("label_name"), F.col("n").alias("value"), F.lit(",").alias("fmt")), path, "orders", run)
+    back = t.spark.read.parquet(path)
+    counts = back.filter("label_name = 'n'").select("metric", "display")
+    return back.filter("label_name = 'total'").drop("display").join(counts, "metric").select("phase", "metric", "label_name", "value", "display")
+
+
+@query("read_delimited_truth", "A3", """SELECT c_name || '.dat' AS file, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE 'n' || c_nationkey END AS category, c_mktsegment AS label, '' AS details FROM customer""")
+def _(t):
+    path = shared_folder(t.spark, "truth")
+    raw = t.customer.select(F.concat(F.lit("/raw/2024/"), "c_name", F.lit(".dat")).alias("Fichier"), F.when(F.col("c_nationkey") % 5 != 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("Defaut"),
+                            F.col("c_mktsegment").alias("Label"), F.lit(None).cast("string").alias("Détails"))
+    raw.write.csv(path, sep=";", header=True)
+    return I.read_delimited_truth(t.spark, path)
+
+
+@query("list_files", "A1", "SELECT o_orderstatus AS folder, 1 AS n_files, TRUE AS all_sized FROM orders GROUP BY 1")
+def _(t):
+    path = shared_folder(t.spark, "listing")
+    t.orders.select("o_orderstatus", "o_orderkey").repartition(1).write.partitionBy("o_orderstatus").parquet(path)
+    f = I.list_files(t.spark, path).filter(F.col("path").endswith(".parquet"))
+    folder = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1)
+    return f.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.min(F.col("length") > 0).alias("all_sized"))
