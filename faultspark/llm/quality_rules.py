@@ -121,7 +121,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         F.size("__full").cast("bigint").alias("n_lines"), F.size("__bad").cast("bigint").alias("n_removed_lines"),
         F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)).alias("lost_share"),
         F.when(F.size("__bad") == 0, F.col("__text")).otherwise(F.array_join(F.transform(F.filter("__told", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).alias("clean_text"))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOSS)).select(*[c for c in docs.columns if c not in NEW], *NEW)
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOSS))
+    # a filter on the result isn't pushed below a generator; written out in place of each column it would evaluate all of this many times
+    return d.select(*[c for c in docs.columns if c not in NEW], F.explode_outer(F.array(F.struct(*NEW))).alias("__q")).select(*[c for c in docs.columns if c not in NEW], "__q.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
