@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from faultspark.functions.graph import connected_components
 from faultspark.functions.iterate import cut_lineage
 
-from .vector_text import chunks, mix, shingle_sets, shingles, words
+from .vector_text import chunks, mix, shingle_sets, shingles, small, words
 
 THRESHOLD = 0.8
 RECALL = 0.998
@@ -56,7 +56,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     names = ["d", "t", "s1", "s2", "n", "bands"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).to_pylist()
             ids, sizes, keys = [], [], []
             for a, b in chunks(texts):
@@ -169,7 +169,7 @@ def verified(docs: DataFrame, spots: DataFrame, threshold: float = THRESHOLD) ->
     before = pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())]))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 200):
             out: list[tuple] = []
             size = 0
             ds, ts, tx, sp = (c.to_pylist() for c in batch.columns)

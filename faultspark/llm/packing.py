@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from faultspark.functions.iterate import cut_lineage
 
 from .token_ids import default_tokenizer, encoder
+from .vector_text import small
 
 CAPACITY = 2048
 END = 0
@@ -173,7 +174,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, size, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(enc.encode(texts)):

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from faultspark.functions.iterate import cut_lineage, shared_folder
 
 from .token_ids import default_tokenizer, encoder
+from .vector_text import small
 
 #: Ids from which a block is full.
 BLOCK_IDS = 1 << 16
@@ -158,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([encode_block(held)], pa.binary())],
                 ["part", "block", "n_ids", "doc_ids", "payload"])
 
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, t in zip(ids, enc.encode(texts)):

@@ -19,6 +19,8 @@ from .vector_text import chunks, code_points, edge, ranges, span_hashes
 
 #: Entries at which a worker's table begins anew.
 MAX_ENTRIES = 1 << 20
+#: Pre-tokens that the library encodes at a time.
+MISSES = 4096
 LETTER, NUMBER, OTHER, BLANK, SPACE = 1, 2, 3, 4, 5
 TOP = 0x250
 _LATIN_LETTERS = "ªµº"
@@ -130,8 +132,11 @@ class PretokenIds:
         if not there.all():
             new, first = np.unique(h[~there], return_index=True)
             at, big = np.flatnonzero(~there)[first], "".join(texts)
-            found = self.tokenizer.encode_batch_fast([big[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], add_special_tokens=False)
-            self._add(new, [e.ids for e in found])
+            spans, ids = list(zip(starts[at].tolist(), ends[at].tolist())), []
+            for i in range(0, len(spans), MISSES):
+                found = self.tokenizer.encode_batch_fast([big[a:b] for a, b in spans[i : i + MISSES]], add_special_tokens=False)
+                ids += [e.ids for e in found]
+            self._add(new, ids)
             slot, _ = self._slots(h)
         entry = self.vals[slot]
         sizes = self.offs[entry + 1] - self.offs[entry]

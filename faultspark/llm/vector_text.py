@@ -48,6 +48,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices, so that little is held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts with up to ``limit`` code points together."""
     at, size = 0, 0
