@@ -97,8 +97,9 @@ def line_fails(line: Column, n_words: Column, n_chars: Column) -> Column:
     return punctuation | navigation | boilerplate
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """Adds the base counts, the lines' verdict and clean_text, the text of the lines that stay."""
+def quality_rules(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Adds the base counts, the lines' verdict and, with ``keep_text``, clean_text: the lines that stay."""
+    new = NEW if keep_text else NEW[:-1]
     d = docs.drop(*NEW).withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     d = d.withColumn("__words", words_of(F.col("__text")))
     for name, c in repeated_words("__words").items():
@@ -123,7 +124,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         F.when(F.size("__bad") == 0, F.col("__text")).otherwise(F.array_join(F.transform(F.filter("__told", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).alias("clean_text"))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOSS))
     # a filter on the result isn't pushed below a generator; written out in place of each column it would evaluate all of this many times
-    return d.select(*[c for c in docs.columns if c not in NEW], F.explode_outer(F.array(F.struct(*NEW))).alias("__q")).select(*[c for c in docs.columns if c not in NEW], "__q.*")
+    return d.select(*[c for c in docs.columns if c not in NEW], F.explode_outer(F.array(F.struct(*new))).alias("__q")).select(*[c for c in docs.columns if c not in NEW], "__q.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

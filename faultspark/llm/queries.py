@@ -47,7 +47,7 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("text")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
