@@ -1,27 +1,32 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled documents (half of each class) is the index, another one, with
-the classes' natural shares, calibrates the scores. Terms are folded words that tell the
-classes of the sample apart (chi-squared of document frequencies); their inverse document
-frequency comes from all documents. Vectors are (1 + ln tf) * idf of length 1; similarity
-is the cosine. The inverted index holds each term's postings in blocks with the largest
-weight of a block. A query takes terms in order of what they can add; once the terms left
-cannot lift an example that has nothing into the best K, only blocks that can still change
-the best K are read. So the K neighbours are exact. They vote with weight 1 / (distance +
-SOFT), against a prior of weight PRIOR; a logistic curve fitted on the second sample turns
-the vote into a probability. The neighbours are the evidence.
+the classes' natural shares, calibrates the scores. Terms are the folded words of all
+documents; their document frequencies come from one map-side-combined aggregation. Vectors
+are (1 + ln tf) * idf * factor over every word, of length 1; similarity is the cosine. The
+factor is the chi-squared by which a word tells the classes of the index apart, 1 at least:
+no word is left out, but those of one class decide which examples are near. The index holds
+the examples' whole vectors: the most frequent words as columns of a matrix, so that many
+texts are multiplied at once, the others as postings. The best K come from the blocks of
+examples whose largest product can be among them, so they are exact. They vote with weight
+1 / (distance + SOFT), against a prior of weight PRIOR; a logistic curve fitted on the second
+sample turns the vote into a probability. The neighbours are the evidence.
+
+Words of a text that no sampled document has change only the length of its vector. They are
+joined with the document frequencies by shuffles, so no task holds the corpus's vocabulary.
 
 Learning bounds, all documented parameters: REFERENCES examples in the index, CALIBRATE
-others, TERMS terms. Statistics of terms cover all documents.
+others. Document frequencies cover all documents.
 
-Defined results: a null or empty text, and one without any term, has no neighbours and gets
-the score of the prior alone; without labels of both classes every score is the labels' mean
+Defined results: a null or empty text, and one without any word of an example, has no
+neighbours and gets the score of the prior alone; without labels of both classes every score is the labels' mean
 (0 without labels); rows without an id are scored, never learnt from; repeated rows are scored
 alike; an empty table gives an empty table; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,146 +36,159 @@ from pyspark.sql import DataFrame, functions as F
 from faultspark.functions.iterate import cut_lineage
 
 from .labelled import held_out, labelled_sample
-from .vector_text import chunks, folded_words
+from .vector_text import chunks, folded_words, ranges, small
 
-REFERENCES, CALIBRATE, TERMS = 2048, 4096, 4096
-#: A term takes part from this chi-squared (by chance one term in twenty million) and so many documents of the sample.
-CHI2, LEAST_DOCS = 30.0, 5
+REFERENCES, CALIBRATE = 2048, 4096
 K, SOFT, PRIOR = 16, 0.2, 1.0
-BLOCK = 64
+#: Examples in a block, texts multiplied at once, and columns of the matrix at most (words in a 32nd of the examples).
+BLOCK, TOGETHER, COLUMNS, COMMON = 64, 64, 1024, 32
+#: Words that a task gathers before it hands their counts on.
+GATHER = 1 << 21
 THRESHOLD = 0.7
 
 
 class BlockMaxIndex:
-    """Inverted index over vectors of length 1, with the largest weight of each block."""
+    """Inverted index over vectors of length 1; frequent terms are columns of a matrix."""
 
     def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, block: int = BLOCK):
         order = np.lexsort((docs, terms))
         self.doc, self.weight, self.n_docs, self.block = docs[order], weights[order].astype(np.float64), n_docs, block
         self.at = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.block_max, self.most = [], np.zeros(n_terms)
-        for t in range(n_terms):
-            w = self.weight[self.at[t] : self.at[t + 1]]
-            self.block_max.append(np.maximum.reduceat(w, np.arange(0, len(w), block)) if len(w) else np.zeros(0))
-            self.most[t] = w.max() if len(w) else 0.0
+        size = np.diff(self.at)
+        common = np.argsort(-size, kind="stable")[:COLUMNS]
+        self.common = common[size[common] * COMMON >= max(n_docs, 1)]
+        self.column = np.full(n_terms, -1)
+        self.column[self.common] = np.arange(len(self.common))
+        self.matrix = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None}
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest inner product over 0, ties by number, and the products."""
-        order = np.argsort(-weights * self.most[terms], kind="stable")
-        terms, weights = terms[order], weights[order]
-        bound = np.append(np.cumsum((weights * self.most[terms])[::-1])[::-1], 0.0)
-        score = np.zeros(self.n_docs)
-        for i, (t, w) in enumerate(zip(terms, weights)):
-            a, b = self.at[t], self.at[t + 1]
-            floor = np.partition(score, -k)[-k] if self.n_docs >= k else 0.0
-            if bound[i] >= floor or floor <= 0.0:
-                score[self.doc[a:b]] += w * self.weight[a:b]
-                continue
-            # no example without a score can get into the best k: only those near the floor count
-            open_ = score + bound[i] >= floor
-            rest = bound[i + 1]
-            for j, top in enumerate(self.block_max[t]):
-                lo, hi = a + j * self.block, min(a + (j + 1) * self.block, b)
-                d = self.doc[lo:hi]
-                # a block whose best weight leaves all of its examples below the floor is not read
-                if (open_[d] & (score[d] + w * top + rest >= floor)).any():
-                    score[d] += w * self.weight[lo:hi]
-        k = min(k, self.n_docs)
-        floor = np.partition(score, -k)[-k] if k else 0.0
+        return next(self.nearest_of_all([(terms, weights)], k))
+
+    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of many vectors."""
+        if self.matrix is None:
+            self.matrix = np.zeros((len(self.common), self.n_docs))
+            for c, t in enumerate(self.common):
+                self.matrix[c, self.doc[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+        for a in range(0, len(queries), TOGETHER):
+            part = queries[a : a + TOGETHER]
+            q = np.zeros((len(part), len(self.common)))
+            for i, (t, w) in enumerate(part):
+                c = self.column[t]
+                q[i, c[c >= 0]] = w[c >= 0]
+            score = q @ self.matrix
+            for own, (t, w) in zip(score, part):
+                rare = self.column[t] < 0
+                t, w = t[rare], w[rare]
+                n = self.at[t + 1] - self.at[t]
+                p = ranges(self.at[t], n)
+                own += np.bincount(self.doc[p], np.repeat(w, n) * self.weight[p], self.n_docs)
+                yield self._best(np.round(own, 9), k)
+
+    def _best(self, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        top = np.maximum.reduceat(score, np.arange(0, len(score), self.block)) if len(score) else score
+        # k blocks reach the floor, so k examples do
+        floor = np.partition(top, -k)[-k] if len(top) >= k else 0.0
         found = np.flatnonzero((score >= floor) & (score > 0))
         found = found[np.lexsort((found, -score[found]))][:k]
         return found, score[found]
 
 
-def term_counts(texts: list[str], terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the numbers of its terms (places in the sorted ``terms``) and how often."""
+def text_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted hashes of its words and how often each is in it."""
     for a, b in chunks(texts):
         h, offs = folded_words(texts[a:b])
-        at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
-        hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-        where, row = at[hit], np.repeat(np.arange(b - a), np.diff(offs))[hit]
-        both, n = np.unique(row * max(len(terms), 1) + where, return_counts=True)
-        ends = np.searchsorted(both, np.arange(b - a + 1) * max(len(terms), 1))
+        row = np.repeat(np.arange(b - a), np.diff(offs))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        starts = np.flatnonzero(first)
+        n, ends = np.diff(np.append(starts, len(h))), np.searchsorted(row[starts], np.arange(b - a + 1))
+        h = h[starts]
         for i in range(b - a):
-            yield both[ends[i] : ends[i + 1]] - i * max(len(terms), 1), n[ends[i] : ends[i + 1]]
+            yield h[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
 
 
-def choose_terms(sample: DataFrame, n: int = TERMS) -> np.ndarray:
-    """Hashes of the terms whose document frequencies differ most between the classes."""
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, n): in how many of all documents each word is; the row without a term counts the documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, y = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            for a, b in chunks(texts):
-                h, offs = folded_words(texts[a:b])
-                row = np.repeat(np.arange(b - a), np.diff(offs))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                term, inv = np.unique(h[once], return_inverse=True)
-                yes = np.bincount(inv, y[a:b][row[once]], len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(inv, minlength=len(term)).astype(np.int64)), pa.array(yes)], ["term", "n", "yes"])
-
-    total, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not pos or pos == total:
-        return np.zeros(0, np.uint64)
-    c = sample.select("text", "y").mapInArrow(count, "term bigint, n bigint, yes bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
-    expected = F.col("n") * F.lit(pos / total)
-    spread = expected * F.lit(1 - pos / total) * (1 - F.col("n") / F.lit(float(total)))
-    c = c.withColumn("chi2", F.pow(F.col("yes") - expected, F.lit(2.0)) / F.greatest(spread, F.lit(1e-9)))
-    best = c.filter((F.col("n") >= LEAST_DOCS) & (F.col("chi2") >= CHI2)).orderBy(F.desc("chi2"), "term").limit(n).collect()
-    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-
-
-def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many there are."""
+        def counted(words: list[np.ndarray], n: int) -> pa.RecordBatch:
+            term, df = np.unique(np.concatenate(words), return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([None, *term.view(np.int64).tolist()], pa.int64()), pa.array([n, *df.tolist()], pa.int64())], ["term", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms), np.int64), 0
-        for batch in batches:
+        words, size, n = [], 0, 0
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            n += len(texts)
-            for at, _ in term_counts(texts, terms):
-                df[at] += 1
-        keep = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *keep.tolist()], pa.int64()), pa.array([n, *df[keep].tolist()], pa.int64())], ["term", "n"])
+            for h, _ in text_words(texts):
+                words.append(h)
+                size += len(h)
+                n += 1
+                if size >= GATHER:
+                    yield counted(words, n)
+                    words, size, n = [], 0, 0
+        yield counted(words, n)
+
+    return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    got = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(i, 0) for i in range(len(terms))], np.int64), got.get(-1, 0)
+def inverse(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
 
 
-def vectors(texts: list[str], terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Terms and weights of each text's vector of length 1 (empty without terms)."""
-    for at, n in term_counts(texts, terms):
-        w = (1 + np.log(n)) * idf[at]
-        size = np.sqrt((w * w).sum())
-        yield (at, w / size) if size > 0 else (at[:0], w[:0])
+def weighted(texts: list[str], terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the places of its words in the sorted ``terms`` with their weights, and
+    the hashes of its other words with the factors of their frequencies in the text."""
+    for h, n in text_words(texts):
+        at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
+        hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+        tf = 1 + np.log(n)
+        yield at[hit], tf[hit] * idf[at[hit]], h[~hit], tf[~hit]
+
+
+def chi_squared(places: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """How far the document frequencies of each word differ between the classes."""
+    count = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=n_terms)
+    n, yes, share = count(places), count([a for a, c in zip(places, y) if c]), y.mean()
+    return (yes - n * share) ** 2 / np.maximum(n * share * (1 - share) * (1 - n / len(y)), 1e-9)
 
 
 class ToxicityModel:
     """The index with its labels, and the calibration."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, names: list[int], texts: list[str], y: list[int], prior: float):
-        self.terms, self.idf, self.names, self.y, self.prior = terms, idf, np.array(names, object), np.array(y, np.float64), prior
-        rows = list(vectors(texts, terms, idf))
+        self.terms, self.names, self.y, self.prior = terms, np.array(names, object), np.array(y, np.float64), prior
+        rows = [(at, w) for at, w, _, _ in weighted(texts, terms, idf)]
+        factor = np.maximum(1.0, chi_squared([at for at, _ in rows], self.y, len(terms)))
+        self.idf = idf * factor
+        rows = [(at, w * factor[at] / max(np.linalg.norm(w * factor[at]), 1e-12)) for at, w in rows]
         doc = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
         flat = lambda i, kind: np.concatenate([r[i] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
         self.index = BlockMaxIndex(doc, flat(0, np.int64), flat(1, np.float64), len(rows), len(terms))
         self.slope, self.shift = 1.0, 0.0
 
-    def votes(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Share of toxic votes, and the neighbours with their similarity."""
-        for at, w in vectors(texts, self.terms, self.idf):
-            found, near = self.index.nearest(at, w, K)
-            v = 1.0 / (1.0 - np.minimum(near, 1.0) + SOFT)
-            yield float(((v * self.y[found]).sum() + PRIOR * self.prior) / (v.sum() + PRIOR)), found, near
+    def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """The neighbours with the products of their vectors and the text's, and its squared length by known words."""
+        for a in range(0, len(texts), TOGETHER):
+            rows = [(at, w) for at, w, _, _ in weighted(texts[a : a + TOGETHER], self.terms, self.idf)]
+            for (_, w), (found, dot) in zip(rows, self.index.nearest_of_all(rows, K)):
+                yield found, dot, float((w * w).sum())
+
+    def vote(self, found: np.ndarray, near: np.ndarray) -> float:
+        """Share of toxic votes."""
+        v = 1.0 / (1.0 - np.minimum(near, 1.0) + SOFT)
+        return float(((v * self.y[found]).sum() + PRIOR * self.prior) / (v.sum() + PRIOR))
 
     def calibrate(self, texts: list[str], y: list[int]) -> None:
         """Logistic curve over the logit of the vote, by Newton steps; ridge 1e-3."""
         if len(set(y)) < 2:
             return
-        x = np.array([self.logit(v) for v, _, _ in self.votes(texts)])
+        x = np.array([self.logit(self.vote(found, dot / np.sqrt(max(size, 1e-12)))) for found, dot, size in self.nearest(texts)])
         a, t, b = np.stack([x, np.ones_like(x)], 1), np.array(y, np.float64), np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -189,42 +207,86 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(vote) + self.shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel | float:
-    """A model, or the labels' mean where there are not two classes to tell apart."""
+def words_of(sample: DataFrame) -> DataFrame:
+    """(term): the distinct words of the sampled documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [h for h, _ in text_words(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))] if found else [pa.array([], pa.int64())], ["term"])
+
+    return sample.select("text").mapInArrow(run, "term bigint").distinct()
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[ToxicityModel | float, DataFrame | None, int]:
+    """A model, or the labels' mean where there are not two classes to tell apart; the words in
+    more than one document with their numbers of documents; and how many documents there are."""
     sample = cut_lineage(labelled_sample(docs, labels, label, REFERENCES, CALIBRATE, balanced=True))
     # both samples are bounded by parameters
-    terms = choose_terms(sample.filter("fit"))
     rows = sample.select("doc_id", "text", "y", "fit").orderBy("doc_id", "text").collect()
     ref, other = [r for r in rows if r["fit"]], [r for r in rows if not r["fit"]]
     mean = float(np.mean([r["y"] for r in other or rows])) if rows else 0.0
     if len({r["y"] for r in ref}) < 2:
-        return mean
-    df, n = document_frequencies(docs, terms)
-    model = ToxicityModel(terms, np.log((1 + n) / (1 + df)) + 1, [r["doc_id"] for r in ref], [r["text"] for r in ref], [r["y"] for r in ref], mean)
+        return mean, None, 0
+    df = cut_lineage(document_frequencies(docs).filter("n > 1 OR term IS NULL"))
+    n = df.filter("term IS NULL").first()["n"]
+    df = df.filter("term IS NOT NULL")
+    known = words_of(sample).join(df, "term", "left").select("term", F.coalesce("n", F.lit(1)).alias("n")).toArrow()
+    terms, count = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
+    order = np.argsort(terms)
+    model = ToxicityModel(terms[order], inverse(n, count[order]), [r["doc_id"] for r in ref], [r["text"] for r in ref], [r["y"] for r in ref], mean)
     model.calibrate([r["text"] for r in other], [r["y"] for r in other])
-    return model
+    return model, df, n
+
+
+def name_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): evidence lists neighbours as
     "doc_id:label:similarity", nearest first."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+    model, df, n = fit(docs, labels, label)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    if isinstance(model, float):
+        return rows.select("doc_id", "held_out", F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"), F.lit("").alias("evidence"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            found, dot, size = zip(*shared.value.nearest(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([name_of(t) for t in texts], pa.int64()), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
+                 pa.array([d.tolist() for d in dot], pa.list_(pa.float64())), pa.array(size, pa.float64())], ["doc_id", "held_out", "key", "found", "dot", "size"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            parts = [(name_of(t), h, tf) for t, (_, _, h, tf) in zip(texts, weighted(texts, shared.value.terms, shared.value.idf)) if len(h)]
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)),
+                     pa.array(np.concatenate([p[2] for p in parts]))], ["key", "term", "tf"])
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if isinstance(model, float):
-                scores, told = [model] * len(texts), [""] * len(texts)
-            else:
-                scores, told = [], []
-                for vote, found, near in model.votes(texts):
-                    scores.append(model.score(vote))
-                    told.append(",".join(f"{model.names[i]}:{int(model.y[i])}:{s:.4f}" for i, s in zip(found, near)))
+        for batch in small(batches):
+            scores, told = [], []
+            for found, dot, size in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                found, near = np.array(found, np.int64), np.array(dot) / np.sqrt(max(size, 1e-12))
+                scores.append(model.score(model.vote(found, near)))
+                told.append(",".join(f"{model.names[i]}:{int(model.y[i])}:{s:.4f}" for i, s in zip(found, near)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(told, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(told, pa.string())],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence string")
+    found = rows.mapInArrow(search, f"doc_id {kind}, held_out boolean, key bigint, found array<int>, dot array<double>, size double")
+    # a text's other words once, however often the text is there
+    idf = F.log(F.lit(1.0 + n) / (1 + F.coalesce("n", F.lit(1)))) + 1
+    extra = docs.select("text").mapInArrow(others, "key bigint, term bigint, tf double").groupBy("key", "term").agg(F.first("tf").alias("tf"))
+    extra = extra.join(df, "term", "left").groupBy("key").agg(F.round(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))), 9).alias("rest"))
+    both = found.join(extra, "key", "left").select("doc_id", "held_out", "found", "dot", (F.col("size") + F.coalesce("rest", F.lit(0.0))).alias("size"))
+    return both.mapInArrow(vote, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence string")

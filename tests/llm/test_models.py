@@ -51,6 +51,50 @@ def test_toxicity_of_held_out_documents(more):
     assert cited and not cited & held
 
 
+def test_neighbours_are_those_of_all_words(more):
+    """Cosines over every word of every text, by dictionaries."""
+    docs, labels = more
+    docs = docs.unionByName(docs.filter("doc_id % 100 = 3"))  # repeated rows
+    words = [(r["doc_id"], {}) for r in docs.select("doc_id").collect()]
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    df = {}
+    for (_, own), text in zip(words, texts):
+        h, offs = toxicity.folded_words([text])
+        for w in h.tolist():
+            own[w] = own.get(w, 0) + 1
+        for w in own:
+            df[w] = df.get(w, 0) + 1
+    sample = {r["doc_id"]: r["y"] for r in labelled.labelled_sample(docs, labels, "toxic", toxicity.REFERENCES, toxicity.CALIBRATE, balanced=True).filter("fit").collect()}
+    refs = [(i, own) for i, own in words if i in sample]
+    n, share, seen = len(refs), np.mean([sample[i] for i, _ in refs]), {}
+    for i, own in refs:
+        for w in own:
+            a = seen.setdefault(w, [0, 0])
+            a[0] += 1
+            a[1] += sample[i]
+
+    def vector(own):
+        v = {}
+        for w, tf in own.items():
+            c, yes = seen.get(w, (0, 0))
+            chi2 = (yes - c * share) ** 2 / max(c * share * (1 - share) * (1 - c / n), 1e-9)
+            v[w] = (1 + np.log(tf)) * (np.log((1 + len(words)) / (1 + df[w])) + 1) * max(1.0, chi2)
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    index = [vector(own) for _, own in refs]
+    got = {}
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        got.setdefault(r["doc_id"], []).append((r["score"], r["evidence"]))
+    for i, own in words[:1000:20] + words[-5:]:
+        v = vector(own)
+        want = sorted((sum(x * d.get(w, 0.0) for w, x in v.items()) for d in index), reverse=True)
+        want = [x for x in want if x > 0][: toxicity.K]
+        assert len(set(got[i])) == 1
+        near = [float(x.split(":")[2]) for x in got[i][0][1].split(",") if x]
+        assert len(near) == len(want) and np.allclose(near, want, atol=1e-4)
+
+
 def test_quality_of_held_out_documents(more):
     docs, labels = more
     rows = quality_model.score_quality(docs, labels).collect()
