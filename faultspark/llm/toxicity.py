@@ -38,7 +38,7 @@ from faultspark.functions.iterate import cut_lineage
 from .labelled import held_out, labelled_sample
 from .vector_text import chunks, folded_words, ranges, small
 
-REFERENCES, CALIBRATE = 2048, 4096
+REFERENCES, CALIBRATE = 6144, 8192
 K, SOFT, PRIOR = 16, 0.2, 1.0
 #: Examples in a block, texts multiplied at once, and columns of the matrix at most (words in a 32nd of the examples).
 BLOCK, TOGETHER, COLUMNS, COMMON = 64, 64, 1024, 32

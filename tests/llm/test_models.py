@@ -95,6 +95,13 @@ def test_neighbours_are_those_of_all_words(more):
         assert len(near) == len(want) and np.allclose(near, want, atol=1e-4)
 
 
+def test_size_of_the_samples(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "'one' AS text")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    n = {r["fit"]: r["count"] for r in labelled.labelled_sample(docs, marks, "toxic", toxicity.REFERENCES, toxicity.CALIBRATE, balanced=True).groupBy("fit").count().collect()}
+    assert abs(n[True] - 6144) < 300 and abs(n[False] - 8192) < 400
+
+
 def test_quality_of_held_out_documents(more):
     docs, labels = more
     rows = quality_model.score_quality(docs, labels).collect()
