@@ -58,16 +58,21 @@ def local_surrogate(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sc
     p = len(scale)
     width = 0.75 * np.sqrt(p)
 
+    def noise(rid):
+        # drawn again where it is needed: only scores are dealt out
+        z = np.random.default_rng([seed, int(rid)]).standard_normal((n, p))
+        z[0] = 0.0
+        return z
+
     def perturb(it):
         s = np.array(scale, dtype=float)
         for pdf in it:
             for rid, x in zip(pdf["id"], pdf["x"]):
-                z = np.random.default_rng([seed, int(rid)]).standard_normal((n, p))
-                z[0] = 0.0
-                yield pd.DataFrame({"id": rid, "z": list(z), "x": list(np.asarray(x) + z * s)})
+                yield pd.DataFrame({"id": rid, "j": np.arange(n, dtype=np.int32), "x": list(np.asarray(x) + noise(rid) * s)})
 
     def fit(pdf):
-        z = np.stack(pdf["z"].to_numpy())
+        pdf = pdf.sort_values("j")
+        z = noise(pdf["id"].iloc[0])[pdf["j"].to_numpy()]
         y = pdf["score"].to_numpy()
         w = np.exp(-((z**2).sum(1)) / width**2)
         zc, yc = z - np.average(z, axis=0, weights=w), y - np.average(y, weights=w)
@@ -76,8 +81,8 @@ def local_surrogate(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sc
         return pd.DataFrame({"id": int(pdf["id"].iloc[0]), "feature": keep.astype("int32"), "value": coef[keep]})
 
     src = rows.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
-    e = src.mapInPandas(perturb, "id bigint, z array<double>, x array<double>")
-    s = score(e).select("id", "z", "score")
+    e = src.mapInPandas(perturb, "id bigint, j int, x array<double>")
+    s = score(e).select("id", "j", "score")
     return s.groupBy("id").applyInPandas(fit, "id bigint, feature int, value double")  # n points per row
 
 

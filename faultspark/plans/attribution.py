@@ -65,17 +65,17 @@ def tanh_score(weights):
     return score
 
 
-def short_vectors(t, p=8):
-    return vectors(t).select("vec_id", F.slice("x", 1, p).alias("x"))
+#: One for each of the 64 dimensions.
+WEIGHTS = [0.5, -1.0, 0.3, 0.0, 0.8, 0.1, -0.4, 0.2] * 8
 
 
 @query("sampled_shapley", "K2")
 def _(t):
-    d = K.sampled_shapley(short_vectors(t), tanh_score([0.5, -1.0, 0.3, 0.0, 0.8, 0.1, -0.4, 0.2]), [0.0] * 8, "vec_id", n_perm=4)
+    d = K.sampled_shapley(vectors(t), tanh_score(WEIGHTS), [0.0] * 64, "vec_id")
     return rounded(d)
 
 
 @query("local_surrogate", "K3")
 def _(t):
-    d = K.local_surrogate(short_vectors(t), tanh_score([0.5, -1.0, 0.3, 0.0, 0.8, 0.1, -0.4, 0.2]), [0.1] * 8, "vec_id", n=64, top=5)
+    d = K.local_surrogate(vectors(t), tanh_score(WEIGHTS), [0.1] * 64, "vec_id")
     return rounded(d)

@@ -96,8 +96,8 @@ def _(t):
 
 @query("balanced_selection", "I8")
 def _(t):
-    d = vectors(t).withColumn("x", F.slice("x", 1, 6)).withColumn("category", F.when(F.col("label") < 5, "a").otherwise("b"))
-    return rounded(I.balanced_selection(d, "category", range(2, 4), n_init=1))
+    d = vectors(t).withColumn("category", F.when(F.col("label") < 5, "a").otherwise("b"))
+    return rounded(I.balanced_selection(d, "category"))
 
 
 @query("subspace_clustering", "I9")

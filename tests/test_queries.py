@@ -2,7 +2,9 @@
 
 import pytest
 
+from faultspark.operators import clustering
 from faultspark.plans import load_all
+from faultspark.plans.registry import Tables
 from tests.compare import check
 from tests.conftest import FOLDER
 
@@ -30,6 +32,18 @@ def test_gives_rows(spark, duck, name):
     assert n > 0 and error is None
 
 
+def test_vectors_are_whole(spark, duck, monkeypatch):
+    t = Tables(spark, FOLDER)
+    n = t.embeddings.count()
+    assert QUERIES["sampled_shapley"].build(t).count() == 64 * n
+    assert {r["count"] for r in QUERIES["local_surrogate"].build(t).groupBy("id").count().collect()} == {20}
+    seen = []
+    monkeypatch.setattr(clustering, "balanced_selection", lambda d, *a, **k: seen.append((d.first()["x"], a, k)) or d.selectExpr("1 AS x"))
+    QUERIES["balanced_selection"].build(t)
+    (x, a, k), = seen
+    assert len(x) == 64 and a == ("category",) and not k
+
+
 def test_every_survey_group_is_registered():
     codes = {q.code for q in QUERIES.values()}
     expected = {"A": 10, "B": 15, "C": 34, "D": 14, "E": 10, "F": 15, "G": 13, "H": 13, "I": 11, "J": 4, "K": 6, "L": 8, "N": 5, "O": 9, "P": 19}
