@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.iterate import cut_lineage
 from . import series as S
 from .kernels import highpass, peak_count, spectral_features
 
@@ -28,7 +29,8 @@ def extract_features(samples: DataFrame, roles: dict[str, str], meta: DataFrame
     trig = S.find_trigger(axis, ev)
     base = samples.select(*keys, "idx", "t_us", "value")
     if filtered:
-        base = highpass(base, keys=keys).withColumnRenamed("filtered", "value")
+        # filtered once: every feature group below reads it
+        base = cut_lineage(highpass(base, keys=keys).withColumnRenamed("filtered", "value"))
     z = S.zscore(base, keys).select(*keys, "idx", F.col("value").alias("raw"), F.col("z").alias("value"))
     per_channel = trig.join(samples.select(*keys).distinct(), event)
     scale = window / S.PRECURSOR_SAMPLES

@@ -377,14 +377,14 @@ def _(t):
 def _(t):
     from ..operators import kernels as N
 
-    return rounded(N.highpass(samples(t), 0.2))
+    return rounded(N.highpass(samples(t)))
 
 
 @query("highpass_zero_phase", "C10")
 def _(t):
     from ..operators import kernels as N
 
-    return rounded(N.highpass_zero_phase(samples(t), 0.2))
+    return rounded(N.highpass_zero_phase(samples(t), 0.01))
 
 
 @query("spectral_features", "C22")
@@ -402,5 +402,5 @@ def _(t):
     two = s.select("series_id", "idx", "t_us", F.explode(F.array(
         F.struct(F.lit("a").alias("channel"), F.col("value")), F.struct(F.lit("b").alias("channel"), F.col("second").alias("value")))).alias("p")).select("series_id", "p.channel", "idx", "t_us", "p.value")
     meta = t.events.groupBy(F.col("user_id").alias("series_id")).agg(F.count(F.lit(1)).alias("n")).select("series_id", F.create_map(F.lit("NROW"), F.col("n").cast("string")).alias("header"))
-    d = extract_features(two, {"cavity": "a", "phase": "b", "forward": "a", "reflected": "b", "amplifier": "a", "modulator_amplitude": "a", "modulator_phase": "b"}, meta, window=PRE, ref_dt=REF_DT, min_pre=20, filtered=False)
+    d = extract_features(two, {"cavity": "a", "phase": "b", "forward": "a", "reflected": "b", "amplifier": "a", "modulator_amplitude": "a", "modulator_phase": "b"}, meta, window=PRE, ref_dt=REF_DT, min_pre=20)
     return rounded(d, 4)

@@ -1,8 +1,9 @@
 """Every query with SQL gives the same rows as DuckDB; the others give rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from faultspark.operators import clustering
+from faultspark.operators import clustering, extraction, kernels
 from faultspark.plans import load_all
 from faultspark.plans.registry import Tables
 from tests.compare import check
@@ -44,6 +45,20 @@ def test_vectors_are_whole(spark, duck, monkeypatch):
     assert len(x) == 64 and a == ("category",) and not k
 
 
+def test_filters_at_their_own_cutoff(spark, monkeypatch):
+    t = Tables(spark, FOLDER)
+    cut = []
+    fake = lambda d, *a, **k: cut.append((a, k)) or d.select(*k["keys"], "idx", F.col("value").alias("filtered"))
+    monkeypatch.setattr(kernels, "butterworth_highpass", lambda order, cutoff, f=kernels.butterworth_highpass: cut.append((order, cutoff)) or f(order, cutoff))
+    QUERIES["highpass"].build(t)
+    QUERIES["highpass_zero_phase"].build(t)
+    assert cut == [(4, 0.01), (1, 0.01)]
+    cut.clear()
+    monkeypatch.setattr(extraction, "highpass", fake)
+    QUERIES["extract_features"].build(t)
+    assert cut == [((), {"keys": ["series_id", "channel"]})]
+
+
 def test_every_survey_group_is_registered():
     codes = {q.code for q in QUERIES.values()}
     expected = {"A": 10, "B": 15, "C": 34, "D": 14, "E": 10, "F": 15, "G": 13, "H": 13, "I": 11, "J": 4, "K": 6, "L": 8, "N": 5, "O": 9, "P": 19}
