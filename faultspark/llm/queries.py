@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultspark.functions.exprs import rnd
 
-from . import fingerprints, line_dedup, mixing, near_join, packing, quality_model, quality_rules, token_files, toxicity, url_reputation
+from . import conversation_trie, exact_topk, fingerprints, line_dedup, mixing, near_join, packing, quality_model, quality_rules, spelling, token_files, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,21 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d", "t", "first")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_mix_sources, op5_token_files, op6_quality_model,
-    op7_url_reputation, op8_quality_rules, op9_line_dedup, op10_near_join)}
+    op7_url_reputation, op8_quality_rules, op9_line_dedup, op10_near_join, op11_conversation_trie, op12_exact_topk, op13_spelling_variants)}
 
-ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_reputation": url_reputation.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_reputation": url_reputation.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL,
+                           "op11_conversation_trie": conversation_trie.SQL, "op12_exact_topk": exact_topk.SQL, "op13_spelling_variants": spelling.SQL}
