@@ -79,7 +79,7 @@ def edited_words(docs: DataFrame, shortest: int = SHORTEST, one_in: int = EDITED
 def halves(words: DataFrame) -> DataFrame:
     """(m, side, key, word, n): for each word its half keys; side 0 is the front."""
     size = F.length("word")
-    m = F.explode(F.when(size > 1, F.array(size, size - 1)).otherwise(F.array(size))).alias("m")
+    m = F.explode(F.when(size > 0, F.array(size, size - 1)).otherwise(F.array(size))).alias("m")
     d = words.select("word", "n", m)
     front = F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), "m", F.expr("substring(word, 1, m div 2)")).alias("key"))
     back = F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(1), "m", F.expr("right(word, m - m div 2)")).alias("key"))
