@@ -139,17 +139,25 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """
 
     def tile_rows(rows: pd.DataFrame) -> pa.RecordBatch:
-        """The near words of whole tiles."""
-        out = []
+        """For each row of whole tiles that has near words their number and the best."""
+        cols: list[list] = [[], [], [], []]
         for m, part in rows.groupby("m", sort=False):
             groups = part.groupby(["side", "key", "i", "j"], sort=False).ngroup().to_numpy()
-            n, texts = part["n"].to_numpy(), part["word"].to_numpy()
+            n, texts = part["n"].to_numpy(), part["word"].to_numpy(dtype=object)
             p, q = compare(list(texts), groups, part["own"].to_numpy(), (part["i"] != part["j"]).to_numpy(), part["side"].to_numpy(), int(m))
+            if not len(p):
+                continue
             one, other = np.concatenate([p, q]), np.concatenate([q, p])
-            out.append(pd.DataFrame({"word": texts[one], "most": n[other], "name": texts[other]}))
-        near = pd.concat(out).sort_values(["word", "most", "name"], ascending=[True, False, True])
-        got = near.groupby("word", sort=False).agg(n_near=("word", "size"), most=("most", "first"), name=("name", "first")).reset_index()
-        return pa.RecordBatch.from_arrays([pa.array(got["word"], pa.string()), pa.array(got["n_near"], pa.int64()), pa.array(got["most"], pa.int64()), pa.array(got["name"], pa.string())], ["word", "n_near", "most", "name"])
+            met = np.unique(other)
+            rank = np.empty(len(texts), np.int64)
+            rank[met[np.argsort(texts[met], kind="stable")]] = np.arange(len(met))
+            order = np.lexsort((rank[other], -n[other], one))
+            one, other = one[order], other[order]
+            at = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+            for out, new in zip(cols, (texts[one[at]], np.diff(np.r_[at, len(one)]), n[other[at]], texts[other[at]])):
+                out.extend(new.tolist())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "n_near", "most", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pd.DataFrame | None = None
