@@ -6,9 +6,10 @@ documents; their document frequencies come from one map-side-combined aggregatio
 are (1 + ln tf) * idf * factor over every word, of length 1; similarity is the cosine. The
 factor is the chi-squared by which a word tells the classes of the index apart, 1 at least:
 no word is left out, but those of one class decide which examples are near. The index holds
-the examples' whole vectors: the most frequent words as columns of a matrix, so that many
-texts are multiplied at once, the others as postings. The best K come from the blocks of
-examples whose largest product can be among them, so they are exact. They vote with weight
+the examples' whole vectors in blocks of like ones: the most frequent words as a matrix a
+block with the largest weight of each word, the others as postings. A block is looked at
+only if those largest weights let one of its examples be among the best K, which are so
+exact. They vote with weight
 1 / (distance + SOFT), against a prior of weight PRIOR; a logistic curve fitted on the second
 sample turns the vote into a probability. The neighbours are the evidence.
 
@@ -27,11 +28,11 @@ alike; an empty table gives an empty table; columns other than doc_id and text a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultspark.functions.iterate import cut_lineage
 
@@ -40,29 +41,58 @@ from .vector_text import chunks, folded_words, ranges, small
 
 REFERENCES, CALIBRATE = 6144, 8192
 K, SOFT, PRIOR = 16, 0.2, 1.0
-#: Examples in a block, texts multiplied at once, and columns of the matrix at most (words in a 32nd of the examples).
-BLOCK, TOGETHER, COLUMNS, COMMON = 64, 64, 1024, 32
+#: Examples in a block, texts searched at once, and terms in the blocks' matrices at most (words in a 32nd of the examples).
+BLOCK, TOGETHER, COLUMNS, COMMON = 16, 64, 1024, 32
+#: Products closer than this may be the same.
+NEAR = 1e-8
 #: Words that a task gathers before it hands their counts on.
 GATHER = 1 << 21
 THRESHOLD = 0.7
 
 
 class BlockMaxIndex:
-    """Inverted index over vectors of length 1; frequent terms are columns of a matrix."""
+    """Block-max inverted index over vectors of length 1.
+
+    Examples are numbered anew, like ones together, and cut into blocks. Frequent terms keep
+    their weights as one small matrix for each block and the largest of them for each term
+    and block; the other terms are postings. For a query the largest weights give a bound of
+    its products with any example of a block, and only blocks whose bound reaches the k-th
+    product found so far are looked at, those of the largest bounds first.
+    """
 
     def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, block: int = BLOCK):
+        # like examples: those with the same heaviest term, then by number
+        heaviest = np.full(n_docs, n_terms)
+        order = np.lexsort((terms, -weights, docs))
+        first = np.ones(len(order), bool)
+        first[1:] = docs[order][1:] != docs[order][:-1]
+        heaviest[docs[order][first]] = terms[order][first]
+        self.number = np.lexsort((np.arange(n_docs), heaviest))  # of each place
+        place = np.empty(n_docs, np.int64)
+        place[self.number] = np.arange(n_docs)
+        docs = place[docs]
         order = np.lexsort((docs, terms))
         self.doc, self.weight, self.n_docs, self.block = docs[order], weights[order].astype(np.float64), n_docs, block
+        self.n_blocks = -(-n_docs // block)
         self.at = np.searchsorted(terms[order], np.arange(n_terms + 1))
         size = np.diff(self.at)
         common = np.argsort(-size, kind="stable")[:COLUMNS]
         self.common = common[size[common] * COMMON >= max(n_docs, 1)]
         self.column = np.full(n_terms, -1)
         self.column[self.common] = np.arange(len(self.common))
-        self.matrix = None
+        self.blocks = self.most = None
+        self.seen = self.skipped = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"matrix": None}
+        return self.__dict__ | {"blocks": None, "most": None}
+
+    def _open(self) -> None:
+        """Weights as (block, term, example of the block), and the largest of each block and term."""
+        self.blocks = np.zeros((self.n_blocks, len(self.common), self.block))
+        for c, t in enumerate(self.common):
+            d = self.doc[self.at[t] : self.at[t + 1]]
+            self.blocks[d // self.block, c, d % self.block] = self.weight[self.at[t] : self.at[t + 1]]
+        self.most = self.blocks.max(axis=2, initial=0.0).T.copy()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest inner product over 0, ties by number, and the products."""
@@ -70,32 +100,60 @@ class BlockMaxIndex:
 
     def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` for each of many vectors."""
-        if self.matrix is None:
-            self.matrix = np.zeros((len(self.common), self.n_docs))
-            for c, t in enumerate(self.common):
-                self.matrix[c, self.doc[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+        if self.blocks is None:
+            self._open()
         for a in range(0, len(queries), TOGETHER):
-            part = queries[a : a + TOGETHER]
-            q = np.zeros((len(part), len(self.common)))
-            for i, (t, w) in enumerate(part):
-                c = self.column[t]
-                q[i, c[c >= 0]] = w[c >= 0]
-            score = q @ self.matrix
-            for own, (t, w) in zip(score, part):
-                rare = self.column[t] < 0
-                t, w = t[rare], w[rare]
-                n = self.at[t + 1] - self.at[t]
-                p = ranges(self.at[t], n)
-                own += np.bincount(self.doc[p], np.repeat(w, n) * self.weight[p], self.n_docs)
-                yield self._best(np.round(own, 9), k)
-
-    def _best(self, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        top = np.maximum.reduceat(score, np.arange(0, len(score), self.block)) if len(score) else score
-        # k blocks reach the floor, so k examples do
-        floor = np.partition(top, -k)[-k] if len(top) >= k else 0.0
-        found = np.flatnonzero((score >= floor) & (score > 0))
-        found = found[np.lexsort((found, -score[found]))][:k]
-        return found, score[found]
+            yield from self._search(queries[a : a + TOGETHER], k)
+
+    def _search(self, part: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, width = len(part), self.n_blocks * self.block
+        q, score = np.zeros((n, len(self.common))), np.zeros((n, width))
+        for i, (t, w) in enumerate(part):
+            c = self.column[t]
+            q[i, c[c >= 0]] = w[c >= 0]
+            t, w = t[c < 0], w[c < 0]
+            size = self.at[t + 1] - self.at[t]
+            p = ranges(self.at[t], size)
+            score[i] = np.bincount(self.doc[p], np.repeat(w, size) * self.weight[p], width)
+        # postings count in full, so of these the bound is the largest sum of a block
+        bound = q @ self.most + score.reshape(n, self.n_blocks, self.block).max(axis=2, initial=0.0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        ranked = np.take_along_axis(bound, order, axis=1)
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * n
+        kth, done = np.zeros(n), np.zeros(n, np.int64)
+        step = -(-k // self.block) + 1
+        while True:
+            # blocks that can still hold one of the k, the next few of each query
+            reach = np.minimum((ranked >= np.maximum(kth - NEAR, NEAR)[:, None]).sum(axis=1), done + step)
+            count = np.maximum(reach - done, 0)
+            if not count.any():
+                break
+            who = np.repeat(np.arange(n), count)
+            which = order[who, ranges(done, count)]
+            by = np.argsort(which, kind="stable")
+            who, which = who[by], which[by]
+            got = np.empty((len(who), self.block))
+            cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                b = which[lo]
+                got[lo:hi] = q[who[lo:hi]] @ self.blocks[b] + score[who[lo:hi], b * self.block : (b + 1) * self.block]
+            got = np.round(got, 9)
+            own = np.argsort(who, kind="stable")
+            edges = np.searchsorted(who[own], np.arange(n + 1))
+            for i in np.flatnonzero(count):
+                rows = own[edges[i] : edges[i + 1]]
+                at = (which[rows, None] * self.block + np.arange(self.block)).ravel()
+                s = got[rows].ravel()
+                keep = s > 0
+                at, s = np.concatenate([found[i][0], self.number[at[keep]]]), np.concatenate([found[i][1], s[keep]])
+                best = np.lexsort((at, -s))[:k]
+                found[i] = at[best], s[best]
+                kth[i] = s[best[-1]] if len(best) == k else 0.0
+            done += count
+            step *= 4
+        self.seen += int(done.sum())
+        self.skipped += n * self.n_blocks - int(done.sum())
+        yield from found
 
 
 def text_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,10 +199,10 @@ def inverse(n: int, df: np.ndarray) -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 1
 
 
-def weighted(texts: list[str], terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text the places of its words in the sorted ``terms`` with their weights, and
-    the hashes of its other words with the factors of their frequencies in the text."""
-    for h, n in text_words(texts):
+def weighted(words: Iterable[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the words of each text the places of those in the sorted ``terms`` with their weights,
+    and the hashes of the others with the factors of their frequencies in the text."""
+    for h, n in words:
         at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
         hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
         tf = 1 + np.log(n)
@@ -161,9 +219,10 @@ def chi_squared(places: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.nda
 class ToxicityModel:
     """The index with its labels, and the calibration."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, names: list[int], texts: list[str], y: list[int], prior: float):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, names: list[int], words: list[tuple[np.ndarray, np.ndarray]], y: list[int], prior: float):
+        """``words`` are the sorted hashes of an example's words and how often each is in it."""
         self.terms, self.names, self.y, self.prior = terms, np.array(names, object), np.array(y, np.float64), prior
-        rows = [(at, w) for at, w, _, _ in weighted(texts, terms, idf)]
+        rows = [(at, w) for at, w, _, _ in weighted(words, terms, idf)]
         factor = np.maximum(1.0, chi_squared([at for at, _ in rows], self.y, len(terms)))
         self.idf = idf * factor
         rows = [(at, w * factor[at] / max(np.linalg.norm(w * factor[at]), 1e-12)) for at, w in rows]
@@ -175,7 +234,7 @@ class ToxicityModel:
     def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """The neighbours with the products of their vectors and the text's, and its squared length by known words."""
         for a in range(0, len(texts), TOGETHER):
-            rows = [(at, w) for at, w, _, _ in weighted(texts[a : a + TOGETHER], self.terms, self.idf)]
+            rows = [(at, w) for at, w, _, _ in weighted(text_words(texts[a : a + TOGETHER]), self.terms, self.idf)]
             for (_, w), (found, dot) in zip(rows, self.index.nearest_of_all(rows, K)):
                 yield found, dot, float((w * w).sum())
 
@@ -184,11 +243,11 @@ class ToxicityModel:
         v = 1.0 / (1.0 - np.minimum(near, 1.0) + SOFT)
         return float(((v * self.y[found]).sum() + PRIOR * self.prior) / (v.sum() + PRIOR))
 
-    def calibrate(self, texts: list[str], y: list[int]) -> None:
+    def calibrate(self, votes: list[float], y: list[int]) -> None:
         """Logistic curve over the logit of the vote, by Newton steps; ridge 1e-3."""
         if len(set(y)) < 2:
             return
-        x = np.array([self.logit(self.vote(found, dot / np.sqrt(max(size, 1e-12)))) for found, dot, size in self.nearest(texts)])
+        x = np.array([self.logit(v) for v in votes])
         a, t, b = np.stack([x, np.ones_like(x)], 1), np.array(y, np.float64), np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -203,39 +262,62 @@ class ToxicityModel:
         v = min(max(v, 1e-4), 1 - 1e-4)
         return float(np.log(v / (1 - v)))
 
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(vote) + self.shift, -30, 30))))
+    def score(self, vote: Column) -> Column:
+        v = F.least(F.greatest(vote, F.lit(1e-4)), F.lit(1 - 1e-4))
+        x = F.lit(self.slope) * F.log(v / (1 - v)) + F.lit(self.shift)
+        return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))
 
 
 def words_of(sample: DataFrame) -> DataFrame:
-    """(term): the distinct words of the sampled documents."""
+    """(doc_id, y, h, n): the words of sampled documents as packed hashes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = [h for h, _ in text_words(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))] if found else [pa.array([], pa.int64())], ["term"])
+            found = list(text_words(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["doc_id", "y", "h", "n"])
+
+    kind = dict(sample.dtypes)["doc_id"]
+    return sample.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, h binary, n binary")
+
+
+def frequencies_of(words: DataFrame, df: DataFrame) -> pa.Table:
+    """(term, n) of the distinct words of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)))], ["term"])
 
-    return sample.select("text").mapInArrow(run, "term bigint").distinct()
+    terms = words.select("h").mapInArrow(run, "term bigint").distinct()
+    return terms.join(df, "term", "left").select("term", F.coalesce("n", F.lit(1)).alias("n")).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[ToxicityModel | float, DataFrame | None, int]:
     """A model, or the labels' mean where there are not two classes to tell apart; the words in
-    more than one document with their numbers of documents; and how many documents there are."""
+    more than one document with their numbers of documents; and how many documents there are.
+
+    Of the examples the driver gets words and counts, of the other sample the votes.
+    """
     sample = cut_lineage(labelled_sample(docs, labels, label, REFERENCES, CALIBRATE, balanced=True))
-    # both samples are bounded by parameters
-    rows = sample.select("doc_id", "text", "y", "fit").orderBy("doc_id", "text").collect()
-    ref, other = [r for r in rows if r["fit"]], [r for r in rows if not r["fit"]]
-    mean = float(np.mean([r["y"] for r in other or rows])) if rows else 0.0
-    if len({r["y"] for r in ref}) < 2:
+    count = {(r["fit"], r["y"]): r["n"] for r in sample.groupBy("fit", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda fits: {y: n for (f, y), n in count.items() if f == fits}
+    base = of(False) or of(True)
+    mean = base.get(1, 0) / sum(base.values()) if base else 0.0
+    if len(of(True)) < 2:
         return mean, None, 0
     df = cut_lineage(document_frequencies(docs).filter("n > 1 OR term IS NULL"))
     n = df.filter("term IS NULL").first()["n"]
     df = df.filter("term IS NOT NULL")
-    known = words_of(sample).join(df, "term", "left").select("term", F.coalesce("n", F.lit(1)).alias("n")).toArrow()
-    terms, count = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
+    examples = cut_lineage(words_of(sample.filter("fit")))
+    known = frequencies_of(examples, df)
+    terms, counted = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(terms)
-    model = ToxicityModel(terms[order], inverse(n, count[order]), [r["doc_id"] for r in ref], [r["text"] for r in ref], [r["y"] for r in ref], mean)
-    model.calibrate([r["text"] for r in other], [r["y"] for r in other])
+    rows = examples.orderBy("doc_id", "h").toArrow().to_pylist()  # bounded by REFERENCES
+    words = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)) for r in rows]
+    model = ToxicityModel(terms[order], inverse(n, counted[order]), [r["doc_id"] for r in rows], words, [r["y"] for r in rows], mean)
+    if of(False):
+        others = sample.filter("NOT fit")
+        known_votes = votes(others.select("doc_id", "text", "y"), model, df, n, ["y"]).select("vote", "y").collect()  # bounded by CALIBRATE
+        model.calibrate([r["vote"] for r in known_votes], [r["y"] for r in known_votes])
     return model, df, n
 
 
@@ -243,29 +325,24 @@ def name_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence): evidence lists neighbours as
-    "doc_id:label:similarity", nearest first."""
-    docs = docs.select("doc_id", "text")
-    model, df, n = fit(docs, labels, label)
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    if isinstance(model, float):
-        return rows.select("doc_id", "held_out", F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"), F.lit("").alias("evidence"))
+def votes(docs: DataFrame, model: ToxicityModel, df: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """(keep..., vote, evidence) of every text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = ", ".join(f"`{c}` {k}" for c, k in docs.select(*keep).dtypes)
+    m = len(keep)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(m).to_pylist()]
             found, dot, size = zip(*shared.value.nearest(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([name_of(t) for t in texts], pa.int64()), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
-                 pa.array([d.tolist() for d in dot], pa.list_(pa.float64())), pa.array(size, pa.float64())], ["doc_id", "held_out", "key", "found", "dot", "size"])
+                [*batch.columns[:m], pa.array([name_of(t) for t in texts], pa.int64()), pa.array([f.tolist() for f in found], pa.list_(pa.int32())),
+                 pa.array([d.tolist() for d in dot], pa.list_(pa.float64())), pa.array(size, pa.float64())], [*keep, "key", "found", "dot", "size"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            parts = [(name_of(t), h, tf) for t, (_, _, h, tf) in zip(texts, weighted(texts, shared.value.terms, shared.value.idf)) if len(h)]
+            parts = [(name_of(t), h, tf) for t, (_, _, h, tf) in zip(texts, weighted(text_words(texts), shared.value.terms, shared.value.idf)) if len(h)]
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)),
@@ -274,19 +351,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in small(batches):
-            scores, told = [], []
-            for found, dot, size in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            given, told = [], []
+            for found, dot, size in zip(*(batch.column(m + i).to_pylist() for i in range(3))):
                 found, near = np.array(found, np.int64), np.array(dot) / np.sqrt(max(size, 1e-12))
-                scores.append(model.score(model.vote(found, near)))
+                given.append(model.vote(found, near))
                 told.append(",".join(f"{model.names[i]}:{int(model.y[i])}:{s:.4f}" for i, s in zip(found, near)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(told, pa.string())],
-                ["doc_id", "held_out", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:m], pa.array(given, pa.float64()), pa.array(told, pa.string())], [*keep, "vote", "evidence"])
 
-    found = rows.mapInArrow(search, f"doc_id {kind}, held_out boolean, key bigint, found array<int>, dot array<double>, size double")
+    found = docs.select(*keep, "text").mapInArrow(search, f"{kept}, key bigint, found array<int>, dot array<double>, size double")
     # a text's other words once, however often the text is there
     idf = F.log(F.lit(1.0 + n) / (1 + F.coalesce("n", F.lit(1)))) + 1
     extra = docs.select("text").mapInArrow(others, "key bigint, term bigint, tf double").groupBy("key", "term").agg(F.first("tf").alias("tf"))
     extra = extra.join(df, "term", "left").groupBy("key").agg(F.round(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))), 9).alias("rest"))
-    both = found.join(extra, "key", "left").select("doc_id", "held_out", "found", "dot", (F.col("size") + F.coalesce("rest", F.lit(0.0))).alias("size"))
-    return both.mapInArrow(vote, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence string")
+    both = found.join(extra, "key", "left").select(*keep, "found", "dot", (F.col("size") + F.coalesce("rest", F.lit(0.0))).alias("size"))
+    return both.mapInArrow(vote, f"{kept}, vote double, evidence string")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence): evidence lists neighbours as
+    "doc_id:label:similarity", nearest first."""
+    docs = docs.select("doc_id", "text")
+    model, df, n = fit(docs, labels, label)
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    if isinstance(model, float):
+        return rows.select("doc_id", "held_out", F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"), F.lit("").alias("evidence"))
+    scored = votes(rows, model, df, n, ["doc_id", "held_out"]).withColumn("score", model.score(F.col("vote")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -35,6 +35,28 @@ def test_nearest_are_those_of_all_cosines():
             assert np.allclose(near, want) and np.allclose(all_[found], want)
 
 
+def test_blocks_that_cannot_matter_are_skipped():
+    """Examples of twelve topics: the bounds leave out most blocks, and the nearest are those of all cosines."""
+    rng = np.random.default_rng(8)
+    n_terms, n_docs = 240, 3000
+    topic = rng.integers(0, 12, n_docs)
+    dense = np.where(rng.random((n_docs, n_terms)) < 0.05, rng.random((n_docs, n_terms)), 0.0)
+    for d in range(n_docs):
+        dense[d, topic[d] * 20 + rng.choice(20, 6, replace=False)] += 4.0
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    doc, term = np.nonzero(dense)
+    for columns in (0, 100, 240):  # postings only, both, matrices only
+        index = toxicity.BlockMaxIndex(doc, term, dense[doc, term], n_docs, n_terms)
+        index.common = np.argsort(-np.diff(index.at), kind="stable")[:columns]
+        index.column[:] = -1
+        index.column[index.common] = np.arange(columns)
+        queries = [dense[i] for i in range(0, n_docs, 30)]
+        for q, (found, near) in zip(queries, index.nearest_of_all([(np.flatnonzero(q), q[q > 0]) for q in queries], 16)):
+            want = sorted(((-round(s, 9), i) for i, s in enumerate(dense @ q) if s > 0))[:16]
+            assert [i for _, i in want] == found.tolist() and np.allclose([-s for s, _ in want], near)
+        assert index.seen + index.skipped == 100 * index.n_blocks and index.skipped > 0.7 * 100 * index.n_blocks
+
+
 def measure(rows, labels, label):
     truth = {r["doc_id"]: r[label] for r in labels.collect()}
     y, p, s = (np.array(x) for x in zip(*[(truth[r["doc_id"]], r["predicted"], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in truth]))
