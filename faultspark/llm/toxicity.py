@@ -42,9 +42,9 @@ from .vector_text import chunks, folded_words, ranges, small
 REFERENCES, CALIBRATE = 6144, 8192
 K, SOFT, PRIOR = 16, 0.2, 1.0
 #: Examples in a block, texts searched at once, and terms in the blocks' matrices at most (words in a 32nd of the examples).
-BLOCK, TOGETHER, COLUMNS, COMMON = 16, 64, 1024, 32
-#: Products closer than this may be the same.
-NEAR = 1e-8
+BLOCK, TOGETHER, COLUMNS, COMMON = 16, 256, 512, 32
+#: Blocks looked at first, besides those that k examples fill; products closer than NEAR may be the same.
+AHEAD, NEAR = 6, 1e-8
 #: Words that a task gathers before it hands their counts on.
 GATHER = 1 << 21
 THRESHOLD = 0.7
@@ -56,11 +56,12 @@ class BlockMaxIndex:
     Examples are numbered anew, like ones together, and cut into blocks. Frequent terms keep
     their weights as one small matrix for each block and the largest of them for each term
     and block; the other terms are postings. For a query the largest weights give a bound of
-    its products with any example of a block, and only blocks whose bound reaches the k-th
-    product found so far are looked at, those of the largest bounds first.
+    its products with any example of a block. The few blocks of the largest bounds are looked
+    at first, then those whose bound reaches the k-th product found, and no others.
     """
 
-    def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, block: int = BLOCK):
+    def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, block: int | None = None):
+        block = block or BLOCK
         # like examples: those with the same heaviest term, then by number
         heaviest = np.full(n_docs, n_terms)
         order = np.lexsort((terms, -weights, docs))
@@ -117,43 +118,48 @@ class BlockMaxIndex:
             score[i] = np.bincount(self.doc[p], np.repeat(w, size) * self.weight[p], width)
         # postings count in full, so of these the bound is the largest sum of a block
         bound = q @ self.most + score.reshape(n, self.n_blocks, self.block).max(axis=2, initial=0.0)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        ranked = np.take_along_axis(bound, order, axis=1)
-        found = [(np.zeros(0, np.int64), np.zeros(0))] * n
-        kth, done = np.zeros(n), np.zeros(n, np.int64)
-        step = -(-k // self.block) + 1
-        while True:
-            # blocks that can still hold one of the k, the next few of each query
-            reach = np.minimum((ranked >= np.maximum(kth - NEAR, NEAR)[:, None]).sum(axis=1), done + step)
-            count = np.maximum(reach - done, 0)
-            if not count.any():
-                break
-            who = np.repeat(np.arange(n), count)
-            which = order[who, ranges(done, count)]
-            by = np.argsort(which, kind="stable")
-            who, which = who[by], which[by]
-            got = np.empty((len(who), self.block))
-            cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                b = which[lo]
-                got[lo:hi] = q[who[lo:hi]] @ self.blocks[b] + score[who[lo:hi], b * self.block : (b + 1) * self.block]
-            got = np.round(got, 9)
-            own = np.argsort(who, kind="stable")
-            edges = np.searchsorted(who[own], np.arange(n + 1))
-            for i in np.flatnonzero(count):
-                rows = own[edges[i] : edges[i + 1]]
-                at = (which[rows, None] * self.block + np.arange(self.block)).ravel()
-                s = got[rows].ravel()
-                keep = s > 0
-                at, s = np.concatenate([found[i][0], self.number[at[keep]]]), np.concatenate([found[i][1], s[keep]])
-                best = np.lexsort((at, -s))[:k]
-                found[i] = at[best], s[best]
-                kth[i] = s[best[-1]] if len(best) == k else 0.0
-            done += count
-            step *= 4
-        self.seen += int(done.sum())
-        self.skipped += n * self.n_blocks - int(done.sum())
-        yield from found
+        ahead = -(-k // self.block) + AHEAD
+        first = np.argpartition(-bound, ahead, axis=1)[:, :ahead] if ahead < self.n_blocks else np.broadcast_to(np.arange(self.n_blocks), bound.shape)
+        seen = np.zeros(bound.shape, bool)
+        np.put_along_axis(seen, first, True, axis=1)
+        who, at, product = self._look(q, score, seen & (bound >= NEAR), np.zeros(n), k)
+        # the others that can still hold one of the k
+        kth = np.zeros(n)
+        count = np.bincount(who, minlength=n)
+        full = count == k
+        kth[full] = product[np.cumsum(count)[full] - 1]
+        more = ~seen & (bound >= np.maximum(kth - NEAR, NEAR)[:, None])
+        self.seen += int((seen | more).sum())
+        self.skipped += int((~seen & ~more).sum())
+        if more.any():
+            rest = self._look(q, score, more, kth, k)
+            who, at, product = self._best(*(np.concatenate(x) for x in zip((who, at, product), rest)), k)
+        edges = np.searchsorted(who, np.arange(n + 1))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            yield at[lo:hi], product[lo:hi]
+
+    def _look(self, q: np.ndarray, score: np.ndarray, wanted: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of the wanted blocks of each query that reach its floor, as queries in order,
+        examples and products."""
+        which, who = np.nonzero(wanted.T)
+        got = np.empty((len(who), self.block))
+        cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True]) if len(which) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            b = which[lo]
+            got[lo:hi] = q[who[lo:hi]] @ self.blocks[b]
+            got[lo:hi] += score[who[lo:hi], b * self.block : (b + 1) * self.block]
+        got = np.round(got, 9)
+        row, place = np.nonzero((got > 0) & (got >= floor[who][:, None]))
+        at = which[row] * self.block + place
+        return self._best(who[row], self.number[at], got[row, place], k)
+
+    @staticmethod
+    def _best(who: np.ndarray, at: np.ndarray, product: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((at, -product, who))
+        who, at, product = who[order], at[order], product[order]
+        start = np.searchsorted(who, who)
+        keep = np.arange(len(who)) - start < k
+        return who[keep], at[keep], product[keep]
 
 
 def text_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -308,7 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Toxic
     n = df.filter("term IS NULL").first()["n"]
     df = df.filter("term IS NOT NULL")
     examples = cut_lineage(words_of(sample.filter("fit")))
-    known = frequencies_of(examples, df)
+    # words of the other sample too: what a task knows needs no join
+    known = frequencies_of(words_of(sample), df)
     terms, counted = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(terms)
     rows = examples.orderBy("doc_id", "h").toArrow().to_pylist()  # bounded by REFERENCES
