@@ -1,12 +1,13 @@
 """Ordered computation that stays balanced when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. The helpers here cut the
-order of a table into chunks at rows of a sample, run the window inside (key, chunk) and
-carry the sums of earlier chunks in as a header row of each chunk. Cuts are whole ordering
-tuples, so equal leading values are split by the columns behind them. The number of chunks
-is the table's size over ``faultspark.chunkBytes``, without a ceiling; a table of one chunk
-has no cuts and no headers, everything else is the same. Nulls count as equal keys and come
-first in the order, as in the plain window.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. The helpers here sort a
+table by key and order into range partitions, run the window inside (key, partition) and
+carry the sums of the key's earlier partitions in as a header row. Ranges are of whole
+ordering tuples, so equal leading values are split by the columns behind them. No row
+carries a border, and none is on the driver. The number of partitions is the table's size
+over ``faultspark.chunkBytes``, without a ceiling; a table of one partition has no headers,
+everything else is the same. Nulls count as equal keys and come first in the order, as in
+the plain window.
 
 Series tables that carry a dense ``idx`` need no cuts: their chunk is
 ``idx div faultspark.seriesChunk``.
@@ -19,9 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .exprs import col
+from .iterate import cut_lineage
 
-#: Sampled rows for each chunk.
-SAMPLE = 64
 #: Sizes that are only a guess of the optimizer; such tables are counted.
 UNKNOWN = 1 << 50
 
@@ -31,11 +31,12 @@ def series_chunk(spark: SparkSession) -> int:
 
 
 def chunk_count(df: DataFrame) -> int:
-    """Chunks for a table, from the size of the files and relations it reads; runs no job
-    unless that is unknown."""
+    """Chunks for a table, from the size of the files it reads; runs no job unless that is
+    unknown, as it is behind a checkpoint."""
     size = int(df.sparkSession.conf.get("faultspark.chunkBytes", str(1 << 27)))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [plan.apply(i) for i in range(plan.size())]
+    known = sum(UNKNOWN if leaf.getClass().getSimpleName() == "LogicalRDD" else int(str(leaf.stats().sizeInBytes())) for leaf in leaves)
     return max(1, math.ceil((known if known < UNKNOWN else 32 * df.count()) / size))
 
 
@@ -48,37 +49,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _tuple(order: list[Column | str]) -> Column:
-    return F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])
+def in_order(df: DataFrame, by: list[Column | str], parts: int) -> DataFrame:
+    """The rows in ascending order over ``parts`` partitions, with the partition's number as __part.
 
-
-def cut_rows(df: DataFrame, order: list[Column | str]) -> list:
-    """Ordering tuples, ascending, that split ``df`` into chunks of about equal size."""
-    m = chunk_count(df)
-    if m == 1:
-        return []
-    d = df.select(_tuple(order).alias("o"))
-    n = d.count()
-    part = min(1.0, SAMPLE * m / max(n, 1))
-    u = F.xxhash64(F.lit("cut"), "o").bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
-    rows = [r["o"] for r in d.filter(u < F.lit(part)).orderBy("o").collect()]
-    step = max(1, len(rows) // m)
-    cuts = rows[step::step]
-    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
-
-
-def _with_chunk(df: DataFrame, order: list[Column | str], cuts: list) -> DataFrame:
-    """Add __chunk, the number of cuts at or before the row, by binary search."""
-    if not cuts:
-        return df.withColumn("__chunk", F.lit(0))
-    d = df.withColumn("__o", _tuple(order))
-    kind = d.schema["__o"].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(c,) for c in cuts], f"c {kind}").agg(F.sort_array(F.collect_list("c")).alias("__cuts"))
-    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    step = lambda s: F.when(s["lo"] >= s["hi"], s).when(
-        F.get(F.col("__cuts"), mid(s)) <= F.col("__o"), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda s, _: step(s), lambda s: s["lo"])
-    return d.join(table).withColumn("__chunk", found).drop("__o", "__cuts")
+    Borders are chosen by Spark from a sample and stay with its shuffle. The checkpoint makes
+    the numbers the same for all who read them.
+    """
+    ordered = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return cut_lineage(ordered.withColumn("__part", F.spark_partition_id()))
 
 
 def with_running(
@@ -90,24 +68,28 @@ def with_running(
 ) -> DataFrame:
     """Add inclusive running sums per key, and under ``totals`` {name: sum} the key's whole sums."""
     totals = totals or {}
-    cuts = cut_rows(df, order)
     cols = df.columns
     values = {f"__v_{n}": e for n, e in sums.items()}
-    d = _with_chunk(df, order, cuts).withColumns(values).withColumns({f"__o{i}": col(c) for i, c in enumerate(order)})
-    parts = [*keys, "__chunk"]
-    inside = W.partitionBy(*parts)
-    if cuts:
-        base = d.groupBy(*parts).agg(*[F.sum(v).alias(v) for v in values])
-        before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy(*keys)
-        base = base.select(*parts, *[F.sum(v).over(before).alias(v) for v in values], *[F.sum(f"__v_{s}").over(whole).alias(f"__t_{n}") for n, s in totals.items()])
-        # a header begins each chunk with what earlier chunks hold
-        d = d.withColumn("__row", F.lit(1)).unionByName(base.withColumn("__row", F.lit(0)), allowMissingColumns=True)
-        run = inside.orderBy("__row", *[f"__o{i}" for i in range(len(order))]).rowsBetween(W.unboundedPreceding, W.currentRow)
-        d = d.select("*", *[F.sum(f"__v_{n}").over(run).alias(f"__s_{n}") for n in sums], *[F.max(f"__t_{n}").over(inside).alias(f"__u_{n}") for n in totals]).filter("__row = 1")
-    else:
-        run = inside.orderBy(*[f"__o{i}" for i in range(len(order))]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    places = {f"__o{i}": col(c) for i, c in enumerate(order)}
+    d = df.withColumns(values).withColumns(places)
+    parts = chunk_count(df)
+    if parts == 1:
+        inside = W.partitionBy(*keys)
+        run = inside.orderBy(*places).rowsBetween(W.unboundedPreceding, W.currentRow)
         d = d.select("*", *[F.sum(f"__v_{n}").over(run).alias(f"__s_{n}") for n in sums], *[F.sum(f"__v_{s}").over(inside).alias(f"__u_{n}") for n, s in totals.items()])
+        return d.select(*cols, *[F.col(f"__s_{n}").alias(n) for n in sums], *[F.col(f"__u_{n}").alias(n) for n in totals])
+    d = in_order(d, [*keys, *places], parts)
+    # one row for each key and partition: what its earlier partitions hold
+    base = d.groupBy(*keys, "__part").agg(*[F.sum(v).alias(v) for v in values])
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    base = base.select(*keys, "__part", F.lag("__part").over(W.partitionBy(*keys).orderBy("__part")).isNotNull().alias("__later"),
+                       *[F.sum(v).over(before).alias(v) for v in values], *[F.sum(f"__v_{s}").over(whole).alias(f"__t_{n}") for n, s in totals.items()])
+    base = (base if totals else base.filter("__later")).drop("__later")
+    d = d.withColumn("__row", F.lit(1)).unionByName(base.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    inside = W.partitionBy(*keys, "__part")
+    run = inside.orderBy("__row", *places).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.select("*", *[F.sum(f"__v_{n}").over(run).alias(f"__s_{n}") for n in sums], *[F.max(f"__t_{n}").over(inside).alias(f"__u_{n}") for n in totals]).filter("__row = 1")
     return d.select(*cols, *[F.col(f"__s_{n}").alias(n) for n in sums], *[F.col(f"__u_{n}").alias(n) for n in totals])
 
 

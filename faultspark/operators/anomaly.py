@@ -121,10 +121,10 @@ def _density(edges: DataFrame, kdist: DataFrame) -> DataFrame:
 
 def lof(train: DataFrame, test: DataFrame | None = None, k: int = 20, id_: str = "vec_id", vec: str = "x") -> DataFrame:
     """Local outlier factor (id, lof, flag); with ``test`` new points are scored against train."""
-    inner = knn(train, train, k, id_, vec, exclude_self=True)
+    inner = cut_lineage(knn(train, train, k, id_, vec, exclude_self=True))  # read four times
     kdist = inner.groupBy("id").agg(F.max("dist").alias("kdist"))
     lrd = _density(inner, kdist)
-    edges = inner if test is None else knn(test, train, k, id_, vec)
+    edges = inner if test is None else cut_lineage(knn(test, train, k, id_, vec))
     own = lrd if test is None else _density(edges, kdist)
     near = edges.join(lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("n_lrd")), "nid").groupBy("id").agg(F.avg("n_lrd").alias("m"))
     return near.join(own, "id").select("id", ratio(F.col("m"), F.col("lrd")).alias("lof")).withColumn("flag", (F.col("lof") > 1.5).cast("int"))
@@ -141,13 +141,17 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_: str = "vec_id",
 
     A border point joins the smallest-numbered cluster it touches.
     """
+    every = df.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
+    # equal vectors share their fate: each counts once, with its rows as weight and its smallest id
+    same = cut_lineage(every.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")))
+
     def count_task(a, b):
-        r, _ = close_pairs(a, b, eps)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": np.bincount(r, minlength=len(a))})
+        r, s = close_pairs(a, b, eps)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": np.bincount(r, b["rows"].to_numpy()[s], len(a)).astype(np.int64)})
 
-    n = within(df, df, eps, count_task, "id bigint, n bigint", id_, vec).groupBy("id").agg(F.sum("n").alias("n"))
+    n = within(same, same, eps, count_task, "id bigint, n bigint", "id", "x", c_extra=["rows"]).groupBy("id").agg(F.sum("n").alias("n"))
     cores = cut_lineage(n.select("id", (F.col("n") >= min_samples).alias("core")))
-    pts = df.select(F.col(id_).alias("id"), F.col(vec).alias("x")).join(cores, "id")
+    pts = cut_lineage(same.join(cores, "id").select("id", "x", "core"))
     core = pts.filter("core").drop("core")
 
     def link_task(a, b):
@@ -182,7 +186,8 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_: str = "vec_id",
     border = border.groupBy("id").agg(F.min("component").alias("component"))
     labels = core_label.unionByName(border)
     names = with_position(core_label.select("component").distinct(), [], ["component"], "cluster")
-    return cores.join(labels.join(names, "component"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"), "core")
+    found = pts.join(labels.join(names, "component"), "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"), "core")
+    return every.join(found, "x").select("id", "cluster", "core")
 
 
 def dbscan_distance_score(df: DataFrame, labels: DataFrame, id_: str = "vec_id", vec: str = "x") -> DataFrame:

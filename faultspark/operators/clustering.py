@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio
 from ..functions.graph import connected_components
 from ..functions.iterate import cut_lineage
-from .anomaly import dbscan, kdist_eps
+from ..functions.ordering import agg_with_quantiles, with_position
+from . import many_clusterings as many
+from .anomaly import dbscan
 from .cluster_metrics import silhouette_squared, variance_ratios
-from .matrix import pca, standardize_arrays, winsorize
+from .matrix import standardize_arrays, winsorize
 from .neighbours import knn
 
 
@@ -29,12 +31,18 @@ def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "
     return best.transform(df).drop("__v"), float(best.summary.trainingCost)
 
 
-def gmm(df: DataFrame, k: int, seed: int = 42, vec: str = "x") -> DataFrame:
+def gmm(df: DataFrame, k: int, seed: int = 42, n_init: int = 1, vec: str = "x") -> DataFrame:
     """Full-covariance mixture on all columns of ``vec``, with membership probabilities."""
-    d = df.withColumn("__v", array_to_vector(vec)).persist()
-    m = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", probabilityCol="__p").fit(d)
-    d.unpersist()
-    return m.transform(d).withColumn("probability", vector_to_array("__p")).drop("__p", "__v")
+    rows = cut_lineage(df.select(F.lit(0).alias("g"), F.xxhash64(vec).alias("id"), F.col(vec).alias("x")))
+    m = many.fit_mixtures(rows, many.best_centres(rows, [(0, k)], n_init, seed))[0]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p, _ = m.membership(batch.column(vec).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.argmax(axis=1), pa.int32()), pa.array(p.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "cluster", "probability"])
+
+    return df.mapInArrow(run, df.select("*", F.lit(0).alias("cluster"), F.array(F.lit(0.0)).alias("probability")).schema)
 
 
 def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "x") -> DataFrame:
@@ -77,33 +85,78 @@ def consensus(labels: DataFrame, methods: list[str], id_: str, tau: float = 0.5)
     return labels.withColumn("sig", F.concat_ws(",", *methods)).join(named, "sig").select(id_, "cluster")
 
 
+def _categories(df: DataFrame, category: str, minimum: int) -> dict:
+    """Categories of at least ``minimum`` rows and their sizes, numbered in their order."""
+    return {c: n for c, n in sorted((r[0], r[1]) for r in df.filter(F.col(category).isNotNull()).groupBy(category).count().collect()) if n >= minimum}
+
+
+def _numbered(df: DataFrame, category: str, names: list, id_: str, vec: str) -> DataFrame:
+    """(id, g, x) of the named categories."""
+    g = (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(category)) - 1).cast("int") if names else F.lit(-1)
+    return df.select(F.col(id_).alias("id"), g.alias("g"), F.col(vec).alias("x")).filter("g >= 0")
+
+
+def dbscan_per_group(rows: DataFrame, k: int = 5, pct: float = 75, min_samples: int = 5) -> DataFrame:
+    """(id, g, cluster): one density clustering of all groups, each with its own radius, the
+    percentile of its k-th neighbour distances.
+
+    A coordinate that sets groups apart keeps them from being neighbours; dividing by its
+    radius gives every group the radius 1.
+    """
+    far = rows.agg(F.max(F.sqrt(F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda s, v: s + v)))).first()[0] or 1.0
+    apart = lambda x, step: F.concat(x, F.array(F.col("g") * F.lit(float(step))))
+    near = knn(*[rows.select("id", apart(F.col("x"), 4 * far + 1).alias("x"))] * 2, k, "id", "x").filter(F.col("rank") == k)
+    eps = agg_with_quantiles(near.select("id", "dist").join(rows.select("id", "g"), "id"), ["g"], [], {"eps": ("dist", pct / 100.0)})
+    scaled = rows.join(eps, "g").withColumn("e", F.greatest("eps", F.lit(1e-9)))
+    widest = far / max(scaled.agg(F.min("e")).first()[0] or 1.0, 1e-9)
+    d = cut_lineage(scaled.select("id", "g", apart(F.transform("x", lambda v: v / F.col("e")), 2 * widest + 4).alias("x")))
+    found = dbscan(d, 1.0, min_samples, "id", "x").join(d.select("id", "g"), "id")
+    own = with_position(found.filter("cluster >= 0").select("g", "cluster").distinct(), ["g"], ["cluster"], "number")
+    return found.join(own, ["g", "cluster"], "left").select("id", "g", F.coalesce("number", F.lit(-1)).cast("bigint").alias("cluster"))
+
+
 def cluster_per_category(df: DataFrame, category: str, minimum: int = 5, n_init: int = 10, id_: str = "vec_id", vec: str = "x") -> DataFrame:
     """Cluster each large enough category on its own with four methods: (id, category, method, cluster).
 
-    Categories are few; the rows of each are clustered as a distributed job.
+    All categories are fitted in the same scans.
     """
+    size = _categories(df, category, minimum)
+    names = list(size)
+    rows = cut_lineage(_numbered(df, category, names, id_, vec))
+    wanted = [(g, max(1, min(3, n // 2))) for g, n in enumerate(size.values())]
+    centres = many.best_centres(rows, wanted, n_init)
+    trees = [t for t in many.fit_trees(rows, dict(wanted)) if t.k == dict(wanted)[t.g]]
+    methods = {"kmeans": centres, "hierarchical": trees, "gmm": many.fit_mixtures(rows, centres)}
+    order = [F.struct(F.lit(m).alias("method"), F.get("labels", F.lit(i)).cast("bigint").alias("cluster")) for i, m in enumerate(methods)]
+    flat = many.with_labels(rows, [m for found in methods.values() for m in found]).select("id", "g", F.explode(F.array(*order)).alias("l")).select("id", "g", "l.method", "l.cluster")
+    out = flat.unionByName(dbscan_per_group(rows).select("id", "g", F.lit("dbscan").alias("method"), "cluster"))
+    kind = dict(df.dtypes)[category]
+    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("g")) if names else F.lit(None).cast(kind)
+    return out.select("id", name.alias("category"), "method", "cluster")
+
+
+def k_candidates(df: DataFrame, ks: list[int], n_init: int = 10, id_: str = "vec_id", vec: str = "x", measure: str = "euclidean") -> DataFrame:
+    """Silhouette, variance ratios and inertia for each k; all k and starts share their scans."""
+    rows = cut_lineage(df.select(F.col(id_).alias("id"), F.lit(0).alias("g"), F.col(vec).alias("x")))
+    models = many.best_centres(rows, [(0, k) for k in ks], n_init)
+    labelled = cut_lineage(many.with_labels(rows, models))
+    score = _silhouettes(labelled, measure)
     out = []
-    for cat, n in sorted(df.groupBy(category).count().collect()):
-        if n < minimum:
-            continue
-        d = cut_lineage(df.filter(F.col(category) == cat).select(F.col(id_).alias("id"), F.col(vec).alias("x")))
-        k = min(3, n // 2)
-        eps = kdist_eps(d, min(5, n), 75, "id", "x").first()[0]
-        runs = {"kmeans": kmeans(d, k, n_init)[0], "hierarchical": hierarchical(d, k), "gmm": gmm(d, k), "dbscan": dbscan(d, eps, 5, "id", "x")}
-        out += [r.select("id", F.lit(cat).alias("category"), F.lit(m).alias("method"), F.col("cluster").cast("bigint")) for m, r in runs.items()]
-    return reduce(DataFrame.unionByName, out)
+    for i, m in enumerate(models):
+        v = variance_ratios(labelled.select("x", F.get("labels", F.lit(i)).alias("cluster"))).first()
+        out.append((m.k, score[0, i], v["calinski_harabasz"], v["davies_bouldin"], m.cost))
+    return df.sparkSession.createDataFrame(out, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
 
 
-def k_candidates(df: DataFrame, ks: list[int], n_init: int = 10, vec: str = "x") -> DataFrame:
-    """Silhouette, variance ratios and inertia for each k."""
-    rows = []
-    df = cut_lineage(df)
-    for k in ks:
-        d, inertia = kmeans(df, k, n_init, vec=vec)
-        s = silhouette_squared(d, vec).first()[0]
-        v = variance_ratios(d, vec).first()
-        rows.append((k, s, v["calinski_harabasz"], v["davies_bouldin"], inertia))
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
+def _silhouettes(labelled: DataFrame, measure: str) -> dict[tuple[int, int], float]:
+    """Silhouette of each (g, slot): Euclidean over all pairs in blocks, or with squared distances
+    from centroids, which is linear in rows."""
+    if measure == "euclidean":
+        return {(r["g"], r["slot"]): r["silhouette"] for r in many.silhouettes(labelled).collect()}
+    if measure != "squared":
+        raise ValueError(f"unknown measure {measure}")
+    slots = labelled.groupBy("g").agg(F.max(F.size("labels"))).collect()
+    return {(g, i): silhouette_squared(labelled.filter(F.col("g") == g).select("x", F.get("labels", F.lit(i)).alias("cluster"))).first()[0] for g, n in slots for i in range(n)}
 
 
 def find_optimal_k(metrics: DataFrame) -> DataFrame:
@@ -128,38 +181,52 @@ def balanced_choice(candidates: DataFrame, min_frac: float = 0.15) -> DataFrame:
 
 
 def balanced_selection(df: DataFrame, category: str, ks: range = range(2, 7), min_frac: float = 0.15, minimum: int = 20, n_init: int = 10,
-                       id_: str = "vec_id", vec: str = "x") -> DataFrame:
-    """Winsorise and scale each category, try clusterers and k, keep the best balanced labeling."""
-    rows = []
-    for cat, n in sorted(df.groupBy(category).count().collect()):
-        if n < minimum:
-            continue
-        p = df.select(F.size(vec)).first()[0]
-        cols = [f"c{i}" for i in range(p)]
-        wide = df.filter(F.col(category) == cat).select(id_, *[F.get(vec, F.lit(i)).alias(c) for i, c in enumerate(cols)])
-        d = winsorize(wide, cols, []).select(id_, F.array(*cols).alias("x"))
-        d = standardize_arrays(d, d).persist()
-        for k in [k for k in ks if k <= min(max(ks), n // 5 - 1)]:
-            for name, lab in (("kmeans", kmeans(d, k, n_init)[0]), ("hierarchical", hierarchical(d, k)), ("gmm", gmm(d, k))):
-                s = silhouette_squared(lab).first()[0]
-                rows += [(str(cat), f"{name}-{k}", int(c), m, s) for c, m in lab.groupBy("cluster").count().collect()]
-        d.unpersist()
-    cand = df.sparkSession.createDataFrame(rows, "category string, candidate string, cluster int, n bigint, silhouette double")
-    return balanced_choice(cand, min_frac)
-
-
-def subspace_clustering(df: DataFrame, cols: list[str], groups: dict[str, list[str]], ks: range = range(2, 8), n_init: int = 10) -> DataFrame:
+                       id_: str = "vec_id", vec: str = "x", measure: str = "euclidean") -> DataFrame:
+    """Winsorise and scale each category, try clusterers and k, keep the best balanced labeling.
+
+    Every category, k, start and method is fitted in the same scans; the silhouettes of all
+    labelings come from one computation of the distances.
+    """
+    size = _categories(df, category, minimum)
+    names = list(size)
+    schema = f"category {dict(df.dtypes)[category]}, candidate string, cluster int, n bigint, silhouette double"
+    if not names:
+        return balanced_choice(df.sparkSession.createDataFrame([], schema), min_frac)
+    rows = _numbered(df, category, names, id_, vec)
+    cols = [f"c{i}" for i in range(rows.select(F.size("x")).first()[0])]
+    wide = rows.select("id", "g", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)])
+    clipped = cut_lineage(winsorize(wide, cols, ["g"]).select("id", "g", F.array(*cols).alias("x")))
+    moments = clipped.groupBy("g").agg(Summarizer.metrics("mean", "std", "count").summary(array_to_vector("x")).alias("s")).collect()
+    scale = {r["g"]: (r["s"]["mean"].toArray(), r["s"]["std"].toArray() * ((r["s"]["count"] - 1) / r["s"]["count"]) ** 0.5) for r in moments}
+    mean = F.array(*[F.array(*[F.lit(float(v)) for v in scale[g][0]]) for g in range(len(names))])
+    std = F.array(*[F.array(*[F.lit(float(v) if v > 0 else 1.0) for v in scale[g][1]]) for g in range(len(names))])
+    scaled = F.zip_with(F.zip_with("x", F.get(mean, F.col("g")), lambda x, m: x - m), F.get(std, F.col("g")), lambda x, s: x / s)
+    rows = cut_lineage(clipped.select("id", "g", scaled.alias("x")))
+    wanted = [(g, k) for g, n in enumerate(size.values()) for k in ks if k <= min(max(ks), n // 5 - 1)]
+    centres = many.best_centres(rows, wanted, n_init)
+    trees = [t for t in many.fit_trees(rows, {g: k for g, k in wanted}) if (t.g, t.k) in wanted]
+    models = [*centres, *trees, *many.fit_mixtures(rows, centres)]
+    labelled = cut_lineage(many.with_labels(rows, models))
+    score = _silhouettes(labelled, measure)
+    names_of = {g: [m.name for m in models if m.g == g] for g in range(len(names))}
+    counts = many.sizes(labelled).collect()  # one row for each cluster of a model
+    cand = [(names[r["g"]], names_of[r["g"]][r["slot"]], r["cluster"], r["n"], score[r["g"], r["slot"]]) for r in counts]
+    return balanced_choice(df.sparkSession.createDataFrame(cand, schema), min_frac)
+
+
+def subspace_clustering(df: DataFrame, cols: list[str], groups: dict[str, list[str]], ks: range = range(2, 8), n_init: int = 10, measure: str = "euclidean", id_: str = "event_id") -> DataFrame:
     """Best k by silhouette on the columns of each group; groups with fewer than 3 columns are skipped."""
     rows = []
     for name, patterns in groups.items():
         use = [c for c in cols if any(p.lower() in c.lower() for p in patterns)]
         if len(use) < 3:
             continue
-        d = df.select(F.array(*[F.col(c).cast("double") for c in use]).alias("x"))
-        d = standardize_arrays(d, d).persist()
-        best = max(((silhouette_squared(kmeans(d, k, n_init)[0]).first()[0], -k) for k in ks))
-        rows.append((name, len(use), -best[1], best[0]))
-        d.unpersist()
+        d = df.select(F.col(id_).alias("id"), F.lit(0).alias("g"), F.array(*[F.col(c).cast("double") for c in use]).alias("x"))
+        d = cut_lineage(standardize_arrays(d, d))
+        labelled = cut_lineage(many.with_labels(d, many.best_centres(d, [(0, k) for k in ks], n_init)))
+        score = _silhouettes(labelled, measure)
+        best = max(range(len(ks)), key=lambda i: (score[0, i], -ks[i]))
+        rows.append((name, len(use), ks[best], score[0, best]))
     return df.sparkSession.createDataFrame(rows, "subspace string, n_features int, best_k int, silhouette double")
 
 

@@ -376,7 +376,9 @@ def spectral_features(samples: DataFrame, trigger: DataFrame, min_pre: int = 100
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *got]], columns=[*keys, "rms", "dominant_hz", "band_power", "q_factor"])
 
     longest = trigger.agg(F.max("z")).first()[0] or 0
-    short = u.filter(F.col("n") <= ONE_TASK_SAMPLES).select(*keys, "pidx", "phase", "dt_us").groupBy(*keys).applyInPandas(run, schema)
-    if longest <= ONE_TASK_SAMPLES:
-        return short
-    return short.unionByName(_long_features(u.filter(F.col("n") > ONE_TASK_SAMPLES), keys, longest))
+    found = u.filter(F.col("n") <= ONE_TASK_SAMPLES).select(*keys, "pidx", "phase", "dt_us").groupBy(*keys).applyInPandas(run, schema)
+    if longest > ONE_TASK_SAMPLES:
+        found = found.unionByName(_long_features(u.filter(F.col("n") > ONE_TASK_SAMPLES), keys, longest))
+    # a recording whose trigger is its first sample has nothing to transform
+    out = trigger.select(*keys).join(found, keys, "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rms", "dominant_hz", "band_power", "q_factor")])

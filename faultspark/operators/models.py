@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.iterate import cut_lineage
+from ..functions.parallel import run_all
 from . import metrics as H
 from .splits import class_weights, stratified_split
 
@@ -115,7 +116,7 @@ def fit_mlp(train: DataFrame, label: str, vec: str = "x", hidden: tuple[int, ...
 
 def fit_binary_relevance(train: DataFrame, labels: list[str], fit: Callable = fit_forest, **kw) -> Scorer:
     """One model per label; adds ``pred_<label>`` and ``score_<label>``."""
-    models = {l: fit(train, l, **kw) for l in labels}
+    models = dict(zip(labels, run_all([lambda l=l: fit(train, l, **kw) for l in labels])))
 
     def score(df: DataFrame) -> DataFrame:
         for l, m in models.items():
@@ -196,19 +197,25 @@ def evaluate(scored: DataFrame, label: str, name: str) -> DataFrame:
 
 
 def model_comparison(train: DataFrame, test: DataFrame, label: str, models: dict[str, Callable]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [evaluate(fit(train, label)(test), label, n) for n, fit in models.items()])
+    train, test = cut_lineage(train), cut_lineage(test)
+    return reduce(DataFrame.unionByName, run_all([lambda n=n, fit=fit: cut_lineage(evaluate(fit(train, label)(test), label, n)) for n, fit in models.items()]))
 
 
 def channel_ablation(df: DataFrame, key: str, label: str, names: list[str], sets: dict[str, list[str]], fit: Callable = fit_forest, test: float = 0.3, seed: int = 42, vec: str = "x", **kw) -> DataFrame:
     """Refit without the features of each channel set and compare with the full set."""
     d = cut_lineage(stratified_split(df, key, label, test, seed=seed))
-    out = []
-    for run, channels in {"baseline": [], **sets}.items():
+
+    def one(run: str, channels: list[str]) -> Callable[[], DataFrame]:
         keep = [i for i, n in enumerate(names) if not any(n == c or n.startswith(f"{c}_") for c in channels)]
-        part = d.withColumn(vec, F.array(*[F.get(vec, F.lit(i)) for i in keep]))
-        m = fit(part.filter("split = 'train'"), label, vec=vec, **kw)
-        out.append(evaluate(m(part.filter("split = 'test'")), label, run).withColumn("n_features", F.lit(len(keep))))
-    rows = reduce(DataFrame.unionByName, out)
+
+        def fitted() -> DataFrame:
+            part = d.withColumn(vec, F.array(*[F.get(vec, F.lit(i)) for i in keep]))
+            m = fit(part.filter("split = 'train'"), label, vec=vec, **kw)
+            return cut_lineage(evaluate(m(part.filter("split = 'test'")), label, run).withColumn("n_features", F.lit(len(keep))))
+
+        return fitted
+
+    rows = reduce(DataFrame.unionByName, run_all([one(r, c) for r, c in {"baseline": [], **sets}.items()]))
     base = rows.filter("model = 'baseline'").agg(F.max("accuracy").alias("a")).scalar()
     return rows.withColumn("accuracy_change", F.col("accuracy") - base)
 
@@ -225,15 +232,18 @@ def learning_curve(df: DataFrame, key: str, label: str, labels: list, sizes: lis
     from .splits import kfold
 
     d = cut_lineage(kfold(df, key, label, folds, seed).withColumn("__u", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)))
-    out = []
-    for i in range(folds):
-        for s in sizes:
+
+    def one(i: int, s: float) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
             tr = d.filter((F.col("fold") != i) & (F.col("__u") < s))
             m = fit(tr, label, **kw)
             f = lambda part: H.averaged_f1(H.multiclass_counts(m(part), label, "y_pred", labels)).select("macro")
             a, b = f(tr).withColumnRenamed("macro", "train_f1"), f(d.filter(F.col("fold") == i)).withColumnRenamed("macro", "cv_f1")
-            out.append(a.join(b).select(F.lit(s).alias("size"), F.lit(i).alias("fold"), "train_f1", "cv_f1"))
-    return reduce(DataFrame.unionByName, out)
+            return cut_lineage(a.join(b).select(F.lit(s).alias("size"), F.lit(i).alias("fold"), "train_f1", "cv_f1"))  # one row
+
+        return run
+
+    return reduce(DataFrame.unionByName, run_all([one(i, s) for i in range(folds) for s in sizes]))
 
 
 def feature_scope_test(df: DataFrame, key: str, label: str, scopes: dict[str, list[int]], n: int = 10, fit: Callable = fit_forest, vec: str = "x", **kw) -> DataFrame:
@@ -259,7 +269,7 @@ def two_stage(train: DataFrame, test: DataFrame, label: str, score_anomaly: Call
 
 def soft_voting(train: DataFrame, label: str, fits: list[Callable]) -> Scorer:
     """Mean of the class-1 probabilities."""
-    models = [f(train, label) for f in fits]
+    models = run_all([lambda f=f: f(train, label) for f in fits])
 
     def score(df: DataFrame) -> DataFrame:
         for i, m in enumerate(models):
@@ -281,7 +291,8 @@ def stacking(train: DataFrame, key: str, label: str, fits: list[Callable], folds
             df = m(df).withColumnRenamed("score", f"__s{i}").drop("proba", "y_pred")
         return df.withColumn("__x", F.array(*[F.col(f"__s{i}") for i in range(len(models))])).drop(*[f"__s{i}" for i in range(len(models))])
 
-    held = [base([f(d.filter(F.col("fold") != i), label) for f in fits], d.filter(F.col("fold") == i)) for i in range(folds)]
-    top = fit_logistic(reduce(DataFrame.unionByName, held), label, "__x")
-    final = [f(train, label) for f in fits]
+    made = run_all([lambda f=f, i=i: f(d.filter(F.col("fold") != i), label) for i in range(folds) for f in fits])
+    held = [base(made[i * len(fits) : (i + 1) * len(fits)], d.filter(F.col("fold") == i)) for i in range(folds)]
+    top = fit_logistic(cut_lineage(reduce(DataFrame.unionByName, held)), label, "__x")
+    final = run_all([lambda f=f: f(train, label) for f in fits])
     return lambda df: top(base(final, df)).drop("__x")

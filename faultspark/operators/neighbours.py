@@ -1,23 +1,33 @@
-"""Exact neighbour joins without all pairs.
-
-Points go to the cell of their nearest pivot. From the distances to pivots follow an
-upper bound on the k-th neighbour distance of each cell and a lower bound between a
-point and a cell, so a point is copied only to cells where it can matter; nothing is
-left out. Inside a cell, queries and candidates are cut into blocks of bounded size,
+"""Neighbour joins without all pairs: exact by a metric tree, approximate by hash tables.
+
+The tree has two levels. Of n points, the square root of n / LEAF become top pivots, the
+only ones that the driver sees; a 1 / LEAF share become leaf pivots below the top pivot they
+are nearest to. Points go to their nearest top pivot and then to the nearest leaf pivot of
+that cell, so leaves stay of bounded size on average at any n, while no task compares with
+more pivots than one cell has. A ball around a query and a cell cannot meet if the triangle
+inequality or the hyperplane between two pivots says so; the query goes to all other
+leaves, so nothing is left out. Inside a leaf, queries and candidates are cut into blocks,
 and every (query block, candidate block) task returns at most k rows per query or one
 aggregate per query, never the pairs.
+
+Equal vectors can't be told apart by pivots; of each such group a neighbour search keeps the
+k smallest ids, which are the only ones that can be an answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.iterate import cut_lineage
 
-MAX_PIVOTS = 128
-BLOCK = 2048
+#: Points of a leaf on average, rows of a block, and of a task that deals a cell's rows to leaves.
+LEAF, BLOCK, DEAL = 2048, 2048, 16384
 
 
 def _matrix(col) -> np.ndarray:
@@ -33,55 +43,126 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
-def pick_pivots(df: DataFrame, id_: str, vec: str, n: int) -> np.ndarray:
-    """About one pivot per block, at most MAX_PIVOTS, in hash order: a bounded read to the driver."""
-    m = min(MAX_PIVOTS, max(1, n // BLOCK))
-    rows = df.select(id_, vec).orderBy(F.xxhash64(id_), id_).limit(m).collect()
-    return np.unique(np.array([r[1] for r in rows], dtype=float), axis=0)
+def _share(id_: str, seed: str) -> Column:
+    return F.xxhash64(F.lit(seed), id_).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+
+
+# ---- the tree --------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Tree:
+    tops: np.ndarray
+    size: np.ndarray  # points below each top pivot
+    radius: np.ndarray  # their largest distance to it
+    points: DataFrame  # id, x, further columns, top, sub
+    leaves: DataFrame  # top, sub, px, radius
+    slack: float  # what rounding may take from a distance
 
 
-def _assign(df: DataFrame, id_: str, vec: str, pivots: np.ndarray, extra: list[str]) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
+def _nearest_top(df: DataFrame, tops: np.ndarray) -> DataFrame:
+    """Add the nearest top pivot and the distance to it."""
+
     def run(it):
         for p in it:
-            d = np.sqrt(_gram(_matrix(p["x"]), pivots)) if len(p) else np.zeros((0, len(pivots)))
-            cell = d.argmin(axis=1) if len(p) else np.zeros(0, int)
-            yield p.assign(cell=cell.astype("int32"), d=d[np.arange(len(p)), cell])
+            if len(p):
+                d = np.sqrt(_gram(_matrix(p["x"]), tops))
+                top = d.argmin(axis=1)
+                yield p.assign(top=top.astype("int32"), to_top=d[np.arange(len(p)), top])
+
+    return df.mapInPandas(run, df.withColumn("top", F.lit(0)).withColumn("to_top", F.lit(0.0)).schema)
 
-    s = df.select(F.col(id_).alias("id"), F.col(vec).alias("x"), *extra)
-    return s.mapInPandas(run, s.withColumn("cell", F.lit(0)).withColumn("d", F.lit(0.0)).schema)
 
+def _per_top(rows: DataFrame, leaves: DataFrame, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """Run ``f`` on the rows of each top cell, cut into parts, beside the cell's leaf pivots."""
+    parts = rows.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("__parts"))
+    left = rows.join(parts, "top").withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).drop("__parts")
+    right = leaves.join(parts, "top").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    names = schema.names
 
-def _copies(df: DataFrame, pivots: np.ndarray, bound: np.ndarray, reach: np.ndarray, slack: float) -> DataFrame:
-    """Copy each candidate to every cell it could serve (``bound`` is -inf for unused cells)."""
-    gap = np.sqrt(_gram(pivots, pivots))
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        out = [f(a.iloc[i : i + 512], b) for i in range(0, len(a), 512)]
+        return pd.concat(out)[names]
+
+    return left.groupBy("top", "__part").cogroup(right.groupBy("top", "__part")).applyInPandas(run, schema)
+
+
+def _nearest_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Add the nearest leaf pivot of a row's top cell and the distance to it."""
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = np.sqrt(_gram(_matrix(a["x"]), _matrix(b["px"])))
+        at = d.argmin(axis=1)
+        return a.assign(sub=b["sub"].to_numpy()[at], to_sub=d[np.arange(len(a)), at])
+
+    return _per_top(rows, leaves, nearest, rows.withColumn("sub", F.lit(0).cast("bigint")).withColumn("to_sub", F.lit(0.0)).schema)
+
+
+def plant(base: DataFrame, id_: str, vec: str, extra: list[str] | None = None) -> Tree:
+    """The tree of the points of ``base``."""
+    d = cut_lineage(base.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"), *(extra or [])))
+    n = d.count()
+    m = max(1, math.ceil(math.sqrt(n / LEAF)))
+    rows = d.select("id", "x").orderBy(_share("id", "top"), "id").limit(m).collect()
+    tops = np.unique(np.array([r[1] for r in rows], dtype=float), axis=0) if rows else np.zeros((1, 1))
+    # every top pivot is one of its leaf pivots, with number 0
+    own = d.sparkSession.createDataFrame([(i, 0, [float(v) for v in p]) for i, p in enumerate(tops)], "top int, sub bigint, px array<double>")
+    placed = _nearest_top(d, tops)
+    picked = placed.filter(_share("id", "leaf") < 1.0 / LEAF).select("top", F.xxhash64("x").alias("sub"), F.col("x").alias("px")).dropDuplicates(["top", "sub"])
+    pivots = cut_lineage(own.unionByName(picked))
+    points = cut_lineage(_nearest_leaf(placed, pivots))
+    stats = points.groupBy("top", "sub").agg(F.max("to_sub").alias("radius"))
+    leaves = pivots.join(stats, ["top", "sub"]).select("top", "sub", "px", "radius")  # those that have points
+    size, radius = np.zeros(len(tops)), np.full(len(tops), -np.inf)
+    for top, count, r in points.groupBy("top").agg(F.count(F.lit(1)), F.max("to_top")).collect():
+        size[top], radius[top] = count, r
+    most = float(np.abs(tops).max(initial=0.0) + radius[size > 0].max(initial=0.0) + 1.0)
+    return Tree(tops, size, radius, points.drop("to_top", "to_sub"), leaves, 1e-6 * most)
+
+
+def _may_meet(d: np.ndarray, gap: np.ndarray, radius: np.ndarray, ball: np.ndarray, slack: float) -> np.ndarray:
+    """Cells that a ball can reach: d are distances to pivots, gap those of the nearest pivot to all."""
+    near = d[np.arange(len(d)), d.argmin(axis=1)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d**2 - (near**2)[:, None]) / (2.0 * gap)
+    plane[gap == 0] = 0.0
+    return np.maximum(plane, d - radius[None, :]) - slack <= ball[:, None]
+
+
+def reached_leaves(queries: DataFrame, tree: Tree) -> DataFrame:
+    """Each query (id, x, r, ...) once for every leaf with points within r of it: adds top, sub."""
+    tops, radius, slack = tree.tops, tree.radius, tree.slack
+    if not tree.size.sum():
+        return queries.withColumn("top", F.lit(0)).withColumn("sub", F.lit(0).cast("bigint")).filter("false")
+    between = np.sqrt(_gram(tops, tops))
 
     def run(it):
         for p in it:
-            if not len(p):
-                continue
-            d = np.sqrt(_gram(_matrix(p["x"]), pivots))
-            own = p["cell"].to_numpy()
-            g = gap[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - (d[np.arange(len(p)), own] ** 2)[:, None]) / (2.0 * g)
-            plane[g == 0] = 0.0
-            lower = np.maximum(plane, d - reach[None, :]) - slack
-            row, cell = np.nonzero(lower <= bound[None, :])
-            yield p.iloc[row].assign(cell=cell.astype("int32"))
-
-    return df.mapInPandas(run, df.schema)
-
-
-def _block_join(q: DataFrame, c: DataFrame, nq: dict[int, int], nc: dict[int, int] | None, task: Callable, schema: str) -> DataFrame:
-    """Cogroup query and candidate blocks of each cell. Both sides have id, x, cell."""
-    nc = nc or {r[0]: r[1] for r in c.groupBy("cell").count().collect()}
-    cells = max([*nq, *nc, 0]) + 1
-    qb = F.get(F.array(*[F.lit(max(1, -(-nq.get(i, 0) // BLOCK))) for i in range(cells)]), F.col("cell"))
-    cb = F.get(F.array(*[F.lit(max(1, -(-nc.get(i, 0) // BLOCK))) for i in range(cells)]), F.col("cell"))
-    left = q.withColumn("qb", F.pmod(F.xxhash64("id"), qb).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), cb - 1)))
-    right = c.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), cb).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1)))
-    keys = ["cell", "qb", "cb"]
+            if len(p):
+                d = np.sqrt(_gram(_matrix(p["x"]), tops))
+                row, top = np.nonzero(_may_meet(d, between[d.argmin(axis=1)], radius, p["r"].to_numpy() + slack, slack))
+                yield p.iloc[row].assign(top=top.astype("int32"))
+
+    def below(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        at = _matrix(b["px"])
+        d = np.sqrt(_gram(_matrix(a["x"]), at))
+        gap = np.sqrt(_gram(at[d.argmin(axis=1)], at))
+        row, leaf = np.nonzero(_may_meet(d, gap, b["radius"].to_numpy(), a["r"].to_numpy() + slack, slack))
+        return a.iloc[row].assign(sub=b["sub"].to_numpy()[leaf])
+
+    first = queries.mapInPandas(run, queries.withColumn("top", F.lit(0)).schema)
+    return _per_top(first, tree.leaves, below, first.withColumn("sub", F.lit(0).cast("bigint")).schema)
+
+
+def block_join(q: DataFrame, c: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
+    """Run ``task(query block, candidate block)`` on all pairs of blocks of each cell; both sides have id, x, keys."""
+    c = c.select(*[F.col(n).alias(n) for n in c.columns])  # both sides may be the same table
+    blocks = lambda d, name: d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = blocks(q, "__nq").join(blocks(c, "__nc"), keys)
+    left = q.join(sizes, keys).withColumn("__qb", F.pmod(F.xxhash64("id"), F.col("__nq")).cast("int")).withColumn("__cb", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)))
+    right = c.join(sizes, keys).withColumn("__cb", F.pmod(F.xxhash64("id", F.lit(1)), F.col("__nc")).cast("int")).withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nq") - 1)))
+    unit = [*keys, "__qb", "__cb"]
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +170,12 @@ def _block_join(q: DataFrame, c: DataFrame, nq: dict[int, int], nc: dict[int, in
             return pd.DataFrame({n: [] for n in names})
         return task(a, b)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return left.drop("__nq", "__nc").groupBy(*unit).cogroup(right.drop("__nq", "__nc").groupBy(*unit)).applyInPandas(run, schema)
+
+
+# ---- exact neighbours ------------------------------------------------------------------
+
+FOUND = "id bigint, nid bigint, dist double"
 
 
 def _topk_task(k: int, exclude_self: bool) -> Callable:
@@ -110,68 +196,55 @@ def _topk_task(k: int, exclude_self: bool) -> Callable:
     return task
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: str = "x", exclude_self: bool = False) -> DataFrame:
-    """k nearest base points of every query by Euclidean distance: (id, nid, dist, rank).
-
-    ``exclude_self`` is the training form (a point is not its own neighbour); ties go
-    to the smaller id.
-    """
-    task, schema = _topk_task(k, exclude_self), "id bigint, nid bigint, dist double"
-    n = base.count()
-    if n <= BLOCK:
-        q, c = _one_cell(queries, id_, vec, []), _one_cell(base, id_, vec, [])
-        return _keep_top(_block_join(q, c, {0: queries.count()}, {0: n}, task, schema), k)
-    need = k + 1 if exclude_self else k
-    pivots = pick_pivots(base, id_, vec, n)
-    q, c = _assign(queries, id_, vec, pivots, []), _assign(base, id_, vec, pivots, [])
-    m = len(pivots)
-    nq, reach = _extent(q, m)
-    rank = F.row_number().over(W.partitionBy("cell").orderBy("d", "id"))
-    near = c.select("cell", "d", "id").withColumn("r", rank).filter(F.col("r") <= need).select("cell", "d").collect()
-    gap = np.sqrt(_gram(pivots, pivots))
-    cells, dist = np.array([r[0] for r in near], int), np.array([r[1] for r in near])
-    scale = float(np.abs(pivots).max() + (dist.max() if len(dist) else 0.0) + 1.0)
-    bound = np.full(m, -np.inf)
-    for i in np.nonzero(np.isfinite(reach))[0]:
-        ub = np.sort(gap[i, cells] + dist)
-        bound[i] = reach[i] + ub[need - 1] if len(ub) >= need else np.inf
-    copies = _copies(c, pivots, bound, reach, 1e-6 * scale)
-    part = _block_join(q.select("id", "x", "cell"), copies.select("id", "x", "cell"), nq, None, task, schema)
-    return _keep_top(part, k)
-
-
 def _keep_top(part: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(W.partitionBy("id").orderBy("dist", "nid"))
     return part.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
-def _one_cell(df: DataFrame, id_: str, vec: str, extra: list[str]) -> DataFrame:
-    return df.select(F.col(id_).alias("id"), F.col(vec).alias("x"), *extra, F.lit(0).alias("cell"))
-
+def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: str = "x", exclude_self: bool = False) -> DataFrame:
+    """k nearest base points of every query by Euclidean distance: (id, nid, dist, rank).
 
-def _extent(q: DataFrame, m: int) -> tuple[dict[int, int], np.ndarray]:
-    """Number of queries in each cell and their largest distance to the pivot."""
-    nq, reach = {}, np.full(m, -np.inf)
-    for cell, n, far in q.groupBy("cell").agg(F.count(F.lit(1)), F.max("d")).collect():
-        nq[cell], reach[cell] = n, far
-    return nq, reach
+    ``exclude_self`` is the training form (a point is not its own neighbour); ties go
+    to the smaller id. A query first looks into its own leaf; what it finds there, or what
+    the sizes of the top cells promise, bounds the leaves that it visits next.
+    """
+    need = k + 1 if exclude_self else k
+    # of equal vectors only the smallest ids can be among the k
+    twin = F.row_number().over(W.partitionBy("x").orderBy("id"))
+    few = base.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x")).withColumn("__twin", twin).filter(F.col("__twin") <= need).drop("__twin")
+    tree = plant(few, "id", "x")
+    tops, size, radius, task = tree.tops, tree.size, tree.radius, _topk_task(k, exclude_self)
+    q = queries.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
+    if not size.sum():
+        return q.select("id", F.lit(0).cast("bigint").alias("nid"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank")).filter("false")
+
+    def promised(it):
+        """A distance within which the top cells have ``need`` points."""
+        for p in it:
+            if len(p):
+                reach = np.sqrt(_gram(_matrix(p["x"]), tops)) + radius[None, :]
+                order = np.argsort(reach, axis=1)
+                enough = np.cumsum(size[order], axis=1) >= need
+                at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+                bound = np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+                yield p.assign(r=np.where(enough.any(axis=1), bound, np.inf))
+
+    own = _nearest_leaf(_nearest_top(q, tops), tree.leaves).drop("to_top", "to_sub")
+    own = cut_lineage(own.mapInPandas(promised, own.withColumn("r", F.lit(0.0)).schema))
+    inside = cut_lineage(block_join(own.drop("r"), tree.points, ["top", "sub"], task, FOUND))
+    kth = _keep_top(inside, k).groupBy("id").agg(F.count(F.lit(1)).alias("__n"), F.max("dist").alias("__kth"))
+    ball = F.when(F.col("__n") >= k, F.least("r", "__kth")).otherwise(F.col("r"))
+    asks = own.join(kth, "id", "left").select("id", "x", ball.alias("r"), F.col("top").alias("own_top"), F.col("sub").alias("own_sub"))
+    more = reached_leaves(asks, tree).filter("NOT (top = own_top AND sub = own_sub)").select("id", "x", "top", "sub")
+    return _keep_top(inside.unionByName(block_join(more, tree.points, ["top", "sub"], task, FOUND)), k)
 
 
 def within(queries: DataFrame, base: DataFrame, eps: float, task: Callable, schema: str, id_: str = "vec_id", vec: str = "x",
            q_extra: list[str] | None = None, c_extra: list[str] | None = None) -> DataFrame:
     """Run ``task(query block, candidate block)`` on every pair of blocks that may hold points within ``eps``."""
-    n = base.count()
-    if n <= BLOCK:
-        q, c = _one_cell(queries, id_, vec, q_extra or []), _one_cell(base, id_, vec, c_extra or [])
-        return _block_join(q, c, {0: queries.count()}, {0: n}, task, schema)
-    pivots = pick_pivots(base, id_, vec, n)
-    q = _assign(queries, id_, vec, pivots, q_extra or [])
-    c = _assign(base, id_, vec, pivots, c_extra or [])
-    nq, reach = _extent(q, len(pivots))
-    scale = float(np.abs(pivots).max() + eps + 1.0)
-    bound = np.where(np.isfinite(reach), eps, -np.inf)
-    copies = _copies(c, pivots, bound, reach, 1e-6 * scale)
-    return _block_join(q.drop("d"), copies.drop("d"), nq, None, task, schema)
+    tree = plant(base, id_, vec, c_extra)
+    q = queries.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"), *(q_extra or []), F.lit(float(eps)).alias("r"))
+    return block_join(reached_leaves(q, tree).drop("r"), tree.points, ["top", "sub"], task, schema)
 
 
 def close_pairs(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +261,81 @@ def close_pairs(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> tuple[np.ndarra
 
 def all_blocks(df: DataFrame, task: Callable, schema: str, id_: str, vec: str, extra: list[str]) -> DataFrame:
     """Every block against every block: for measures that are defined over all distances."""
-    d = _one_cell(df, id_, vec, extra)
-    n = {0: df.count()}
-    return _block_join(d, d, n, n, task, schema)
+    d = df.select(F.col(id_).alias("id"), F.col(vec).alias("x"), *extra, F.lit(0).alias("cell"))
+    return block_join(d, d, ["cell"], task, schema)
+
+
+# ---- approximate neighbours ------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Tables:
+    """Hash tables of random projections: a key is ``parts`` of them, rounded down by ``width``."""
+
+    direction: np.ndarray  # (tables, parts, dimension)
+    shift: np.ndarray
+    width: float
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        t, m, p = self.direction.shape
+        cell = np.floor((x @ self.direction.reshape(t * m, p).T + self.shift.ravel()) / self.width).astype(np.int64).reshape(len(x), t, m)
+        out = np.zeros((len(x), t), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(m):
+                out = (out ^ cell[:, :, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def collision(distance: float, width: float) -> float:
+    """Odds that two points at a distance share the rounded value of one projection."""
+    if distance <= 0:
+        return 1.0
+    s = width / distance
+    return math.erf(s / math.sqrt(2)) - math.sqrt(2 / math.pi) / s * (1 - math.exp(-s * s / 2))
+
+
+def choose_tables(near: float, usual: float, n: int, dim: int, recall: float, seed: int = 42) -> Tables:
+    """Width, parts and tables for a recall of neighbours at distance ``near``.
+
+    Keys are as long as brings a bucket of points at ``usual`` distances down to a leaf.
+    """
+    width = 4.0 * max(near, 1e-12)
+    p_near, p_far = collision(near, width), min(collision(usual, width), 1 - 1e-9)
+    parts = max(1, math.ceil(math.log(max(n / LEAF, 1.0)) / -math.log(p_far)))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p_near**parts, 1 - 1e-9))))
+    rng = np.random.default_rng(seed)
+    return Tables(rng.standard_normal((tables, parts, dim)), rng.uniform(0, width, (tables, parts)), width)
+
+
+def knn_approx(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: str = "x", exclude_self: bool = False, recall: float = 0.95,
+               probes: int = 256, seed: int = 42) -> DataFrame:
+    """About the same as ``knn``: neighbours among the points that share a key with the query in
+    one of several hash tables, with their exact distances.
+
+    The distances that the tables are made for come from ``probes`` queries, chosen by hashes
+    and compared with all points; ``recall`` is wanted of neighbours at the largest of their
+    k-th distances but a tenth. Other queries may find fewer than k.
+    """
+    q = queries.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
+    c = base.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
+    n = c.count()
+    some = q.orderBy(_share("id", f"probe{seed}"), "id").limit(probes)
+    one = [d.withColumn("cell", F.lit(0)) for d in (some, c)]
+    seen = _keep_top(block_join(*one, ["cell"], _topk_task(k, exclude_self), FOUND), k).groupBy("id").agg(F.max("dist").alias("kth"))
+    near = seen.agg(F.percentile_approx("kth", 0.9, 1000)).first()[0]
+    if near is None:
+        return q.select("id", F.lit(0).cast("bigint").alias("nid"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank")).filter("false")
+    x = _matrix(some.toPandas()["x"])
+    usual = float(np.sqrt(_gram(x, x)[~np.eye(len(x), dtype=bool)]).mean()) if len(x) > 1 else near
+    made = choose_tables(float(near), max(usual, float(near)), n, x.shape[1], recall, seed)
+
+    def keyed(it):
+        for p in it:
+            if len(p):
+                key = made.keys(_matrix(p["x"]))
+                for t in range(key.shape[1]):
+                    yield p.assign(table=np.int32(t), key=key[:, t])
+
+    schema = q.withColumn("table", F.lit(0)).withColumn("key", F.lit(0).cast("bigint")).schema
+    part = block_join(q.mapInPandas(keyed, schema), c.mapInPandas(keyed, schema), ["table", "key"], _topk_task(k, exclude_self), FOUND)
+    return _keep_top(part.groupBy("id", "nid").agg(F.min("dist").alias("dist")), k)

@@ -360,9 +360,7 @@ def detuning(samples: DataFrame, trigger: DataFrame, keys: list[str] = KEYS, val
     """Mean, spread, drift, range (Hz) of the pre-trigger phase and its jump at the trigger."""
     parts = [*keys, "part"]
     u = unwrap_phase(split_at_trigger(samples, trigger, keys), parts, value, "pidx")
-    pre = u.filter(F.col("part") == "pre")
-    g = neighbours(pre.withColumn("t_s", F.col("pidx") * F.col("dt_us") / 1e6), parts,
-                   {"__a2": ("phase", -2), "__a1": ("phase", -1), "__b1": ("phase", 1), "__b2": ("phase", 2)}, "pidx")
+    g = neighbours(u, parts, {"__a2": ("phase", -2), "__a1": ("phase", -1), "__b1": ("phase", 1), "__b2": ("phase", 2)}, "pidx")
     x, a1, a2, b1, b2 = (F.col(c) for c in ("phase", "__a1", "__a2", "__b1", "__b2"))
     v = F.when(a1.isNull(), b1 - x).when(b1.isNull(), x - a1).otherwise((b1 - a1) / 2)
     vb = F.when(a2.isNull(), x - a1).otherwise((x - a2) / 2)
@@ -370,13 +368,14 @@ def detuning(samples: DataFrame, trigger: DataFrame, keys: list[str] = KEYS, val
     acc = F.when(a1.isNull(), va - v).when(b1.isNull(), v - vb).otherwise((va - vb) / 2)
     two_pi = 2 * math.pi
     dt = F.col("dt_us") / 1e6
-    a = g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pre"), (F.regr_slope("phase", "t_s") / two_pi).alias("mean_hz"),
-        F.stddev_pop(v / dt / two_pi).alias("std_hz"), (F.avg(acc / dt / dt) / two_pi).alias("slope_hz_s"),
-        ((F.max("phase") - F.min("phase")) / two_pi).alias("peak_to_peak"),
-        F.max_by("phase", "pidx").alias("__last"))
-    post = u.filter((F.col("part") == "post") & (F.col("pidx") == 10)).select(*keys, F.col("phase").alias("__p10"))
-    j = a.join(post, keys, "left")
+    early = F.col("part") == "pre"
+    pre = lambda e: F.when(early, e)
+    # both parts in one aggregate: all but the tenth sample after the trigger come from before it
+    j = g.groupBy(*keys).agg(
+        F.count(pre(F.lit(1))).alias("n_pre"), (F.regr_slope(pre(x), pre(F.col("pidx") * dt)) / two_pi).alias("mean_hz"),
+        F.stddev_pop(pre(v / dt / two_pi)).alias("std_hz"), (F.avg(pre(acc / dt / dt)) / two_pi).alias("slope_hz_s"),
+        ((F.max(pre(x)) - F.min(pre(x))) / two_pi).alias("peak_to_peak"), F.max_by(pre(x), pre(F.col("pidx"))).alias("__last"),
+        F.max(F.when(~early & (F.col("pidx") == 10), x)).alias("__p10"))
     jump = F.coalesce((F.col("__p10") - F.col("__last")) / two_pi, F.lit(0.0))
     enough = F.col("n_pre") > min_pre
     cols = {"mean_hz": F.col("mean_hz"), "std_hz": F.col("std_hz"), "slope_hz_s": F.col("slope_hz_s"),
@@ -402,7 +401,10 @@ def phase_stability(samples: DataFrame, trigger: DataFrame, keys: list[str] = KE
     n = F.col("n")
     half = F.when(n % 2 == 0, F.col("xh") * F.col("xh")).otherwise(0.0)
     psd = (n * F.col("ss") + F.col("x0") * F.col("x0") + half) / 2 / n
-    return g.select(*keys, "jitter", "excursion", F.when(n > min_pre, F.col("slope")).otherwise(0.0).alias("noise_slope"), psd.alias("psd_integral"))
+    g = g.select(*keys, "jitter", "excursion", F.when(n > min_pre, F.col("slope")).otherwise(0.0).alias("noise_slope"), psd.alias("psd_integral"))
+    # a recording whose trigger is its first sample has nothing before it
+    g = trigger.select(*keys).join(g, keys, "left")
+    return g.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("jitter", "excursion", "noise_slope", "psd_integral")])
 
 
 def pair_channels(samples: DataFrame, first: str, second: str, keys: list[str]) -> DataFrame:

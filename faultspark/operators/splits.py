@@ -7,11 +7,14 @@ number of partitions or on retries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio, stable_hash
+from ..functions.iterate import cut_lineage
 from ..functions.ordering import join_on, with_position
+from ..functions.parallel import run_all
 
 
 def _ranked(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
@@ -51,13 +54,16 @@ def repeated_eval(df: DataFrame, key: str, stratum: str | None, fit: Callable[[D
 
     ``fit(train)`` returns a scoring function; ``metrics(scored)`` returns metric rows.
     """
-    out = None
-    for i in range(n):
-        d = stratified_split(df, key, stratum, test, seed=base_seed + i)
-        score = fit(d.filter(F.col("split") == "train"))
-        rows = metrics(score(d.filter(F.col("split") == "test"))).withColumn("repeat", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    def one(i: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            d = stratified_split(df, key, stratum, test, seed=base_seed + i)
+            score = fit(d.filter(F.col("split") == "train"))
+            return cut_lineage(metrics(score(d.filter(F.col("split") == "test"))).withColumn("repeat", F.lit(i)))
+
+        return run
+
+    return reduce(DataFrame.unionByName, run_all([one(i) for i in range(n)]))
 
 
 def summarize_repeats(rows: DataFrame) -> DataFrame:
@@ -68,13 +74,16 @@ def summarize_repeats(rows: DataFrame) -> DataFrame:
 
 def cross_validate(df: DataFrame, key: str, stratum: str, fit, metrics, k: int = 5, seed: int = 42) -> DataFrame:
     """k-fold form of ``repeated_eval``; whatever ``fit`` does is refit in every fold."""
-    d = kfold(df, key, stratum, k, seed)
-    out = None
-    for i in range(k):
-        score = fit(d.filter(F.col("fold") != i))
-        rows = metrics(score(d.filter(F.col("fold") == i))).withColumn("repeat", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    d = cut_lineage(kfold(df, key, stratum, k, seed))
+
+    def one(i: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            score = fit(d.filter(F.col("fold") != i))
+            return cut_lineage(metrics(score(d.filter(F.col("fold") == i))).withColumn("repeat", F.lit(i)))
+
+        return run
+
+    return reduce(DataFrame.unionByName, run_all([one(i) for i in range(k)]))
 
 
 def block_split(df: DataFrame, order: list[str], block: int = 20, train: float = 0.64, val: float = 0.16, seed: int = 42) -> DataFrame:

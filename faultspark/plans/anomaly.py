@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
 from ..operators import anomaly as A
-from ..operators.neighbours import knn
+from ..operators.neighbours import knn, knn_approx
 from .matrixdata import ORDERS_SQL, VECTORS_SQL, orders_matrix, vectors
 from .registry import R, query
 from .series import rounded
@@ -47,6 +47,12 @@ def _(t):
     return rounded(knn(te, tr, 7))
 
 
+@query("knn_approx", "F2")
+def _(t):
+    tr, te = split_vectors(t)
+    return rounded(knn_approx(te, tr, 7))
+
+
 LRD = "SELECT e.id, 1.0 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM {e} e JOIN k ON k.id = e.nid GROUP BY 1"
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..operators import cluster_metrics as J, clustering as I, matrix as M
+from ..operators import cluster_metrics as J, clustering as I
 from .matrixdata import ORDERS_SQL, VECTORS_SQL, orders_matrix, vectors
 from .registry import R, query
 from .series import rounded
@@ -17,9 +17,7 @@ def _(t):
 
 @query("gmm", "I2")
 def _(t):
-    v = vectors(t)
-    lead = M.pca(v, k=10).project(v, "x").withColumn("x", F.col("pc"))  # full covariances of 64 columns need more rows than the table has
-    return I.gmm(lead, 3).select("vec_id", "cluster", F.transform("probability", lambda p: rnd(p)).alias("probability"))
+    return I.gmm(vectors(t), 3).select("vec_id", "cluster", F.transform("probability", lambda p: rnd(p)).alias("probability"))
 
 
 @query("hierarchical", "I3")
@@ -58,12 +56,12 @@ def _(t):
 @query("cluster_per_category", "I6")
 def _(t):
     d = vectors(t).withColumn("category", F.when(F.col("label") < 5, "a").otherwise("b"))
-    return I.cluster_per_category(d, "category", n_init=1)
+    return I.cluster_per_category(d, "category")
 
 
 @query("k_candidates", "I7")
 def _(t):
-    return rounded(I.k_candidates(vectors(t), [2, 3, 4], n_init=1))
+    return rounded(I.k_candidates(vectors(t), [2, 3, 4, 5, 6]))
 
 
 KM_SQL = "km AS (SELECT (2 + user_id % 9)::INT AS k, avg(value) AS silhouette, stddev_pop(value) AS davies_bouldin FROM events GROUP BY 1)"
@@ -103,7 +101,7 @@ def _(t):
 @query("subspace_clustering", "I9")
 def _(t):
     return rounded(I.subspace_clustering(orders_matrix(t), ["qty_sum", "qty_mean", "price_sum", "price_max", "disc_mean", "tax_mean"],
-                                         {"amount": ["QTY", "price"], "rates": ["disc", "tax"]}, range(2, 4), n_init=1))
+                                         {"amount": ["QTY", "price"], "rates": ["disc", "tax"]}))
 
 
 PROF_SQL = f"WITH {VECTORS_SQL}, lg AS (SELECT label, 'e' || p AS feature, x[p] AS value FROM v, range(1, 65) r(p))"

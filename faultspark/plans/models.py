@@ -34,7 +34,7 @@ def binary(name, code, fit):
 binary("logistic_regression", "G1", G.fit_logistic)
 binary("random_forest", "G2", FOREST)
 binary("random_forest_balanced", "G2", partial(FOREST, weighted=True))
-binary("boosted_trees", "G3", partial(G.fit_boosted, rounds=5, depth=3))
+binary("boosted_trees", "G3", G.fit_boosted)
 binary("svm_rbf", "G4", partial(G.fit_svm, features=200, rounds=100))
 binary("mlp", "G12", partial(G.fit_mlp, hidden=(64, 32), rounds=100))
 
@@ -76,13 +76,13 @@ def _(t):
 @query("model_comparison", "G10")
 def _(t):
     tr, te = parts(t)
-    return rounded(G.model_comparison(tr, te, "y", {"logistic": G.fit_logistic, "forest": FOREST}))
+    return rounded(G.model_comparison(tr, te, "y", {"logistic": G.fit_logistic, "forest": FOREST, "boosted": G.fit_boosted, "svm": G.fit_svm}))
 
 
 @query("channel_ablation", "G11")
 def _(t):
     names = [f"ch{i // 16}_f{i}" for i in range(64)]
-    return rounded(G.channel_ablation(labelled(t), "vec_id", "y", names, {"without_ch0": ["ch0"]}, FOREST))
+    return rounded(G.channel_ablation(labelled(t), "vec_id", "y", names, {f"without_ch{i}": [f"ch{i}"] for i in range(4)}, FOREST))
 
 
 @query("top_features", "G13")
@@ -100,19 +100,19 @@ def _(t):
 @query("learning_curve", "H12")
 def _(t):
     d = labelled(t).select("vec_id", "x", "y")
-    return rounded(G.learning_curve(d, "vec_id", "y", [0, 1], [0.5, 1.0], 2, partial(G.fit_forest, trees=5, depth=4)))
+    return rounded(G.learning_curve(d, "vec_id", "y", [0, 1], [i / 8 for i in range(1, 9)], 5, FOREST))
 
 
 @query("feature_scope_test", "L6")
 def _(t):
-    d = G.feature_scope_test(labelled(t).select("vec_id", "x", "y"), "vec_id", "y", {"half": list(range(32))}, 2, partial(G.fit_forest, trees=5, depth=4))
+    d = G.feature_scope_test(labelled(t).select("vec_id", "x", "y"), "vec_id", "y", {"half": list(range(32))}, 10, FOREST)
     return rounded(d.drop("values"))
 
 
 @query("two_stage", "P17")
 def _(t):
     tr, te = parts(t)
-    flag = lambda a, b: A.isolation_forest(a, b, trees=20, contamination=0.5)
+    flag = lambda a, b: A.isolation_forest(a, b, contamination=0.5)
     return rounded(G.two_stage(tr, te, "y", flag, FOREST).select("vec_id", "flag", "y_pred", "score"))
 
 
@@ -125,4 +125,4 @@ def _(t):
 @query("stacking", "P17")
 def _(t):
     tr, te = parts(t)
-    return rounded(G.stacking(tr.drop("split"), "vec_id", "y", [G.fit_logistic, FOREST], 2)(te).select("vec_id", "y_pred", "score"))
+    return rounded(G.stacking(tr.drop("split"), "vec_id", "y", [G.fit_logistic, FOREST])(te).select("vec_id", "y_pred", "score"))

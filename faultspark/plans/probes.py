@@ -101,4 +101,4 @@ def _(t):
 @query("throughput_benchmark", "L8")
 def _(t):
     score = lambda d: d.withColumn("score", 1.0 / (1.0 + F.exp(-F.col("l_discount") * 10 + F.col("l_tax"))))
-    return P.throughput_benchmark(t.lineitem.select("l_discount", "l_tax"), score, 3).select("n_timed", "mean_ms", "median_ms", "p95_ms", "max_ms", "rows_per_s")
+    return P.throughput_benchmark(t.lineitem.select("l_discount", "l_tax"), score).select("n_timed", "mean_ms", "median_ms", "p95_ms", "max_ms", "rows_per_s")

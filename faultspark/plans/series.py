@@ -230,7 +230,8 @@ def _(t):
   k AS (SELECT *, unnest(range(0, np // 2 + 1)) AS f FROM q),
   ft AS (SELECT series_id, pow(list_sum([vs[i + 1] * cos(2 * {PI} * f * i / np) for i in range(0, np)]), 2) + pow(list_sum([vs[i + 1] * sin(2 * {PI} * f * i / np) for i in range(0, np)]), 2) AS pw, np FROM k),
   ps AS (SELECT series_id, sum(pw) / max(np) AS psd FROM ft GROUP BY 1)
-  SELECT series_id, {R('sd')} AS jitter, {R('ptp')} AS excursion, {R('CASE WHEN np > 30 THEN sl ELSE 0 END')} AS noise_slope, {R('psd')} AS psd_integral FROM q JOIN ps USING (series_id)""")
+  SELECT series_id, {R('coalesce(sd, 0)')} AS jitter, {R('coalesce(ptp, 0)')} AS excursion, {R('CASE WHEN np > 30 THEN sl ELSE 0 END')} AS noise_slope, {R('coalesce(psd, 0)')} AS psd_integral
+  FROM trig LEFT JOIN q USING (series_id) LEFT JOIN ps USING (series_id)""")
 def _(t):
     return rounded(S.phase_stability(*scaled_trigger(t), min_pre=30))
 

@@ -40,12 +40,12 @@ def accuracy(d):
     return d.agg(F.avg((F.col("y") == F.col("y_pred")).cast("int")).alias("value")).select(F.lit("accuracy").alias("metric"), F.lit("all").alias("label_name"), "value")
 
 
-@query("repeated_eval", "E3", f"""WITH {ORDERS_SQL}, r AS (SELECT event_id, y, qty_sum, i, row_number() OVER (PARTITION BY y, i ORDER BY md5(event_id || '#' || i), event_id) - 1 AS pos, count(*) OVER (PARTITION BY y, i) AS n FROM m, range(0, 4) g(i)),
+@query("repeated_eval", "E3", f"""WITH {ORDERS_SQL}, r AS (SELECT event_id, y, qty_sum, i, row_number() OVER (PARTITION BY y, i ORDER BY md5(event_id || '#' || i), event_id) - 1 AS pos, count(*) OVER (PARTITION BY y, i) AS n FROM m, range(0, 10) g(i)),
   s AS (SELECT *, pos < ceil(n * 0.3::DOUBLE) AS is_test FROM r), f AS (SELECT i, avg(qty_sum) AS a FROM s WHERE NOT is_test GROUP BY 1),
   v AS (SELECT i, avg((y = (qty_sum > a)::INT)::INT) AS value FROM s JOIN f USING (i) WHERE is_test GROUP BY 1)
   SELECT 'accuracy' AS metric, 'all' AS label_name, count(*) AS n, {R('avg(value)')} AS mean, {R('stddev_pop(value)')} AS std, {R('min(value)')} AS min, {R('max(value)')} AS max, list({R('value')} ORDER BY i) AS "values" FROM v""")
 def _(t):
-    rows = E.repeated_eval(orders_matrix(t).select("event_id", "y", "qty_sum"), "event_id", "y", mean_rule, accuracy, n=4)
+    rows = E.repeated_eval(orders_matrix(t).select("event_id", "y", "qty_sum"), "event_id", "y", mean_rule, accuracy)
     d = rounded(E.summarize_repeats(rows))
     return d.withColumn("values", F.transform("values", lambda v: rnd(v)))
 

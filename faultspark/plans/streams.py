@@ -15,15 +15,19 @@ FILES = 5
 
 
 def in_files(t, name, order):
-    """The table dealt into files in order of a column, read one file a batch."""
+    """The table dealt into parts in order of a column, null values first, read one part a batch.
+
+    Each part is written by as many tasks as hold its rows, into a folder of its own; the
+    source takes folders by age, and as many files a batch as a part has.
+    """
     path = shared_folder(t.spark, f"stream-{name}")
     df = getattr(t, name)
-    cuts = df.agg(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 1000)).first()[0]
-    bounds = [None, *cuts, None]
-    for a, b in zip(bounds, bounds[1:]):  # the source takes files by age
-        part = df.filter((F.lit(True) if a is None else order > F.lit(a)) & (F.lit(True) if b is None else order <= F.lit(b)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cuts = df.agg(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 1000)).first()[0] or []
+    part = F.when(order.isNull(), 0).otherwise(sum(((order > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    tasks = df.rdd.getNumPartitions()
+    for i in range(len(cuts) + 1):
+        df.filter(part == i).write.parquet(f"{path}/part={i}")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", tasks).parquet(f"{path}/part=*")
 
 
 def events(t):

@@ -153,9 +153,14 @@ def points(spark, n=300, d=4, seed=0):
     return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, x array<double>")
 
 
+def small_leaves(monkeypatch, leaf=12, block=24, deal=64):
+    for name, value in (("LEAF", leaf), ("BLOCK", block), ("DEAL", deal)):
+        monkeypatch.setattr(NB, name, value)
+
+
 @pytest.mark.parametrize("own", [True, False])
-def test_knn_with_pivots_is_exact(spark, monkeypatch, own):
-    monkeypatch.setattr(NB, "BLOCK", 24)
+def test_knn_with_a_tree_is_exact(spark, monkeypatch, own):
+    small_leaves(monkeypatch)
     x, df = points(spark)
     got = NB.knn(df, df, 4, exclude_self=own).toPandas()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -167,6 +172,56 @@ def test_knn_with_pivots_is_exact(spark, monkeypatch, own):
     assert np.allclose(have, want)
 
 
+def test_knn_where_nine_in_ten_points_are_equal(spark, monkeypatch):
+    """Ids of ties are the smallest, and no leaf holds the group."""
+    small_leaves(monkeypatch)
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(0, 1, (1, 3)), 400, axis=0)
+    other = rng.permutation(400)[:40]
+    x[other] = rng.normal(0, 1, (40, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, x array<double>")
+    for own in (True, False):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        if own:
+            np.fill_diagonal(d, np.inf)
+        want = [(i, int(j), r + 1) for i in range(400) for r, j in enumerate(np.lexsort((np.arange(400), d[i].round(9)))[:5])]
+        got = sorted((r["id"], r["nid"], r["rank"]) for r in NB.knn(df, df, 5, exclude_self=own).collect())
+        assert got == sorted(want)
+    tree = NB.plant(NB.knn(df, df, 1).select("id").join(df.withColumnRenamed("vec_id", "id"), "id").dropDuplicates(["x"]), "id", "x")
+    assert tree.points.groupBy("top", "sub").count().agg(F.max("count")).first()[0] <= 41 and len(tree.tops) > 1
+    label = A.dbscan(df, 0.3, 5).orderBy("id").toPandas().cluster.to_numpy()
+    assert (label == brute_dbscan(x, 0.3, 5)).all()
+
+
+def test_neighbours_of_nothing(spark):
+    _, df = points(spark, 60)
+    none = df.filter("vec_id < 0")
+    assert NB.knn(df, none, 3).count() == 0 and NB.knn(none, df, 3).count() == 0 and NB.knn_approx(df, none, 3).count() == 0
+    assert NB.knn(df.limit(7), df.limit(2), 5).count() == 14  # fewer points than asked for
+    assert set(A.dbscan(df, 1e-6, 50).toPandas().cluster) == {-1}
+
+
+@pytest.mark.parametrize("d", [4, 24])
+def test_hash_tables_find_nine_in_ten_neighbours(spark, monkeypatch, d):
+    monkeypatch.setattr(NB, "LEAF", 64)  # keys of several parts
+    rng = np.random.default_rng(d)
+    centre = rng.normal(0, 4, (20, d))
+    x = centre[rng.integers(0, 20, 1500)] + rng.normal(0, 0.5, (1500, d))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, x array<double>")
+    exact = {(r["id"], r["nid"]): r["dist"] for r in NB.knn(df, df, 6, exclude_self=True).collect()}
+    got = {(r["id"], r["nid"]): r["dist"] for r in NB.knn_approx(df, df, 6, exclude_self=True).collect()}
+    both = exact.keys() & got.keys()
+    assert len(both) >= 0.9 * len(exact) and all(abs(exact[p] - got[p]) < 1e-9 for p in both)
+
+
+def test_odds_of_a_shared_key():
+    rng = np.random.default_rng(0)
+    a = rng.normal(0, 1, (4000, 8))
+    b = a + 0.7 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(0, 1, (4000, 8)))
+    shared = np.mean([len(set(NB.Tables(rng.standard_normal((1, 1, 8)), rng.uniform(0, 1.5, (1, 1)), 1.5).keys(np.stack(pair))[:, 0].tolist())) == 1 for pair in zip(a, b)])
+    assert shared == pytest.approx(NB.collision(0.7, 1.5), abs=0.03)
+
+
 def brute_dbscan(x, eps, m):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
     core = d.sum(1) >= m
@@ -187,9 +242,9 @@ def brute_dbscan(x, eps, m):
     return label
 
 
-@pytest.mark.parametrize("block", [24, 2048])
-def test_dbscan_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(NB, "BLOCK", block)
+@pytest.mark.parametrize("leaf", [12, 2048])
+def test_dbscan_equals_brute_force(spark, monkeypatch, leaf):
+    small_leaves(monkeypatch, leaf, leaf)
     x, df = points(spark, 200, 3, 2)
     got = A.dbscan(df, 0.9, 5).orderBy("id").toPandas()
     assert (got.cluster.to_numpy() == brute_dbscan(x, 0.9, 5)).all()
