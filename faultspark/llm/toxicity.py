@@ -314,8 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Toxic
     n = df.filter("term IS NULL").first()["n"]
     df = df.filter("term IS NOT NULL")
     examples = cut_lineage(words_of(sample.filter("fit")))
-    # words of the other sample too: what a task knows needs no join
-    known = frequencies_of(words_of(sample), df)
+    known = frequencies_of(examples, df)
     terms, counted = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(terms)
     rows = examples.orderBy("doc_id", "h").toArrow().to_pylist()  # bounded by REFERENCES
@@ -349,11 +348,12 @@ def votes(docs: DataFrame, model: ToxicityModel, df: DataFrame, n: int, keep: li
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            parts = [(name_of(t), h, tf) for t, (_, _, h, tf) in zip(texts, weighted(text_words(texts), shared.value.terms, shared.value.idf)) if len(h)]
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)),
-                     pa.array(np.concatenate([p[2] for p in parts]))], ["key", "term", "tf"])
+            key = np.array([name_of(t) for t in texts], np.int64)
+            parts = [(h, tf) for _, _, h, tf in weighted(text_words(texts), shared.value.terms, shared.value.idf)]
+            # and one row that counts the text, under a term that spreads these rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.repeat(key, [len(h) for h, _ in parts]), key])), pa.array(np.concatenate([*(h for h, _ in parts), key.view(np.uint64)]).view(np.int64)),
+                 pa.array(np.concatenate([*(tf for _, tf in parts), np.full(len(key), -1.0)]), pa.float64())], ["key", "term", "tf"])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -366,10 +366,11 @@ def votes(docs: DataFrame, model: ToxicityModel, df: DataFrame, n: int, keep: li
             yield pa.RecordBatch.from_arrays([*batch.columns[:m], pa.array(given, pa.float64()), pa.array(told, pa.string())], [*keep, "vote", "evidence"])
 
     found = docs.select(*keep, "text").mapInArrow(search, f"{kept}, key bigint, found array<int>, dot array<double>, size double")
-    # a text's other words once, however often the text is there
+    # texts that are there m times have m times the sum
     idf = F.log(F.lit(1.0 + n) / (1 + F.coalesce("n", F.lit(1)))) + 1
-    extra = docs.select("text").mapInArrow(others, "key bigint, term bigint, tf double").groupBy("key", "term").agg(F.first("tf").alias("tf"))
-    extra = extra.join(df, "term", "left").groupBy("key").agg(F.round(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))), 9).alias("rest"))
+    extra = docs.select("text").mapInArrow(others, "key bigint, term bigint, tf double").join(df, "term", "left")
+    extra = extra.groupBy("key").agg((F.sum(F.when(F.col("tf") > 0, F.pow(F.col("tf") * idf, F.lit(2.0))).otherwise(0.0)) / F.count_if(F.col("tf") < 0)).alias("rest"))
+    extra = extra.select("key", F.round("rest", 9).alias("rest"))
     both = found.join(extra, "key", "left").select(*keep, "found", "dot", (F.col("size") + F.coalesce("rest", F.lit(0.0))).alias("size"))
     return both.mapInArrow(vote, f"{kept}, vote double, evidence string")
 
