@@ -1,23 +1,25 @@
 """Per-series numeric kernels that Spark expressions cannot state: peaks, filters, spectra.
 
-Kernels run on fixed-size chunks. Filters read a halo of earlier samples as long as
-their impulse response; peak counting merges small chunk summaries in a tree. So one
-long recording is shared by many tasks.
+Kernels run on fixed-size chunks. Filters carry the state of their recurrence from chunk
+to chunk; peak counting merges small chunk summaries in a tree. So one long recording is
+shared by many tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio
 from ..functions.iterate import cut_lineage
 from ..functions.ordering import neighbours, series_chunk, series_prefix
-from .series import KEYS, split_at_trigger, unwrap_phase
+from .series import KEYS, join_events, split_at_trigger, unwrap_phase
 
 FAN_IN = 256
 ONE_TASK_SAMPLES = 1 << 22
@@ -33,6 +35,13 @@ def apply_series_kernel(samples: DataFrame, fn: Callable[[pd.DataFrame], pd.Data
 
 # ---- peaks -----------------------------------------------------------------------------
 
+def turning_points(x: np.ndarray) -> np.ndarray:
+    """The first and last value and those where the direction turns, each flat part once."""
+    x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+    up = x[1:] > x[:-1]
+    return x[np.r_[True, up[1:] != up[:-1], True]] if len(x) > 2 else x
+
+
 def _extrema(values, mult):
     """Alternating turning points; the two end points always stay."""
     v, m = [], []
@@ -114,7 +123,7 @@ def peak_count(samples: DataFrame, prominence: float = 0.5, keys: list[str] = KE
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        x = pdf["x"].to_numpy()
+        x = turning_points(pdf["x"].to_numpy())
         v, m, n = _summary(x.tolist(), [1] * len(x), prominence)
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["part"].iloc[0], v, m, n]], columns=[*keys, "part", "v", "m", "n"])
 
@@ -184,87 +193,150 @@ def butterworth_highpass(order: int, cutoff: float) -> list[tuple[np.ndarray, np
     return out
 
 
-def impulse_response(sections: list, eps: float = 1e-18) -> np.ndarray:
-    """Response to a unit impulse, up to where it falls below ``eps``."""
-    radius = max(abs(np.roots(a)).max() for _, a in sections)
-    n = int(math.ceil(math.log(eps) / math.log(radius))) + 64
-    x = np.zeros(n)
-    x[0] = 1.0
-    for b, a in sections:
-        y, b, a = np.zeros(n), b.tolist(), a.tolist()
-        xs, ys = x.tolist(), y.tolist()
-        for i in range(n):
-            acc = 0.0
-            for j in range(len(b)):
-                if i >= j:
-                    acc += b[j] * xs[i - j]
-            for j in range(1, len(a)):
-                if i >= j:
-                    acc -= a[j] * ys[i - j]
-            ys[i] = acc
-        x = np.array(ys)
-    return x
-
-
-def causal_filter(samples: DataFrame, response: np.ndarray, keys: list[str] = KEYS, value: str = "value", idx: str = "idx", out: str = "filtered", keep_short: int = 0) -> DataFrame:
-    """Convolve each series with a causal response; chunks read the samples before them as halo.
-
-    Series of at most ``keep_short`` samples pass unchanged.
-    """
-    halo = len(response) - 1
-    size = max(series_chunk(samples.sparkSession), halo, keep_short + 1)
-    d = samples.select(*keys, F.col(idx).alias("i"), F.col(value).cast("double").alias("x"))
-    home = F.floor(F.col("i") / size).cast("bigint")
-    copies = F.array_compact(F.array(home, F.when(F.col("i") % size >= size - halo, home + 1)))
-    d = d.withColumn("c", F.explode(copies))
-    types = dict(samples.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{idx}` bigint, `{out}` double"
+@dataclass(frozen=True)
+class Recurrence:
+    """A chain of filter sections as one linear recurrence: y = c s + d x, then s = a s + b x.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        c, i, x = int(pdf["c"].iloc[0]), pdf["i"].to_numpy(), pdf["x"].to_numpy()
-        mine = i // size == c
-        if not mine.any():
-            return pd.DataFrame({k: pdf[k].iloc[:0] for k in keys} | {idx: i[:0], out: x[:0]})
-        if c == 0 and len(x) <= keep_short:
-            y = x
-        else:
-            n = 1 << int(len(x) + min(len(x), len(response)) - 1).bit_length()
-            y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(response[: len(x)], n), n)[: len(x)]
-        return pd.DataFrame({k: pdf[k].to_numpy()[mine] for k in keys} | {idx: i[mine], out: y[mine]})
+    A run of samples maps the state s to a**n s + f, where f is the state that the run leaves
+    when it starts from rest. Such maps compose, so runs of one series are filtered apart.
+    """
 
-    return d.groupBy(*keys, "c").applyInPandas(run, schema)
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    d: float
+
+    #: Samples handled by one matrix product.
+    STEP = 64
+
+    @staticmethod
+    def of(sections: list[tuple[np.ndarray, np.ndarray]]) -> Recurrence:
+        whole = None
+        for num, den in sections:
+            m = len(den) - 1
+            a = np.zeros((m, m))
+            a[:, 0], a[range(m - 1), range(1, m)] = -den[1:], 1.0
+            one = Recurrence(a, num[1:] - den[1:] * num[0], np.eye(m)[0], float(num[0]))
+            whole = one if whole is None else whole.then(one)
+        return whole
+
+    def then(self, o: Recurrence) -> Recurrence:
+        a = np.block([[self.a, np.zeros((len(self.a), len(o.a)))], [np.outer(o.b, self.c), o.a]])
+        return Recurrence(a, np.concatenate([self.b, o.b * self.d]), np.concatenate([o.d * self.c, o.c]), o.d * self.d)
+
+    def power(self, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(self.a, n)
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For one step: outputs by state, outputs by input, and the state left by each input."""
+        n, m = self.STEP, len(self.a)
+        powers = np.empty((n, m, m))
+        powers[0] = np.eye(m)
+        for i in range(1, n):
+            powers[i] = powers[i - 1] @ self.a
+        left = powers @ self.b  # state i + 1 samples after a unit input
+        response = np.concatenate([[self.d], left[:-1] @ self.c])
+        at = np.arange(n)
+        inputs = np.where(at[:, None] >= at[None, :], response[np.maximum(at[:, None] - at[None, :], 0)], 0.0)
+        return powers.transpose(0, 2, 1) @ self.c, inputs, left[::-1]
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs, and the state after the last sample."""
+        n, m = self.STEP, len(self.a)
+        by_state, by_input, leaves = self._tables()
+        s = np.zeros(m) if state is None else np.asarray(state, float)
+        if not len(x):
+            return np.zeros(0), s
+        steps = -(-len(x) // n)
+        padded = np.zeros((steps, n))
+        padded.ravel()[: len(x)] = x
+        gains, whole = padded @ leaves, self.power(n)
+        states = np.empty((steps, m))
+        for k in range(steps):
+            states[k] = s
+            s = whole @ s + gains[k]
+        rest = len(x) - (steps - 1) * n
+        end = self.power(rest) @ states[-1] + padded[-1, :rest] @ leaves[n - rest :]
+        return (padded @ by_input.T + states @ by_state.T).ravel()[: len(x)], end
+
+
+def linear_filter(samples: DataFrame, system: Recurrence, keys: list[str] = KEYS, value: str = "value", idx: str = "idx", out: str = "filtered", keep: list[str] | None = None, keep_short: int = 0) -> DataFrame:
+    """Filter each series from rest: (keys, idx, out, columns to keep).
+
+    Chunks are filtered from rest for the state that they leave, these states are carried along
+    the chunks of a series, a few numbers each, and then every chunk is filtered from the state
+    before it. Series of at most ``keep_short`` samples pass unchanged.
+    """
+    keep = keep or []
+    size = max(series_chunk(samples.sparkSession), keep_short + 1)
+    d = samples.select(*keys, *keep, F.col(idx).cast("bigint").alias("__i"), F.col(value).cast("double").alias("__x"), F.floor(F.col(idx) / size).cast("bigint").alias("__c"))
+    types = dict(d.dtypes)
+    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    unit = [*keys, "__c"]
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("__i")["__x"].to_numpy()
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__c"].iloc[0], len(x), system.run(x)[1].tolist()]], columns=[*unit, "n", "s"])
+
+    def carry(batches):
+        key, state, powers = None, None, {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            before = []
+            for *k, _, n, s in zip(*columns):
+                if k != key:
+                    key, state = k, np.zeros(len(system.a))
+                before.append(state.tolist())
+                if n not in powers:
+                    powers[n] = system.power(n)
+                state = powers[n] @ state + np.array(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.list_(pa.float64()))], [*unit, "s"])
+
+    left = d.groupBy(*unit).applyInPandas(leave, f"{head}, __c bigint, n bigint, s array<double>")
+    state = left.repartition(*keys).sortWithinPartitions(*unit).mapInArrow(carry, f"{head}, __c bigint, s array<double>")
+    names = [*keys, idx, out, *keep]
+    schema = ", ".join([head, f"`{idx}` bigint, `{out}` double", *[f"`{k}` {types[k]}" for k in keep]])
+
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({n: [] for n in names})
+        pdf = pdf.sort_values("__i")
+        x = pdf["__x"].to_numpy()
+        short = pdf["__c"].iloc[0] == 0 and len(x) <= keep_short
+        return pdf.assign(**{idx: pdf["__i"], out: x if short else system.run(x, before["s"].iloc[0])[0]})[names]
+
+    return d.groupBy(*unit).cogroup(state.groupBy(*unit)).applyInPandas(run, schema)
 
 
 def highpass(samples: DataFrame, cutoff: float = 0.01, order: int = 4, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
     """Causal Butterworth high-pass (column ``filtered``); series of up to 10 samples stay as they are."""
-    return causal_filter(samples, impulse_response(butterworth_highpass(order, cutoff)), keys, value, idx, keep_short=10)
+    return linear_filter(samples, Recurrence.of(butterworth_highpass(order, cutoff)), keys, value, idx, keep_short=10)
 
 
 def highpass_zero_phase(samples: DataFrame, cutoff: float, order: int = 1, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
     """Forward and backward high-pass over an odd extension of both ends.
 
     A settled high-pass gives 0 for a constant, so starting settled on the first value
-    equals filtering the series minus that value.
+    equals filtering the series minus that value. Series no longer than the extension have
+    no result.
     """
-    response = impulse_response(butterworth_highpass(order, cutoff))
+    system = Recurrence.of(butterworth_highpass(order, cutoff))
     pad = 3 * (order + 1)
-    s = samples.select(*keys, F.col(idx).cast("bigint").alias("i"), F.col(value).cast("double").alias("x"))
-    ends = s.groupBy(*keys).agg(F.min_by("x", "i").alias("x0"), F.max_by("x", "i").alias("x1"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("i") == pad, F.col("x"))).alias("xp"))
-    d = s.join(ends.filter(F.col("n") > pad), keys)
-    back = F.col("n") - 1 - F.col("i")
+    s = samples.select(*keys, F.col(idx).cast("bigint").alias("idx"), F.col(value).cast("double").alias("x"))
+    ends = s.groupBy(*keys).agg(F.min_by("x", "idx").alias("x0"), F.max_by("x", "idx").alias("x1"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("idx") == pad, F.col("x"))).alias("xp"))
+    d = join_events(s, ends.filter(F.col("n") > pad), keys)
+    i, back = F.col("idx"), F.col("n") - 1 - F.col("idx")
     pieces = F.array_compact(F.array(
-        F.struct((F.col("i") + pad).alias("i"), F.col("x").alias("x")),
-        F.when((F.col("i") >= 1) & (F.col("i") <= pad), F.struct((pad - F.col("i")).alias("i"), (2 * F.col("x0") - F.col("x")).alias("x"))),
+        F.struct((i + pad).alias("i"), F.col("x").alias("x")),
+        F.when((i >= 1) & (i <= pad), F.struct((pad - i).alias("i"), (2 * F.col("x0") - F.col("x")).alias("x"))),
         F.when((back >= 1) & (back <= pad), F.struct((F.col("n") - 1 + back + pad).alias("i"), (2 * F.col("x1") - F.col("x")).alias("x")))))
-    e = d.select(*keys, "n", (2 * F.col("x0") - F.col("xp")).alias("first"), F.explode(pieces).alias("p")).select(*keys, "n", F.col("p.i").alias("i"), (F.col("p.x") - F.col("first")).alias("x"))
-    length = ends.select(*keys, (F.col("n") + 2 * pad).alias("len"))
-    f = causal_filter(e, response, keys, "x", "i", "y").join(length, keys)
-    last = f.groupBy(*keys).agg(F.max_by("y", "i").alias("ylast"))
-    r = f.join(last, keys).select(*keys, (F.col("len") - 1 - F.col("i")).alias("i"), (F.col("y") - F.col("ylast")).alias("x"))
-    b = causal_filter(r, response, keys, "x", "i", "filtered").join(length, keys)
+    e = d.select(*keys, "n", (2 * F.col("x0") - F.col("xp")).alias("first"), F.explode(pieces).alias("p")).select(*keys, F.col("p.i").alias("idx"), (F.col("p.x") - F.col("first")).alias("x"), (F.col("n") + 2 * pad).alias("len"))
+    f = cut_lineage(linear_filter(e, system, keys, "x", "idx", "y", ["len"]))
+    last = f.groupBy(*keys).agg(F.max_by("y", "idx").alias("last"), F.max("len").alias("n"))
+    r = join_events(f, last, keys).select(*keys, (F.col("len") - 1 - F.col("idx")).alias("i"), (F.col("y") - F.col("last")).alias("x"), "len")
+    b = linear_filter(r, system, keys, "x", "i", "filtered", ["len"])
     pos = F.col("len") - 1 - F.col("i") - pad
-    return b.select(*keys, pos.alias(idx), "filtered", "len").filter((F.col(idx) >= 0) & (F.col(idx) < F.col("len") - 2 * pad)).drop("len")
+    return b.filter((pos >= 0) & (pos < F.col("len") - 2 * pad)).select(*keys, pos.alias(idx), "filtered")
 
 
 # ---- spectra ---------------------------------------------------------------------------

@@ -78,7 +78,12 @@ def eps_of(t):
     return A.kdist_eps(vectors(t), 10, 30).first()[0]
 
 
-@query("dbscan", "F5")
+@query("dbscan", "F5", f"""WITH RECURSIVE {VECTORS_SQL}, e AS ({knn_sql('v', 'v', 10, False)}), ep AS (SELECT quantile_cont(dist, 0.3) AS eps FROM e WHERE rank = 10),
+  near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE list_distance(a.x, b.x) <= (SELECT eps FROM ep)), n AS (SELECT a AS id, count(*) >= 5 AS core FROM near GROUP BY 1),
+  g AS (SELECT a, b FROM near JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE p.core AND q.core), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b), c AS (SELECT a AS id, min(b) AS root FROM r GROUP BY 1),
+  k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM c)), l AS (SELECT id, cluster FROM c JOIN k USING (root)),
+  t AS (SELECT a AS id, min(cluster) AS cluster FROM near JOIN l ON l.id = b GROUP BY 1)
+  SELECT n.id, coalesce(CASE WHEN core THEN l.cluster ELSE t.cluster END, -1)::BIGINT AS cluster, core FROM n LEFT JOIN l ON l.id = n.id LEFT JOIN t ON t.id = n.id""")
 def _(t):
     return A.dbscan(vectors(t), eps_of(t), 5)
 

@@ -360,28 +360,89 @@ def _(t):
     return rounded(d.withColumn("amplitude_mod_depth", rnd("amplitude_mod_depth", 4)).withColumn("detuning_hz", rnd("detuning_hz", 2)))
 
 
-@query("peak_count", "C8")
+RUNS_SQL = """st AS (SELECT series_id, idx, v, coalesce(v <> lag(v) OVER (PARTITION BY series_id ORDER BY idx), TRUE)::INT AS new FROM src),
+  nr AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS k FROM st),
+  runs AS (SELECT series_id, k, any_value(v) AS v, (min(idx) + max(idx)) // 2 AS idx FROM nr GROUP BY 1, 2),
+  tops AS (SELECT *, v > lag(v) OVER w AND v > lead(v) OVER w AS top FROM runs WINDOW w AS (PARTITION BY series_id ORDER BY k))"""
+
+
+@query("peak_count", "C8", f"""WITH {SAMPLES_SQL}, src AS (SELECT series_id, idx, (value - avg(value) OVER (PARTITION BY series_id)) / stddev_pop(value) OVER (PARTITION BY series_id) AS v FROM s), {RUNS_SQL},
+  hi AS (SELECT p.series_id, p.k, p.v, max(CASE WHEN r.k < p.k AND r.v > p.v THEN r.k END) AS a, min(CASE WHEN r.k > p.k AND r.v > p.v THEN r.k END) AS b FROM tops p JOIN runs r USING (series_id) WHERE p.top GROUP BY 1, 2, 3),
+  pr AS (SELECT hi.series_id, hi.k, hi.v - greatest(min(CASE WHEN r.k <= hi.k AND r.k > coalesce(a, -1) THEN r.v END), min(CASE WHEN r.k >= hi.k AND r.k < coalesce(b, 1e18) THEN r.v END)) AS prominence
+    FROM hi JOIN runs r USING (series_id) GROUP BY 1, 2, hi.v)
+  SELECT u.series_id, count(pr.k) AS n_peaks FROM (SELECT DISTINCT series_id FROM s) u LEFT JOIN pr ON pr.series_id = u.series_id AND prominence >= 0.5 GROUP BY 1""")
 def _(t):
     from ..operators import kernels as N
 
     return N.peak_count(S.zscore(samples(t)), 0.5, value="z")
 
 
-@query("peaks_by_distance", "C8")
+@query("peaks_by_distance", "C8", f"""WITH {SAMPLES_SQL}, src AS (SELECT series_id, idx, value AS v FROM s), {RUNS_SQL},
+  o AS (SELECT series_id, list([idx] ORDER BY v DESC, idx DESC) AS ps FROM tops WHERE top GROUP BY 1),
+  kept AS (SELECT series_id, unnest(list_reduce(ps, lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < 5)) > 0 THEN a ELSE list_append(a, x[1]) END, []::BIGINT[])) AS idx FROM o)
+  SELECT kept.series_id, kept.idx, value FROM kept JOIN s ON s.series_id = kept.series_id AND s.idx = kept.idx""")
 def _(t):
     from ..operators import kernels as N
 
     return N.peaks_by_distance(samples(t), 5)
 
 
-@query("highpass", "C10")
+def _section_sql(x: str, y: str, s: str, b, a) -> tuple[str, list[str]]:
+    """Output of one filter section for the input x with states s1, s2, and the next states for the output y."""
+    nxt = [f"{b[j]!r} * {x} - {a[j]!r} * {y}" + (f" + {s}{j + 1}" if j + 1 < len(a) else "") for j in range(1, len(a))]
+    return f"({b[0]!r} * {x} + {s}1)", nxt
+
+
+def _recursion_sql(name: str, source: str, sections) -> str:
+    """CTE ``name`` (series_id, i, x, y): the sections run over (series_id, i, x) of ``source``, i from 0."""
+    sections = [(b.tolist(), a.tolist()) for b, a in sections]
+    states = [f"p{k}_{j}" for k, (_, a) in enumerate(sections) for j in range(1, len(a))]
+    x, ys, nxt = "x", [], []
+    for k, (b, a) in enumerate(sections):
+        y, after = _section_sql(x, f"y{k}", f"p{k}_", b, a)
+        ys.append((f"y{k}", y))
+        nxt += after
+        x = f"y{k}"
+    # one lateral step for each section, whose output the next one reads
+    step = f"(SELECT d.series_id, d.i, d.x, {', '.join(f'0.0::DOUBLE AS {c}' for c in states)} FROM {source} d WHERE d.i = 0)"
+    out = lambda src: f"SELECT series_id, i, x, {ys[-1][0]} AS y, {', '.join(f'{n} AS {c}' for n, c in zip(nxt, states))} FROM " + _nested(src, ys)
+    again = f"(SELECT d.series_id, d.i, d.x, {', '.join('r.' + c for c in states)} FROM {name} r JOIN {source} d ON d.series_id = r.series_id AND d.i = r.i + 1)"
+    return f"{name} AS ({out(step)} UNION ALL {out(again)})"
+
+
+def _nested(src: str, ys: list[tuple[str, str]]) -> str:
+    for name, expr in ys:
+        src = f"(SELECT *, {expr} AS {name} FROM {src})"
+    return src
+
+
+def _highpass_sql() -> str:
+    from ..operators.kernels import butterworth_highpass
+
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, src AS (SELECT series_id, idx AS i, value AS x FROM s), {_recursion_sql('r', 'src', butterworth_highpass(4, 0.01))},
+  n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1) SELECT series_id, i AS idx, {R('CASE WHEN n <= 10 THEN x ELSE y END')} AS filtered FROM r JOIN n USING (series_id)"""
+
+
+def _zero_phase_sql() -> str:
+    from ..operators.kernels import butterworth_highpass
+
+    sections = butterworth_highpass(1, 0.01)
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, n AS (SELECT series_id, count(*) AS n, arg_min(value, idx) AS x0, arg_max(value, idx) AS x1 FROM s GROUP BY 1 HAVING count(*) > 6),
+  ext AS (SELECT series_id, idx + 6 AS i, value AS x, n FROM s JOIN n USING (series_id) UNION ALL SELECT series_id, 6 - idx, 2 * x0 - value, n FROM s JOIN n USING (series_id) WHERE idx BETWEEN 1 AND 6
+    UNION ALL SELECT series_id, n - 1 + (n - 1 - idx) + 6, 2 * x1 - value, n FROM s JOIN n USING (series_id) WHERE n - 1 - idx BETWEEN 1 AND 6),
+  e AS (SELECT series_id, i, x - first_value(x) OVER (PARTITION BY series_id ORDER BY i) AS x, n FROM ext), {_recursion_sql('f', 'e', sections)},
+  g AS (SELECT series_id, n + 11 - i AS i, y - last_value(y) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x, n FROM f JOIN n USING (series_id)), {_recursion_sql('b', 'g', sections)}
+  SELECT series_id, n + 5 - i AS idx, {R('y')} AS filtered FROM b JOIN n USING (series_id) WHERE n + 5 - i BETWEEN 0 AND n - 1"""
+
+
+@query("highpass", "C10", _highpass_sql())
 def _(t):
     from ..operators import kernels as N
 
     return rounded(N.highpass(samples(t)))
 
 
-@query("highpass_zero_phase", "C10")
+@query("highpass_zero_phase", "C10", _zero_phase_sql())
 def _(t):
     from ..operators import kernels as N
 
@@ -402,6 +463,7 @@ def _(t):
     s = samples(t)
     two = s.select("series_id", "idx", "t_us", F.explode(F.array(
         F.struct(F.lit("a").alias("channel"), F.col("value")), F.struct(F.lit("b").alias("channel"), F.col("second").alias("value")))).alias("p")).select("series_id", "p.channel", "idx", "t_us", "p.value")
-    meta = t.events.groupBy(F.col("user_id").alias("series_id")).agg(F.count(F.lit(1)).alias("n")).select("series_id", F.create_map(F.lit("NROW"), F.col("n").cast("string")).alias("header"))
+    meta = t.events.groupBy(F.col("user_id").alias("series_id")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first")).select(
+        "series_id", F.create_map(F.lit("NROW"), F.col("n").cast("string"), F.lit("LOOP"), F.when(F.col("series_id") % 2 == 0, "ON").otherwise("OFF"), F.lit("DATE"), F.col("first"), F.lit("BEAM"), F.lit("OUI")).alias("header"))
     d = extract_features(two, {"cavity": "a", "phase": "b", "forward": "a", "reflected": "b", "amplifier": "a", "modulator_amplitude": "a", "modulator_phase": "b"}, meta, window=PRE, ref_dt=REF_DT, min_pre=20)
     return rounded(d, 4)

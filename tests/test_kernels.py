@@ -92,6 +92,29 @@ def test_highpass_equals_the_recursion(spark, tiny_chunks):
         assert np.allclose(y, recursion(sections, x) if len(x) > 10 else x, atol=1e-9)
 
 
+def test_a_recurrence_runs_in_pieces():
+    rng = np.random.default_rng(3)
+    for order, cutoff in ((1, 0.01), (2, 0.3), (4, 0.01), (5, 0.2)):
+        sections = N.butterworth_highpass(order, cutoff)
+        system = N.Recurrence.of(sections)
+        for n in (0, 1, 63, 64, 65, 700):
+            x = 50 + rng.normal(0, 3, n)
+            want = recursion(sections, x)
+            assert np.allclose(system.run(x)[0], want, atol=1e-9)
+            state, got = None, []
+            for part in np.array_split(x, 5):
+                y, state = system.run(part, state)
+                got.append(y)
+            assert np.allclose(np.concatenate(got), want, atol=1e-9)
+
+
+def test_turning_points_change_no_summary():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 400):
+        x = rng.integers(0, 6, n).astype(float)
+        assert N._extrema(N.turning_points(x).tolist(), [1] * len(N.turning_points(x))) == N._extrema(x.tolist(), [1] * n)
+
+
 def test_butterworth_gain():
     for order in (1, 4):
         for cutoff in (0.01, 0.2):
