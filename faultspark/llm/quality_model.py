@@ -3,7 +3,7 @@
 Random indexing: each token has a sparse index vector of +1 and -1 fixed by its hash; the
 vector of a token is the sum of the index vectors of its neighbours up to WINDOW tokens away,
 over all documents. Tokens share ROWS rows by hash, so the table has a fixed size; tasks add
-up their own, and blocks of rows are summed after one shuffle. A document is the mean of its
+up their own, and blocks of rows are summed in two levels. A document is the mean of its
 tokens' unit vectors, once plain and once weighted down for frequent tokens.
 
 The network has one hidden layer of HIDDEN tanh units and is trained with Adam on a bounded
@@ -19,6 +19,7 @@ gives an empty table; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +90,10 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "sums"])
 
     parts = docs.select("text").mapInArrow(gather, "slice int, sums binary")
-    summed = parts.repartition("slice").mapInArrow(add, "slice int, sums binary").collect()  # ROWS x DIMS numbers, whatever the input
+    # in two levels, so that a task adds up about the square root of the input's partitions
+    level = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(docs.rdd.getNumPartitions()))))
+    some = parts.withColumn("level", level).repartition("slice", "level").select("slice", "sums").mapInArrow(add, "slice int, sums binary")
+    summed = some.repartition("slice").mapInArrow(add, "slice int, sums binary").collect()  # ROWS x DIMS numbers, whatever the input
     total = np.zeros((ROWS, DIMS + 1))
     for r in summed:
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["sums"], np.float64).reshape(SLICE, DIMS + 1)

@@ -131,6 +131,45 @@ def test_quality_of_held_out_documents(more):
     assert len(rows) == docs.count() and accuracy > 0.95 and loss < 0.2
 
 
+def test_scores_are_those_of_a_plain_statement(documents, labels):
+    """Index vectors, neighbours, pooling and the network's answer, token by token."""
+    place, sign = quality_model.index_vectors()
+    docs = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    rows = {}
+    for d, text in docs.items():
+        tokens, _ = quality_model.styled_tokens([text])
+        rows[d] = [int(t >> 50) & (quality_model.ROWS - 1) for t in tokens.tolist()]
+    sums, count = {}, {}
+    for own in rows.values():
+        for i, r in enumerate(own):
+            count[r] = count.get(r, 0) + 1
+            v = sums.setdefault(r, np.zeros(quality_model.DIMS))
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(own):
+                    for p, s in zip(place[own[j]], sign[own[j]]):
+                        v[p] += s
+    total = sum(count.values())
+
+    def pooled(own):
+        plain, weighted, w = np.zeros(quality_model.DIMS), np.zeros(quality_model.DIMS), 0.0
+        for r in own:
+            v = sums[r] / max(np.linalg.norm(sums[r]), 1e-12)
+            rare = quality_model.RARE / (quality_model.RARE + count[r] / total)
+            plain, weighted, w = plain + v, weighted + v * rare, w + rare
+        return np.concatenate([plain / max(len(own), 1), weighted / max(w, 1e-12)])
+
+    x = {d: pooled(own) for d, own in rows.items()}
+    vectors, share, net = quality_model.fit(documents, labels)
+    assert np.allclose(quality_model.pool([docs[d] for d in x], vectors, share), np.array(list(x.values())), atol=1e-4)
+    got = {r["doc_id"]: r["score"] for r in quality_model.score_quality(documents, labels).collect()}
+    w1, b1, w2, b2 = net.p
+    for d, v in x.items():
+        z = [min(max((a - m) / s, -8), 8) for a, m, s in zip(v, net.mean, net.std)]
+        hidden = [np.tanh(sum(a * w for a, w in zip(z, w1[:, k])) + b1[k]) for k in range(len(b1))]
+        logit = sum(h * w for h, w in zip(hidden, w2)) + b2[0]
+        assert abs(got[d] - 1 / (1 + np.exp(-logit / net.temperature))) < 5e-3
+
+
 def test_held_out_labels_change_nothing(spark, more):
     docs, labels = more
     flipped = labels.withColumn("toxic", 1 - labels["toxic"]).filter(labelled.held_out()).unionByName(labels.filter(~labelled.held_out()))
