@@ -28,8 +28,8 @@ from faultspark.functions.iterate import cut_lineage
 from .vector_text import CHUNK, chunks, shingles, words
 
 K = 256
-#: Parts of the order of documents for each shuffle partition.
-PARTS = 8
+#: Parts of the order of documents for each shuffle partition at least, and bytes of text of a part and of a task at most, on average.
+PARTS, PART_BYTES, TASK_BYTES = 8, 1 << 24, 1 << 26
 SPAN = 2.0**64
 
 
@@ -146,14 +146,16 @@ def next_documents(docs: DataFrame) -> DataFrame:
 
     The next document of one is that before it in ascending order (of the first, the last).
     The head of each part, with halo 0, is a copy of the last document of the part before.
-    Equal ids are ordered by the hash of the text. There are PARTS parts for each shuffle
-    partition; their borders, and nothing else, are on the driver.
+    Equal ids are ordered by the hash of the text. The numbers of parts and of tasks follow the
+    bytes of the texts; the parts' borders, and nothing else, are on the driver.
     """
     spark = docs.sparkSession
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")]
-    ids = cut_lineage(docs.select(*key))
-    n = ids.count()
-    step = max(1, n // (PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ids = cut_lineage(docs.select(*key, F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("b")))
+    n, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    step = max(1, n // max(PARTS * tasks, -(-size // PART_BYTES)))
+    ids = ids.drop("b")
     ordered = ids.repartitionByRange("d", "t").sortWithinPartitions("d", "t").select("d", "t", (F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) % step).alias("r"))
     number = lambda d, t: int(d) * 2**64 + int(t) + 2**63
     # a part begins with each of these
@@ -190,7 +192,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(*key, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(deal, f"part bigint, halo int, d bigint, t bigint, doc_id {dict(docs.dtypes)['doc_id']}, text string")
-    return dealt.repartition("part").sortWithinPartitions("part", "halo", "d", "t")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part", "halo", "d", "t")
 
 
 def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
