@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
@@ -75,9 +77,31 @@ def coassociation(labels: DataFrame, methods: list[str]) -> DataFrame:
     return a.join(b, ["m", "c"]).groupBy("sig_a", "sig_b", "n_a", "n_b").agg((F.count(F.lit(1)) / len(methods)).alias("share"))
 
 
+def agreeing(labels: DataFrame, methods: list[str], tau: float) -> DataFrame:
+    """Pairs of label combinations (sig_a, sig_b, share) that agree in at least ``tau`` of the methods.
+
+    Who agrees in t of m methods agrees in one of any m - t + 1; the join is on those methods
+    that tell most combinations apart, so a method with one huge cluster joins nothing as long
+    as t > 1. A pair that meets in several of them is kept where it meets first.
+    """
+    need = max(1, math.ceil(tau * len(methods) - 1e-9))
+    sig = cut_lineage(labels.groupBy(*methods).agg(F.count(F.lit(1)).alias("n")).withColumn("sig", F.concat_ws(",", *methods)))
+    # pairs that a method would join: the sum of its clusters' squared sizes
+    size = [sig.groupBy(m).agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0 for m in methods]
+    chosen = [m for _, m in sorted(zip(size, methods))][: len(methods) - need + 1]
+    row = F.array(*[F.col(m).cast("bigint") for m in methods])
+    keyed = sig.select("sig", row.alias("l"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).cast("bigint").alias("c")) for i, m in enumerate(chosen)])).alias("p")).select("sig", "l", "p.i", "p.c")
+    a, b = keyed.select(F.col("sig").alias("sig_a"), F.col("l").alias("la"), "i", "c"), keyed.select(F.col("sig").alias("sig_b"), F.col("l").alias("lb"), "i", "c")
+    same = F.zip_with("la", "lb", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    at = F.array(*[F.get("__same", F.lit(methods.index(m))) for m in chosen])
+    pairs = a.join(b, ["i", "c"]).withColumn("__same", same).filter(F.array_position(at, 1) == F.col("i") + 1)
+    share = F.aggregate("__same", F.lit(0), lambda s, x: s + x) / len(methods)
+    return pairs.select("sig_a", "sig_b", share.alias("share")).filter(F.col("share") >= need / len(methods) - 1e-9)
+
+
 def consensus(labels: DataFrame, methods: list[str], id_: str, tau: float = 0.5) -> DataFrame:
     """Components of combinations that agree in at least ``tau`` of the methods, back on rows."""
-    co = coassociation(labels, methods).filter(F.col("share") >= tau)
+    co = agreeing(labels, methods, tau)
     names = labels.select(F.concat_ws(",", *methods).alias("sig")).distinct().withColumn("node", F.dense_rank().over(W.orderBy("sig")).cast("bigint"))
     e = co.join(names.select(F.col("sig").alias("sig_a"), F.col("node").alias("a")), "sig_a").join(names.select(F.col("sig").alias("sig_b"), F.col("node").alias("b")), "sig_b").select("a", "b")
     comp = connected_components(e)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,76 @@ def apply_series_kernel(samples: DataFrame, fn: Callable[[pd.DataFrame], pd.Data
     return samples.groupBy(*keys).applyInPandas(fn, schema)
 
 
+@dataclass(frozen=True)
+class SeriesKernel:
+    """A user's function of a whole series as three steps on small states.
+
+    ``start`` gets the samples of one chunk in order (a frame with idx and value) and returns a
+    state, ``merge`` joins the states of two neighbouring stretches, ``finish`` turns the last
+    state into rows. A state is a tuple that fits ``state``, rows fit ``out``.
+    """
+
+    state: str
+    out: str
+    start: Callable[[pd.DataFrame], tuple]
+    merge: Callable[[tuple, tuple], tuple]
+    finish: Callable[[tuple], list[tuple]]
+
+
+def run_series_kernel(samples: DataFrame, kernel: SeriesKernel, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
+    """Rows of ``kernel`` for each series; one series is shared by many tasks.
+
+    Chunks give states, and ``FAN_IN`` neighbouring states become one until a series has one.
+    """
+    size = series_chunk(samples.sparkSession)
+    types = dict(samples.dtypes)
+    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    fields = [f.split()[0] for f in kernel.state.split(",")]
+    names, out = [*keys, "__part", *fields], [*keys, *[f.split()[0] for f in kernel.out.split(",")]]
+    d = samples.select(*keys, F.floor(F.col(idx) / size).cast("bigint").alias("__part"), F.col(idx).alias("idx"), F.col(value).cast("double").alias("value"))
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__part"].iloc[0], *kernel.start(pdf[["idx", "value"]])]], columns=names)
+
+    def merged(pdf: pd.DataFrame) -> tuple:
+        return reduce(kernel.merge, pdf.sort_values("__part")[fields].itertuples(index=False, name=None))
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__part"].iloc[0] // FAN_IN, *merged(pdf)]], columns=names)
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *row] for row in kernel.finish(merged(pdf))], columns=out)
+
+    s = d.groupBy(*keys, "__part").applyInPandas(first, f"{head}, __part bigint, {kernel.state}")
+    parts = (samples.agg(F.max(idx)).first()[0] or 0) // size + 1
+    while parts > FAN_IN:
+        s = s.groupBy(*keys, F.floor(F.col("__part") / FAN_IN)).applyInPandas(level, f"{head}, __part bigint, {kernel.state}")
+        parts = parts // FAN_IN + 1
+    return s.groupBy(*keys).applyInPandas(last, f"{head}, {kernel.out}")
+
+
+def longest_run(level: float = 0.0) -> SeriesKernel:
+    """Length of the longest run of samples above a level, and how many such runs there are."""
+
+    def start(pdf: pd.DataFrame) -> tuple:
+        up = pdf["value"].to_numpy() > level
+        edges = np.flatnonzero(np.diff(np.r_[False, up, False].astype(np.int8)))
+        size = edges[1::2] - edges[::2]
+        n = len(up)
+        first = int(size[0]) if n and up[0] else 0
+        final = int(size[-1]) if n and up[-1] else 0
+        return n, first, final, int(size.max(initial=0)), len(size)
+
+    def merge(a: tuple, b: tuple) -> tuple:
+        n, joined = a[0] + b[0], a[2] + b[1]
+        first = a[1] + b[1] if a[1] == a[0] else a[1]
+        final = a[2] + b[2] if b[2] == b[0] else b[2]
+        return n, first, final, max(a[3], b[3], joined), a[4] + b[4] - (a[2] > 0 and b[1] > 0)
+
+    return SeriesKernel("n bigint, first bigint, final bigint, best bigint, runs bigint", "longest bigint, n_runs bigint", start, merge, lambda s: [(s[3], s[4])])
+
+
 # ---- peaks -----------------------------------------------------------------------------
 
 def turning_points(x: np.ndarray) -> np.ndarray:

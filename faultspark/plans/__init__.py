@@ -7,7 +7,7 @@ import importlib
 from .registry import REGISTRY
 
 MODULES = ["flagship", "ingest", "labels", "series", "matrix", "splits", "anomaly", "models", "metrics",
-           "clusters", "attribution", "probes", "overview", "streams", "bundles", "proposals"]
+           "clusters", "attribution", "probes", "overview", "streams", "bundles", "sketches", "proposals"]
 
 
 def load_all():

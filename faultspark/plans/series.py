@@ -360,6 +360,15 @@ def _(t):
     return rounded(d.withColumn("amplitude_mod_depth", rnd("amplitude_mod_depth", 4)).withColumn("detuning_hz", rnd("detuning_hz", 2)))
 
 
+@query("longest_run", "C8", f"""WITH {SAMPLES_SQL}, u AS (SELECT series_id, idx, value > 50 AS up FROM s), g AS (SELECT *, idx - row_number() OVER (PARTITION BY series_id, up ORDER BY idx) AS isle FROM u),
+  r AS (SELECT series_id, isle, count(*) AS n FROM g WHERE up GROUP BY 1, 2) SELECT series_id, coalesce(max(r.n), 0) AS longest, count(r.n) AS n_runs FROM (SELECT DISTINCT series_id FROM s) d LEFT JOIN r USING (series_id) GROUP BY 1""")
+def _(t):
+    """A user's kernel in three steps (start, merge, finish)."""
+    from ..operators import kernels as N
+
+    return N.run_series_kernel(samples(t), N.longest_run(50.0))
+
+
 RUNS_SQL = """st AS (SELECT series_id, idx, v, coalesce(v <> lag(v) OVER (PARTITION BY series_id ORDER BY idx), TRUE)::INT AS new FROM src),
   nr AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS k FROM st),
   runs AS (SELECT series_id, k, any_value(v) AS v, (min(idx) + max(idx)) // 2 AS idx FROM nr GROUP BY 1, 2),

@@ -131,3 +131,15 @@ def test_the_balanced_labeling_of_each_category(spark, two):
     assert I.balanced_selection(df.filter("category = 'tiny'"), "category").count() == 0
     with pytest.raises(ValueError):
         I.balanced_selection(df, "category", n_init=1, measure="other")
+
+
+@pytest.mark.parametrize("tau", [0.2, 0.5, 0.75, 1.0])
+def test_agreeing_combinations_are_those_of_all_pairs(spark, tau):
+    """One method puts nearly all rows into one cluster."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), int(rng.integers(0, 9)), int(i % 50 == 0), int(rng.integers(0, 4))) for i in range(300)]
+    d = spark.createDataFrame(rows, "id bigint, m1 int, m2 int, m3 int, m4 int")
+    m = ["m1", "m2", "m3", "m4"]
+    want = {(r["sig_a"], r["sig_b"], round(r["share"], 6)) for r in I.coassociation(d, m).filter(F.col("share") >= tau).collect()}
+    got = [(r["sig_a"], r["sig_b"], round(r["share"], 6)) for r in I.agreeing(d, m, tau).collect()]
+    assert set(got) == want and len(got) == len(want)

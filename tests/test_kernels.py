@@ -115,6 +115,15 @@ def test_turning_points_change_no_summary():
         assert N._extrema(N.turning_points(x).tolist(), [1] * len(N.turning_points(x))) == N._extrema(x.tolist(), [1] * n)
 
 
+def test_a_users_kernel_does_not_depend_on_chunks(spark, tiny_chunks, monkeypatch):
+    monkeypatch.setattr(N, "FAN_IN", 3)
+    data = series(400, 6) | {7: np.ones(90), 8: -np.ones(40)}
+    got = {r[0]: (r["longest"], r["n_runs"]) for r in N.run_series_kernel(frame(spark, data), N.longest_run(0.0)).collect()}
+    for k, x in data.items():
+        runs = [len(r) for r in "".join("u" if v > 0 else " " for v in x).split()]
+        assert got[k] == (max(runs, default=0), len(runs))
+
+
 def test_butterworth_gain():
     for order in (1, 4):
         for cutoff in (0.01, 0.2):
