@@ -189,10 +189,13 @@ def _(t):
     return I.read_delimited_truth(t.spark, path)
 
 
-@query("list_files", "A1", "SELECT o_orderstatus AS folder, 1 AS n_files, TRUE AS all_sized FROM orders GROUP BY 1")
+@query("list_files", "A1", "SELECT o_orderstatus AS folder, TRUE AS complete, TRUE AS all_sized FROM orders GROUP BY 1")
 def _(t):
+    """Every file of a folder is listed: as many as the rows read back from it come from."""
     path = shared_folder(t.spark, "listing")
-    t.orders.select("o_orderstatus", "o_orderkey").repartition(1).write.partitionBy("o_orderstatus").parquet(path)
+    t.orders.select("o_orderstatus", "o_orderkey").repartition("o_orderstatus", F.pmod(F.xxhash64("o_orderkey"), F.lit(16))).write.partitionBy("o_orderstatus").parquet(path)
     f = I.list_files(t.spark, path).filter(F.col("path").endswith(".parquet"))
     folder = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1)
-    return f.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.min(F.col("length") > 0).alias("all_sized"))
+    listed = f.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_listed"), F.min(F.col("length") > 0).alias("all_sized"))
+    held = t.spark.read.parquet(path).select(F.col("o_orderstatus").alias("folder"), F.input_file_name().alias("file")).groupBy("folder").agg(F.countDistinct("file").alias("n_held"))
+    return listed.join(held, "folder").select("folder", (F.col("n_listed") == F.col("n_held")).alias("complete"), "all_sized")
