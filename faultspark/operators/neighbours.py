@@ -56,6 +56,7 @@ class Tree:
     radius: np.ndarray  # their largest distance to it
     points: DataFrame  # id, x, further columns, top, sub
     leaves: DataFrame  # top, sub, px, radius
+    n_leaves: int
     slack: float  # what rounding may take from a distance
 
 
@@ -113,12 +114,12 @@ def plant(base: DataFrame, id_: str, vec: str, extra: list[str] | None = None) -
     pivots = cut_lineage(own.unionByName(picked))
     points = cut_lineage(_nearest_leaf(placed, pivots))
     stats = points.groupBy("top", "sub").agg(F.max("to_sub").alias("radius"))
-    leaves = pivots.join(stats, ["top", "sub"]).select("top", "sub", "px", "radius")  # those that have points
+    leaves = cut_lineage(pivots.join(stats, ["top", "sub"]).select("top", "sub", "px", "radius"))  # those that have points
     size, radius = np.zeros(len(tops)), np.full(len(tops), -np.inf)
     for top, count, r in points.groupBy("top").agg(F.count(F.lit(1)), F.max("to_top")).collect():
         size[top], radius[top] = count, r
     most = float(np.abs(tops).max(initial=0.0) + radius[size > 0].max(initial=0.0) + 1.0)
-    return Tree(tops, size, radius, points.drop("to_top", "to_sub"), leaves, 1e-6 * most)
+    return Tree(tops, size, radius, points.drop("to_top", "to_sub"), leaves, leaves.count(), 1e-6 * most)
 
 
 def _may_meet(d: np.ndarray, gap: np.ndarray, radius: np.ndarray, ball: np.ndarray, slack: float) -> np.ndarray:
@@ -232,6 +233,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vec: s
     own = _nearest_leaf(_nearest_top(q, tops), tree.leaves).drop("to_top", "to_sub")
     own = cut_lineage(own.mapInPandas(promised, own.withColumn("r", F.lit(0.0)).schema))
     inside = cut_lineage(block_join(own.drop("r"), tree.points, ["top", "sub"], task, FOUND))
+    if tree.n_leaves == 1:  # there is no other leaf to visit
+        return _keep_top(inside, k)
     kth = _keep_top(inside, k).groupBy("id").agg(F.count(F.lit(1)).alias("__n"), F.max("dist").alias("__kth"))
     ball = F.when(F.col("__n") >= k, F.least("r", "__kth")).otherwise(F.col("r"))
     asks = own.join(kth, "id", "left").select("id", "x", ball.alias("r"), F.col("top").alias("own_top"), F.col("sub").alias("own_sub"))
