@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import micros
 from ..functions.iterate import shared_folder
-from ..streaming import streams as N
+from ..operators import series as S
+from ..streaming import machine as M, streams as N
 from .labels import TRUTH_SQL, event_files, truth_table
 from .labels import CATS_SQL
 from .registry import R, query
@@ -71,6 +72,32 @@ def _(t):
     return rounded(N.drain(N.stream_event_features(s, "user_id", "ts", "1 hour")))
 
 
+def _side_sql(side, post):
+    keep = f"FILTER (WHERE post = {post})"
+    real = {"mean": "avg(v)", "std": "stddev_pop(v)", "min": "min(v)", "max": "max(v)", "rms": "sqrt(avg(v * v))"}
+    parts = [f"count(v) {keep} AS n_{side}", *[f"{R(e.replace(')', f') {keep}', 1) if n != 'rms' else f'sqrt(avg(v * v) {keep})')} AS {n}_{side}" for n, e in real.items()],
+             f"CASE WHEN count(v) {keep} > 0 THEN {R(f'coalesce(regr_slope(v, idx) {keep}, 0)')} END AS slope_{side}", f"CASE WHEN count(v) {keep} > 0 THEN {R(f'coalesce(max(abs(v - prev)) {keep}, 0)')} END AS max_step_{side}",
+             f"count(*) FILTER (WHERE post = {post} AND sign(v) <> sign(prev)) AS zero_crossings_{side}"]
+    return ", ".join(parts)
+
+
+@query("stream_event_machine", "N3", f"""WITH o AS (SELECT user_id, epoch_us(ts) AS us, value - 50 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events),
+  b AS (SELECT user_id, (min(us) + max(us)) // 2 AS mid FROM o GROUP BY 1), p AS (SELECT o.*, (us >= mid)::INT AS post FROM o JOIN b USING (user_id)),
+  l AS (SELECT *, lag(v) OVER (PARTITION BY user_id, post ORDER BY idx) AS prev FROM p)
+  SELECT user_id, {_side_sql("pre", 0)}, {_side_sql("post", 1)}, {R("avg(v) FILTER (WHERE post = 1) - avg(v) FILTER (WHERE post = 0)")} AS jump, count(*) AS n_samples, TRUE AS complete FROM l GROUP BY 1""")
+def _(t):
+    e = t.events.select("user_id", "event_id", "ts", micros("ts").alias("us"), (F.col("value") - 50).alias("value"))
+    b = e.groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("z"), F.count(F.lit(1)).alias("expected")).selectExpr("user_id", "(a + z) div 2 AS mid", "expected")
+    numbered = S.index_samples(e, ["user_id"], ["us", "event_id"]).join(b, "user_id")
+
+    class Recorded:
+        spark = t.spark
+        samples = numbered.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "idx", "value", (F.col("us") >= F.col("mid")).cast("int").alias("post"), "expected")
+
+    s = in_files(Recorded, "samples", F.unix_micros("ts"))
+    return rounded(N.drain(M.stream_series_kernel(s, M.trigger_features(), "user_id", "ts", "1 hour", extra=["post"]), {M.STORE: M.ROCKS}))
+
+
 @query("stream_dedup_files", "N4", "SELECT DISTINCT user_id || '/' || event_type AS path FROM events")
 def _(t):
     s = events(t).select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"))

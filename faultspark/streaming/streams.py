@@ -22,13 +22,23 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_bat
     return r.parquet(f"{folder}/{name}*.parquet")
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Process all available input into files on the shared checkpoint folder and return them."""
+def drain(stream: DataFrame, settings: dict[str, str] = {}) -> DataFrame:
+    """Process all available input into files on the shared checkpoint folder and return them.
+
+    ``settings`` hold for this stream only.
+    """
     spark = stream.sparkSession
     base = shared_folder(spark, "stream")
-    q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
