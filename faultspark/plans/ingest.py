@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
 from ..functions.iterate import shared_folder
-from ..sources import ingest as I
+from ..sources import ingest as I, recordings as V
 from .registry import query
 
 SUFFIXES = "'.txt','.md','.json','.pyc','.log','.xml','.html','.pdf','.png','.jpg','.jpeg','.gif','.csv','.fig'"
@@ -199,3 +199,23 @@ def _(t):
     listed = f.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_listed"), F.min(F.col("length") > 0).alias("all_sized"))
     held = t.spark.read.parquet(path).select(F.col("o_orderstatus").alias("folder"), F.input_file_name().alias("file")).groupBy("folder").agg(F.countDistinct("file").alias("n_held"))
     return listed.join(held, "folder").select("folder", (F.col("n_listed") == F.col("n_held")).alias("complete"), "all_sized")
+
+
+@query("recording_headers", "A2", """WITH r AS (SELECT o_custkey AS k, count(*) AS n, 'rec ' || o_custkey || CASE o_custkey % 7 WHEN 2 THEN '.TXT' ELSE '' END AS file FROM orders GROUP BY 1),
+  q AS (SELECT *, CASE WHEN k % 7 = 2 THEN 'excluded_suffix' WHEN k % 7 = 3 THEN 'too_small' END AS reason FROM r)
+  SELECT file, reason, CASE WHEN reason IS NULL THEN n::VARCHAR END AS nrow, CASE WHEN reason IS NULL AND k % 2 = 0 THEN (k % 20)::VARCHAR END AS kpi, CASE WHEN reason IS NULL THEN 'CM(A)' || k END AS dbname,
+    CASE WHEN reason IS NULL THEN 1 + (n > 1)::INT END AS num_acq FROM q""")
+def _(t):
+    """Recordings written from the orders of each customer, listed and opened again."""
+    path = shared_folder(t.spark, "recordings")
+    k = F.col("o_custkey")
+    g = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("rec "), k.cast("string"), F.when(k % 7 == 2, ".TXT").otherwise(""))
+    header = F.concat(F.lit("DBNAME=CM(A)"), k.cast("string"), F.lit("(name)\nno value\nNROW = "), F.col("n").cast("string"), F.lit(" (samples)\nACQ1=5(s)\nACQx=1\n"),
+                      F.when(F.col("n") > 1, "ACQ2=7\n").otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("KPI="), (k % 20).cast("string"), F.lit("(dB)\n"))).otherwise(""))
+    short = F.when(k % 7 == 3, F.lit("A=1")).otherwise(header)
+    body = F.when(k % 7 == 3, F.lit("")).otherwise(F.repeat(F.lit("KPI=0(x)\n"), 512)).cast("binary")  # looks like a header, must not be read
+    V.write_recordings(g.select(name.alias("name"), short.alias("header"), body.alias("body")), path)
+    s = V.scan_recordings(t.spark, path)
+    h = F.col("header")
+    return s.select(I.basename("path").alias("file"), "reason", h["NROW"].alias("nrow"), h["KPI"].alias("kpi"), h["DBNAME"].alias("dbname"), F.when(F.col("reason").isNull(), F.col("num_acq")).alias("num_acq"))
