@@ -4,8 +4,11 @@ Reputation of a host is the posterior of its share of good pages. Labelled outco
 are shrunk level by level: the prior of a suffix is the mean of all others, the prior of
 a registered domain the posterior mean of its suffix, the prior of a host that of its
 domain, each without the outcomes of the group itself, so that none counts twice. How strongly each level holds on to its prior is estimated from the labelled
-outcomes by the method of moments of the beta-binomial distribution. A host is
-blocked when even the upper bound of its posterior is below the wanted share, so a
+outcomes by the method of moments of the beta-binomial distribution. A suffix is the last
+label, a general second label below a country (``co.uk``), or one of a stated list of suffixes
+below which anyone may register (``github.io``); a registered domain has one label more. Logins,
+ports and closing dots of a host count for neither; an address is its own domain, and all
+addresses share one suffix. A host is blocked when even the upper bound of its posterior is below the wanted share, so a
 host of which little is known stays. Only DataFrame functions are used.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is
@@ -31,6 +34,10 @@ BOUND = 1.96
 UNSEEN_BAD = 0.25
 #: Correlation inside a group is held between these; strength of a prior over fewer than two groups.
 LEAST_RHO, MOST_RHO, FEW = 1e-4, 0.95, 2.0
+#: Second labels that are general below a two-letter country, and longer suffixes open to everyone.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "mil", "ne", "net", "nom", "or", "org", "sch")
+SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com")
+ADDRESS = "#address"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +49,29 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.substring(bare, F.length(host) + 1, F.length(bare))
 
 
+def host_levels(host: Column, suffixes: tuple[str, ...] = SUFFIXES, second: tuple[str, ...] = SECOND) -> Column:
+    """Registered domain and suffix of a host, as a struct; a host that is a suffix itself is its own domain.
+
+    Each step is a lambda over an array of one value, so that no step's text is repeated in the next.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*\z", ""), r"\.+\z", "")
+
+    def counted(b: Column) -> Column:
+        label = F.split(b, r"\.")
+        listed = F.array_max(F.transform(F.filter(F.array(*map(F.lit, suffixes)).cast("array<string>"), lambda s: b.endswith(F.concat(F.lit("."), s))), lambda s: F.size(F.split(s, r"\."))))
+        general = (F.length(F.element_at(label, -1)) == 2) & F.coalesce(F.try_element_at(label, F.lit(-2)).isin(*second), F.lit(False)) & (F.size(label) > 2)
+        address = b.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | b.startswith("[")
+        return F.struct(b.alias("bare"), label.alias("label"), F.coalesce(listed, F.when(general, 2).otherwise(1)).alias("k"), address.alias("address"))
+
+    def levels(c: Column) -> Column:
+        def last(k: Column) -> Column:
+            return F.concat_ws(".", F.slice(c["label"], F.greatest(F.size(c["label"]) - k + 1, F.lit(1)), k))
+
+        return F.struct(F.when(c["address"], c["bare"]).otherwise(last(c["k"] + 1)).alias("domain"), F.when(c["address"], ADDRESS).otherwise(last(c["k"])).alias("suffix"))
+
+    return F.transform(F.transform(F.array(bare), counted), levels)[0]
+
+
 def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """The longest rule that fits, as a struct (verdict, rule); null if none does.
 
@@ -71,7 +101,7 @@ def _strength(groups: DataFrame) -> float:
     return 1.0 / rho - 1.0
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, domain, suffix, n, good, mean, low, high) for every host of ``pages``.
 
     ``pages`` has page_id and host; ``outcomes`` has page_id and good (1, 0).
@@ -79,10 +109,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     o = outcomes.filter("good IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.max("good").alias("good"))
     counted = pages.select("page_id", "host").join(o, "page_id", "left")
     hosts = counted.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"))
-    label = F.split("host", r"\.")
-    hosts = (hosts.withColumn("suffix", F.element_at(label, -1))
-             .withColumn("domain", F.concat_ws(".", F.slice(label, F.greatest(F.size(label) - 1, F.lit(1)), 2))))
-    hosts = cut_lineage(hosts)
+    hosts = cut_lineage(hosts.select("*", F.inline(F.array(host_levels(F.col("host"), suffixes)))))
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
 
     def rest(parent: str, strength: Column) -> Column:
@@ -107,13 +134,13 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return out.select("host", "domain", "suffix", "n", "good", m.alias("mean"), F.greatest(m - BOUND * sd, F.lit(0.0)).alias("low"), F.least(m + BOUND * sd, F.lit(1.0)).alias("high"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, wanted: float = WANTED) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, wanted: float = WANTED, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Adds host, path, rule, verdict, reputation and reputation_high to the pages."""
     new = ["host", "path", "rule", "verdict", "reputation", "reputation_high"]
     host, path = url_parts(F.col("__url"))
     p = pages.drop(*new).withColumn("__url", F.col("url"))
     p = p.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))).drop("__url")
-    rank = host_reputation(p, outcomes).select(F.col("host").alias("__host"), F.col("mean").alias("reputation"), F.col("high").alias("reputation_high"))
+    rank = host_reputation(p, outcomes, suffixes).select(F.col("host").alias("__host"), F.col("mean").alias("reputation"), F.col("high").alias("reputation_high"))
     j = p.join(rank, p["host"] == rank["__host"], "left").withColumn("__m", match_rule(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("reputation_high") < F.lit(float(wanted)), F.lit("block")).otherwise(F.lit("allow"))
     return j.withColumn("rule", F.col("__m.rule")).withColumn("verdict", F.coalesce(F.col("__m.verdict"), by_method)).select(*[c for c in pages.columns if c not in new], *new)
@@ -130,8 +157,12 @@ SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS bare FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(bare, '^([^/]*)', 1), '{UPPER}', '{LOWER}') AS host, substr(bare, length(regexp_extract(bare, '^([^/]*)', 1)) + 1) AS path FROM u),
 o AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS good, string_split(host, '.') AS l FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-hosts AS (SELECT host, n, good, l[-1] AS suffix, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain FROM h),
+h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS good, regexp_replace(regexp_replace(string_split(host, '@')[-1], ':[0-9]*\\z', ''), '[.]+\\z', '') AS bare FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+m AS (SELECT *, string_split(bare, '.') AS l, CASE {" ".join(f"WHEN ends_with(bare, '.{s}') THEN {s.count('.') + 1}" for s in sorted(SUFFIXES, key=lambda s: (-s.count('.'), s)))}
+  WHEN length(string_split(bare, '.')[-1]) = 2 AND string_split(bare, '.')[-2] IN {SECOND} AND len(string_split(bare, '.')) > 2 THEN 2 ELSE 1 END AS k,
+  regexp_matches(bare, '^[0-9]+([.][0-9]+){{3}}\\z') OR starts_with(bare, '[') AS address FROM h),
+hosts AS (SELECT host, n, good, CASE WHEN address THEN '{ADDRESS}' ELSE array_to_string(l[greatest(len(l) - k + 1, 1):], '.') END AS suffix,
+  CASE WHEN address THEN bare ELSE array_to_string(l[greatest(len(l) - k, 1):], '.') END AS domain FROM m),
 suf AS (SELECT suffix, sum(n) AS n, sum(good) AS good, ((SELECT sum(good) FROM hosts) - sum(good) + 1) / ((SELECT sum(n) FROM hosts) - sum(n) + 1 + {UNSEEN_BAD}) AS prior FROM hosts GROUP BY suffix),
 {_sql_level("suf", "suf")},
 dom AS (SELECT d.domain, d.n, d.good, (s.good - d.good + x.s * s.prior) / (s.n - d.n + x.s) AS prior

@@ -4,9 +4,14 @@ import re
 from collections import Counter, defaultdict
 
 import hashlib
+
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from faultspark.functions.exprs import rnd
 from faultspark.llm import mixing, url_reputation as ur
 from tests.llm.brute import poisson_draw
 from tests.llm.conftest import odd_rows
@@ -97,3 +102,34 @@ def test_bad_hosts_are_blocked_and_unknown_ones_stay(spark):
             assert got[h]["verdict"] == ("block" if truth[h] < 0.5 else "allow"), h
     assert got["one.single.info"]["verdict"] == "allow"  # one bad page proves nothing
     assert got["bad99.spam.biz"]["reputation"] < 0.3 < got["fresh.net"]["reputation"]  # from its domain and suffix
+
+
+LEVELS = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.y.com": ("y.com", "com"), "y.com.": ("y.com", "com"), "user:pw@y.com:1": ("y.com", "com"),
+          "me.github.io": ("me.github.io", "github.io"), "a.me.github.io": ("me.github.io", "github.io"), "github.io": ("github.io", "io"), "10.0.1.2": ("10.0.1.2", "#address"), "10.0.1.2:80": ("10.0.1.2", "#address"),
+          "[::1]:80": ("[::1]", "#address"), "1.2": ("1.2", "2"), "net": ("net", "net"), "": ("", ""), "co.de.fr": ("de.fr", "fr"), "x.co.com": ("co.com", "com"), "a..b": (".b", "b")}
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in LEVELS], "host string")
+    assert {r[0]: tuple(r[1]) for r in hosts.select("host", ur.host_levels(F.col("host"))).collect()} == LEVELS
+    one = hosts.filter("host = 'a.b.co.uk'")
+    assert tuple(one.select(ur.host_levels(F.col("host"), ("b.co.uk",))).first()[0]) == ("a.b.co.uk", "b.co.uk")
+    assert tuple(one.select(ur.host_levels(F.col("host"), ())).first()[0]) == ("b.co.uk", "co.uk")
+
+
+def test_odd_hosts_agree_with_sql(spark):
+    """The same pages in SQL, with long urls, null and repeated pages."""
+    rng = np.random.default_rng(5)
+    urls = [f"http://{h}/p{j}" for h in LEVELS for j in range(9)] + ["http://y.com/" + "x" * 200_000, None, "none"]
+    pages = [(i, u) for i, u in enumerate(urls)] + [(None, "http://y.com/1"), (3, urls[3])]
+    labels = [(i, int(rng.random() < 0.6)) for i in range(0, len(urls), 2)] + [(None, 1), (4, None)]
+    got = ur.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url"]).astype({"page_id": "Int64"}))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]).astype("Int64"))
+    want = con.execute(ur.SQL).fetchall()
+
+    def lines(rows):
+        return sorted(str((r[0], r[1], len(r[2]), r[3], r[4], r[5], r[6])) for r in rows)
+
+    assert lines(tuple(r) for r in got.select("page_id", "host", "path", "rule", "verdict", rnd("reputation"), rnd("reputation_high")).collect()) == lines(want)
