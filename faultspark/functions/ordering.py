@@ -137,10 +137,19 @@ def neighbours(
     Rows near a chunk border are copied into the adjoining chunk, so each window
     covers one bounded chunk and a long series spreads over many tasks.
     """
-    size = chunk or series_chunk(df.sparkSession)
     back = max([-o for _, o in wanted.values() if o < 0], default=0)
     ahead = max([o for _, o in wanted.values() if o > 0], default=0)
-    size = max(size, back, ahead)
+    d = _haloed(df, back, ahead, idx, chunk)
+    w = W.partitionBy(*keys, "__chunk").orderBy(idx)
+    d = d.select("*", *[
+        (F.lag(c, -o) if o < 0 else F.lead(c, o)).over(w).alias(n) for n, (c, o) in wanted.items()
+    ])
+    return d.filter(F.col("__chunk") == F.col("__home")).select(*df.columns, *wanted)
+
+
+def _haloed(df: DataFrame, back: int, ahead: int, idx: str, chunk: int | None = None) -> DataFrame:
+    """Rows with their chunk ``__home`` and each chunk ``__chunk`` that looks at them."""
+    size = max(chunk or series_chunk(df.sparkSession), back, ahead)
     home = F.floor(F.col(idx) / size).cast("bigint")
     inside = F.col(idx) % size
     copies = [home]
@@ -148,11 +157,13 @@ def neighbours(
         copies.append(F.when(inside >= size - back, home + 1))
     if ahead:
         copies.append(F.when((inside < ahead) & (home > 0), home - 1))
-    d = df.withColumn("__home", home).withColumn("__chunk", F.explode(F.array_compact(F.array(*copies))))
-    w = W.partitionBy(*keys, "__chunk").orderBy(idx)
-    d = d.select("*", *[
-        (F.lag(c, -o) if o < 0 else F.lead(c, o)).over(w).alias(n) for n, (c, o) in wanted.items()
-    ])
+    return df.withColumn("__home", home).withColumn("__chunk", F.explode(F.array_compact(F.array(*copies))))
+
+
+def rolling(df: DataFrame, keys: list[str], wanted: dict[str, Column], before: int, after: int, idx: str = "idx", chunk: int | None = None) -> DataFrame:
+    """Add aggregates over the ``before`` rows before each row, the row, and the ``after`` rows behind it: ``{new: aggregate}``."""
+    w = W.partitionBy(*keys, "__chunk").orderBy(idx).rowsBetween(-before, after)
+    d = _haloed(df, before, after, idx, chunk).select("*", *[a.over(w).alias(n) for n, a in wanted.items()])
     return d.filter(F.col("__chunk") == F.col("__home")).select(*df.columns, *wanted)
 
 

@@ -7,7 +7,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import ratio, safe_corr, stable_hash
-from ..functions.ordering import agg_with_quantiles, join_on, neighbours, with_position, with_running
+from ..functions.ordering import agg_with_quantiles, join_on, neighbours, rolling, with_position, with_running
 from .neighbours import knn
 from .series import join_events, page_path
 
@@ -89,10 +89,8 @@ def clip_symmetric(df: DataFrame, value: str, by: list[str], p: float = 0.999) -
 def moving_average(samples: DataFrame, window: int, keys: list[str], value: str = "value", idx: str = "idx") -> DataFrame:
     """Centred mean of ``window`` samples; NULL where the window is not complete."""
     before, after = window // 2, window - window // 2 - 1
-    names = {f"__w{o}": (value, o) for o in range(-before, after + 1) if o}
-    d = neighbours(samples, keys, names, idx)
-    total = sum((F.col(n) for n in names), F.col(value))
-    return d.withColumn("smooth", total / window).drop(*names)
+    d = rolling(samples, keys, {"__sum": F.sum(value), "__n": F.count(value)}, before, after, idx)
+    return d.withColumn("smooth", F.when(F.col("__n") == window, F.col("__sum") / window)).drop("__sum", "__n")
 
 
 def propagation(samples: DataFrame, trigger: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
