@@ -33,3 +33,11 @@ def test_parts_equal_one_pass_within_the_bounds(spark):
     many = {r["k"]: r["d_ids"] for r in K.merge_states(spark.read.parquet(path), ["k"]).collect()}
     est = spark.createDataFrame([(bytes(one[0]), bytes(many[0]))], "a binary, b binary").select(F.hll_sketch_estimate("a"), F.hll_sketch_estimate("b")).first()
     assert abs(est[0] / est[1] - 1) < 1e-6 or abs(est[0] - est[1]) <= 0.01 * est[0]
+
+
+def test_exact_counts_of_parts_that_share_values(spark):
+    d = spark.range(36_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 12_000 > 1, F.col("id") % 12_000).alias("id"), F.lit(1.0).alias("v"), F.floor(F.col("id") / 9_000).alias("part"))
+    path = shared_folder(spark, "sketch-exact")
+    for p in range(4):
+        K.add_part(d.filter(F.col("part") == p), path, ["k"], {}, Q, exact=D)
+    assert {(r["k"], r["n"], r["ids"]) for r in K.report(spark, path, ["k"], [0.5], ["ids"]).collect()} == {(0, 18_000, 5_999), (1, 18_000, 5_999)}
