@@ -143,3 +143,23 @@ def test_agreeing_combinations_are_those_of_all_pairs(spark, tau):
     want = {(r["sig_a"], r["sig_b"], round(r["share"], 6)) for r in I.coassociation(d, m).filter(F.col("share") >= tau).collect()}
     got = [(r["sig_a"], r["sig_b"], round(r["share"], 6)) for r in I.agreeing(d, m, tau).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_silhouettes_of_many_labelings_send_no_row_twice(spark, monkeypatch):
+    monkeypatch.setattr(NB, "PACK", 16)
+    monkeypatch.setattr(NB, "TURN", 2)
+    monkeypatch.setattr(NB, "block_join", None)  # which sends a row to all tasks that compare it
+    rng = np.random.default_rng(8)
+    x, g = rng.normal(0, 1, (110, 3)), np.arange(110) % 2
+    labels = np.c_[np.arange(110) % 3, np.arange(110) % 7 // 3]
+    labelled = spark.createDataFrame([(int(g[i]), i, x[i].tolist(), labels[i].tolist()) for i in range(110)], "g int, id bigint, x array<double>, labels array<int>")
+    got = {(r["g"], r["slot"]): r["silhouette"] for r in many.silhouettes(labelled).collect()}
+    assert len(got) == 4
+    for (cell, slot), value in got.items():
+        p, lab = x[g == cell], labels[g == cell, slot]
+        d, s = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), []
+        for i in range(len(p)):
+            a = d[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
+            b = min(d[i, lab == c].mean() for c in set(lab) - {lab[i]})
+            s.append((b - a) / max(a, b))
+        assert abs(value - np.mean(s)) < 1e-9
