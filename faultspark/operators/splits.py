@@ -13,26 +13,64 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import ratio, stable_hash
 from ..functions.iterate import cut_lineage
-from ..functions.ordering import join_on, with_position
+from ..functions.ordering import chunk_count, join_on, with_position
 from ..functions.parallel import run_all
 
 
+#: Leading digits of the hash that name a bucket, so a bucket has about a 16^DIGITS-th of a stratum.
+DIGITS = 3
+#: Buckets of all strata up to which their labels are sent to every task instead of joined by a shuffle.
+SENT = 200_000
+
+
+def _hashed(df: DataFrame, key: str, strata: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their hash and bucket, and per (stratum, bucket) its rows, those before it and all of the stratum."""
+    h = stable_hash(key, seed)
+    d = df.withColumn("__h", h).withColumn("__b", F.coalesce(F.substring("__h", 1, DIGITS), F.lit("")))
+    size = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__m"))
+    before = W.partitionBy(*strata).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    return d, size.select("*", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"), F.sum("__m").over(W.partitionBy(*strata)).alias("__n"))
+
+
+def _placed(d: DataFrame, buckets: DataFrame, key: str, strata: list[str]) -> DataFrame:
+    """Add __pos, the position in the stratum, and __n; a bucket's window starts with a row that holds what is before it."""
+    head = buckets.select(*strata, "__b", "__first", "__n", F.lit(0).alias("__row"))
+    both = d.withColumn("__row", F.lit(1)).unionByName(head, allowMissingColumns=True)
+    run = W.partitionBy(*strata, "__b").orderBy("__row", "__h", key)
+    sofar = run.rowsBetween(W.unboundedPreceding, W.currentRow)
+    pos = (F.first("__first").over(sofar) + F.row_number().over(run) - 2).alias("__pos")
+    return both.select(*d.columns, "__row", pos, F.first("__n").over(sofar).alias("__n")).filter("__row = 1").drop("__row", "__h", "__b")
+
+
 def _ranked(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
-    d = with_position(df.withColumn("__h", stable_hash(key, seed)), strata, ["__h", key], "__pos")
-    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    return join_on(d, n, strata).drop("__h")
+    """Add __pos and __n in the order of hashes. They spread evenly, so their leading digits cut a stratum without a sort of it."""
+    return _placed(*_hashed(df, key, strata, seed), key, strata)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str | None, test: float = 0.3, val: float | None = None, seed: int = 42) -> DataFrame:
-    """Exact-fraction train / val / test labels inside each stratum."""
+    """Exact-fraction train / val / test labels inside each stratum.
+
+    In a large table only the buckets that a border falls into are ranked; whole buckets on
+    one side of the borders get their label without a shuffle.
+    """
     strata = [stratum] if stratum else []
-    d = _ranked(df, key, strata, seed)
     n_test = F.ceil(F.col("__n") * F.lit(float(test)))
-    c = F.when(F.col("__pos") < n_test, "test")
-    if val is not None:
-        n_val = F.ceil((F.col("__n") - n_test) * F.lit(val / (1.0 - test)))
-        c = c.when(F.col("__pos") < n_test + n_val, "val")
-    return d.withColumn("split", c.otherwise("train")).drop("__pos", "__n")
+    n_val = F.lit(0) if val is None else F.ceil((F.col("__n") - n_test) * F.lit(val / (1.0 - test)))
+
+    def label(first: Column, last: Column) -> Column:
+        """The label of positions from first to last, null if a border is between them."""
+        return F.when(last < n_test, "test").when((first >= n_test) & (last < n_test + n_val), "val").when(first >= n_test + n_val, "train")
+
+    d, buckets = _hashed(df, key, strata, seed)
+    at = F.col("__pos")
+    if chunk_count(df) == 1:
+        return _placed(d, buckets, key, strata).withColumn("split", label(at, at)).drop("__pos", "__n")
+    buckets = cut_lineage(buckets.withColumn("split", label(F.col("__first"), F.col("__first") + F.col("__m") - 1)))
+    known = buckets.select(*strata, "__b", "split")
+    known = F.broadcast(known) if buckets.count() <= SENT else known
+    named = join_on(d, known, [*strata, "__b"])
+    cut = _placed(named.filter("split IS NULL").drop("split"), buckets.filter("split IS NULL"), key, strata).withColumn("split", label(at, at))
+    return named.filter("split IS NOT NULL").drop("__h", "__b").unionByName(cut.drop("__pos", "__n"))
 
 
 def kfold(df: DataFrame, key: str, stratum: str | None, k: int = 5, seed: int = 42) -> DataFrame:
