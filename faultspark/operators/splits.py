@@ -90,8 +90,10 @@ def repeated_eval(df: DataFrame, key: str, stratum: str | None, fit: Callable[[D
                   metrics: Callable[[DataFrame], DataFrame], n: int = 10, test: float = 0.3, base_seed: int = 0) -> DataFrame:
     """Split, fit and score ``n`` times; rows (repeat, metric, label_name, value).
 
-    ``fit(train)`` returns a scoring function; ``metrics(scored)`` returns metric rows.
+    ``fit(train)`` returns a scoring function; ``metrics(scored)`` returns metric rows. What
+    ``df`` is made from is computed once.
     """
+    df = cut_lineage(df)
 
     def one(i: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:

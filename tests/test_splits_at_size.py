@@ -35,3 +35,18 @@ def test_borders_are_exact_with_equal_and_missing_keys(spark, tiny_chunks):
         assert got == {"test": sum(n * 3 // 10 for n in sizes), "val": sum(n // 10 for n in sizes), "train": sum(n * 6 // 10 for n in sizes)}
         folds = E.kfold(df, "k", stratum).groupBy("fold").count().collect()
         assert {r["count"] for r in folds} == {600}
+
+
+def test_repeats_compute_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for p in it:
+            seen.add(len(p))
+            yield p
+
+    df = spark.range(200).withColumn("y", F.col("id") % 2).mapInPandas(count, "id bigint, y bigint")
+    size = lambda d: d.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("n").alias("metric"), F.lit("all").alias("label_name"), "value")
+    rows = E.repeated_eval(df, "id", "y", lambda train: lambda d: d, size, n=3).collect()
+    assert [r["value"] for r in rows] == [60.0] * 3
+    assert seen.value == 200
