@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .exprs import col
 from .iterate import cut_lineage
 
+#: Bytes of files for a partition; in memory its rows take ten to twenty times as many.
+CHUNK_BYTES = 1 << 24
 #: Sizes that are only a guess of the optimizer; such tables are counted.
 UNKNOWN = 1 << 50
 
@@ -33,7 +35,7 @@ def series_chunk(spark: SparkSession) -> int:
 def chunk_count(df: DataFrame) -> int:
     """Chunks for a table, from the size of the files it reads; runs no job unless that is
     unknown, as it is behind a checkpoint."""
-    size = int(df.sparkSession.conf.get("faultspark.chunkBytes", str(1 << 27)))
+    size = int(df.sparkSession.conf.get("faultspark.chunkBytes", str(CHUNK_BYTES)))
     plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     leaves = [plan.apply(i) for i in range(plan.size())]
     known = sum(UNKNOWN if leaf.getClass().getSimpleName() == "LogicalRDD" else int(str(leaf.stats().sizeInBytes())) for leaf in leaves)

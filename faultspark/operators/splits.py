@@ -129,12 +129,10 @@ def cross_validate(df: DataFrame, key: str, stratum: str, fit, metrics, k: int =
 def block_split(df: DataFrame, order: list[str], block: int = 20, train: float = 0.64, val: float = 0.16, seed: int = 42) -> DataFrame:
     """Contiguous blocks of events; each block goes whole to one split."""
     d = with_position(df, [], order, "pos").withColumn("block", F.floor(F.col("pos") / block).cast("bigint"))
-    b = d.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("__h", stable_hash("block", seed))
-    b = with_position(b, [], ["__h", "block"], "__r")
-    nb = b.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_train = F.bround(nb * F.lit(train), 0)
-    n_val = F.bround(nb * F.lit(val), 0)
-    split = F.when(F.col("__r") < n_train, "train").when(F.col("__r") < n_train + n_val, "val").otherwise("test")
+    b = _ranked(d.select("block").distinct(), "block", [], seed)
+    n_train = F.bround(F.col("__n") * F.lit(train), 0)
+    n_val = F.bround(F.col("__n") * F.lit(val), 0)
+    split = F.when(F.col("__pos") < n_train, "train").when(F.col("__pos") < n_train + n_val, "val").otherwise("test")
     return d.join(b.select("block", split.alias("split")), "block")
 
 

@@ -50,3 +50,9 @@ def test_repeats_compute_their_source_once(spark):
     rows = E.repeated_eval(df, "id", "y", lambda train: lambda d: d, size, n=3).collect()
     assert [r["value"] for r in rows] == [60.0] * 3
     assert seen.value == 200
+
+
+def test_a_large_file_is_several_parts(spark):
+    # 26 MB of files, some 600,000 and 10,000 rows
+    two = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").select(F.lit(1)) for t in ("lineitem", "documents")]
+    assert chunk_count(two[0].unionByName(two[1])) == 2
