@@ -1,5 +1,7 @@
 """Splits of a large table: no task holds a stratum, no source is computed twice, sizes stay exact."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ def test_borders_are_exact_with_equal_and_missing_keys(spark, tiny_chunks):
         got = {}
         for r in d:
             got[r["split"]] = got.get(r["split"], 0) + r["count"]
-        assert got == {"test": sum(n * 3 // 10 for n in sizes), "val": sum(n // 10 for n in sizes), "train": sum(n * 6 // 10 for n in sizes)}
+        test = [n * 3 // 10 for n in sizes]
+        val = [math.ceil((n - t) * (0.1 / (1.0 - 0.3))) for n, t in zip(sizes, test)]
+        assert got == {"test": sum(test), "val": sum(val), "train": sum(sizes) - sum(test) - sum(val)}
         folds = E.kfold(df, "k", stratum).groupBy("fold").count().collect()
         assert {r["count"] for r in folds} == {600}
 
