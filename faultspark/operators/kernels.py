@@ -15,7 +15,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import ratio
 from ..functions.iterate import cut_lineage
@@ -50,37 +53,96 @@ class SeriesKernel:
     finish: Callable[[tuple], list[tuple]]
 
 
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Places where a run of equal keys begins; nulls are equal, and so are NaNs."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        a, b = batch.column(k)[1:], batch.column(k)[:-1]
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(a.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        new[1:] |= pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind, from_pandas=True)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):  # whole numbers as floats
+        return pa.Array.from_pandas(pd.Series(values), type=kind)
+
+
+def by_runs(df: DataFrame, keys: list[str], order: str, opened: Callable[[pa.RecordBatch], Callable[[int, int], list[tuple]]], fields: str) -> DataFrame:
+    """Keys and the rows that each group gives, its rows in ``order``; ``opened(batch)`` returns a function of a group's first and last place.
+
+    Groups lie one behind another in sorted partitions, so many small ones share a batch; a
+    group is held whole.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], fields])
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    given = target.names[len(keys):]
+
+    def rows(batch: pa.RecordBatch, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        task = opened(batch)
+        found = [task(lo, hi) for lo, hi in zip(starts, [*starts[1:], end])]
+        at = pa.array(np.repeat(starts, [len(f) for f in found]))
+        flat = [row for f in found for row in f]
+        cols = [_column([row[i] for row in flat], target.field(n).type) for i, n in enumerate(given)]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at).cast(target.field(k).type) for k in keys], *cols], schema=target)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            starts = _starts(batch, keys)
+            if len(starts) > 1:
+                yield rows(batch, starts[:-1], starts[-1])
+            rest = batch.slice(starts[-1])
+        if rest is not None:
+            yield rows(rest, np.array([0]), rest.num_rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def run_series_kernel(samples: DataFrame, kernel: SeriesKernel, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
     """Rows of ``kernel`` for each series; one series is shared by many tasks.
 
     Chunks give states, and ``FAN_IN`` neighbouring states become one until a series has one.
     """
     size = series_chunk(samples.sparkSession)
-    types = dict(samples.dtypes)
-    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     fields = [f.split()[0] for f in kernel.state.split(",")]
-    names, out = [*keys, "__part", *fields], [*keys, *[f.split()[0] for f in kernel.out.split(",")]]
     d = samples.select(*keys, F.floor(F.col(idx) / size).cast("bigint").alias("__part"), F.col(idx).alias("idx"), F.col(value).cast("double").alias("value"))
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__part"].iloc[0], *kernel.start(pdf[["idx", "value"]])]], columns=names)
+    def chunk(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        i, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("idx", "value"))
+        return lambda lo, hi: [kernel.start(pd.DataFrame({"idx": i[lo:hi], "value": v[lo:hi]}))]
 
-    def merged(pdf: pd.DataFrame) -> tuple:
-        return reduce(kernel.merge, pdf.sort_values("__part")[fields].itertuples(index=False, name=None))
+    def merged(batch: pa.RecordBatch) -> Callable[[int, int], tuple]:
+        cols = [batch.column(f) for f in fields]
+        cols = [pc.fill_null(c, np.nan).to_pylist() if pa.types.is_floating(c.type) else c.to_pylist() for c in cols]
+        states = list(zip(*cols))
+        return lambda lo, hi: reduce(kernel.merge, states[lo:hi])
 
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__part"].iloc[0] // FAN_IN, *merged(pdf)]], columns=names)
+    def level(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        whole = merged(batch)
+        return lambda lo, hi: [whole(lo, hi)]
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *row] for row in kernel.finish(merged(pdf))], columns=out)
+    def last(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        whole = merged(batch)
+        return lambda lo, hi: kernel.finish(whole(lo, hi))
 
-    s = d.groupBy(*keys, "__part").applyInPandas(first, f"{head}, __part bigint, {kernel.state}")
-    parts = (samples.agg(F.max(idx)).first()[0] or 0) // size + 1
+    s = cut_lineage(by_runs(d, [*keys, "__part"], "idx", chunk, kernel.state))
+    parts = (s.agg(F.max("__part")).first()[0] or 0) + 1
     while parts > FAN_IN:
-        s = s.groupBy(*keys, F.floor(F.col("__part") / FAN_IN)).applyInPandas(level, f"{head}, __part bigint, {kernel.state}")
+        s = s.withColumn("__at", F.col("__part")).withColumn("__part", F.floor(F.col("__part") / FAN_IN).cast("bigint"))
+        s = by_runs(s, [*keys, "__part"], "__at", level, kernel.state)
         parts = parts // FAN_IN + 1
-    return s.groupBy(*keys).applyInPandas(last, f"{head}, {kernel.out}")
+    return by_runs(s, keys, "__part", last, kernel.out)
 
 
 def longest_run(level: float = 0.0) -> SeriesKernel:

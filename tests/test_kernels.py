@@ -448,3 +448,21 @@ def test_chain_and_powerset_predict_every_row(spark):
     for m in (G.fit_classifier_chain(d, ["a", "b"], fit, order=[1, 0]), G.fit_label_powerset(d, ["a", "b"], fit=fit), G.fit_binary_relevance(d, ["a", "b"], fit)):
         p = m(d).toPandas()
         assert len(p) == len(x) and (p.a == p.pred_a).mean() > 0.95 and (p.b == p.pred_b).mean() > 0.95
+
+
+def test_kernels_over_many_small_series_share_batches(spark, tiny_chunks):
+    # a null and a NaN key are groups of their own; a series crosses batches
+    rows = [(k, i, float((i * 7 + s) % 5 - 2)) for s, k in enumerate([None, float("nan"), *map(float, range(300))]) for i in range(1 + s % 40)]
+    df = spark.createDataFrame(rows, "series_id double, idx bigint, value double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {repr(r[0]): (r["longest"], r["n_runs"]) for r in N.run_series_kernel(df, N.longest_run(0.0)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key in {repr(k) for k, _, _ in rows}:
+        up = "".join("x" if v > 0 else " " for k, _, v in rows if repr(k) == key).split()
+        want[key] = (max(map(len, up), default=0), len(up))
+    assert got == want
+    plan = N.run_series_kernel(df, N.longest_run(0.0))._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # one call of Python for each series cost some 10 ms
