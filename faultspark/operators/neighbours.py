@@ -492,7 +492,8 @@ def knn_approx(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id",
 
     The distances that the tables are made for come from ``probes`` queries, chosen by hashes
     and compared with all points; ``recall`` is wanted of neighbours at the largest of their
-    k-th distances but a tenth. Other queries may find fewer than k.
+    k-th distances but a tenth. Other queries may find fewer than k. Where that takes so many
+    tables that their copies of the rows cost more than stored blocks, all are compared there.
     """
     q = queries.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
     c = base.select(F.col(id_).cast("bigint").alias("id"), F.col(vec).alias("x"))
@@ -506,6 +507,9 @@ def knn_approx(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id",
     x = _matrix(some.toPandas()["x"])
     usual = float(np.sqrt(_gram(x, x)[~np.eye(len(x), dtype=bool)]).mean()) if len(x) > 1 else near
     made = choose_tables(float(near), max(usual, float(near)), n, x.shape[1], recall, seed)
+    if len(made.direction) > max(VISITS, VISIT_SHARE * n / LEAF):  # a copy of a row for each table is more than reading all blocks
+        here = F.lit(0).alias("cell")
+        return _keep_top(against_all(q.select(here, "id", "x", F.lit(math.inf).alias("r")), c.select(here, "id", "x"), *_running_topk(k, exclude_self), FOUND), k)
 
     def keyed(it):
         for p in it:

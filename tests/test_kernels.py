@@ -466,3 +466,15 @@ def test_kernels_over_many_small_series_share_batches(spark, tiny_chunks):
     assert got == want
     plan = N.run_series_kernel(df, N.longest_run(0.0))._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan  # one call of Python for each series cost some 10 ms
+
+
+def test_approximate_neighbours_read_blocks_where_tables_are_many(spark, monkeypatch):
+    monkeypatch.setattr(NB, "VISITS", 0)
+    monkeypatch.setattr(NB, "VISIT_SHARE", 0.0)
+    x = np.random.default_rng(5).uniform(size=(1500, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, x array<double>")
+    got = {(r["id"], r["rank"]): r["nid"] for r in NB.knn_approx(df.filter("vec_id % 10 = 0"), df, 4, exclude_self=True, recall=0.5).collect()}
+    d = np.sqrt(((x[::10, None] - x[None]) ** 2).sum(2))
+    d[np.arange(150), np.arange(0, 1500, 10)] = np.inf
+    want = d.argsort(axis=1)[:, :4]
+    assert got == {(10 * i, r + 1): int(want[i, r]) for i in range(150) for r in range(4)}
