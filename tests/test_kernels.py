@@ -251,6 +251,28 @@ def test_knn_in_high_dimension_deals_out_no_queries(spark, monkeypatch, own):
     assert max(dealt) <= 20
 
 
+def test_knn_looks_into_one_block_of_a_leaf_first(spark, monkeypatch):
+    """Leaves of many blocks cost no copies, and their other blocks are not forgotten."""
+    small_leaves(monkeypatch, 48, 4, 500)
+    seen, made = spark.sparkContext.accumulator(0), NB._topk_task
+
+    def counted(*args):
+        task = made(*args)
+        return lambda a, b: seen.add(len(a) + len(b)) or task(a, b)
+
+    monkeypatch.setattr(NB, "_topk_task", counted)
+    monkeypatch.setattr(NB, "VISIT_SHARE", 0.0)
+    x, df = points(spark)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.array([np.lexsort((np.arange(len(x)), row.round(9)))[:4] for row in d])
+    for visits in (0, 10**6):
+        monkeypatch.setattr(NB, "VISITS", visits)
+        got = NB.knn(df, df, 4, exclude_self=True).toPandas().sort_values(["id", "rank"])
+        assert (got.nid.to_numpy().reshape(-1, 4) == want).all()
+        assert visits or seen.value <= 3 * len(x)
+
+
 def test_dbscan_in_high_dimension_deals_out_no_queries(spark, monkeypatch):
     small_leaves(monkeypatch)
     dealt = stored_blocks(monkeypatch)
