@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.exprs import micros
-from ..functions.iterate import shared_folder
+from ..functions.iterate import cut_lineage, shared_folder
 from ..operators import series as S
 from ..streaming import machine as M, streams as N
 from .labels import TRUTH_SQL, event_files, truth_table
@@ -88,7 +88,7 @@ def _side_sql(side, post):
 def _(t):
     e = t.events.select("user_id", "event_id", "ts", micros("ts").alias("us"), (F.col("value") - 50).alias("value"))
     b = e.groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("z"), F.count(F.lit(1)).alias("expected")).selectExpr("user_id", "(a + z) div 2 AS mid", "expected")
-    numbered = S.index_samples(e, ["user_id"], ["us", "event_id"]).join(b, "user_id")
+    numbered = cut_lineage(S.index_samples(e, ["user_id"], ["us", "event_id"]).join(b, "user_id"))  # each part is read from it
 
     class Recorded:
         spark = t.spark

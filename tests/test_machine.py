@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from faultspark.operators.kernels import longest_run, run_series_kernel
@@ -76,3 +77,56 @@ def test_no_rows_give_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert run_series_kernel(empty, M.trigger_features(), ["event"]).columns[0] == "event"
     assert machine(spark, [[]], M.trigger_features(), extra=["post"]).count() == 0
+
+
+class Stored:
+    """State and timers of one key, without Spark."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value if self.value is not None else self.rows or None
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value, self.rows = None, []
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("expected, signs", [(6, 0), (60, 1)])
+def test_only_events_of_several_chunks_send_signs_of_life(expected, signs):
+    store = Stored()
+    step = M._Chunks(M.trigger_features(), 10, 1000, "event", ["idx", "value", "post"], "")
+    step.init(store)
+    pdf = pd.DataFrame({"idx": [0, 1], "value": [1.5, None], "post": [0, 1], "expected__": expected, "ms__": [5, 9]})
+    assert len(list(step.handleInputRows((1, 0), iter([pdf]), store))) == signs
+    assert store.value == (2, 0, 9, 1009, expected) and store.rows == [(0, 1.5, 0), (1, None, 1)] and store.timers == {1009}
+
+
+def test_incomplete_events_of_one_chunk_are_sent(spark):
+    short = recording(1, 6, 1, expected=10)
+    clock = [[(5, at(60 * h), 0, 1.0, 0, 1)] for h in (6, 9, 12)]
+    got = {(r["event"], r["complete"]): r for r in machine(spark, [short[:3], short[3:], *clock], M.trigger_features(), extra=["post"]).collect()}
+    assert got[1, False]["n_samples"] == 6 and (1, True) not in got
