@@ -215,7 +215,7 @@ def _(t):
                       F.when(F.col("n") > 1, "ACQ2=7\n").otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("KPI="), (k % 20).cast("string"), F.lit("(dB)\n"))).otherwise(""))
     short = F.when(k % 7 == 3, F.lit("A=1")).otherwise(header)
     body = F.when(k % 7 == 3, F.lit("")).otherwise(F.repeat(F.lit("KPI=0(x)\n"), 512)).cast("binary")  # looks like a header, must not be read
-    V.write_recordings(g.select(name.alias("name"), short.alias("header"), body.alias("body")), path)
+    V.write_recordings(g.select(name.alias("name"), short.alias("header"), body.alias("body")), path, spread=True)
     s = V.scan_recordings(t.spark, path)
     h = F.col("header")
     return s.select(I.basename("path").alias("file"), "reason", h["NROW"].alias("nrow"), h["KPI"].alias("kpi"), h["DBNAME"].alias("dbname"), F.when(F.col("reason").isNull(), F.col("num_acq")).alias("num_acq"))

@@ -8,6 +8,7 @@ files below its 2 GB.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -16,9 +17,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.iterate import cut_lineage
 from .ingest import list_files, parse_header, skip_reason
 
 PREFIX = 4
+#: Files that a task opens, and that a folder gets when written.
+FILES = 1024
+LISTED = "path string, length bigint, modificationTime timestamp, folder boolean"
 ADDED = T.StructType([T.StructField("header_size", T.IntegerType()), T.StructField("header_text", T.StringType()),
                       T.StructField("readable", T.BooleanType()), T.StructField("failed", T.BooleanType())])
 
@@ -80,12 +85,55 @@ def decode_header(content: Column | str) -> tuple[Column, Column, Column]:
     return size, F.when(~failed, F.replace(F.make_valid_utf8(body), F.lit("�"), F.lit(""))), failed
 
 
+def _entries(folder: str) -> Iterator[tuple]:
+    """What Spark would list in a folder, not in those below: path, length, time, whether it is a folder."""
+    system, inside = file_system(folder)
+    for f in system.get_file_info(fs.FileSelector(inside)):
+        name, is_folder = f.base_name, f.type == fs.FileType.Directory
+        hidden = name.startswith(".") or name.startswith("_") and "=" not in name
+        if not hidden and not name.endswith("._COPYING_") and (is_folder or f.type == fs.FileType.File and f.size):
+            yield f"{folder.rstrip('/')}/{name}", f.size, f.mtime, is_folder
+
+
+def list_in_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that ``list_files`` gives for a folder, listed by tasks, one level of folders after the other.
+
+    The driver sees the number of folders only. Patterns, and paths that mean another file system
+    than they say, are left to Spark's listing.
+    """
+    local = folder.startswith("file:") or "://" not in folder
+    if any(c in folder for c in "*?[]{}\\") or local and not folder.startswith("file:") and not spark.conf.get("spark.hadoop.fs.defaultFS", "file:").startswith("file:"):
+        return list_files(spark, folder)
+    base = "file:" + file_system(folder)[1] if local else folder
+    types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                found = list(_entries(path))
+                for lo in range(0, len(found), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[lo : lo + 8192]), types)], ["path", "length", "modificationTime", "folder"])
+
+    level, files = spark.createDataFrame([(base,)], "path string"), None
+    while True:
+        here = cut_lineage(level.mapInArrow(work, LISTED))
+        new = here.filter("NOT folder").drop("folder")
+        files = new if files is None else files.unionByName(new)
+        below = here.filter("folder").select("path")
+        n = below.count()
+        if not n:
+            return files
+        level = below.repartition(min(n, max(256, math.ceil(n / 16))))
+
+
 def scan_recordings(spark: SparkSession, folder: str) -> DataFrame:
     """Listing with ``reason``, and for usable recordings the header map and the number of acquisitions.
 
-    Files that their name or size excludes are not opened; hidden ones Spark does not list.
+    Files that their name or size excludes are not opened; hidden ones are not listed. Listing and
+    opening are dealt out to tasks.
     """
-    listed = list_files(spark, folder).withColumn("__skip", skip_reason())
+    files = list_in_tasks(spark, folder)
+    listed = files.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(files.count() / FILES)), "path").withColumn("__skip", skip_reason())
     # an excluded file keeps its row, but its path is not handed to the reader
     opened = listed.withColumn("listed_path", F.col("path")).withColumn("path", F.when(F.col("__skip").isNull(), F.col("path")))
     read = read_headers(opened).withColumn("path", F.col("listed_path")).drop("listed_path")
@@ -94,22 +142,29 @@ def scan_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return parse_header(done, "header_text").drop("__skip", "readable", "failed", "header_text")
 
 
-def write_recordings(rows: DataFrame, folder: str) -> int:
+def write_recordings(rows: DataFrame, folder: str, spread: bool = False) -> int:
     """One file for each row with name, header (text) and body (binary); the number of files.
 
-    A task that is run again writes the same bytes to the same name.
+    ``spread`` deals them by their names to folders below, of about FILES files each. A task that is run again writes the same bytes to the same name.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         system, inside = file_system(folder)
-        system.create_dir(inside, recursive=True)
+        made = set()
         for b in batches:
-            for name, header, body in zip(*(b.column(c).to_pylist() for c in ("name", "header", "body"))):
+            for name, header, body, sub in zip(*(b.column(c).to_pylist() for c in ("name", "header", "body", "sub"))):
                 raw = header.encode()
-                with system.open_output_stream(f"{inside}/{name}") as f:
+                if sub not in made:
+                    system.create_dir(inside + sub, recursive=True)
+                    made.add(sub)
+                with system.open_output_stream(f"{inside}{sub}/{name}") as f:
                     f.write(struct.pack(">i", len(raw)) + raw + body)
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return rows.select("name", "header", "body").mapInArrow(work, "n bigint").agg(F.sum("n")).first()[0] or 0
+    parts = max(1, math.ceil(rows.count() / FILES)) if spread else 0
+    sub = F.concat(F.lit("/"), F.pmod(F.xxhash64("name"), F.lit(parts)).cast("string")) if spread else F.lit("")
+    rows = rows.select("name", "header", "body", sub.alias("sub"))
+    rows = rows.repartition(parts, "sub") if spread else rows
+    return rows.mapInArrow(work, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -68,3 +68,23 @@ def test_written_recordings_read_back(spark, tmp_path):
     assert V.write_recordings(rows, f"file:{tmp_path}/out") == 20
     back = V.scan_recordings(spark, f"{tmp_path}/out").select(I.basename("path").alias("f"), F.col("header")["N"].alias("n"), F.col("header")["é"].alias("u")).collect()
     assert sorted((r["f"], r["n"], r["u"]) for r in back) == sorted((f"r {i}", str(i), "ü") for i in range(20))
+
+
+def test_tasks_list_what_spark_lists(spark, tmp_path):
+    fixture(tmp_path)
+    for name in ("a/b/c/deep", "a/_hidden/x", "a/.hid/x", "_x", "_k=1/y", "_metadata", "half._COPYING_", "a/empty", "b c+d%20/é"):
+        put(tmp_path, name, b"" if name.endswith("empty") else b"12345")
+    want = sorted(tuple(r) for r in I.list_files(spark, str(tmp_path)).selectExpr("path", "length", "unix_millis(modificationTime)").collect())
+    for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        assert sorted(tuple(r) for r in V.list_in_tasks(spark, folder).selectExpr("path", "length", "unix_millis(modificationTime)").collect()) == want
+    assert len(want) > 10 and V.list_in_tasks(spark, f"{tmp_path}/a*").count() == I.list_files(spark, f"{tmp_path}/a*").count()
+
+
+def test_recordings_are_spread_over_folders_and_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "FILES", 4)
+    rows = spark.range(60).selectExpr("concat('r', id) AS name", "concat('N=', id) AS header", "binary(repeat('x', 100)) AS body")
+    assert V.write_recordings(rows, str(tmp_path / "out"), spread=True) == 60
+    back = V.scan_recordings(spark, str(tmp_path / "out"))
+    assert sorted(r[0] for r in back.select(F.col("header")["N"]).collect()) == sorted(str(i) for i in range(60))
+    assert max(len(os.listdir(tmp_path / "out" / d)) for d in os.listdir(tmp_path / "out")) < 20
+    assert back.select(F.spark_partition_id()).distinct().count() > 8
