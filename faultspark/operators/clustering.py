@@ -130,11 +130,13 @@ def dbscan_per_group(rows: DataFrame, k: int = 5, pct: float = 75, min_samples:
     far = rows.agg(F.max(F.sqrt(F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda s, v: s + v)))).first()[0] or 1.0
     apart = lambda x, step: F.concat(x, F.array(F.col("g") * F.lit(float(step))))
     near = knn(*[rows.select("id", apart(F.col("x"), 4 * far + 1).alias("x"))] * 2, k, "id", "x").filter(F.col("rank") == k)
-    eps = agg_with_quantiles(near.select("id", "dist").join(rows.select("id", "g"), "id"), ["g"], [], {"eps": ("dist", pct / 100.0)})
+    # searches are cut off once made: what follows reads them several times
+    near = cut_lineage(near.select("id", "dist").join(rows.select("id", "g"), "id"))
+    eps = cut_lineage(agg_with_quantiles(near, ["g"], [], {"eps": ("dist", pct / 100.0)}))
     scaled = rows.join(eps, "g").withColumn("e", F.greatest("eps", F.lit(1e-9)))
     widest = far / max(scaled.agg(F.min("e")).first()[0] or 1.0, 1e-9)
     d = cut_lineage(scaled.select("id", "g", apart(F.transform("x", lambda v: v / F.col("e")), 2 * widest + 4).alias("x")))
-    found = dbscan(d, 1.0, min_samples, "id", "x").join(d.select("id", "g"), "id")
+    found = cut_lineage(dbscan(d, 1.0, min_samples, "id", "x").join(d.select("id", "g"), "id"))
     own = with_position(found.filter("cluster >= 0").select("g", "cluster").distinct(), ["g"], ["cluster"], "number")
     return found.join(own, ["g", "cluster"], "left").select("id", "g", F.coalesce("number", F.lit(-1)).cast("bigint").alias("cluster"))
 

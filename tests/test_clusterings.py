@@ -163,3 +163,23 @@ def test_silhouettes_of_many_labelings_send_no_row_twice(spark, monkeypatch):
             b = min(d[i, lab == c].mean() for c in set(lab) - {lab[i]})
             s.append((b - a) / max(a, b))
         assert abs(value - np.mean(s)) < 1e-9
+
+
+def test_density_per_group_searches_neighbours_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, i % 2, [float(v) for v in rng.normal(size=3)]) for i in range(80)], "id bigint, g int, x array<double>")
+    want = sorted(tuple(r) for r in I.dbscan_per_group(rows).collect())
+    seen, search = spark.sparkContext.accumulator(0), I.knn
+
+    def counted(*args, **more):
+        def run(it):
+            for p in it:
+                seen.add(len(p))
+                yield p
+
+        found = search(*args, **more)
+        return found.mapInPandas(run, found.schema)
+
+    monkeypatch.setattr(I, "knn", counted)
+    assert sorted(tuple(r) for r in I.dbscan_per_group(rows).collect()) == want
+    assert seen.value == 80 * 5
