@@ -183,3 +183,55 @@ def test_density_per_group_searches_neighbours_once(spark, monkeypatch):
     monkeypatch.setattr(I, "knn", counted)
     assert sorted(tuple(r) for r in I.dbscan_per_group(rows).collect()) == want
     assert seen.value == 80 * 5
+
+
+def test_scans_read_rows_dealt_over_all_cores(spark, two, monkeypatch):
+    """One partition of rows, as Spark makes of few bytes: its scans ran in that one task."""
+    monkeypatch.setattr(many, "LEAST", 64)
+    monkeypatch.setattr(many, "SCAN", 16)
+    x, df = two
+    rows, seen = rows_of(df).coalesce(1), spark.sparkContext.accumulator(0)
+    blocks = many.stored(rows)
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.stored(blocks) is blocks
+    got = {r["g"]: r["n"] for r in blocks.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("most <= 16").collect()}
+    assert got == {0: len(x["a"]), 1: len(x["b"])}
+    starts = [many.Centres(g, "", x[c][[0, 7]]) for g, c in enumerate("ab")]
+    scan = many.scan_sums
+
+    def counted(d, task):
+        def run(it):
+            seen.add(1)
+            yield from it
+
+        return scan(d.mapInArrow(run, d.schema), task)
+
+    monkeypatch.setattr(many, "scan_sums", counted)
+    many.fit_centres(rows, starts, rounds=1)
+    assert seen.value == 2 * blocks.rdd.getNumPartitions()
+
+
+def test_balanced_selection_compares_rows_of_balanced_labelings_only(spark, two, monkeypatch):
+    _, df = two
+    asked, score = [], I._silhouettes
+    monkeypatch.setattr(I, "_silhouettes", lambda labelled, measure, wanted=None: asked.append((labelled, wanted)) or score(labelled, measure, wanted))
+    got = {r["category"]: r["silhouette"] for r in I.balanced_selection(df, "category", n_init=2).collect()}
+    (labelled, wanted), = asked
+    n = {}
+    for r in many.sizes(labelled).collect():
+        n.setdefault((r["g"], r["slot"]), []).append(r["n"])
+    assert wanted == {at for at, m in n.items() if min(m) / sum(m) >= 0.15} and 0 < len(wanted) < len(n)
+    every = {(r["g"], r["slot"]): r["silhouette"] for r in many.silhouettes(labelled).collect()}
+    some = {(r["g"], r["slot"]): r["silhouette"] for r in many.silhouettes(labelled, wanted).collect()}
+    assert some.keys() == wanted and all(some[at] == pytest.approx(every[at], abs=1e-12) for at in wanted)
+    assert got == pytest.approx({c: max(s for (g, _), s in some.items() if g == i) for i, c in enumerate("ab")})
+
+
+def test_partial_silhouettes_are_one_matrix_for_a_slab(spark, monkeypatch):
+    """Partial sums were a row for each row, labeling and cluster."""
+    rng = np.random.default_rng(9)
+    labels = np.c_[np.arange(300) % 3, np.arange(300) % 4]
+    labelled = spark.createDataFrame([(0, i, rng.normal(0, 1, 3).tolist(), labels[i].tolist()) for i in range(300)], "g int, id bigint, x array<double>, labels array<int>")
+    sent, against = [], many.against_all
+    monkeypatch.setattr(many, "against_all", lambda *a: sent.append(against(*a)) or sent[-1])
+    assert many.silhouettes(labelled).count() == 2
+    assert sent[0].count() == 1 and sent[0].first()["s"] is not None
