@@ -282,25 +282,22 @@ def _exact_of(x: np.ndarray, y: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.
     return np.concatenate([np.zeros(0), *[_exact(x[r[i : i + PAIRS]], y[s[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)]])
 
 
-def distance_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray, rows: int = 128, cols: int = 1024) -> np.ndarray:
+def distance_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray, rows: int = 256, cols: int = 256) -> np.ndarray:
     """Distances of each row of x to all of y, times ``weights``; small ones, where rounding would show, are computed exactly.
 
-    Pairs are taken in tiles that stay in a core's cache.
+    Pairs are taken in tiles that stay in a core's cache; one product gives the squares and the cross terms.
     """
-    xx, yy, turned = (x * x).sum(1)[:, None], (y * y).sum(1), -2.0 * y.T
-    out = np.zeros((len(x), weights.shape[1]))
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    left, right = np.column_stack([x, xx, np.ones(len(x))]), np.vstack([-2.0 * y.T, np.ones(len(y)), yy])
+    out, held = np.zeros((len(x), weights.shape[1])), np.empty((min(rows, len(x)), min(cols, len(y))))
     for j in range(0, len(y), cols):
-        there, far, weight = y[j : j + cols], yy[j : j + cols], weights[j : j + cols]
-        across = np.ascontiguousarray(turned[:, j : j + cols])
+        far, weight, across = yy[j : j + cols], weights[j : j + cols], np.ascontiguousarray(right[:, j : j + cols])
         for i in range(0, len(x), rows):
-            part, near = x[i : i + rows], xx[i : i + rows]
-            d, both = part @ across, near + far
-            d += both
-            both *= 1e-5
-            small = d < both
-            if small.any():
-                r, s = np.nonzero(small)
-                d[r, s] = _exact_of(part, there, r, s) ** 2
+            near = xx[i : i + rows]
+            d = np.matmul(left[i : i + rows], across, out=held[: len(near), : len(far)])
+            if not d.min() >= 1e-5 * (near.max() + far.max()):
+                r, s = np.nonzero(d < 1e-5 * (near[:, None] + far))
+                d[r, s] = _exact_of(x[i : i + rows], y[j : j + cols], r, s) ** 2
             out[i : i + rows] += np.sqrt(d, out=d) @ weight
     return out
 
