@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rnd
+from ..functions.exprs import ratio, rnd
+from ..functions.ordering import with_running
 from ..operators import anomaly as A
 from ..operators.neighbours import knn, knn_approx
 from .matrixdata import ORDERS_SQL, VECTORS_SQL, orders_matrix, vectors
@@ -127,8 +128,13 @@ SCORES_SQL = f"WITH {ORDERS_SQL}, s AS (SELECT event_id, y, qty_mean, disc_mean,
 
 
 def flags(t):
-    m = orders_matrix(t)
-    return m.select("event_id", "y", "qty_mean", "disc_mean", "always_one", (F.col("qty_mean") > 30).cast("int").alias("f1"),
+    """Flags of orders. f2 and f3 compare means with numbers that many means equal but for rounding, so means are summed in the table's order of rows."""
+    place = ["file_path", "row_index"]
+    lines = t.lineitem.select(F.col("l_orderkey").alias("event_id"), *[f"_metadata.{c}" for c in place], "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    run = with_running(lines, ["event_id"], place, {"disc": F.col("l_discount"), "tax": F.col("l_tax")})
+    mean = lambda total, c: ratio(F.max_by(total, F.struct(*place)), F.count(c))
+    m = run.groupBy("event_id").agg(F.max("returned").alias("y"), F.avg("l_quantity").alias("qty_mean"), mean("disc", "l_discount").alias("disc_mean"), mean("tax", "l_tax").alias("tax_mean"))
+    return m.select("event_id", "y", "qty_mean", "disc_mean", F.lit(1.0).alias("always_one"), (F.col("qty_mean") > 30).cast("int").alias("f1"),
                     (F.col("disc_mean") > 0.06).cast("int").alias("f2"), (F.col("tax_mean") > 0.05).cast("int").alias("f3"))
 
 

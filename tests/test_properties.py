@@ -1,5 +1,7 @@
 """Splits, leakage, partition independence, hot keys and physical plans."""
 
+import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window as W, functions as F
 
@@ -8,6 +10,7 @@ from faultspark.functions.ordering import agg_with_quantiles, with_position, wit
 from faultspark.operators import labels as L, matrix as M, proposals as P, series as S, splits as E
 from faultspark.plans import load_all
 from faultspark.plans.registry import Tables
+from tests.compare import check
 from tests.conftest import FOLDER
 
 
@@ -124,3 +127,20 @@ def test_running_sums_carry_no_borders(spark, tiny_chunks):
 def test_no_pair_products_and_no_python_in_relational_plans(spark, name):
     text = plan(load_all()[name].build(Tables(spark, FOLDER)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text.replace("BroadcastNestedLoopJoin BuildRight, Inner\n", "") and "Python" not in text and "InPandas" not in text
+
+
+@pytest.mark.parametrize("name", ["vote_ensemble", "per_label_outlier_recall", "detector_summary"])
+def test_flags_sum_in_the_order_of_rows(spark, tmp_path, name):
+    """Means near a limit are those of the rows in turn, however the table is cut into tasks."""
+    pq.write_table(pq.read_table("/root/testdata/sf0.01/lineitem.parquet"), tmp_path / "lineitem.parquet", row_group_size=5000)
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    cut = {"spark.sql.files.maxPartitionBytes": "100000", "spark.sql.files.openCostInBytes": "0", "faultspark.chunkBytes": "200000"}
+    before = {k: spark.conf.get(k, None) for k in cut}
+    try:
+        for k, v in cut.items():
+            spark.conf.set(k, v)
+        assert check(spark, con, load_all()[name], str(tmp_path))[2] is None
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
