@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.iterate import cut_lineage
-from ..functions.parallel import run_all
+from ..functions.parallel import run_all, scan_parts
 from . import metrics as H
 from .splits import class_weights, stratified_split
 
@@ -41,7 +41,11 @@ def _scorer(model, vec: str, probability: bool = True) -> Scorer:
 
 
 def _fit(estimator, train: DataFrame, vec: str):
-    d = _with_vector(train, vec).persist()  # read once per pass of the optimiser
+    """Every pass of the optimiser is a job and more (boosted trees: some 1,000 stages), so rows are kept in as many partitions as their number asks for, not as many as the last shuffle left."""
+    made = _with_vector(train, vec).persist()
+    d = made.repartition(scan_parts(made, vec)).persist()
+    d.count()
+    made.unpersist()
     model = estimator.fit(d)
     d.unpersist()
     return model

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from faultspark.functions.parallel import scan_parts
 from faultspark.operators import anomaly as A, attribution as K, cluster_metrics as J, kernels as N, matrix as M, models as G, neighbours as NB, proposals as P, series as S
 
 
@@ -472,6 +473,19 @@ def test_chain_and_powerset_predict_every_row(spark):
         assert len(p) == len(x) and (p.a == p.pred_a).mean() > 0.95 and (p.b == p.pred_b).mean() > 0.95
 
 
+def test_fits_read_as_many_partitions_as_their_rows_need(spark, monkeypatch):
+    x, df = points(spark, 120)
+    seen = []
+    fake = type("Fake", (), {"fit": lambda self, d: seen.append((d.rdd.getNumPartitions(), d.count())) or "model"})()
+    many = df.repartition(60)
+    assert G._fit(fake, many, "x") == "model"
+    # small partitions, over all cores; then so many values that a partition would hold too many of them
+    for least, most in ((16, 1 << 22), (16, len(x) * x.shape[1] // 20)):
+        monkeypatch.setattr(G, "scan_parts", lambda d, vec, a=least, b=most: scan_parts(d, vec, a, b))
+        G._fit(fake, many, "x")
+    assert seen == [(1, len(x)), (8, len(x)), (20, len(x))]
+
+
 def test_kernels_over_many_small_series_share_batches(spark, tiny_chunks):
     # a null and a NaN key are groups of their own; a series crosses batches
     rows = [(k, i, float((i * 7 + s) % 5 - 2)) for s, k in enumerate([None, float("nan"), *map(float, range(300))]) for i in range(1 + s % 40)]
