@@ -235,3 +235,15 @@ def test_partial_silhouettes_are_one_matrix_for_a_slab(spark, monkeypatch):
     monkeypatch.setattr(many, "against_all", lambda *a: sent.append(against(*a)) or sent[-1])
     assert many.silhouettes(labelled).count() == 2
     assert sent[0].count() == 1 and sent[0].first()["s"] is not None
+
+
+def test_silhouettes_compare_copies_once(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (40, 3)).repeat(rng.integers(1, 9, 40), axis=0)
+    labels = np.c_[np.arange(len(x)) % 3, (x[:, 0] > 0).astype(int)]  # copies may be in different clusters
+    labelled = spark.createDataFrame([(0, i, x[i].tolist(), labels[i].tolist()) for i in range(len(x))], "g int, id bigint, x array<double>, labels array<int>").repartition(3)
+    met, against = [], many.against_all
+    monkeypatch.setattr(many, "against_all", lambda d, *a: met.append(d.count()) or against(d, *a))
+    got = {r["slot"]: r["silhouette"] for r in many.silhouettes(labelled).collect()}
+    assert met == [len({(*v, *l) for v, l in zip(x.tolist(), labels.tolist())})] and met[0] < len(x)
+    assert all(got[i] == pytest.approx(plain_silhouette(x, labels[:, i]), abs=1e-9) for i in range(2))
