@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -73,12 +73,41 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
         return pa.Array.from_pandas(pd.Series(values), type=kind)
 
 
-def by_runs(df: DataFrame, keys: list[str], order: str, opened: Callable[[pa.RecordBatch], Callable[[int, int], list[tuple]]], fields: str) -> DataFrame:
-    """Keys and the rows that each group gives, its rows in ``order``; ``opened(batch)`` returns a function of a group's first and last place.
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
 
-    Groups lie one behind another in sorted partitions, so many small ones share a batch; a
-    group is held whole.
+def _in_runs(df: DataFrame, keys: list[str], order: list[str], rows: Callable[[pa.RecordBatch, np.ndarray, int], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``rows(batch, starts, end)`` makes of whole groups, which begin at ``starts``, their rows in ``order``.
+
+    Groups lie one behind another in sorted partitions, so many small ones share a batch: a call
+    of Python for each series costs some 10 ms. A group is held whole.
     """
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of one group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seam = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            new = _starts(_joined([*seam, batch]), keys)[len(seam) :] - len(seam)
+            if not len(new):
+                held.append(batch)
+                continue
+            done = [*held, batch.slice(0, new[-1])] if new[-1] else held
+            if done:
+                whole = _joined(done)
+                yield rows(whole, _starts(whole, keys), whole.num_rows)
+            held = [batch.slice(new[-1])]
+        if held:
+            whole = _joined(held)
+            yield rows(whole, np.array([0]), whole.num_rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def by_runs(df: DataFrame, keys: list[str], order: str, opened: Callable[[pa.RecordBatch], Callable[[int, int], list[tuple]]], fields: str) -> DataFrame:
+    """Keys and the rows that each group gives, its rows in ``order``; ``opened(batch)`` returns a function of a group's first and last place."""
     types = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], fields])
     target = to_arrow_schema(StructType.fromDDL(schema))
@@ -92,21 +121,7 @@ def by_runs(df: DataFrame, keys: list[str], order: str, opened: Callable[[pa.Rec
         cols = [_column([row[i] for row in flat], target.field(n).type) for i, n in enumerate(given)]
         return pa.RecordBatch.from_arrays([*[batch.column(k).take(at).cast(target.field(k).type) for k in keys], *cols], schema=target)
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            starts = _starts(batch, keys)
-            if len(starts) > 1:
-                yield rows(batch, starts[:-1], starts[-1])
-            rest = batch.slice(starts[-1])
-        if rest is not None:
-            yield rows(rest, np.array([0]), rest.num_rows)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return _in_runs(df, keys, [order], rows, schema)
 
 
 def run_series_kernel(samples: DataFrame, kernel: SeriesKernel, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
@@ -249,36 +264,42 @@ def _finish(v, m, p):
 def peak_count(samples: DataFrame, prominence: float = 0.5, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
     """Local maxima (flat tops count once) with at least ``prominence``."""
     size = max(series_chunk(samples.sparkSession), 16)
-    types = dict(samples.dtypes)
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    schema = f"{key_schema}, part bigint, v array<double>, m array<int>, n bigint"
+    fields = "v array<double>, m array<int>, n bigint"
     d = samples.select(*keys, F.floor(F.col(idx) / size).cast("bigint").alias("part"), F.col(idx).alias("i"), F.col(value).cast("double").alias("x"))
 
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x = turning_points(pdf["x"].to_numpy())
-        v, m, n = _summary(x.tolist(), [1] * len(x), prominence)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["part"].iloc[0], v, m, n]], columns=[*keys, "part", "v", "m", "n"])
+    def start(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        x = batch.column("x").to_numpy(zero_copy_only=False)
+
+        def chunk(lo: int, hi: int) -> list[tuple]:
+            t = turning_points(x[lo:hi])
+            return [_summary(t.tolist(), [1] * len(t), prominence)]
+
+        return chunk
 
     def merge(done: bool) -> Callable:
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("part")
-            v = [float(x) for row in pdf["v"] for x in row]
-            m = [int(x) for row in pdf["m"] for x in row]
-            head = [pdf[k].iloc[0] for k in keys]
-            if done:
-                return pd.DataFrame([[*head, int(pdf["n"].sum()) + _finish(v, m, prominence)]], columns=[*keys, "n_peaks"])
-            v, m, n = _summary(v, m, prominence)
-            return pd.DataFrame([[*head, pdf["part"].iloc[0] // FAN_IN, v, m, int(pdf["n"].sum()) + n]], columns=[*keys, "part", "v", "m", "n"])
-        return fn
+        def opened(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+            v, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "vm")
+            n, ends = batch.column("n").to_numpy(), np.cumsum([0, *pc.list_value_length(batch.column("v")).to_pylist()])
 
-    s = d.groupBy(*keys, "part").applyInPandas(start, schema)
+            def level(lo: int, hi: int) -> list[tuple]:
+                at, known = slice(ends[lo], ends[hi]), int(n[lo:hi].sum())
+                if done:
+                    return [(known + _finish(v[at].tolist(), m[at].tolist(), prominence),)]
+                tops, counts, sure = _summary(v[at].tolist(), m[at].tolist(), prominence)
+                return [(tops, counts, known + sure)]
+
+            return level
+
+        return opened
+
+    s = by_runs(d, [*keys, "part"], "i", start, fields)
     longest = samples.agg(F.max(idx)).first()[0] or 0
     parts = longest // size + 1
     while parts > FAN_IN:
-        s = s.groupBy(*keys, F.floor(F.col("part") / FAN_IN)).applyInPandas(merge(False), schema)
+        s = s.withColumn("__at", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint"))
+        s = by_runs(s, [*keys, "part"], "__at", merge(False), fields)
         parts = parts // FAN_IN + 1
-    return s.groupBy(*keys).applyInPandas(merge(True), f"{key_schema}, n_peaks bigint")
+    return by_runs(s, keys, "part", merge(True), "n_peaks bigint")
 
 
 def peaks_by_distance(samples: DataFrame, distance: int = 20, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
@@ -360,6 +381,7 @@ class Recurrence:
     def power(self, n: int) -> np.ndarray:
         return np.linalg.matrix_power(self.a, n)
 
+    @cached_property
     def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For one step: outputs by state, outputs by input, and the state left by each input."""
         n, m = self.STEP, len(self.a)
@@ -376,7 +398,7 @@ class Recurrence:
     def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Outputs, and the state after the last sample."""
         n, m = self.STEP, len(self.a)
-        by_state, by_input, leaves = self._tables()
+        by_state, by_input, leaves = self._tables
         s = np.zeros(m) if state is None else np.asarray(state, float)
         if not len(x):
             return np.zeros(0), s
@@ -407,9 +429,9 @@ def linear_filter(samples: DataFrame, system: Recurrence, keys: list[str] = KEYS
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     unit = [*keys, "__c"]
 
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("__i")["__x"].to_numpy()
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["__c"].iloc[0], len(x), system.run(x)[1].tolist()]], columns=[*unit, "n", "s"])
+    def leave(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        x = batch.column("__x").to_numpy(zero_copy_only=False)
+        return lambda lo, hi: [(hi - lo, system.run(x[lo:hi])[1].tolist())]
 
     def carry(batches):
         key, state, powers = None, None, {}
@@ -425,20 +447,26 @@ def linear_filter(samples: DataFrame, system: Recurrence, keys: list[str] = KEYS
                 state = powers[n] @ state + np.array(s)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.list_(pa.float64()))], [*unit, "s"])
 
-    left = d.groupBy(*unit).applyInPandas(leave, f"{head}, __c bigint, n bigint, s array<double>")
+    left = by_runs(d, unit, "__i", leave, "n bigint, s array<double>")
     state = left.repartition(*keys).sortWithinPartitions(*unit).mapInArrow(carry, f"{head}, __c bigint, s array<double>")
     names = [*keys, idx, out, *keep]
     schema = ", ".join([head, f"`{idx}` bigint, `{out}` double", *[f"`{k}` {types[k]}" for k in keep]])
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({n: [] for n in names})
-        pdf = pdf.sort_values("__i")
-        x = pdf["__x"].to_numpy()
-        short = pdf["__c"].iloc[0] == 0 and len(x) <= keep_short
-        return pdf.assign(**{idx: pdf["__i"], out: x if short else system.run(x, before["s"].iloc[0])[0]})[names]
+    def filtered(batch: pa.RecordBatch, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        """The first row of a chunk has the state before it, the others its samples."""
+        x, c, y, sample = batch.column("__x").to_numpy(zero_copy_only=False), batch.column("__c"), np.zeros(end), np.ones(end, bool)
+        sample[starts] = False
+        for lo, hi in zip(starts, [*starts[1:], end]):
+            part = x[lo + 1 : hi]
+            short = c[lo].as_py() == 0 and len(part) <= keep_short
+            y[lo + 1 : hi] = part if short else system.run(part, batch.column("s")[lo].as_py())[0]
+        found = {idx: batch.column("__i"), out: pa.array(y, from_pandas=True)}
+        cols = [(found[n] if n in found else batch.column(n)).cast(target.field(n).type) for n in names]
+        return pa.RecordBatch.from_arrays(cols, schema=target).filter(pa.array(sample))
 
-    return d.groupBy(*unit).cogroup(state.groupBy(*unit)).applyInPandas(run, schema)
+    both = d.withColumn("__row", F.lit(1)).unionByName(state.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    return _in_runs(both, unit, ["__row", "__i"], filtered, schema)
 
 
 def highpass(samples: DataFrame, cutoff: float = 0.01, order: int = 4, keys: list[str] = KEYS, value: str = "value", idx: str = "idx") -> DataFrame:
@@ -567,21 +595,22 @@ def spectral_features(samples: DataFrame, trigger: DataFrame, min_pre: int = 100
     parts = [*keys, "part"]
     u = unwrap_phase(split_at_trigger(samples, trigger, keys).filter(F.col("part") == "pre"), parts, value, "pidx")
     u = u.select(*keys, "pidx", "phase", "dt_us", F.col("z").cast("bigint").alias("n"))
-    types = dict(samples.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rms double, dominant_hz double, band_power double, q_factor double"
+    def opened(batch: pa.RecordBatch) -> Callable[[int, int], list[tuple]]:
+        phase, step = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("phase", "dt_us"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pidx")
-        y, dt = pdf["phase"].to_numpy(), float(pdf["dt_us"].iloc[0]) / 1e6
-        x = np.arange(len(y)) - (len(y) - 1) / 2.0
-        r = y - y.mean() - x * ((x * y).sum() / (x * x).sum()) if len(y) > 1 else y * 0.0
-        got = (0.0, 0.0, 0.0, 0.0)
-        if len(y) > min_pre:
-            got = (float(r.std()), *spectrum(np.abs(np.fft.rfft(r)), np.fft.rfftfreq(len(r), dt)))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *got]], columns=[*keys, "rms", "dominant_hz", "band_power", "q_factor"])
+        def whole(lo: int, hi: int) -> list[tuple]:
+            y, n = phase[lo:hi], hi - lo
+            if n <= min_pre:
+                return [(0.0, 0.0, 0.0, 0.0)]
+            x = np.arange(n) - (n - 1) / 2.0
+            r = y - y.mean() - x * ((x * y).sum() / (x * x).sum()) if n > 1 else y * 0.0
+            return [(float(r.std()), *spectrum(np.abs(np.fft.rfft(r)), np.fft.rfftfreq(n, float(step[lo]) / 1e6)))]
+
+        return whole
 
     longest = trigger.agg(F.max("z")).first()[0] or 0
-    found = u.filter(F.col("n") <= ONE_TASK_SAMPLES).select(*keys, "pidx", "phase", "dt_us").groupBy(*keys).applyInPandas(run, schema)
+    found = u.filter(F.col("n") <= ONE_TASK_SAMPLES).select(*keys, "pidx", "phase", "dt_us")
+    found = by_runs(found, keys, "pidx", opened, "rms double, dominant_hz double, band_power double, q_factor double")
     if longest > ONE_TASK_SAMPLES:
         found = found.unionByName(_long_features(u.filter(F.col("n") > ONE_TASK_SAMPLES), keys, longest))
     # a recording whose trigger is its first sample has nothing to transform

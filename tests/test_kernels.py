@@ -514,3 +514,25 @@ def test_approximate_neighbours_read_blocks_where_tables_are_many(spark, monkeyp
     d[np.arange(150), np.arange(0, 1500, 10)] = np.inf
     want = d.argsort(axis=1)[:, :4]
     assert got == {(10 * i, r + 1): int(want[i, r]) for i in range(150) for r in range(4)}
+
+
+def test_filters_peaks_and_spectra_share_batches(spark):
+    # one call of Python for each series cost some 10 ms; a null and a NaN key are series of their own, and series cross batches
+    rng = np.random.default_rng(6)
+    x = {k: rng.standard_normal(1 + i % 40).cumsum() for i, k in enumerate([None, float("nan"), *map(float, range(60))])}
+    df = spark.createDataFrame([(k, i, float(v)) for k, s in x.items() for i, v in enumerate(s)], "series_id double, idx bigint, value double").repartition(5)
+    system = N.Recurrence.of(N.butterworth_highpass(4, 0.01))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        filtered, peaks = (f(df).toPandas() for f in (N.highpass, N.peak_count))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(peaks) == len(x) and len(filtered) == sum(map(len, x.values()))
+    for k in range(60):
+        s, got = x[float(k)], filtered[filtered.series_id == k].sort_values("idx")
+        assert np.allclose(got.filtered, s if len(s) <= 10 else system.run(s)[0]) and got.idx.tolist() == list(range(len(s)))
+        assert peaks[peaks.series_id == k].n_peaks.tolist() == [brute_peaks(s, 0.5)]
+    trigger = df.groupBy("series_id").agg(F.lit(3).alias("z"), F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("dt_us"))
+    for d in (N.highpass(df), N.peak_count(df), N.spectral_features(df, trigger, 1)):
+        plan = d._jdf.queryExecution().toString()
+        assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
