@@ -263,19 +263,42 @@ def merging(task: Callable, merge: Callable, slab: int | None = None) -> tuple[C
     return step, lambda state: state
 
 
-def screen(x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Pairs whose squared distance may be up to the row's ``limit``: all that are, and few that are not.
+def screening(y: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of rows x and their limits: pairs of x and y whose squared distance may be up to
+    the row's limit, all that are and few that are not. The next call may overwrite its result.
 
-    Single precision does if its rounding is small beside the limits.
+    Single precision does if its rounding is small beside the limits. What is known of y is
+    computed once, and slabs of rows share the memory of their products, as fresh memory costs
+    more than these.
     """
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
-    most = xx.max(initial=0.0) + yy.max(initial=0.0)
-    loose = 2.0 * (x.shape[1] + 6) * 2.0**-24 * most
-    if 1e-25 < most < 1e25 and loose <= 0.01 * limit.min(initial=np.inf):
-        a = np.concatenate([-2.0 * x, xx[:, None], np.ones((len(x), 1))], axis=1).astype(np.float32)
-        b = np.concatenate([y, np.ones((len(y), 1)), yy[:, None]], axis=1).astype(np.float32)
-        return a @ b.T <= ((limit + loose) * (1 + 1e-6)).astype(np.float32)[:, None]
-    return _gram(x, y) <= (limit + 1e-9 * (xx + yy.max(initial=0.0)))[:, None]
+    yy, held = (y * y).sum(1), {}
+    far = yy.max(initial=0.0)
+    right = np.concatenate([y, np.ones((len(y), 1)), yy[:, None]], axis=1)
+    small = np.ascontiguousarray(right.astype(np.float32).T) if far < 1e25 else None
+
+    def near(x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        xx = (x * x).sum(1)
+        most = xx.max(initial=0.0) + far
+        loose = 2.0 * (x.shape[1] + 6) * 2.0**-24 * most
+        if 1e-25 < most < 1e25 and loose <= 0.01 * limit.min(initial=np.inf):
+            a = np.concatenate([-2.0 * x, xx[:, None], np.ones((len(x), 1))], axis=1).astype(np.float32)
+            shape = len(x), len(y)
+            if held.get("shape") != shape:
+                held.update(shape=shape, d=np.empty(shape, np.float32), hit=np.empty(shape, bool))
+            d = np.matmul(a, small, out=held["d"])
+            return np.less_equal(d, ((limit + loose) * (1 + 1e-6)).astype(np.float32)[:, None], out=held["hit"])
+        return _gram(x, y) <= (limit + 1e-9 * (xx + far))[:, None]
+
+    return near
+
+
+def screen(x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    return screening(y)(x, limit)
+
+
+def _places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each hit."""
+    return np.divmod(np.flatnonzero(hit), max(hit.shape[1], 1))
 
 
 def _exact_of(x: np.ndarray, y: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -347,15 +370,14 @@ def _running_topk(k: int, exclude_self: bool) -> tuple[Callable, Callable]:
         if state is None:
             state = [ids, a["r"].to_numpy() ** 2 * (1 + 1e-12), np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)]
         _, limit, row, nid, dist = state
-        new = [(row, nid, dist)]
+        new, reach = [(row, nid, dist)], screening(y)
         for i in range(0, len(x), SLAB):
             part = x[i : i + SLAB]
-            near = screen(part, y, limit[i : i + SLAB])
-            if near.sum() > 64 * need * len(part):  # what a block has itself bounds it better
+            r, s = _places(reach(part, limit[i : i + SLAB]))
+            if len(r) > 64 * need * len(part):  # what a block has itself bounds it better
                 d, m = _gram(part, y), min(need, len(y))
                 kth = np.partition(d, m - 1, axis=1)[:, m - 1] + 1e-9 * ((part * part).sum(1) + (y * y).sum(1).max())
-                near = d <= kth[:, None]
-            r, s = np.nonzero(near)
+                r, s = np.nonzero(d <= kth[:, None])
             if exclude_self:
                 other = ids[i + r] != nids[s]
                 r, s = r[other], s[other]
@@ -436,9 +458,8 @@ def within(queries: DataFrame, base: DataFrame, eps: float, task: Callable, sche
 def close_pairs(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two blocks within eps; near ties are decided on the exact distance."""
     x, y = _matrix(a["x"]), _matrix(b["x"])
-    near = screen(x, y, np.full(len(x), eps * eps * (1 + 1e-12)))
-    if near.sum() < near.size / 32:  # so few that all are decided on the exact distance
-        r, s = np.nonzero(near)
+    r, s = _places(screen(x, y, np.full(len(x), eps * eps * (1 + 1e-12))))
+    if len(r) < len(x) * len(y) / 32:  # so few that all are decided on the exact distance
         close = _exact_of(x, y, r, s) <= eps
         return r[close], s[close]
     d = _gram(x, y)

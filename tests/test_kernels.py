@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from faultspark.functions.parallel import scan_parts
 from faultspark.operators import anomaly as A, attribution as K, cluster_metrics as J, kernels as N, matrix as M, models as G, neighbours as NB, proposals as P, series as S
+from faultspark.plans import anomaly as plans, load_all
+from faultspark.plans.registry import Tables
+from tests.conftest import FOLDER
 
 
 def frame(spark, columns):
@@ -536,3 +539,33 @@ def test_filters_peaks_and_spectra_share_batches(spark):
     for d in (N.highpass(df), N.peak_count(df), N.spectral_features(df, trigger, 1)):
         plan = d._jdf.queryExecution().toString()
         assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
+
+
+@pytest.mark.parametrize("leaf", [16, 4096])
+def test_dbscan_of_known_neighbours_searches_only_among_full_points(spark, monkeypatch, leaf):
+    monkeypatch.setattr(NB, "LEAF", leaf)
+    x, _ = points(spark, 240, 2, 2)
+    x = np.concatenate([x, x[:9].repeat(7, axis=0), x.max(0) + 9 + np.zeros((6, 2))])  # more copies than neighbours are known
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, x array<double>")
+    near = NB.knn(df, df, 6).cache()
+    searched, find = [], A._linked
+    monkeypatch.setattr(A, "_linked", lambda d, eps: searched.append(d.count()) or find(d, eps))
+    for eps in (0.2, 0.5, 0.9):
+        got = A.dbscan_of_near(df, near, eps, 5).orderBy("id").toPandas()
+        assert (got.cluster.to_numpy() == brute_dbscan(x, eps, 5)).all()
+        n = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps).sum(1)
+        assert got.core.tolist() == (n >= 5).tolist()
+        assert searched[-1] == len({tuple(v) for v in x[n >= 6].tolist()})
+    near.unpersist()
+
+
+def test_density_queries_search_once(spark, monkeypatch):
+    """All neighbours were searched for the radius, for the counts and for the links."""
+    t, seen = Tables(spark, FOLDER), []
+    for m, f in ((plans, "knn"), (A, "knn"), (A, "within")):
+        monkeypatch.setattr(m, f, lambda *a, f=f, g=getattr(m, f), **k: seen.append((f, a[0].count())) or g(*a, **k))
+    n = t.embeddings.count()
+    load_all()["dbscan_cores"].build(t).collect()
+    assert seen == [("knn", n)]
+    load_all()["dbscan"].build(t).collect()
+    assert [f for f, _ in seen[1:]] == ["knn", "within"] and seen[2][1] < n
